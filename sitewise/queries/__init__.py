@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 from types import ModuleType
 
-MODULES = ("rows", "stays", "series")
+MODULES = ("rows", "stays", "series", "sites", "resampling", "sinks", "fits")
 
 
 def load() -> ModuleType:

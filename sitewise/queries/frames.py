@@ -92,7 +92,7 @@ def _frames(d: Dialect) -> dict[str, str]:
             from {stay}""",
         "nationmodel": """
             select n_nationkey as model_id, cast(-0.5 + 0.02 * n_nationkey as double) as b,
-              cast(0.1 * ((n_nationkey * 3) % 7 - 3) as double) as w1,
+              cast(0.1 * ((n_nationkey * 3) % 7 - 3) + 0.0171 as double) as w1,
               cast(0.1 * ((n_nationkey * 4) % 7 - 3) as double) as w2,
               cast(0.1 * ((n_nationkey * 5) % 7 - 3) as double) as w3,
               cast(0.1 * ((n_nationkey * 6) % 7 - 3) as double) as w4
