@@ -5,9 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, functions as F
-
-from sitewise.operators.joins import salted_join
+from pyspark.sql import DataFrame, functions as F
 
 # Variable names of the hourly table, by the summary taken of them.
 VITALS = ("heartrate", "sysbp", "diasbp", "meanbp", "resprate", "tempc", "spo2")
@@ -45,9 +43,12 @@ def in_window_rows(
     hr: str = "hr",
     end: str = "windowtime_hours",
 ) -> DataFrame:
-    """Hours [end - width - extra, end] of each stay; ``early`` marks those before end - width."""
+    """Hours [end - width - extra, end] of each stay; ``early`` marks those before end - width.
+
+    A stay has one row per hour, so no key can grow beyond its hours.
+    """
     ends = windows.select(key, F.col(end).alias("_end"))
-    joined = salted_join(hourly, ends, [key], spread=[hr])
+    joined = hourly.join(ends, key)
     back = F.col("_end") - F.col(hr)
     return joined.filter((back >= 0) & (back <= width + extra)).withColumn("early", back > width).drop("_end")
 
@@ -65,42 +66,33 @@ def window_features(
     """All summaries of all variables in one grouping.
 
     Every summary is a partial aggregate (``min_by``/``max_by`` over the hour of non-null
-    values, conditional min, max and sum), so a stay's rows are combined before the shuffle.
+    values, conditional min, max and sum) and uses the partitioning of the join before it.
     """
     rows = in_window_rows(hourly.select(key, hr, *plan.variables()), windows, key, width, extra, hr, end)
-    aggregates: list[Column] = []
-    for names, suffix, how in (
-        (plan.first, "first", F.min_by),
-        (plan.last, "last", F.max_by),
-    ):
+    parts: list[str] = []
+    for names, suffix, how in ((plan.first, "first", "min_by"), (plan.last, "last", "max_by")):
         for v in names:
-            aggregates.append(_ordered(v, suffix, how, hr, v in plan.extended))
-    for names, suffix, how in ((plan.low, "min", F.min), (plan.high, "max", F.max)):
+            counts, label = _scope(v, suffix, v in plan.extended)
+            parts.append(f"{how}({v}, case when {counts} then {hr} end) as {label}")
+    for names, suffix, how in ((plan.low, "min", "min"), (plan.high, "max", "max")):
         for v in names:
-            wide = v in plan.extended
-            value = F.col(v) if wide else F.when(~F.col("early"), F.col(v))
-            aggregates.append(how(value).alias(_name(v, suffix, wide)))
-    for v in plan.total:
-        aggregates.append(window_sum(v).alias(f"{v}_sum"))
-    return rows.groupBy(key).agg(*aggregates)
+            counts, label = _scope(v, suffix, v in plan.extended)
+            parts.append(f"{how}(case when {counts} then {v} end) as {label}")
+    parts += [f"{window_sum(v)} as {v}_sum" for v in plan.total]
+    return rows.sparkSession.sql(f"select {key}, {', '.join(parts)} from {{rows}} group by {key}", rows=rows)
 
 
-def window_sum(variable: str) -> Column:
+def window_sum(variable: str) -> str:
     """Sum in the window: 0 if all values are missing, NULL if the window holds no row."""
-    inside = ~F.col("early")
-    rows = F.count(F.when(inside, 1))
-    return F.when(rows > 0, F.coalesce(F.sum(F.when(inside, F.col(variable))), F.lit(0.0)))
-
-
-def _name(variable: str, suffix: str, wide: bool) -> str:
-    return f"{variable}_{suffix}_early" if wide else f"{variable}_{suffix}"
+    value = f"case when not early then {variable} end"
+    return f"case when count(case when not early then 1 end) > 0 then coalesce(sum({value}), 0.0D) end"
 
 
-def _ordered(variable: str, suffix: str, how, hr: str, wide: bool) -> Column:
-    counts = F.col(variable).isNotNull()
-    if not wide:
-        counts = counts & ~F.col("early")
-    return how(F.col(variable), F.when(counts, F.col(hr))).alias(_name(variable, suffix, wide))
+def _scope(variable: str, suffix: str, wide: bool) -> tuple[str, str]:
+    """Rows that count for a summary and the name of its column."""
+    if wide:
+        return f"{variable} is not null", f"{variable}_{suffix}_early"
+    return f"{variable} is not null and not early", f"{variable}_{suffix}"
 
 
 def select_features(columns: Sequence[str], outcomes: Sequence[str], names: Sequence[str] = (), prefixes: Sequence[str] = (), suffixes: Sequence[str] = ()) -> list[str]:

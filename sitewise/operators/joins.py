@@ -2,15 +2,25 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from sitewise.functions.scalar import col
+from sitewise.functions.scalar import col, micros
 
 SALTS = 16
 
 
+def broadcast_sized(df: DataFrame) -> bool:
+    """Does the planner's size of ``df`` lie below the session's broadcast limit."""
+    limit = df.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    found = re.fullmatch(r"(-?\d+)\s*([kmg]?)b?", limit.lower())
+    threshold = int(found[1]) * {"": 1, "k": 1 << 10, "m": 1 << 20, "g": 1 << 30}[found[2]] if found else 0
+    return int(str(size)) <= threshold
+
+
 def salted_join(
     facts: DataFrame,
     dims: DataFrame,
@@ -19,18 +29,42 @@ def salted_join(
     how: str = "inner",
     salts: int = SALTS,
 ) -> DataFrame:
-    """Equi-join of a large side with one row per key on the other side.
+    """Equi-join of a large side with a smaller one, for keys of any size.
 
-    The rows of a key are spread over ``salts`` tasks by a hash of ``spread`` (values of the
-    row, so a repeated task sends it to the same place); the other side is repeated per salt.
-    Whether it is broadcast is left to Spark, which knows its size.
+    A side below the broadcast limit needs no shuffle of the facts, so a key's size does not
+    matter.  Above it the rows of a key are spread over ``salts`` tasks by a hash of ``spread``
+    (values of the row, so a repeated task sends it to the same place) and the other side is
+    repeated per salt.
     """
+    if broadcast_sized(dims):
+        return facts.join(dims, list(on), how)
     spread_by = F.pmod(F.xxhash64(*[col(c) for c in spread]), F.lit(salts)).cast("int")
     left = facts.withColumn("_salt", spread_by)
     right = dims.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return left.join(right, [*on, "_salt"], how).drop("_salt")
 
 
+def interval_join(
+    events: DataFrame,
+    spans: DataFrame,
+    on: Sequence[str],
+    time: str,
+    start: str,
+    end: str,
+    chunk: int = 86_400_000_000,
+) -> DataFrame:
+    """Events strictly inside the span of their key (start < time < end, timestamps).
+
+    Both sides meet on (key, chunk of time): a span is repeated only for the chunks it
+    touches, and the events of a key are spread over their chunks.  The exact bounds are
+    checked on the joined rows.
+    """
+    number = lambda c: F.floor(micros(c) / F.lit(chunk))
+    touched = spans.filter(F.col(start) < F.col(end)).withColumn("_chunk", F.explode(F.sequence(number(start), number(end))))
+    joined = events.withColumn("_chunk", number(time)).join(touched, [*on, "_chunk"])
+    return joined.filter((F.col(time) > F.col(start)) & (F.col(time) < F.col(end))).drop("_chunk")
+
+
 def member_rows(df: DataFrame, keys: DataFrame, on: Sequence[str]) -> DataFrame:
     """Rows whose key is in ``keys``."""
     return df.join(keys.select(*on), list(on), "left_semi")

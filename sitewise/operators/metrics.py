@@ -28,15 +28,15 @@ def evaluate(df: DataFrame, by: Sequence[str] = (), y: str = "y", p: str = "p")
     (outcome, non-outcome) pairs in the right order, ties counted half.
     """
     scored = F.col("_p").isNotNull()
-    counts = (
-        score_counts(df, by, y, p)
-        .withColumn("_n1", F.coalesce("_n1", F.lit(0.0)))
+    counts = add_cells(score_counts(df, by, y, p), "_p", ["_n", "_known", "_n1"])
+    split = (
+        counts.withColumn("_n1", F.coalesce("_n1", F.lit(0.0)))
         .withColumn("_n0", F.col("_known") - F.col("_n1"))
         .withColumn("_s1", F.when(scored, F.col("_n1")).otherwise(0.0))
         .withColumn("_s0", F.when(scored, F.col("_n0")).otherwise(0.0))
     )
     below = W.partitionBy(*by, "_cell").orderBy("_p").rowsBetween(W.unboundedPreceding, -1)
-    ranked = add_cells(counts, "_p").withColumn("_below", F.coalesce(F.sum("_s0").over(below), F.lit(0.0)))
+    ranked = split.withColumn("_below", F.coalesce(F.sum("_s0").over(below), F.lit(0.0)))
     pc = F.greatest(F.least(F.col("_p"), F.lit(1 - LOG_CLIP)), F.lit(LOG_CLIP))
     s1, s0, prob = F.col("_s1"), F.col("_s0"), F.col("_p")
     per_cell = ranked.groupBy(*by, "_cell").agg(

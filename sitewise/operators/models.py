@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from sitewise.operators.joins import salted_join
 from sitewise.operators.prep import moments, standardized, with_moments
-from sitewise.session import durable
+from sitewise.session import durable, shuffle_partitions
 
 FLUSH_VALUES = 8_000_000
 
@@ -232,6 +232,8 @@ def score_pairs(rows: DataFrame, pairs: DataFrame, models: DataFrame, features:
     """
     wanted = pairs.join(models.select(F.col(models.columns[0]).alias(train), "mean", "scale", "intercept", "coef"), train)
     packed = wanted.groupBy(test).agg(F.collect_list(F.struct(train, "mean", "scale", "intercept", "coef")).alias("_models"))
-    joined = salted_join(rows, packed, [test], spread=features).withColumn("_m", F.explode("_models")).drop("_models")
+    # every row is scored under many models: spread the narrow rows before they multiply
+    spread = rows.repartition(shuffle_partitions(rows.sparkSession), test, *features)
+    joined = salted_join(spread, packed, [test], spread=features).withColumn("_m", F.explode("_models")).drop("_models")
     flat = joined.withColumns({c: F.col(f"_m.{c}") for c in (train, "mean", "scale", "intercept", "coef")}).drop("_m")
     return _with_probability(flat, features, "p")

@@ -1,19 +1,18 @@
 """Irregular measurements to a regular series of one row per (stay, hour).
 
 Stays start on a whole hour, so every stay's hours are clock hours.  Measurements are
-therefore summed per (stay, clock hour) without knowing the stay, and the hours of the grid
-enter the same grouping as marker rows: one shuffle, no interval join and no fan-out.
+therefore reduced per (entity, clock hour) without knowing the stay, one narrow partial
+aggregate per table, and meet the hour grid on equal keys: no interval join, no fan-out.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, functions as F
 
 from sitewise.functions.scalar import ceil_div, hash_uniform
+from sitewise.session import shuffle_partitions
 
 
 @dataclass(frozen=True)
@@ -43,17 +42,28 @@ def hour_grid(
     unit: int,
     lead: int = 24,
     keep: Sequence[str] = (),
+    window: str | None = None,
+    look_back: int = 0,
 ) -> DataFrame:
     """Rows hr = -lead .. ceil((end - start) / unit) per stay.
 
     ``start`` and ``end`` are integer times in the same measure as ``unit``;  ``slot`` is the
     number of the clock interval that ends ``hr`` units after the rounded-up start.  Stays
-    without a start have no rows.
+    without a start have no rows.  With ``window``, the column of a window end, only the hours
+    [window - look_back, window] are made.
     """
+    first = F.lit(-lead).cast("bigint")
     last = ceil_div(F.col(end) - F.col(start), unit)
+    if window:
+        first = F.greatest(first, F.col(window) - look_back).cast("bigint")
+        last = F.least(last, F.col(window).cast("bigint"))
     return (
         stays.filter(F.col(start).isNotNull())
-        .select(key, *keep, ceil_div(start, unit).alias("_slot0"), F.explode(F.sequence(F.lit(-lead).cast("bigint"), last)).alias("hr"))
+        .select(key, *keep, ceil_div(start, unit).alias("_slot0"), first.alias("_first"), last.alias("_last"))
+        .filter("_first <= _last")
+        # one narrow row becomes hundreds: spread the stays before they grow
+        .repartition(shuffle_partitions(stays.sparkSession), key)
+        .select(key, *keep, "_slot0", F.explode(F.sequence("_first", "_last")).alias("hr"))
         .withColumn("slot", F.col("_slot0") + F.col("hr"))
         .drop("_slot0")
     )
@@ -69,38 +79,41 @@ def hourly_features(
     tables: Mapping[str, DataFrame],
     measures: Sequence[Measure],
     key: str,
+    visit: str | None = None,
+    visit_tables: Sequence[str] = (),
     sum_mode: str = "faithful",
 ) -> DataFrame:
     """One row per grid hour with all measures.
 
-    ``tables`` hold (key, slot, columns).  Joining k tables on the hour repeats each row once
-    for every combination of rows of the others.  Averages of one table do not change by
+    ``tables`` hold (key, slot, columns); those in ``visit_tables`` are kept per visit and
+    serve the hours of every stay of the visit.  Joining k tables on the hour repeats each row
+    once for every combination of rows of the others.  Averages of one table do not change by
     that; sums and averages over a choice between tables do, and are computed in closed form
     from the per-table counts and sums.  ``sum_mode="corrected"`` adds each value once.
     """
     columns = _columns_by_table(measures)
-    marked = [grid.select(key, "slot", "hr")]
-    for name in tables:
-        used = [F.col(c).cast("double").alias(f"{name}__{c}") for c in columns.get(name, ())]
-        marked.append(tables[name].select(key, "slot", F.lit(1).alias(f"{name}__row"), *used))
-    rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), marked)
-    aggregates = [F.max("hr").alias("hr")]
-    for name in tables:
-        aggregates.append(F.count(f"{name}__row").cast("double").alias(f"{name}__row"))
-        for c in columns.get(name, ()):
-            aggregates.append(F.sum(f"{name}__{c}").alias(f"{name}__{c}__sum"))
-            aggregates.append(F.count(f"{name}__{c}").cast("double").alias(f"{name}__{c}__n"))
-    cells = rows.groupBy(key, "slot").agg(*aggregates).filter("hr is not null")
-    return cells.select(key, "hr", *[_measure(m, list(tables), sum_mode).alias(m.name) for m in measures])
-
-
-def spread_over_stays(measured: DataFrame, grid: DataFrame, visit: str, key: str) -> DataFrame:
-    """Measurements kept per visit, given to every stay of the visit whose grid holds the hour.
-
-    Both sides meet on (visit, clock hour); a visit with very many rows is spread over its
-    hours.
-    """
-    return measured.join(grid.select(visit, "slot", key), [visit, "slot"]).drop(visit)
+    order = [*visit_tables, *(n for n in tables if n not in visit_tables)]
+    filled = grid.select(key, *([visit] if visit else []), "slot", "hr")
+    for name in order:
+        on = [visit if name in visit_tables else key, "slot"]
+        filled = filled.join(_reduced(tables[name], name, on, columns.get(name, ())), on, "left")
+    return filled.selectExpr(key, "hr", *[_measure(m, list(tables), sum_mode) for m in measures])
+
+
+def spread_over_stays(measured: DataFrame, grid: DataFrame, visit: str) -> DataFrame:
+    """Values kept per (visit, slot), given to the hours of every stay of the visit."""
+    return grid.join(measured, [visit, "slot"])
+
+
+def _reduced(table: DataFrame, name: str, on: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    """Rows, sums and counts of one table per (entity, slot)."""
+    parts = [f"cast(count(1) as double) as {name}__row"]
+    for c in columns:
+        parts.append(f"sum(cast({c} as double)) as {name}__{c}__sum")
+        parts.append(f"cast(count({c}) as double) as {name}__{c}__n")
+    keys = ", ".join(on)
+    text = f"select {keys}, {', '.join(parts)} from {{t}} group by {keys}"
+    return table.sparkSession.sql(text, t=table)
 
 
 def _columns_by_table(measures: Sequence[Measure]) -> dict[str, list[str]]:
@@ -112,33 +125,35 @@ def _columns_by_table(measures: Sequence[Measure]) -> dict[str, list[str]]:
     return found
 
 
-def _repeat(table: str) -> Column:
+def _repeat(table: str) -> str:
     """Rows a table contributes to the combinations of an hour: its own, or one empty row."""
-    return F.greatest(F.col(f"{table}__row"), F.lit(1.0))
+    return f"coalesce({table}__row, 1.0D)"
 
 
-def _measure(m: Measure, tables: list[str], sum_mode: str) -> Column:
+def _measure(m: Measure, tables: list[str], sum_mode: str) -> str:
     total, count = _chosen(m.sources)
     if m.how == "sum":
         own = {t for t, _ in m.sources}
         others = [_repeat(t) for t in tables if t not in own] if sum_mode == "faithful" else []
-        total = reduce(lambda a, b: a * b, others, total)
-        return F.when(count > 0, total)
-    mean = F.when(count > 0, total / count)
-    return F.ceil(mean).cast("double") if m.how == "ceil_avg" else mean
+        value = " * ".join([total, *others])
+    else:
+        value = f"({total}) / ({count})"
+        if m.how == "ceil_avg":
+            value = f"cast(ceil({value}) as double)"
+    return f"case when {count} > 0 then {value} end as {m.name}"
 
 
-def _chosen(sources: Sequence[tuple[str, str]]) -> tuple[Column, Column]:
+def _chosen(sources: Sequence[tuple[str, str]]) -> tuple[str, str]:
     """Sum and count of the first non-null source over all combinations of rows."""
     (table, column), rest = sources[0], sources[1:]
-    total = F.coalesce(F.col(f"{table}__{column}__sum"), F.lit(0.0))
-    count = F.col(f"{table}__{column}__n")
+    total = f"coalesce({table}__{column}__sum, 0.0D)"
+    count = f"coalesce({table}__{column}__n, 0.0D)"
     if not rest:
         return total, count
-    later = reduce(lambda a, b: a * b, [_repeat(t) for t, _ in rest])
-    missing = _repeat(table) - count
+    later = " * ".join(_repeat(t) for t, _ in rest)
+    missing = f"({_repeat(table)} - {count})"
     rest_total, rest_count = _chosen(rest)
-    return total * later + missing * rest_total, count * later + missing * rest_count
+    return f"({total} * {later} + {missing} * {rest_total})", f"({count} * {later} + {missing} * {rest_count})"
 
 
 def limit_hours(columns: Sequence[str]) -> Column:

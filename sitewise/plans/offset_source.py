@@ -77,13 +77,17 @@ def cohort(patient: DataFrame, vital: DataFrame, severity: DataFrame) -> DataFra
     ).withColumn("excluded", excluded(EXCLUSIONS))
 
 
-def hours(stays: DataFrame) -> DataFrame:
-    """Hour grid of the stays kept; ``slot`` counts whole hours of the offset clock."""
-    return hour_grid(stays.filter("excluded = 0"), KEY, "admitoffset", "dischoffset", MINUTES)
+def hours(stays: DataFrame, windows: DataFrame | None = None, look_back: int = 0) -> DataFrame:
+    """Hour grid of the stays kept, with windows only their hours; ``slot`` counts hours of the offset clock."""
+    kept = stays.filter("excluded = 0")
+    if windows is None:
+        return hour_grid(kept, KEY, "admitoffset", "dischoffset", MINUTES)
+    kept = kept.join(windows.select(KEY, "windowtime_hours"), KEY)
+    return hour_grid(kept, KEY, "admitoffset", "dischoffset", MINUTES, window="windowtime_hours", look_back=look_back)
 
 
-def hourly(stays: DataFrame, vital: DataFrame, uo: DataFrame, bg: DataFrame, lab: DataFrame, sum_mode: str = "faithful") -> DataFrame:
-    """Hourly data table of the stays kept."""
+def hourly(grid: DataFrame, vital: DataFrame, uo: DataFrame, bg: DataFrame, lab: DataFrame, sum_mode: str = "faithful") -> DataFrame:
+    """Hourly data table of the grid's hours."""
     slot = slot_of("chartoffset", MINUTES).alias("slot")
     vital = vital.withColumns({
         "sysbp": F.coalesce("ibp_systolic", "nibp_systolic"),
@@ -92,9 +96,7 @@ def hourly(stays: DataFrame, vital: DataFrame, uo: DataFrame, bg: DataFrame, lab
     })
     bg = bg.withColumn("pao2fio2", F.try_divide("pao2", "fio2"))
     tables = {"vital": vital, "uo": uo, "bg": bg, "lab": lab}
-    return hourly_features(
-        hours(stays), {n: t.select("*", slot) for n, t in tables.items()}, MEASURES, KEY, sum_mode
-    )
+    return hourly_features(grid, {n: t.select("*", slot) for n, t in tables.items()}, MEASURES, KEY, sum_mode=sum_mode)
 
 
 def code_status(stays: DataFrame, careplan: DataFrame) -> DataFrame:

@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from sitewise.functions.scalar import age_years, days_between, flag, hour_ceil_59, hours_between, micros
 from sitewise.operators.cohort import capped_days, code_flags, excluded, first_limited
-from sitewise.operators.joins import salted_join
+from sitewise.operators.joins import interval_join
 from sitewise.operators.ranking import is_first
-from sitewise.operators.timeseries import Measure, hour_grid, hourly_features, slot_of, spread_over_stays
+from sitewise.operators.timeseries import Measure, hour_grid, hourly_features, slot_of
 from sitewise.plans.vocabulary import (
     CODE_STATUS_IGNORED,
     CODE_STATUS_ITEMS,
@@ -45,7 +45,7 @@ def signal_times(chartevents: DataFrame, icustays: DataFrame) -> DataFrame:
         (F.col("intime") - F.expr("INTERVAL 12 HOURS")).alias("_from"),
         (F.col("outtime") + F.expr("INTERVAL 12 HOURS")).alias("_to"),
     )
-    near = salted_join(beats, span, [KEY], spread=["charttime"]).filter("charttime > _from and charttime < _to")
+    near = interval_join(beats, span, [KEY], "charttime", "_from", "_to")
     return near.groupBy(KEY).agg(
         hour_ceil_59(F.min("charttime")).alias("first_hour"), hour_ceil_59(F.max("charttime")).alias("last_hour")
     )
@@ -104,13 +104,15 @@ def code_status(icustays: DataFrame, chartevents: DataFrame) -> DataFrame:
 
 
 def surgical(icustays: DataFrame, services: DataFrame) -> DataFrame:
-    """1 where a service that began before the end of the first day is surgical."""
-    until = icustays.select(KEY, VISIT, (F.col("intime") + F.expr("INTERVAL 1 DAY")).alias("_until"))
+    """1 where a service that began before the end of the first day is surgical.
+
+    Only the first surgical service of a visit can decide that: one row per visit is joined.
+    """
     name = F.col("curr_service")
-    is_surgery = flag(F.lower(name).contains("surg") | (name == "ORTHO"))
-    early = salted_join(services, until, [VISIT], spread=["transfertime"]).filter("transfertime < _until")
-    found = early.groupBy(KEY).agg(F.max(is_surgery).alias("surgical"))
-    return icustays.select(KEY).join(found, KEY, "left").withColumn("surgical", F.coalesce("surgical", F.lit(0)))
+    surgery = services.filter(F.lower(name).contains("surg") | (name == "ORTHO"))
+    first = surgery.groupBy(VISIT).agg(F.min("transfertime").alias("_first"))
+    early = F.col("_first") < F.col("intime") + F.expr("INTERVAL 1 DAY")
+    return icustays.join(first, VISIT, "left").select(KEY, flag(early).alias("surgical"))
 
 
 def static_features(
@@ -152,10 +154,13 @@ def static_features(
     )
 
 
-def hours(stays: DataFrame, unit: int = HOUR_MICROS) -> DataFrame:
-    """Hour grid of the stays kept, with the visit of each stay."""
+def hours(stays: DataFrame, unit: int = HOUR_MICROS, windows: DataFrame | None = None, look_back: int = 0) -> DataFrame:
+    """Hour grid of the stays kept, with the visit of each stay; with windows only their hours."""
     kept = stays.filter("excluded = 0").withColumns({"_t0": micros("intime"), "_t1": micros("outtime")})
-    return hour_grid(kept, KEY, "_t0", "_t1", unit, keep=[VISIT])
+    if windows is None:
+        return hour_grid(kept, KEY, "_t0", "_t1", unit, keep=[VISIT])
+    kept = kept.join(windows.select(KEY, "windowtime_hours"), KEY)
+    return hour_grid(kept, KEY, "_t0", "_t1", unit, keep=[VISIT], window="windowtime_hours", look_back=look_back)
 
 
 def given_hours(stays: DataFrame, icustay_hours: DataFrame, unit: int = HOUR_MICROS) -> DataFrame:
@@ -176,7 +181,6 @@ def hourly(
 ) -> DataFrame:
     """Hourly data table; blood gas and laboratory rows belong to visits and serve all their stays."""
     slot = slot_of(micros("charttime"), unit).alias("slot")
-    tables = {n: t.select("*", slot) for n, t in {"vital": vital, "gcs": gcs, "uo": uo}.items()}
-    for n, t in {"bg": bg, "lab": lab}.items():
-        tables[n] = spread_over_stays(t.select("*", slot), grid, VISIT, KEY)
-    return hourly_features(grid, tables, MEASURES, KEY, sum_mode)
+    sources = {"vital": vital, "gcs": gcs, "uo": uo, "bg": bg, "lab": lab}
+    tables = {n: t.select("*", slot) for n, t in sources.items()}
+    return hourly_features(grid, tables, MEASURES, KEY, VISIT, ("bg", "lab"), sum_mode)

@@ -11,6 +11,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
+from sitewise.session import prepare
 from sitewise.sources.tables import read_table
 
 TABLES = (
@@ -221,7 +222,7 @@ class Frames:
     """Tables and role frames of one folder as attributes."""
 
     def __init__(self, spark: SparkSession, root: str):
-        spark.conf.set("spark.sql.session.timeZone", "UTC")
+        prepare(spark)
         self.spark = spark
         self.root = root
 

@@ -21,6 +21,7 @@ from sitewise.queries.stays import (
     offset_static,
     sql_doubles,
 )
+from sitewise.session import durable
 
 DAY_MICROS = 24 * timestamp_source.HOUR_MICROS
 T_FRAMES = "t_vital t_gcs t_uo t_bg t_lab"
@@ -116,15 +117,14 @@ def hour_grid(fr):
     return grid.select("icustay_id", "hr", (F.col("slot") * timestamp_source.HOUR_MICROS).alias("end_us"))
 
 
-def t_hourly(fr, stays: str = "t_stay", unit: int = timestamp_source.HOUR_MICROS):
-    grid = timestamp_source.hours(getattr(fr, stays), unit)
+def t_hourly(fr, grid, unit: int = timestamp_source.HOUR_MICROS):
     return timestamp_source.hourly(grid, fr.t_vital, fr.t_gcs, fr.t_uo, fr.t_bg, fr.t_lab, unit)
 
 
 @query("hourly_features", f"with {grid_sql('t_stay_day', 'day')}, {hourly_sql('day')} select icustay_id, hr::bigint as hr, {sql_doubles(*[m.name for m in timestamp_source.MEASURES])} from hourly", "t_stay_day " + T_FRAMES)
 def hourly_features(fr):
     """Averages and sums of five event tables per (stay, interval); day-wide intervals hold several rows."""
-    return rounded(t_hourly(fr, "t_stay_day", DAY_MICROS), "icustay_id", "hr")
+    return rounded(t_hourly(fr, timestamp_source.hours(fr.t_stay_day, DAY_MICROS), DAY_MICROS), "icustay_id", "hr")
 
 
 OFFSET_NAMES = [m.name for m in offset_source.MEASURES]
@@ -138,7 +138,7 @@ OFFSET_NAMES = [m.name for m in offset_source.MEASURES]
 )
 def hourly_grid_join(fr):
     """Four event tables on the hour grid of the offset clock, summed per hour."""
-    hourly = offset_source.hourly(offset_cohort(fr), fr.pivoted_vital, fr.pivoted_uo, fr.pivoted_bg, fr.pivoted_lab)
+    hourly = offset_hourly(fr, offset_source.hours(offset_cohort(fr)))
     sums = [a for m in OFFSET_NAMES for a in (F.count(m).alias(f"n_{m}"), F.round(F.sum(m), 4).alias(m))]
     return hourly.groupBy("hr").agg(F.count(F.lit(1)).alias("n_rows"), *sums)
 
@@ -153,10 +153,8 @@ def join_mixed_grain(fr):
     """Rows kept per visit serve the hours of every stay of the visit."""
     grid = timestamp_source.hours(fr.t_stay)
     gas = fr.t_bg.select("hadm_id", "potassium", slot_of(micros("charttime"), timestamp_source.HOUR_MICROS).alias("slot"))
-    both = spread_over_stays(gas, grid.select("icustay_id", "hadm_id", "slot"), "hadm_id", "icustay_id")
-    hours = grid.select("icustay_id", "slot", "hr")
-    counts = both.groupBy("icustay_id", "slot").agg(F.count(F.lit(1)).alias("n"), F.count("potassium").alias("n_potassium"))
-    return counts.join(hours, ["icustay_id", "slot"]).drop("slot")
+    counts = gas.groupBy("hadm_id", "slot").agg(F.count(F.lit(1)).alias("n"), F.count("potassium").alias("n_potassium"))
+    return spread_over_stays(counts, grid, "hadm_id").select("icustay_id", "hr", "n", "n_potassium")
 
 
 # --- windows
@@ -199,7 +197,8 @@ def _window_query(name: str, plan: FeaturePlan):
 
     @query(name, sql, "t_stay " + T_FRAMES)
     def run(fr):
-        features = window_features(t_hourly(fr), event_windows(fr), "icustay_id", WIDTH, EXTRA, plan)
+        grid = timestamp_source.hours(fr.t_stay, windows=event_windows(fr), look_back=WIDTH + EXTRA)
+        features = window_features(t_hourly(fr, grid), event_windows(fr), "icustay_id", WIDTH, EXTRA, plan)
         return rounded(features, "icustay_id")
 
 
@@ -249,8 +248,14 @@ def random_window(fr):
     return doubles(windows, *LIMITS).withColumn("random_fraction", F.round("random_fraction", 9))
 
 
-def offset_hourly(fr, stays):
-    return offset_source.hourly(stays, fr.pivoted_vital, fr.pivoted_uo, fr.pivoted_bg, fr.pivoted_lab)
+def offset_hourly(fr, grid):
+    return offset_source.hourly(grid, fr.pivoted_vital, fr.pivoted_uo, fr.pivoted_bg, fr.pivoted_lab)
+
+
+def finished(fr):
+    """Cohort and static table, written once: the steps of a matrix read them several times."""
+    stays = durable(offset_cohort(fr), "cohort")
+    return stays, durable(offset_static(fr, stays), "static")
 
 
 MATRIX_FRAMES = STATIC_FRAMES + " pivoted_uo pivoted_bg pivoted_lab"
@@ -275,10 +280,10 @@ def tidy_matrix(df):
 )
 def random_window_matrix(fr):
     """Source tables to design matrix with random window ends, four-hour windows."""
-    stays = offset_cohort(fr)
-    static = offset_static(fr, stays)
+    stays, static = finished(fr)
     windows = matrices.random_windows(stays, static, "patientunitstayid", 7)
-    return tidy_matrix(matrices.design_matrix(stays, windows, offset_hourly(fr, stays), static, "patientunitstayid", 4))
+    hourly = offset_hourly(fr, offset_source.hours(stays, windows, 4 + 24))
+    return tidy_matrix(matrices.design_matrix(stays, windows, hourly, static, "patientunitstayid", 4))
 
 
 @query(
@@ -288,10 +293,10 @@ def random_window_matrix(fr):
 )
 def fixed_window_matrix(fr):
     """Source tables to design matrix of the first day."""
-    stays = offset_cohort(fr)
-    static = offset_static(fr, stays)
+    stays, static = finished(fr)
     windows = matrices.day_one_windows(stays, static, "patientunitstayid")
-    return tidy_matrix(matrices.design_matrix(stays, windows, offset_hourly(fr, stays), static, "patientunitstayid", 24))
+    hourly = offset_hourly(fr, offset_source.hours(stays, windows, 24 + 24))
+    return tidy_matrix(matrices.design_matrix(stays, windows, hourly, static, "patientunitstayid", 24))
 
 
 @query(
@@ -303,8 +308,7 @@ def fixed_window_matrix(fr):
 )
 def severity_matrix(fr):
     """Severity score with outcomes and static inputs."""
-    stays = offset_cohort(fr)
-    static = offset_static(fr, stays)
+    stays, static = finished(fr)
     windows = matrices.day_one_windows(stays, static, "patientunitstayid")
     scores = offset_source.severity_rows(fr.apache).withColumnRenamed("acutephysiologyscore", "apsiii")
     return tidy_matrix(matrices.severity_matrix(stays, windows, scores, static, "patientunitstayid"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from sitewise.functions.scalar import r6
 from sitewise.operators.cohort import capped_days, first_limited
-from sitewise.operators.joins import null_counts, salted_join
+from sitewise.operators.joins import null_counts
 from sitewise.operators.ranking import is_first, ordered_positions
 from sitewise.operators.timeseries import anchors
 from sitewise.plans import offset_source, timestamp_source
@@ -65,10 +65,11 @@ def join_left_filtered(fr):
 )
 def join_time_bound(fr):
     """Left join with a bound on the time of the other side."""
-    until = fr.icustays.select("icustay_id", "hadm_id", (F.col("intime") + F.expr("INTERVAL 1 DAY")).alias("until"))
-    near = salted_join(fr.services, until, ["hadm_id"], spread=["transfertime"]).filter("transfertime < until")
-    counts = near.groupBy("icustay_id").agg(F.count("curr_service").alias("early"))
-    return fr.icustays.select("icustay_id").join(counts, "icustay_id", "left").withColumn("early", F.coalesce("early", F.lit(0)))
+    counts = fr.services.groupBy("hadm_id", "transfertime").agg(F.count("curr_service").alias("n"))
+    until = F.col("intime") + F.expr("INTERVAL 1 DAY")
+    joined = fr.icustays.join(counts, "hadm_id", "left")
+    early = F.coalesce(F.sum(F.when(F.col("transfertime") < until, F.col("n"))), F.lit(0))
+    return joined.groupBy("icustay_id").agg(early.alias("early"))
 
 
 RANGE_SQL = """
@@ -209,7 +210,8 @@ def offset_static(fr, stays):
 
 def doubles(df, *columns, digits=6):
     """Nullable numbers as rounded doubles."""
-    return df.withColumns({c: F.round(F.col(c).cast("double"), digits) for c in columns})
+    names = set(columns)
+    return df.selectExpr(*[f"round(cast(`{c}` as double), {digits}) as `{c}`" if c in names else f"`{c}`" for c in df.columns])
 
 
 def sql_doubles(*columns, digits=6) -> str:

@@ -15,6 +15,11 @@ from pyspark.sql import DataFrame, SparkSession
 _local_root: str | None = None
 
 
+def prepare(spark: SparkSession) -> None:
+    """Times are read on the UTC clock."""
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
 def shared_folder(spark: SparkSession) -> str:
     """Folder every executor can reach; a temporary one only for local sessions without a setting."""
     global _local_root
