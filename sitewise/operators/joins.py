@@ -37,7 +37,7 @@ def salted_join(
     repeated per salt.
     """
     if broadcast_sized(dims):
-        return facts.join(dims, list(on), how)
+        return facts.join(F.broadcast(dims), list(on), how)
     spread_by = F.pmod(F.xxhash64(*[col(c) for c in spread]), F.lit(salts)).cast("int")
     left = facts.withColumn("_salt", spread_by)
     right = dims.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from sitewise.functions.scalar import safe_ratio
 from sitewise.operators.ranking import add_cells
+from sitewise.session import durable
 
 LOG_CLIP = 1e-15
 
@@ -25,10 +26,11 @@ def evaluate(df: DataFrame, by: Sequence[str] = (), y: str = "y", p: str = "p")
     """count, outcome, smr, mse, mae, logloss and auc per group.
 
     ``auc`` is tie-aware and NULL where a group has one class; it is the share of
-    (outcome, non-outcome) pairs in the right order, ties counted half.
+    (outcome, non-outcome) pairs in the right order, ties counted half.  The rows are read
+    once; their counts are written, since the cell edges and the ranking both need them.
     """
     scored = F.col("_p").isNotNull()
-    counts = add_cells(score_counts(df, by, y, p), "_p", ["_n", "_known", "_n1"])
+    counts = add_cells(durable(score_counts(df, by, y, p), "counts"), "_p")
     split = (
         counts.withColumn("_n1", F.coalesce("_n1", F.lit(0.0)))
         .withColumn("_n0", F.col("_known") - F.col("_n1"))

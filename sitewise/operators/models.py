@@ -230,10 +230,8 @@ def score_pairs(rows: DataFrame, pairs: DataFrame, models: DataFrame, features:
     ``pairs`` lists the wanted (train, test) combinations.  Both joins are equi-joins; the
     scored rows go straight into the partial aggregate of the metrics.
     """
-    wanted = pairs.join(models.select(F.col(models.columns[0]).alias(train), "mean", "scale", "intercept", "coef"), train)
-    packed = wanted.groupBy(test).agg(F.collect_list(F.struct(train, "mean", "scale", "intercept", "coef")).alias("_models"))
+    table = models.select(F.col(models.columns[0]).alias(train), "mean", "scale", "intercept", "coef")
     # every row is scored under many models: spread the narrow rows before they multiply
     spread = rows.repartition(shuffle_partitions(rows.sparkSession), test, *features)
-    joined = salted_join(spread, packed, [test], spread=features).withColumn("_m", F.explode("_models")).drop("_models")
-    flat = joined.withColumns({c: F.col(f"_m.{c}") for c in (train, "mean", "scale", "intercept", "coef")}).drop("_m")
-    return _with_probability(flat, features, "p")
+    paired = salted_join(spread, pairs.select(train, test), [test], spread=features)
+    return _with_probability(salted_join(paired, table, [train], spread=features), features, "p")

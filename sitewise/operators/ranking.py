@@ -100,23 +100,21 @@ def _nulls_last(order: Sequence[str]) -> list[Column]:
     return parts
 
 
-def add_cells(df: DataFrame, value: str, totals: Sequence[str], out: str = "_cell") -> DataFrame:
+def add_cells(df: DataFrame, value: str, out: str = "_cell") -> DataFrame:
     """Cut the value range at approximate quantiles of all rows.
 
     Each cell holds about rows / cells rows, so a group, however large, is spread over
     cells.  The edges are one row (a scalar subquery); the search is a fixed number of
-    comparisons per row.  ``totals`` are the other columns of ``df`` that are used later: the
-    subquery reads them too, so both readers of ``df`` share one shuffle.
+    comparisons per row.  ``df`` is read twice, the first time only its value column: pass a
+    written table.
     """
     cells = cell_count(df.sparkSession)
-    shares = F.array(*[F.lit(i / cells) for i in range(1, cells)])
-    cuts = F.percentile_approx(F.col(value).cast("double"), shares, F.lit(10 * cells)).alias("cuts")
-    edges = df.agg(F.struct(cuts, *[F.max(t).alias(t) for t in totals]).alias("e"))
-    cut = df.withColumn("_edges", edges.scalar()["cuts"]).withColumn(out, F.lit(0))
+    shares = ", ".join(str(i / cells) for i in range(1, cells))
+    edges = df.select(F.expr(f"percentile_approx(cast({value} as double), array({shares}), {10 * cells})"))
+    cut = df.withColumn("_edges", edges.scalar()).withColumn(out, F.lit(0))
     step = cells // 2
     while step:
-        reached = F.get("_edges", F.col(out) + (step - 1)) <= F.col(value)
-        cut = cut.withColumn(out, F.col(out) + F.when(reached, step).otherwise(0))
+        cut = cut.withColumn(out, F.expr(f"{out} + if(get(_edges, {out} + {step - 1}) <= {value}, {step}, 0)"))
         step //= 2
     return cut.drop("_edges")
 
@@ -129,7 +127,7 @@ def exact_quantiles(df: DataFrame, by: Sequence[str], value: Column | str, share
         .groupBy("_g", "_v")
         .agg(F.count(F.lit(1)).alias("_n"))
     )
-    celled = add_cells(totals, "_v", ["_n"])
+    celled = add_cells(durable(totals, "totals"), "_v")
     sizes = celled.groupBy("_g", "_cell").agg(F.sum("_n").alias("_cell_n"))
     earlier = W.partitionBy("_g").orderBy("_cell").rowsBetween(W.unboundedPreceding, -1)
     offsets = sizes.select(
