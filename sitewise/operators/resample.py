@@ -87,7 +87,7 @@ def spread_order(df: DataFrame, by: Sequence[str], key: Sequence[str], y: str, s
 
     j = F.col("_k")
     # outcomes k with place(k) - k <= j lie before free place j; one step either way of the estimate settles rounding
-    estimate = F.ceil((j + 1) / (F.col("_gap") - 1))
+    estimate = F.coalesce(F.ceil(F.try_divide(j + 1, F.col("_gap") - 1)), F.lit(0))
     guess = F.when(F.col("_p") <= 1, F.lit(0)).otherwise(F.least(F.greatest(estimate - 2, F.lit(0)), F.col("_p")))
     counted = sized.withColumn("_m", guess.cast("bigint"))
     for _ in range(4):
