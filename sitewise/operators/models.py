@@ -233,5 +233,6 @@ def score_pairs(rows: DataFrame, pairs: DataFrame, models: DataFrame, features:
     table = models.select(F.col(models.columns[0]).alias(train), "mean", "scale", "intercept", "coef")
     # every row is scored under many models: spread the narrow rows before they multiply
     spread = rows.repartition(shuffle_partitions(rows.sparkSession), test, *features)
-    paired = salted_join(spread, pairs.select(train, test), [test], spread=features)
+    # pairs are often exploded: written first, so that their size is known and not estimated
+    paired = salted_join(spread, durable(pairs.select(train, test), "pairs"), [test], spread=features)
     return _with_probability(salted_join(paired, table, [train], spread=features), features, "p")

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from sitewise.operators.joins import salted_join
+from sitewise.session import durable
 
 
 def moments(df: DataFrame, by: Sequence[str], features: Sequence[str]) -> DataFrame:
@@ -41,7 +42,9 @@ def with_moments(df: DataFrame, stats: DataFrame, by: Sequence[str], features: S
     if not by:
         packed = stats.select(F.struct("mean", "scale").alias("_s")).scalar()
         return df.withColumn("_s", packed).withColumn("mean", F.col("_s.mean")).withColumn("scale", F.col("_s.scale")).drop("_s")
-    return salted_join(df, stats.select(*by, "mean", "scale"), by, spread=features)
+    # written first, so that the size that decides on a broadcast is the size on disk
+    written = durable(stats.select(*by, "mean", "scale"), "moments")
+    return salted_join(df, written, by, spread=features)
 
 
 def impute_mean(df: DataFrame, features: Sequence[str], by: Sequence[str] = ()) -> DataFrame:

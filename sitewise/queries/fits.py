@@ -8,9 +8,10 @@ from sitewise.functions.scalar import neglog_complement
 from sitewise.operators import models, pooled, prep, resample, summary
 from sitewise.operators.joins import member_rows, other_rows, paired_delta
 from sitewise.operators.metrics import evaluate, r2
+from sitewise.plans.offset_source import severity_rows
 from sitewise.queries.registry import query
 from sitewise.queries.sinks import complete
-from sitewise.queries.sites import FEATURES
+from sitewise.queries.sites import FEATURES, site_pairs
 from sitewise.session import durable
 
 INVERSE_PENALTIES = [10.0 ** (-4 + 8 * i / 9) for i in range(10)]
@@ -93,6 +94,41 @@ def cv_metrics(fr):
     return evaluate(scored, ["fold"])
 
 
+@query("stratified_cv")
+def stratified_cv(fr):
+    """Mean AUROC and ratio of five folds with equal outcome rates."""
+    rows = durable(resample.folds(feat(fr), ["id"], 5, by=["y"]), "folded")
+    cells = rows.withColumn("model", F.explode(F.sequence(F.lit(0), F.lit(4))))
+    fitted = models.fit_logistic(cells.filter("model <> fold"), "model", "y", FEATURES)
+    scored = models.score(cells.filter("model = fold"), fitted, "model", FEATURES)
+    return evaluate(scored, ["fold"]).agg(F.avg("auc").alias("auc"), F.avg("smr").alias("smr"))
+
+
+@query("severity_cv")
+def severity_cv(fr):
+    """Out-of-fold metrics of a model whose only input is the severity score."""
+    scores = severity_rows(fr.apache).select(F.col("patientunitstayid").alias("id"), F.col("acutephysiologyscore").alias("apsiii"))
+    rows = fr.feat.select("id", "y").join(scores, "id", "left")
+    rows = durable(resample.folds(rows, ["id"], 71017), "folded")
+    cells = rows.withColumn("model", F.explode(F.sequence(F.lit(0), F.lit(4))))
+    fitted = models.fit_logistic(cells.filter("model <> fold"), "model", "y", ["apsiii"])
+    return evaluate(models.score(cells.filter("model = fold"), fitted, "model", ["apsiii"]), ["fold"])
+
+
+@query("perf_matrix_fixed_size")
+def perf_matrix_fixed_size(fr):
+    """Site models from 500 stays each, tested on 500 other draws per site; the diagonal uses the training draw."""
+    rows = feat(fr)
+    train = durable(resample.sample_per_group(rows, ["site"], ["id"], 500, 18201), "train")
+    test = resample.sample_per_group(rows, ["site"], ["id"], 500, 18202)
+    fitted = durable(models.fit_logistic(train, "site", "y", FEATURES), "fitted")
+    pairs = site_pairs(fitted.withColumnRenamed("site", "model_id"), rows)
+    off = models.score_pairs(test.withColumnRenamed("site", "test_site"), pairs.filter("train_site <> test_site"), fitted, FEATURES)
+    own = models.score(train, fitted, "site", FEATURES).select(F.col("site").alias("train_site"), F.col("site").alias("test_site"), "y", "p")
+    both = off.select("train_site", "test_site", "y", "p").unionByName(own)
+    return evaluate(both, ["train_site", "test_site"])
+
+
 @query("loso_metrics")
 def loso_metrics(fr):
     """Each site under a model of all other sites."""

@@ -155,6 +155,16 @@ def _frames(d: Dialect) -> dict[str, str]:
             select l_orderkey + 200000000 as icustay_id,
               case when l_linestatus = 'F' and l_linenumber > 3 then null else l_quantity * 4 end as duration_hours
             from {lineitem} where l_returnflag = 'A'""",
+        "timed": f"""
+            select l_orderkey + 200000000 as icustay_id, l_orderkey as hadm_id,
+              {d.add('MINUTE', '(l_partkey * 7 + l_suppkey * 13) % 9000 - 1500', 'o_orderdate')} as charttime,
+              l_quantity as v, l_partkey % 100 as k, l_returnflag, l_linenumber
+            from {{lineitem}} join {{orders}} on l_orderkey = o_orderkey""",
+        "s_vital": f"select icustay_id, charttime, {_measured(VITAL_COLUMNS)} from {{timed}}",
+        "s_gcs": "select icustay_id, charttime, cast(k % 13 + 3 as double) as gcs from {timed} where l_linenumber > 3",
+        "s_uo": "select icustay_id, charttime, case when k % 6 = 0 then null else v end as urineoutput from {timed} where l_returnflag = 'A'",
+        "s_bg": f"select hadm_id, charttime, {_measured(GAS_COLUMNS, 1)} from {{timed}} where l_returnflag = 'R'",
+        "s_lab": f"select hadm_id, charttime, {_measured(LAB_COLUMNS, 2)} from {{timed}} where l_returnflag = 'N'",
         # --- offset source: orders as stays, line items as measurements
         "patient": """
             select o_orderkey as patientunitstayid, o_custkey * 10 + o_orderkey % 2 as patienthealthsystemstayid,

@@ -13,13 +13,18 @@ from sitewise.queries.registry import query
 from sitewise.queries.sqltext import UNIFORM
 from sitewise.queries.stays import (
     COHORT_OFFSET_SQL,
+    COHORT_TIMESTAMP_SQL,
     OFFSET_FRAMES,
     STATIC_FRAMES,
     STATIC_OFFSET_SQL,
+    STATIC_TIMESTAMP_SQL,
+    TIMESTAMP_FRAMES,
     doubles,
     offset_cohort,
     offset_static,
     sql_doubles,
+    timestamp_cohort,
+    timestamp_static,
 )
 from sitewise.session import durable
 
@@ -52,9 +57,9 @@ def measures_sql(measures) -> str:
     return ", ".join(parts)
 
 
-def hourly_sql(unit: str, measures=timestamp_source.MEASURES) -> str:
+def hourly_sql(unit: str, measures=timestamp_source.MEASURES, source: str = "t") -> str:
     joins = " ".join(
-        f"left join t_{n} {n} on grid.{k} = {n}.{k} and grid.endtime - interval 1 {unit} < {n}.charttime and grid.endtime >= {n}.charttime"
+        f"left join {source}_{n} {n} on grid.{k} = {n}.{k} and grid.endtime - interval 1 {unit} < {n}.charttime and grid.endtime >= {n}.charttime"
         for n, k in (("vital", "icustay_id"), ("gcs", "icustay_id"), ("uo", "icustay_id"), ("bg", "hadm_id"), ("lab", "hadm_id"))
     )
     return f"hourly as (select grid.icustay_id, grid.hr, {measures_sql(measures)} from grid {joins} group by 1, 2)"
@@ -299,6 +304,34 @@ def fixed_window_matrix(fr):
     return tidy_matrix(matrices.design_matrix(stays, windows, hourly, static, "patientunitstayid", 24))
 
 
+def timestamp_matrix_sql() -> str:
+    limits = ", ".join("s." + x for x in LIMITS)
+    windows = f"""windows as (select icustay_id, 24 as windowtime_hours from cohort join static s using (icustay_id)
+      where excluded = 0 and least({limits}) >= 24)"""
+    inputs = ", ".join(f"round(s.{c}::double, 6) as {c}" for c in STATIC_INPUTS)
+    return f"""with {COHORT_TIMESTAMP_SQL}, {STATIC_TIMESTAMP_SQL}, {windows}, {grid_sql('cohort', 'hour')},
+      {hourly_sql('hour', source='s')}, {features_sql('icustay_id', 24, 24)}
+      select c.icustay_id, c.hospitalid, s.death, round(c.hosp_los, 6) as hosp_los, s.ventdays, {inputs},
+        round(columns(f.* exclude (icustay_id))::double, 6)
+      from cohort c join features f using (icustay_id) join static s using (icustay_id)"""
+
+
+@query(
+    "fixed_window_matrix_timestamp",
+    timestamp_matrix_sql(),
+    TIMESTAMP_FRAMES + " services ventdurations s_vital s_gcs s_uo s_bg s_lab",
+)
+def fixed_window_matrix_timestamp(fr):
+    """Source tables with timestamps to the design matrix of the first day; the site is the cohort's."""
+    stays = durable(timestamp_cohort(fr), "cohort")
+    static = durable(timestamp_static(fr, stays), "static")
+    windows = matrices.day_one_windows(stays, static, "icustay_id")
+    grid = timestamp_source.hours(stays, windows=windows, look_back=24 + 24)
+    hourly = timestamp_source.hourly(grid, fr.s_vital, fr.s_gcs, fr.s_uo, fr.s_bg, fr.s_lab)
+    matrix = matrices.design_matrix(stays, windows, hourly, static, "icustay_id", 24)
+    return rounded(matrix, "icustay_id", "hospitalid", "death", "ventdays")
+
+
 @query(
     "severity_matrix",
     f"""with {COHORT_OFFSET_SQL}, {STATIC_OFFSET_SQL}, {DAY_WINDOWS_SQL}, scored as (

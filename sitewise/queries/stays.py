@@ -343,26 +343,31 @@ def _races_sql() -> str:
     return ", ".join(f"(a.ethnicity in ({words(v)}))::int as {n}" for n, v in TIMESTAMP_ETHNICITY.items())
 
 
+STATIC_TIMESTAMP_SQL = f"""codes as ({_timestamp_codes_sql()}), surgery as ({SURGERY_SQL}), vent as ({VENT_SQL}),
+  censored as (select icustay_id, min(charttime) as t from codes where greatest(cmo, dnr, dni, dncpr) > 0 group by 1),
+  static as (
+    select c.icustay_id, 0 as hospitalid, ceil(epoch(c.outtime - c.intime) / 3600.0::double) as dischtime_hours,
+      ceil(epoch(a.deathtime - c.intime) / 3600.0::double) as deathtime_hours, (a.deathtime is not null)::int as death,
+      coalesce(v.ventdays, 0) as ventdays, ceil(epoch(l.t - c.intime) / 3600.0::double) as censortime_hours,
+      (p.gender = 'F')::int as is_female, least(round(date_diff('day', p.dob, c.intime::date) / 365.242::double, 4), 90) as age,
+      {_races_sql()}, (a.admission_type = 'ELECTIVE' and s.surgical = 1)::int as electivesurgery
+    from cohort c join icustays i using (icustay_id) join admissions a on a.hadm_id = c.hadm_id join patients p on p.subject_id = c.subject_id
+    left join censored l using (icustay_id) left join surgery s using (icustay_id) left join vent v using (icustay_id))"""
+
+
+def timestamp_static(fr, stays):
+    codes = timestamp_source.code_status(fr.icustays, fr.chartevents)
+    return timestamp_source.static_features(stays, fr.icustays, fr.admissions, fr.patients, codes, fr.services, fr.ventdurations)
+
+
 @query(
     "static_features_timestamp",
-    f"""with {COHORT_TIMESTAMP_SQL}, codes as ({_timestamp_codes_sql()}), surgery as ({SURGERY_SQL}), vent as ({VENT_SQL}),
-        censored as (select icustay_id, min(charttime) as t from codes where greatest(cmo, dnr, dni, dncpr) > 0 group by 1)
-        select c.icustay_id, 0 as hospitalid, ceil(epoch(c.outtime - c.intime) / 3600.0::double) as dischtime_hours,
-          ceil(epoch(a.deathtime - c.intime) / 3600.0::double) as deathtime_hours, (a.deathtime is not null)::int as death,
-          coalesce(v.ventdays, 0) as ventdays, ceil(epoch(l.t - c.intime) / 3600.0::double) as censortime_hours,
-          (p.gender = 'F')::int as is_female, least(round(date_diff('day', p.dob, c.intime::date) / 365.242::double, 4), 90) as age,
-          {_races_sql()}, (a.admission_type = 'ELECTIVE' and s.surgical = 1)::int as electivesurgery
-        from cohort c join icustays i using (icustay_id) join admissions a on a.hadm_id = c.hadm_id join patients p on p.subject_id = c.subject_id
-        left join censored l using (icustay_id) left join surgery s using (icustay_id) left join vent v using (icustay_id)""",
+    f"with {COHORT_TIMESTAMP_SQL}, {STATIC_TIMESTAMP_SQL} select * replace ({sql_doubles(*STATIC_DOUBLES)}) from static",
     TIMESTAMP_FRAMES + " services ventdurations",
 )
 def static_features_timestamp(fr):
     """Static table of the timestamp source."""
-    codes = timestamp_source.code_status(fr.icustays, fr.chartevents)
-    static = timestamp_source.static_features(
-        timestamp_cohort(fr), fr.icustays, fr.admissions, fr.patients, codes, fr.services, fr.ventdurations
-    )
-    return doubles(static, *STATIC_DOUBLES)
+    return doubles(timestamp_static(fr, timestamp_cohort(fr)), *STATIC_DOUBLES)
 
 
 @query(
