@@ -22,6 +22,7 @@ from sitewise.operators.prep import moments, standardized, with_moments
 from sitewise.session import durable, shuffle_partitions
 
 FLUSH_VALUES = 8_000_000
+WIDE = 256
 
 # the task functions below travel with the job: executors need no copy of this package
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -34,13 +35,14 @@ def fit_logistic(
     features: Sequence[str],
     c: Column | float = 1.0,
     max_iter: int = 30,
-    tol: float = 1e-7,
+    tol: float = 1e-5,
 ) -> DataFrame:
     """Model table (model, n_rows, n_pos, mean, scale, intercept, coef), one row per training set.
 
     Minimises sum(logloss) + |w|^2 / (2 c) on mean-imputed, standardised features; the
     intercept is not penalised.  ``c`` may be an expression of the model column.  Sets with a
-    single class keep NULL coefficients.
+    single class keep NULL coefficients.  A fit ends with the first step below ``tol``; Newton
+    steps shrink quadratically, so the error left is of the order of its square.
     """
     k = len(features)
     penalty = F.lit(c) if isinstance(c, (int, float)) else c
@@ -58,7 +60,7 @@ def fit_logistic(
         "models",
     )
     columns = state.columns
-    solver = _solver(state.schema)
+    solver = _solver(state.schema, tol)
     slim = members.select(model, F.col(label).cast("double").alias("_y"), *[F.col(f).cast("double").alias(f) for f in features])
     for _ in range(max_iter):
         active = state.filter(~F.col("done"))
@@ -127,11 +129,15 @@ def _partial_sums(k: int, model: str):
             loss = np.logaddexp(0.0, eta) - y * eta
             order = np.argsort(codes, kind="stable")
             cuts = np.searchsorted(codes[order], np.arange(len(names) + 1))
-            for i, name in enumerate(names):
-                rows = order[cuts[i] : cuts[i + 1]]
-                zi, pi = z[rows], prob[rows]
-                curve = (zi * (pi * (1.0 - pi))[:, None]).T @ zi
-                vector = np.concatenate(([loss[rows].sum()], zi.T @ (pi - y[rows]), curve[upper]))
+            if length <= WIDE:
+                terms = np.empty((len(y), length))
+                terms[:, 0] = loss
+                terms[:, 1 : k + 2] = z * (prob - y)[:, None]
+                terms[:, k + 2 :] = z[:, upper[0]] * z[:, upper[1]] * (prob * (1.0 - prob))[:, None]
+                sums = np.add.reduceat(terms[order], cuts[:-1], axis=0)
+            else:
+                sums = [_curvature(z[r], prob[r], y[r], loss[r], upper) for r in np.split(order, cuts[1:-1])]
+            for name, vector in zip(names, sums):
                 held[name] = held[name] + vector if name in held else vector
             if len(held) * length > FLUSH_VALUES:
                 yield _sums_batch(held, kind, model)
@@ -142,13 +148,21 @@ def _partial_sums(k: int, model: str):
     return run
 
 
+def _curvature(z, prob, y, loss, upper) -> np.ndarray:
+    """Sums of one model's rows; a matrix product beats per-row terms for many features."""
+    curve = (z * (prob * (1.0 - prob))[:, None]).T @ z
+    return np.concatenate(([loss.sum()], z.T @ (prob - y), curve[upper]))
+
+
 def _sums_batch(held: dict, kind: pa.DataType, model: str) -> pa.RecordBatch:
     names = pa.array(list(held), type=kind)
-    values = pa.array([v.tolist() for v in held.values()], type=pa.list_(pa.float64()))
+    flat = np.concatenate(list(held.values()))
+    ends = np.arange(len(held) + 1, dtype=np.int32) * (len(flat) // len(held))
+    values = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
     return pa.RecordBatch.from_arrays([names, values], names=[model, "part"])
 
 
-def _solver(schema: T.StructType):
+def _solver(schema: T.StructType, tol: float):
     """One damped Newton step per row of (state, sums); a step that raised the loss is halved."""
     out = [f.name for f in schema.fields]
 
@@ -174,14 +188,14 @@ def _solver(schema: T.StructType):
         loss = sums[0] + 0.5 * penalty * weights @ weights
         if not loss <= held_loss * (1 + 1e-12) + 1e-12:
             shorter = (beta + held) / 2.0
-            return shorter, held, held_loss, bool(np.max(np.abs(shorter - held)) < 1e-7)
+            return shorter, held, held_loss, bool(np.max(np.abs(shorter - held)) < tol)
         gradient = sums[1 : 1 + width] + penalty * weights
         curve = np.zeros((width, width))
         curve[np.triu_indices(width)] = sums[1 + width :]
         curve = curve + np.triu(curve, 1).T
         curve[np.arange(1, width), np.arange(1, width)] += penalty
         step = np.linalg.lstsq(curve, gradient, rcond=None)[0]
-        return beta - step, beta, float(loss), bool(np.max(np.abs(step)) < 1e-7)
+        return beta - step, beta, float(loss), bool(np.max(np.abs(step)) < tol)
 
     return run
 

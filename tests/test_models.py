@@ -71,6 +71,23 @@ def test_salted_newton_sums_give_the_same_model(spark, df):
         np.testing.assert_allclose(plain.loc[site].coef, salted.loc[site].coef, atol=1e-8)
 
 
+def test_many_features_take_the_matrix_path(spark):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(400, 25))
+    y = (rng.random(400) < 1 / (1 + np.exp(-x[:, 0] + x[:, 3]))).astype(int)
+    names = [f"f{i}" for i in range(25)]
+    wide = pd.DataFrame(x, columns=names).assign(y=y, site=np.arange(400) % 2)
+    assert 1 + 26 + 26 * 27 // 2 > models.WIDE
+    got = models.fit_logistic(spark.createDataFrame(wide), "site", "y", names).toPandas().set_index("site")
+    for site, g in wide.groupby("site"):
+        z = (g[names] - g[names].mean()) / g[names].std(ddof=0)
+        z, w, ridge = np.column_stack([np.ones(len(g)), z]), np.zeros(26), np.diag([0] + [1] * 25)
+        for _ in range(60):
+            p = 1 / (1 + np.exp(-z @ w))
+            w = w - np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + ridge, z.T @ (p - g.y) + ridge @ w)
+        np.testing.assert_allclose([got.loc[site].intercept, *got.loc[site].coef], w, atol=1e-6)
+
+
 def test_scores_are_probabilities_and_null_for_one_class(df):
     out = models.score(df, models.fit_logistic(df, "site", "y", FEATURES), "site", FEATURES)
     assert out.filter("site = 3 and p is not null").count() == 0
