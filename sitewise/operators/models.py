@@ -36,18 +36,23 @@ def fit_logistic(
     c: Column | float = 1.0,
     max_iter: int = 30,
     tol: float = 1e-5,
+    warm: DataFrame | None = None,
 ) -> DataFrame:
     """Model table (model, n_rows, n_pos, mean, scale, intercept, coef), one row per training set.
 
     Minimises sum(logloss) + |w|^2 / (2 c) on mean-imputed, standardised features; the
     intercept is not penalised.  ``c`` may be an expression of the model column.  Sets with a
     single class keep NULL coefficients.  A fit ends with the first step below ``tol``; Newton
-    steps shrink quadratically, so the error left is of the order of its square.
+    steps shrink quadratically, so the error left is of the order of its square.  ``warm`` is a
+    one-row model table to start from; near solutions save passes over the members.
     """
     k = len(features)
     penalty = F.lit(c) if isinstance(c, (int, float)) else c
     usable = (F.col("n_pos") > 0) & (F.col("n_pos") < F.col("n_rows"))
-    start = F.when(usable, F.array_repeat(F.lit(0.0), k + 1))
+    zero = F.array_repeat(F.lit(0.0), k + 1)
+    if warm is not None:
+        zero = F.coalesce(warm.select(F.concat(F.array("intercept"), "coef")).scalar(), zero)
+    start = F.when(usable, zero)
     counts = members.groupBy(model).agg(F.sum(F.col(label).cast("bigint")).alias("n_pos"))
     state = durable(
         moments(members, [model], features)

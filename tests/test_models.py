@@ -104,6 +104,14 @@ def test_imputation_and_scaling(df, frame):
         np.testing.assert_allclose(got.loc[g.id, FEATURES].to_numpy(), want.to_numpy(), atol=1e-9)
 
 
+def test_warm_start_gives_the_same_model(df):
+    rows = df.filter("site <> 3")
+    near = models.fit_logistic(rows.withColumn("m", F.lit(0)), "m", "y", FEATURES)
+    cold, warm = (models.fit_logistic(rows, "site", "y", FEATURES, warm=w).toPandas().set_index("site") for w in (None, near))
+    for site in (0, 1, 2):
+        np.testing.assert_allclose(cold.loc[site].coef, warm.loc[site].coef, atol=1e-7)
+
+
 def test_separable_rows_converge(spark):
     rows = [(1, float(i), int(i >= 10)) for i in range(20)]
     df = spark.createDataFrame(rows, "m long, x double, y int")
