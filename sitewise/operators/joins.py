@@ -8,6 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from sitewise.functions.scalar import col, micros
+from sitewise.session import durable
 
 SALTS = 16
 
@@ -67,12 +68,19 @@ def interval_join(
 
 def member_rows(df: DataFrame, keys: DataFrame, on: Sequence[str]) -> DataFrame:
     """Rows whose key is in ``keys``."""
-    return df.join(keys.select(*on), list(on), "left_semi")
+    return _by_membership(df, keys, on, "left_semi")
 
 
 def other_rows(df: DataFrame, keys: DataFrame, on: Sequence[str]) -> DataFrame:
     """Rows whose key is not in ``keys``."""
-    return df.join(keys.select(*on), list(on), "left_anti")
+    return _by_membership(df, keys, on, "left_anti")
+
+
+def _by_membership(df: DataFrame, keys: DataFrame, on: Sequence[str], how: str) -> DataFrame:
+    """Key lists usually come from a grouping, whose size the planner cannot know: written first."""
+    listed = durable(keys.select(*on), "keys")
+    rest = [c for c in df.columns if c not in on] or list(on)
+    return salted_join(df, listed, on, spread=rest, how=how)
 
 
 def null_counts(df: DataFrame, by: Sequence[str], columns: Sequence[str]) -> DataFrame:

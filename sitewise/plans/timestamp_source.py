@@ -39,7 +39,8 @@ MEASURES = (
 
 def signal_times(chartevents: DataFrame, icustays: DataFrame) -> DataFrame:
     """First and last heart rate within 12 hours of the recorded stay, rounded to the hour."""
-    beats = chartevents.filter(F.col("itemid").isin(*HEART_RATE_ITEMS)).select(KEY, "charttime")
+    # repeated times cannot change a first or last: dropped before they are shuffled
+    beats = chartevents.filter(F.col("itemid").isin(*HEART_RATE_ITEMS)).select(KEY, "charttime").distinct()
     span = icustays.select(
         KEY,
         (F.col("intime") - F.expr("INTERVAL 12 HOURS")).alias("_from"),

@@ -106,6 +106,19 @@ def test_salted_join_equals_join(spark, df):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
 
 
+def test_membership_with_and_without_broadcast(spark, df, frame):
+    keys = spark.createDataFrame([(0,), (3,), (99,)], "site long")
+    inside = int(frame.site.isin([0, 3]).sum())
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        for value in (limit, "-1"):
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", value)
+            assert joins.member_rows(df, keys, ["site"]).count() == inside
+            assert joins.other_rows(df, keys, ["site"]).count() == len(frame) - inside
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+
+
 def test_folds_differ_by_one(df):
     sizes = [r["count"] for r in resample.folds(df, ["id"], 4).groupBy("fold").count().collect()]
     assert len(sizes) == 5 and max(sizes) - min(sizes) <= 1
