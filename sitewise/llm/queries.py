@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sitewise.llm import exact, mixing, quality, toxicity
+from sitewise.llm import decontaminate, exact, mixing, quality, toxicity
 from sitewise.sources.tables import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -65,3 +65,26 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_toxicity_network")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+@query(
+    "op10_benchmark_leaks",
+    r"""
+    with texts as (
+      select 'd' as kind, doc_id as id, text from documents union all select 'i', item_id, text from benchmark
+    ), words as (
+      select kind, id, regexp_extract_all(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '(?:[0-9a-z]|[^\x00-\x7F])+') as w
+      from texts
+    ), shingles as (
+      select distinct kind, id, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) as s from words
+    ), sizes as (
+      select id, count(*) as n from shingles where kind = 'i' group by id
+    )
+    select d.id as doc_id, i.id as item_id, count(*) / any_value(z.n) as containment
+    from shingles d join shingles i on d.s = i.s and d.kind = 'd' and i.kind = 'i' join sizes z on z.id = i.id
+    group by d.id, i.id having count(*) / any_value(z.n) >= 0.8
+    """,
+)
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.search(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
