@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sitewise.llm import decontaminate, exact, mixing, quality, toxicity
+from sitewise.llm import decontaminate, exact, lines, mixing, quality, toxicity
 from sitewise.sources.tables import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -88,3 +88,28 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.search(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+@query(
+    "op6_line_dedup",
+    r"""
+    with split as (
+      select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as line,
+        generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) as place
+      from documents
+    ), keyed as (
+      select *, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+        'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as key from split
+    ), shared as (
+      select key from keyed where length(key) >= 1 group by key having count(distinct doc_id) >= 10
+    ), marked as (
+      select *, key in (select key from shared) as gone from keyed
+    )
+    select doc_id, count(*) as n_lines, count(*) filter (gone) as n_dropped,
+      sha256(coalesce(string_agg(line, chr(10) order by place) filter (not gone), '')) as kept_sha256
+    from marked group by doc_id
+    """,
+)
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stripped = lines.drop_shared_lines(read_table(spark, sf_dir, "documents"))
+    return stripped.select("row.doc_id", "n_lines", "n_dropped", F.sha2("row.text", 256).alias("kept_sha256"))
