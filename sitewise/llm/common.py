@@ -54,3 +54,14 @@ def keyed_join(rows: DataFrame, keyed: DataFrame, on: Sequence[str], weight: str
 def counted(df: DataFrame, on: Sequence[str], label: str) -> DataFrame:
     """Written table of the keys that occur more than once, with their number of rows as ``n``."""
     return durable(df.groupBy(*on).agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), label)
+
+
+def bounded_sample(rows: DataFrame, n: int) -> DataFrame:
+    """``n`` rows (all, if there are fewer) of smallest hash of ``doc_id``, of narrow rows.
+
+    Rows with a hash that cannot be among the smallest are left out by each task, so that about ``2 n`` rows meet, however many there are.
+    """
+    total = rows.count()
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40))
+    share = min(1.0, (2 * n + 100) / max(total, 1))
+    return rows.filter(place <= int(share * (1 << 40))).orderBy(place, *rows.columns).limit(n)

@@ -13,7 +13,7 @@ import math
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
-from sitewise.llm.common import texts
+from sitewise.llm.common import bounded_sample, texts
 from sitewise.session import durable
 
 #: Buckets of hashed words; labelled rows used at most (those of smallest id hash); words that count as independent evidence at most.
@@ -35,13 +35,13 @@ def constant(values) -> Column:
     return F.split(F.lit(",".join(repr(float(v)) for v in values)), ",").cast("array<double>")
 
 
-def fit_domains(labelled: DataFrame, domains: list[str]) -> np.ndarray:
-    """Log weight per (domain, bucket), the last column for the prior, from rows (doc_id, text, domain).
+def fit_domains(docs: DataFrame, labelled: DataFrame, domains: list[str]) -> np.ndarray:
+    """Log weight per (domain, bucket), the last column for the prior, from rows (doc_id, domain) and the texts of ``docs``.
 
-    At most ``LABELLED`` rows count; rows with a null text or a domain not in the list are left out.
+    At most ``LABELLED`` rows count; rows with a domain not in the list or without a text are left out.
     """
-    usable = labelled.filter(F.col("domain").isin(domains) & F.col("text").isNotNull())
-    sample = usable.select("domain", "text").orderBy(F.xxhash64("doc_id"), F.xxhash64("text")).limit(LABELLED)
+    chosen = bounded_sample(labelled.filter(F.col("domain").isin(domains)).select("doc_id", "domain"), LABELLED)
+    sample = texts(docs).join(F.broadcast(chosen), "doc_id")  # LABELLED rows of an id and a name
     cells = (
         sample.select("domain", F.explode(F.concat(F.array(F.lit(BUCKETS)), buckets("text"))).alias("bucket"))
         .groupBy("domain", "bucket").agg(F.count(F.lit(1)).alias("n"))
@@ -105,11 +105,11 @@ def fit_rates(soft: DataFrame, targets: list[float]) -> DataFrame:
 def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float]) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_tokens, p (posterior per domain, in name order), rate, copies.
 
-    ``labelled`` has doc_id, text, domain.  ``copies`` is the rate rounded up or down by a hash of the id, so that its mean is the
+    ``labelled`` has doc_id, domain.  ``copies`` is the rate rounded up or down by a hash of the id, so that its mean is the
     rate.  Every row is returned, also those of rate 0; no rows give no rows; domains without a target do not exist.
     """
     domains = sorted(targets)
-    soft = durable(posteriors(docs, fit_domains(labelled, domains)), "mix-soft")
+    soft = durable(posteriors(docs, fit_domains(docs, labelled, domains)), "mix-soft")
     mixed = fit_rates(soft, [targets[d] for d in domains])
     chance = F.pmod(F.xxhash64("doc_id", F.lit("copies")), F.lit(1 << 30)) / float(1 << 30)
     whole = F.floor("rate")

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from sitewise.llm.bytetext import batches, runs, text_bytes
-from sitewise.llm.common import texts
+from sitewise.llm.common import bounded_sample, texts
 
 #: Vector per byte; filters; bytes per step, steps per filter; steps in half a chunk.
 DIM, FILTERS, STRIDE, TAPS, HALF = 8, 16, 4, 3, 64
@@ -40,10 +40,11 @@ def learning_rows(docs: DataFrame, labels: DataFrame, label: str, per_class: int
     short = texts(docs).filter(F.length("text") <= longest)
     chosen = []
     for value in (0, 1):
-        order = usable.filter(F.col("label") == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
-        chosen.append(short.join(F.broadcast(order), "doc_id"))  # per_class rows of two numbers
-    sample = chosen[0].unionByName(chosen[1]).select("text", "label", "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "text", "label").limit(4 * per_class)
-    return sample.select("text", "label").toArrow(), 0.5 if share is None else float(share)
+        chosen.append(bounded_sample(usable.filter(F.col("label") == value), per_class))
+    rows = short.join(F.broadcast(chosen[0].unionByName(chosen[1])), "doc_id")  # per_class rows of two numbers for either class
+    # sorted, so that learning does not depend on the order in which tasks end
+    sample = rows.select("doc_id", "label", "text").toArrow().sort_by([("doc_id", "ascending"), ("label", "ascending"), ("text", "ascending")])
+    return sample.select(["text", "label"]).slice(0, 4 * per_class), 0.5 if share is None else float(share)
 
 
 class ByteNetwork:

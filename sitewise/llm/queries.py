@@ -28,7 +28,7 @@ def query(name: str, sql: str | None = None):
 
 def labelled_domains(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The labelled rows of a corpus with their language as domain."""
-    return docs.join(labels.select("doc_id").distinct(), "doc_id", "left_semi").selectExpr("doc_id", "text", "lang as domain")
+    return docs.join(labels.select("doc_id").distinct(), "doc_id", "left_semi").selectExpr("doc_id", "lang as domain")
 
 
 @query("op1_quality_network")
