@@ -24,11 +24,12 @@ from sitewise.llm.common import texts
 WORDS, CONTAINED, FUNCTIONS = 5, 0.8, 64
 #: Shingles per smallest block of a window; items with fewer are looked up by each of their shingles.
 GRAIN = 8
-#: Code points of items in one index.  An index takes about six times that, and a longer item is a block of its own.
+#: Code points of items in one index.  An index takes some 30 bytes for each, and a longer item makes a larger one.
 BLOCK = 4_000_000
 _U = np.uint64
 _ODD = mix64(np.arange(1, FUNCTIONS + 1, dtype=_U)) | _U(1)
-_PRESENT = 1 << 20
+#: Bits per key, at least, of the table that is asked first.
+_ROOM = 16
 SCHEMA = "doc_id bigint, item_id bigint, containment double"
 
 
@@ -38,12 +39,13 @@ class Lookup:
     def __init__(self, keys: np.ndarray, items: np.ndarray) -> None:
         order = np.argsort(keys, kind="stable")
         self.keys, self.items = keys[order], items[order]
-        self.present = np.zeros(_PRESENT, bool)
-        self.present[keys & _U(_PRESENT - 1)] = True
+        self.mask = _U((1 << (_ROOM * len(keys)).bit_length()) - 1)
+        self.present = np.zeros(int(self.mask) + 1, bool)
+        self.present[keys & self.mask] = True
 
     def find(self, keys: np.ndarray, owner: np.ndarray) -> np.ndarray:
         """Distinct (owner, item) of equal keys."""
-        some = np.flatnonzero(self.present[keys & _U(_PRESENT - 1)])
+        some = np.flatnonzero(self.present[keys & self.mask])
         low = np.searchsorted(self.keys, keys[some], "left")
         n = np.searchsorted(self.keys, keys[some], "right") - low
         found = np.repeat(low, n) + runs(n)
