@@ -134,7 +134,7 @@ class ByteNetwork:
             g = np.repeat(error * slope / size[w], size[w]) * (out[steps, f] > 0)
             live = np.flatnonzero(g)
             seen = windows[steps[live]]
-            x = self.vectors[seen].reshape(len(live), -1)
+            x = self.vectors[seen].reshape(len(live), WIDTH * DIM)
             grads[1][:, f] += g[live] @ x
             grads[2][f] += g[live].sum()
             some = slice(unit % 8, None, 8)  # an eighth of the steps tells enough about the byte vectors
