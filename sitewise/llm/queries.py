@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sitewise.llm import decontaminate, exact, lines, mixing, quality, toxicity
+from sitewise.llm import decontaminate, exact, lines, mixing, near, quality, toxicity
 from sitewise.sources.tables import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -113,3 +113,8 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     stripped = lines.drop_shared_lines(read_table(spark, sf_dir, "documents"))
     return stripped.select("row.doc_id", "n_lines", "n_dropped", F.sha2("row.text", 256).alias("kept_sha256"))
+
+
+@query("op7_near_classes")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near.near_classes(read_table(spark, sf_dir, "documents")).drop("k1", "k2")
