@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sitewise.llm import decontaminate, exact, lines, mixing, near, quality, toxicity
+from sitewise.llm import decontaminate, exact, lines, mixing, near, quality, repeats, toxicity
 from sitewise.sources.tables import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -118,3 +118,9 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_near_classes")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.near_classes(read_table(spark, sf_dir, "documents")).drop("k1", "k2")
+
+
+@query("op3_suffix_dedup")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    removed = repeats.remove_repeats(read_table(spark, sf_dir, "documents"))
+    return removed.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
