@@ -1,7 +1,7 @@
 """Suffix array of many short byte strings by two-stage sorting, and the windows of fixed length that occur twice in it.
 
 Strings come in groups; suffixes are compared inside their group only.  A suffix smaller than its successor is sorted directly, by its
-first ``depth`` bytes.  All others follow from one scan of the buckets of equal first byte, from the least: the predecessor of each
+first ``depth`` bytes.  The others follow from one scan of the buckets of equal first byte, from the least: the predecessor of each
 suffix met, if it is larger than that suffix, is next in the bucket of its own first byte.  The scan handles a byte's buckets of all groups at once.
 """
 
@@ -86,22 +86,34 @@ def direct_order(texts: Strings, at: np.ndarray, depth: int) -> np.ndarray:
     return ties(rows, np.append(True, (keys[1:] != keys[:-1]) | (group[1:] != group[:-1])), PACKED)
 
 
+def asked(texts: Strings, ascending: np.ndarray, windows: np.ndarray) -> np.ndarray:
+    """The suffixes that the order of each string's first ``windows`` suffixes depends on: these, and on to the next one sorted directly."""
+    places = np.arange(len(ascending))
+    following = np.minimum.accumulate(np.where(ascending, places, len(ascending))[::-1])[::-1]
+    some = np.flatnonzero(windows > 0)
+    first = texts.first[some]
+    last = np.minimum(following[first + windows[some] - 1], first + texts.lengths[some])
+    return np.repeat(first, last - first + 1) + runs(last - first + 1)
+
+
 def suffix_array(texts: Strings, depth: int) -> np.ndarray:
-    """All suffixes by group and first ``depth`` symbols at least."""
+    """Suffixes of ``depth`` symbols or more, and some shorter ones, by group and first ``depth`` symbols at least."""
     s = texts.symbols.astype(np.int64)
     ascending = smaller_than_successor(texts.symbols)
+    used = asked(texts, ascending, np.maximum(0, texts.lengths - depth + 1))
     bucket = texts.group * SYMBOLS + s
     buckets = int(bucket[-1] // SYMBOLS + 1) * SYMBOLS
-    size = np.bincount(bucket, minlength=buckets)
+    size = np.bincount(bucket[used], minlength=buckets)
     begin = np.cumsum(size) - size
-    out = np.full(len(s), -1, np.int64)
+    out = np.full(len(used), -1, np.int64)
 
-    direct = direct_order(texts, np.flatnonzero(ascending), depth)
+    direct = direct_order(texts, used[ascending[used]], depth)
     number = np.bincount(bucket[direct], minlength=buckets)
     back = begin + size - number  # where the directly sorted suffixes of each bucket begin
     out[np.repeat(back, number) + runs(number)] = direct
-    ends = np.flatnonzero(s == 0)
-    out[begin[bucket[ends]] + runs(np.bincount(texts.group[ends])[np.unique(texts.group[ends])])] = ends
+    ends = used[s[used] == 0]
+    number = np.bincount(bucket[ends], minlength=buckets)
+    out[np.repeat(begin, number) + runs(number)] = ends
 
     fill = begin.copy()
 
@@ -141,13 +153,13 @@ def common_prefixes(texts: Strings, order: np.ndarray, depth: int) -> np.ndarray
 
     Neighbours at x and x - d are often followed by neighbours at x + 1 and x + 1 - d: such diagonals are compared once.
     """
-    n = len(order)
+    n = len(texts.symbols)
     previous = np.full(n, -1, np.int64)
     same = texts.group[order[1:]] == texts.group[order[:-1]]
     previous[order[1:][same]] = order[:-1][same]
     x = np.flatnonzero(previous >= 0)
     if not len(x):
-        return np.zeros(n, np.int64)
+        return np.zeros(len(order), np.int64)
     d = x - previous[x]
     string, other = texts.string[x], texts.string[previous[x]]
     cut = np.flatnonzero(np.concatenate([[True], (np.diff(x) != 1) | (np.diff(d) != 0) | (np.diff(string) != 0) | (np.diff(other) != 0)]))
@@ -185,7 +197,7 @@ def repeated_windows(strings: list[bytes], groups: np.ndarray, length: int) -> l
     order = suffix_array(texts, length)
     lcp = common_prefixes(texts, order, length)
     again = lcp >= length
-    marked = np.zeros(len(order), bool)
+    marked = np.zeros(len(texts.symbols), bool)
     marked[order[again]] = True
     marked[order[np.flatnonzero(again) - 1]] = True
     return [marked[f : f + max(0, n - length + 1)] for f, n in zip(texts.first, texts.lengths, strict=True)]
