@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sitewise.llm import decontaminate, exact, lines, mixing, near, quality, repeats, toxicity
+from sitewise.llm import decontaminate, exact, lines, mixing, near, private, quality, repeats, toxicity
 from sitewise.sources.tables import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -124,3 +124,9 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     removed = repeats.remove_repeats(read_table(spark, sf_dir, "documents"))
     return removed.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op4_private_spans")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = private.find_private(read_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "n_added", F.sha2("base", 256).alias("base_sha256"), "spans")
