@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sitewise.llm import decontaminate, exact, lines, mixing, near, private, quality, repeats, toxicity
+from sitewise.llm import decontaminate, exact, lines, mixing, near, pages, private, quality, repeats, toxicity
 from sitewise.sources.tables import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -130,3 +130,8 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = private.find_private(read_table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "n_added", F.sha2("base", 256).alias("base_sha256"), "spans")
+
+
+@query("op9_page_text")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.extract(read_table(spark, sf_dir, "pages"))
