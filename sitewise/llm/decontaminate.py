@@ -16,6 +16,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, functions as F
 
 from sitewise.llm.bytetext import batches, mix64, runs, shingles, text_bytes, word_hashes, word_spans
@@ -138,33 +139,49 @@ def contained(index: Index, data: np.ndarray, offsets: np.ndarray, threshold: fl
     return out
 
 
+def _blocks(items: DataFrame) -> Iterator[Broadcast]:
+    """Index of each block of (item_id, text), sent to the executors."""
+    listed = items.select(F.col("item_id").cast("bigint").alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
+    blocks = -(-int(listed.agg(F.sum(F.length("text"))).first()[0] or 0) // BLOCK)
+    for number in range(blocks):
+        mine = listed.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == number)
+        yield items.sparkSession.sparkContext.broadcast(build_index(mine.toArrow()))
+
+
 def search(docs: DataFrame, items: DataFrame, threshold: float = CONTAINED) -> DataFrame:
     """(doc_id, item_id, containment) for every item and every document that holds ``threshold`` or more of its five-word shingles.
 
     Words are runs of letters and digits without regard to ASCII case; an item of fewer words is one shingle, found wherever its words
     follow each other.  Rows of equal ids give equal rows; empty texts and empty tables give none.
     """
-    spark = docs.sparkSession
-    listed = items.select(F.col("item_id").cast("bigint").alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
-    blocks = -(-int(listed.agg(F.sum(F.length("text"))).first()[0] or 0) // BLOCK)
-
-    def block(number: int) -> DataFrame:
-        mine = listed.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == number)
-        index = spark.sparkContext.broadcast(build_index(mine.toArrow()))
 
+    def hits(index: Broadcast) -> DataFrame:
         def job(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in stream:
                 ids = batch.column("doc_id").to_pylist()
                 found = []
                 for i, _, data, offsets in batches(batch.column("text")):
                     found += [(ids[i + t], index.value.ids[n], share) for t, n, share in contained(index.value, data, offsets, threshold)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([r[k] for r in found], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.float64()))],
-                    names=["doc_id", "item_id", "containment"],
-                )
+                columns = [pa.array([r[k] for r in found], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.float64()))]
+                yield pa.record_batch(columns, names=["doc_id", "item_id", "containment"])
 
         return texts(docs).mapInArrow(job, SCHEMA)
 
-    if not blocks:
-        return spark.createDataFrame([], SCHEMA)
-    return reduce(DataFrame.unionByName, [block(n) for n in range(blocks)])
+    found = [hits(index) for index in _blocks(items)]
+    return reduce(DataFrame.unionByName, found) if found else docs.sparkSession.createDataFrame([], SCHEMA)
+
+
+def without_leaks(docs: DataFrame, items: DataFrame, threshold: float = CONTAINED) -> DataFrame:
+    """The rows of ``docs``, all columns, in which no item is contained; the texts are read in place, nothing is shuffled."""
+
+    def clean(index: Broadcast):
+        @F.arrow_udf("boolean")
+        def judge(column: pa.Array) -> pa.Array:
+            out = np.ones(len(column), bool)
+            for i, _, data, offsets in batches(column):
+                out[[i + t for t, _, _ in contained(index.value, data, offsets, threshold)]] = False
+            return pa.array(out)
+
+        return judge(F.coalesce(docs["text"], F.lit("")))
+
+    return reduce(lambda kept, index: kept.filter(clean(index)), _blocks(items), docs)

@@ -26,7 +26,7 @@ BLANK = " \t\n\v\f\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _FOLD = str.maketrans(UPPER, LOWER)
 #: Lines in one filter when a corpus is first read; lines of one shard that one task probes.
-SHARD_KEYS, TASK_LINES = 50_000, 500_000
+SHARD_KEYS, TASK_LINES = 50_000, 100_000
 SLOTS, KICKS = 4, 500
 
 

@@ -13,7 +13,7 @@ import math
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
-from sitewise.llm.common import bounded_sample, texts
+from sitewise.llm.common import bounded_sample, texts, with_row_key
 from sitewise.session import durable
 
 #: Buckets of hashed words; labelled rows used at most (those of smallest id hash); words that count as independent evidence at most.
@@ -55,8 +55,8 @@ def fit_domains(docs: DataFrame, labelled: DataFrame, domains: list[str]) -> np.
 
 
 def posteriors(docs: DataFrame, weights: np.ndarray) -> DataFrame:
-    """(doc_id, n_tokens, p): tokens of the whole text and its posterior over the domains; the prior for texts without words."""
-    counted = texts(docs).select("doc_id", buckets("text").alias("ids")).withColumn("n_tokens", F.size("ids").cast("bigint"))
+    """(doc_id, k1, k2, n_tokens, p): tokens of the whole text and its posterior over the domains; the prior for texts without words."""
+    counted = with_row_key(texts(docs)).select("doc_id", "k1", "k2", buckets("text").alias("ids")).withColumn("n_tokens", F.size("ids").cast("bigint"))
     scale = F.least(F.col("n_tokens").cast("double"), F.lit(EVIDENCE)) / F.greatest("n_tokens", F.lit(1))
     centre = weights[:, :BUCKETS].mean(0)
 
@@ -64,12 +64,12 @@ def posteriors(docs: DataFrame, weights: np.ndarray) -> DataFrame:
         table = constant(weights[d, :BUCKETS] - centre)
         return F.aggregate("ids", F.lit(0.0), lambda total, i: total + F.get(table, i)) * scale + F.lit(float(weights[d, -1]))
 
-    scored = counted.select("doc_id", "n_tokens", *[score(d).alias(f"s{d}") for d in range(len(weights))])
+    scored = counted.select("doc_id", "k1", "k2", "n_tokens", *[score(d).alias(f"s{d}") for d in range(len(weights))])
     names = [f"s{d}" for d in range(len(weights))]
     top = F.greatest(*names) if len(names) > 1 else F.col(names[0])
-    raised = scored.select("doc_id", "n_tokens", F.array(*[F.exp(F.col(s) - top) for s in names]).alias("e"))
+    raised = scored.select("doc_id", "k1", "k2", "n_tokens", F.array(*[F.exp(F.col(s) - top) for s in names]).alias("e"))
     total = F.aggregate("e", F.lit(0.0), lambda a, x: a + x)
-    return raised.withColumn("_t", total).select("doc_id", "n_tokens", F.transform("e", lambda x: x / F.col("_t")).alias("p"))
+    return raised.withColumn("_t", total).select("doc_id", "k1", "k2", "n_tokens", F.transform("e", lambda x: x / F.col("_t")).alias("p"))
 
 
 def fit_rates(soft: DataFrame, targets: list[float]) -> DataFrame:
@@ -103,7 +103,7 @@ def fit_rates(soft: DataFrame, targets: list[float]) -> DataFrame:
 
 
 def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float]) -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_tokens, p (posterior per domain, in name order), rate, copies.
+    """One row per row of ``docs``: doc_id, its row key, n_tokens, p (posterior per domain, in name order), rate, copies.
 
     ``labelled`` has doc_id, domain.  ``copies`` is the rate rounded up or down by a hash of the id, so that its mean is the
     rate.  Every row is returned, also those of rate 0; no rows give no rows; domains without a target do not exist.
@@ -116,6 +116,15 @@ def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float]) -> Data
     return mixed.withColumn("copies", (whole + (chance < F.col("rate") - whole).cast("bigint")).cast("bigint"))
 
 
+def with_rates(docs: DataFrame, labelled: DataFrame, targets: dict[str, float]) -> DataFrame:
+    """All rows and columns of ``docs`` with mix_rate and mix_copies (which replace columns of those names)."""
+    rates = mix(docs, labelled, targets).select("k1", "k2", "rate", "copies").dropDuplicates(["k1", "k2"])  # equal for equal keys
+    own = [c for c in docs.columns if c.lower() not in ("mix_rate", "mix_copies")]
+    packed = docs.select(F.struct(*[docs[c] for c in own]).alias("row"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    joined = with_row_key(packed).select("k1", "k2", "row").join(rates, ["k1", "k2"])
+    return joined.select("row.*", F.col("rate").alias("mix_rate"), F.col("copies").alias("mix_copies"))
+
+
 def expected_share(mixed: DataFrame, domains: int) -> list[float]:
     """Share of the expected tokens per domain."""
     totals = mixed.agg(*[F.sum(F.col("rate") * F.col("n_tokens") * F.get("p", F.lit(d))) for d in range(domains)]).first()

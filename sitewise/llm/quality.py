@@ -181,19 +181,35 @@ def train(sample: pa.Table, share: float) -> ByteNetwork:
     return network
 
 
+def scores_of(network: ByteNetwork, column: pa.Array) -> np.ndarray:
+    """Probability of label 1 of every whole text, from its bytes alone; an empty text is a text of padding."""
+    scores = np.zeros(len(column))
+    for i, j, data, offsets in batches(column):
+        scores[i:j] = 1 / (1 + np.exp(-np.clip(network.logits(data, offsets), -30, 30)))
+    return scores
+
+
 def score(docs: DataFrame, network: ByteNetwork) -> DataFrame:
-    """doc_id and score of every whole text, from its bytes alone; an empty text is a text of padding."""
+    """doc_id and score of every text."""
 
     def job(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in stream:
-            scores = np.zeros(batch.num_rows)
-            for i, j, data, offsets in batches(batch.column("text")):
-                scores[i:j] = 1 / (1 + np.exp(-np.clip(network.logits(data, offsets), -30, 30)))
-            yield pa.record_batch([batch.column("doc_id"), pa.array(scores)], names=["doc_id", "score"])
+            yield pa.record_batch([batch.column("doc_id"), pa.array(scores_of(network, batch.column("text")))], names=["doc_id", "score"])
 
     return texts(docs).mapInArrow(job, "doc_id bigint, score double")
 
 
+def without_rejected(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of ``docs``, all columns, whose score is 0.5 or more; the texts are read in place, nothing is shuffled."""
+    network = train(*learning_rows(docs, labels, "quality", PER_CLASS, LONGEST))
+
+    @F.arrow_udf("double")
+    def scored(column: pa.Array) -> pa.Array:
+        return pa.array(scores_of(network, column))
+
+    return docs.filter(scored(F.coalesce(docs["text"], F.lit(""))) >= 0.5)
+
+
 def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """One row per row of ``docs``: doc_id, held_out, score (probability of quality 1), predicted.
 
