@@ -26,7 +26,7 @@ from sitewise.session import durable
 LENGTH, GRAM = 400, 16
 WINDOW = LENGTH - GRAM + 1
 #: Bytes of text scanned at a time; of strips in one suffix array, unless one anchor has more; of one anchor's strips in one task.
-PIECE, ARRAY, GROUP = 1 << 18, 1 << 18, 1 << 22
+PIECE, ARRAY, GROUP = 1 << 18, 1 << 18, 1 << 21
 _U = np.uint64
 
 
@@ -123,9 +123,17 @@ def _sorted_strips(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
     def settle() -> pa.RecordBatch:
         nonlocal size
-        rows = [(g, anchor, digest, n, strip) for g, (anchor, own) in enumerate(held.items()) for digest, (n, strip) in own.items()]
-        marked = repeated_windows([r[4] for r in rows], np.array([r[0] for r in rows]), LENGTH) if rows else []
-        found = [(r[1], r[2], [0, len(r[4]) - LENGTH + 1] if r[3] > 1 else _spans(m)) for r, m in zip(rows, marked, strict=True)]
+        found, rows = [], []
+        for g, (anchor, own) in enumerate(held.items()):
+            for digest, (n, strip) in own.items():
+                if n > 1:  # every window of a strip that occurs twice does
+                    found.append((anchor, digest, [0, len(strip) - LENGTH + 1]))
+                if len(own) > 1 or n == 1:  # else there is nothing to sort it against
+                    rows.append((g, anchor, digest, n, strip))
+        if rows:
+            groups = np.unique([r[0] for r in rows], return_inverse=True)[1]
+            marked = repeated_windows([r[4] for r in rows], groups, LENGTH)
+            found += [(r[1], r[2], _spans(m)) for r, m in zip(rows, marked, strict=True) if r[3] == 1]
         held.clear()
         size = 0
         return _found(found)
@@ -147,21 +155,23 @@ def _found(rows: list[tuple[int, bytes, list[int]]]) -> pa.RecordBatch:
 
 def _window_hashes(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Two 64-bit hashes of every window of the strips of large groups."""
-    for batch in stream:
-        data, offsets = text_bytes(batch.column("strip").cast(pa.large_binary()).view(pa.large_string()))
-        number = np.diff(offsets) - LENGTH + 1
-        at = np.repeat(offsets[:-1], number) + runs(number)
-        row = np.repeat(np.arange(batch.num_rows), number)
-        out = []
-        for base in (_U(0x9E3779B97F4A7C15), _U(0xC2B2AE3D27D4EB4F)):
-            powers = np.cumprod(np.full(len(data) + 1, base, _U))
-            total = np.concatenate([[_U(0)], np.cumsum(mix64(data.astype(_U) + base) * powers[:-1], dtype=_U)])
-            # sums from different places are made alike by raising the earlier one
-            out.append(mix64((total[at + LENGTH] - total[at]) * powers[len(data) - at]).view(np.int64))
-        yield pa.record_batch(
-            [batch.column(c).take(pa.array(row)) for c in ("anchor", "digest", "n")] + [pa.array(runs(number).astype(np.int32)), *map(pa.array, out)],
-            names=["anchor", "digest", "n", "place", "h1", "h2"],
-        )
+    for whole in stream:
+        for first in range(0, whole.num_rows, 512):
+            batch = whole.slice(first, 512)
+            data, offsets = text_bytes(batch.column("strip").cast(pa.large_binary()).view(pa.large_string()))
+            number = np.diff(offsets) - LENGTH + 1
+            at = np.repeat(offsets[:-1], number) + runs(number)
+            row = np.repeat(np.arange(batch.num_rows), number)
+            out = []
+            for base in (_U(0x9E3779B97F4A7C15), _U(0xC2B2AE3D27D4EB4F)):
+                powers = np.cumprod(np.full(len(data) + 1, base, _U))
+                total = np.concatenate([np.zeros(1, _U), np.cumsum(mix64(data.astype(_U) + base) * powers[:-1], dtype=_U)])
+                # sums from different places are made alike by raising the earlier one
+                out.append(mix64((total[at + LENGTH] - total[at]) * powers[len(data) - at]).view(np.int64))
+            yield pa.record_batch(
+                [batch.column(c).take(pa.array(row)) for c in ("anchor", "digest", "n")] + [pa.array(runs(number).astype(np.int32)), *map(pa.array, out)],
+                names=["anchor", "digest", "n", "place", "h1", "h2"],
+            )
 
 
 def _large_groups(cut: DataFrame) -> DataFrame:

@@ -28,8 +28,9 @@ class Strings:
         place = np.repeat(self.first, self.lengths) + runs(self.lengths)
         self.content = b"\0".join([*strings, b""])
         self.symbols[place] = np.frombuffer(self.content, np.uint8)[place].astype(np.int16) + 1
+        #: No string holds the byte that parts the strings.
+        self.plain = self.content.count(0) == len(strings)
         self.group = np.repeat(groups, self.lengths + 1)
-        self.string = np.repeat(np.arange(len(strings)), self.lengths + 1)
         self.end = np.repeat(self.first + self.lengths, self.lengths + 1)
 
 
@@ -61,10 +62,11 @@ def direct_order(texts: Strings, at: np.ndarray, depth: int) -> np.ndarray:
         many = np.flatnonzero(np.diff(cut) > 1)
         if skip >= depth or not len(many):
             return rows
-        listed = rows.tolist()
-        begin, stop = (rows + skip).tolist(), np.minimum(rows + depth, ends[rows]).tolist()
-        spans = dict(zip(listed, zip(begin, stop, strict=True), strict=True))
-        after = lambda row: texts.content[slice(*spans[row])]  # noqa: E731  the shorter of two is the smaller, as an end symbol makes it
+        listed, content = rows.tolist(), texts.content
+        if texts.plain:
+            after = lambda row: content[row + skip : row + depth]
+        else:  # the shorter of two is the smaller, as an end symbol makes it
+            after = lambda row: content[row + skip : min(row + depth, ends[row])]
         for a, b in zip(cut[many].tolist(), cut[many + 1].tolist(), strict=True):
             if b - a <= TIED:
                 listed[a:b] = sorted(listed[a:b], key=after)
@@ -148,55 +150,23 @@ def suffix_array(texts: Strings, depth: int) -> np.ndarray:
     return out
 
 
-def common_prefixes(texts: Strings, order: np.ndarray, depth: int) -> np.ndarray:
-    """Common prefix, up to ``depth``, of each suffix in the array with the one before it; 0 where that is of another group.
-
-    Neighbours at x and x - d are often followed by neighbours at x + 1 and x + 1 - d: such diagonals are compared once.
-    """
-    n = len(texts.symbols)
-    previous = np.full(n, -1, np.int64)
-    same = texts.group[order[1:]] == texts.group[order[:-1]]
-    previous[order[1:][same]] = order[:-1][same]
-    x = np.flatnonzero(previous >= 0)
-    if not len(x):
-        return np.zeros(len(order), np.int64)
-    d = x - previous[x]
-    string, other = texts.string[x], texts.string[previous[x]]
-    cut = np.flatnonzero(np.concatenate([[True], (np.diff(x) != 1) | (np.diff(d) != 0) | (np.diff(string) != 0) | (np.diff(other) != 0)]))
-    length = np.diff(np.append(cut, len(x)))
-    start, gap = x[cut], d[cut]
-    # up to the nearer end of the two strings, whose end symbol stops every match
-    stop = np.minimum(start + length + depth, np.minimum(texts.end[start], texts.end[start - gap] + gap) + 1)
-    span = stop - start
-    lcp = np.zeros(n, np.int64)
-    for a, b in _slices(span, 1 << 20):
-        at = np.repeat(start[a:b], span[a:b]) + runs(span[a:b])
-        left, right = texts.symbols[at], texts.symbols[at - np.repeat(gap[a:b], span[a:b])]
-        differ = (left != right) | (left == 0)
-        differ[np.cumsum(span[a:b]) - 1] = True  # beyond ``depth`` for every suffix of the diagonal, or at an end
-        place = np.arange(len(at))
-        miss = np.minimum.accumulate(np.where(differ, place, len(at))[::-1])[::-1]
-        head = np.repeat(np.cumsum(span[a:b]) - span[a:b], length[a:b]) + runs(length[a:b])
-        rows = np.repeat(start[a:b], length[a:b]) + runs(length[a:b])
-        lcp[rows] = miss[head] - head
-    return np.minimum(lcp[order], depth)
-
-
-def _slices(weights: np.ndarray, limit: int):
-    total = np.concatenate([[0], np.cumsum(weights)])
-    a = 0
-    while a < len(weights):
-        b = max(a + 1, int(np.searchsorted(total, total[a] + limit, "right")) - 1)
-        yield a, b
-        a = b
+def equal_neighbours(texts: Strings, order: np.ndarray, length: int) -> np.ndarray:
+    """Is the common prefix of each suffix in the array with the one before it, in its group, ``length`` or longer."""
+    left, right = order[:-1], order[1:]
+    whole = (texts.group[left] == texts.group[right]) & (left + length <= texts.end[left]) & (right + length <= texts.end[right])
+    at = np.flatnonzero(whole)
+    content = texts.content
+    same = [content[a : a + length] == content[b : b + length] for a, b in zip(left[at].tolist(), right[at].tolist(), strict=True)]
+    out = np.zeros(len(order), bool)
+    out[at + 1] = same
+    return out
 
 
 def repeated_windows(strings: list[bytes], groups: np.ndarray, length: int) -> list[np.ndarray]:
     """For each string, at which places a window of ``length`` bytes begins that occurs again in the strings of its group."""
     texts = Strings(strings, groups)
     order = suffix_array(texts, length)
-    lcp = common_prefixes(texts, order, length)
-    again = lcp >= length
+    again = equal_neighbours(texts, order, length)
     marked = np.zeros(len(texts.symbols), bool)
     marked[order[again]] = True
     marked[order[np.flatnonzero(again) - 1]] = True
