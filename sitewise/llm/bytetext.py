@@ -95,12 +95,13 @@ def shingles(hashes: np.ndarray, counts: np.ndarray, k: int = 5) -> tuple[np.nda
     n = len(hashes)
     first = np.cumsum(counts) - counts
     whole = np.zeros(n, _U)
-    for j in range(k):
+    for j in range(min(k, n)):
         whole[: n - j] += hashes[j:] * powers[j]
     made = np.where(counts >= k, counts - k + 1, np.minimum(counts, 1))
-    at = np.repeat(first, made) + runs(made)
-    out = whole[at]
-    for i in np.flatnonzero((counts > 0) & (counts < k)):
-        own = hashes[first[i] : first[i] + counts[i]]
-        out[made[:i].sum()] = (own * powers[: len(own)]).sum(dtype=_U) + _U(len(own))
+    out = whole[np.repeat(first, made) + runs(made)]
+    place = np.cumsum(made) - made
+    for m in range(1, k):
+        short = np.flatnonzero(counts == m)
+        if len(short):
+            out[place[short]] = sum((hashes[first[short] + j] * powers[j] for j in range(m)), np.zeros(len(short), _U)) + _U(m)
     return mix64(out), made

@@ -16,6 +16,11 @@ from sitewise.session import durable
 HEAVY = 1000
 
 
+def named(column: str) -> Column:
+    """A column by its literal name, dots and all."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
 def texts(docs: DataFrame) -> DataFrame:
     """(doc_id, text) with null texts as empty ones."""
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))

@@ -131,7 +131,7 @@ def contained(index: Index, data: np.ndarray, offsets: np.ndarray, threshold: fl
         n = next((w for w, lookup in index.short.items() if i in lookup.items), None)
         if n is not None and n not in grams:
             spoken = words[word_begin[t] : word_begin[t] + counts[t]]
-            slid = np.lib.stride_tricks.sliding_window_view(spoken, n)
+            slid = np.stack([spoken[j : len(spoken) - n + 1 + j] for j in range(n)], 1)
             grams[n] = np.unique(shingles(slid.ravel(), np.full(len(slid), n), WORDS)[0])
         share = float(np.isin(index.sets[i], own if n is None else grams[n]).sum() / len(index.sets[i]))
         if share >= threshold:

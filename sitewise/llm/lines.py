@@ -19,7 +19,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from sitewise.llm.common import keyed_join, with_row_key
+from sitewise.llm.common import keyed_join, named, with_row_key
 from sitewise.session import durable
 
 BLANK = " \t\n\v\f\r"
@@ -204,12 +204,12 @@ class LineIndex:
         """
         lines = durable(document_lines(docs, self.min_points), "lines") if lines is None else lines
         dropped = self.shared(lines).groupBy("k1", "k2").agg(F.collect_set("digest").alias("drop"))  # of one document each
-        others = F.struct(*[docs[c] for c in docs.columns if c != "text"])  # the text travels once
+        others = F.struct(*[named(c) for c in docs.columns if c != "text"])  # the text travels once
         packed = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), others.alias("rest"))
         met = with_row_key(packed).join(dropped, ["k1", "k2"], "left").select("rest", "text", "drop")
         schema = T.StructType([T.StructField("rest", packed.schema["rest"].dataType), T.StructField("text", T.StringType()),
                                T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
-        row = F.struct(*[F.col("text") if c == "text" else F.col(f"rest.`{c}`").alias(c) for c in docs.columns])
+        row = F.struct(*[F.col("text") if c == "text" else F.col("rest").getField(c).alias(c) for c in docs.columns])
         return met.mapInArrow(_strip, schema).select(row.alias("row"), "n_lines", "n_dropped")
 
 

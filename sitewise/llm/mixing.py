@@ -13,7 +13,7 @@ import math
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
-from sitewise.llm.common import bounded_sample, texts, with_row_key
+from sitewise.llm.common import bounded_sample, named, texts, with_row_key
 from sitewise.session import durable
 
 #: Buckets of hashed words; labelled rows used at most (those of smallest id hash); words that count as independent evidence at most.
@@ -120,7 +120,7 @@ def with_rates(docs: DataFrame, labelled: DataFrame, targets: dict[str, float])
     """All rows and columns of ``docs`` with mix_rate and mix_copies (which replace columns of those names)."""
     rates = mix(docs, labelled, targets).select("k1", "k2", "rate", "copies").dropDuplicates(["k1", "k2"])  # equal for equal keys
     own = [c for c in docs.columns if c.lower() not in ("mix_rate", "mix_copies")]
-    packed = docs.select(F.struct(*[docs[c] for c in own]).alias("row"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    packed = docs.select(F.struct(*map(named, own)).alias("row"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
     joined = with_row_key(packed).select("k1", "k2", "row").join(rates, ["k1", "k2"])
     return joined.select("row.*", F.col("rate").alias("mix_rate"), F.col("copies").alias("mix_copies"))
 
