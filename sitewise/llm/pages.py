@@ -125,7 +125,7 @@ def main_text(source: str, rows: list[dict] | None) -> str:
     if any(b.article for b in own) and (template.article or not template.kind):
         return "\n\n".join(b.text for b in own if b.article)
     # no article in the template: blocks that are not part of it, in the element with most of their text
-    names = [path for path in page.opened] + [f"{b.path}\n{b.text}" for b in own]
+    names = list(page_tokens(page))
     hashes = _hashes(names).view(np.int64).tolist()
     fixed = template.valid(hashes)
     constant = {n for n, h in zip(names, hashes, strict=True) if h in fixed}
@@ -135,7 +135,7 @@ def main_text(source: str, rows: list[dict] | None) -> str:
     held: Counter[str] = Counter()
     for b in slots:
         parts = b.path.split(">")
-        for depth in range(2, len(parts) + 1):
+        for depth in range(2, len(parts)):  # what holds blocks, not a block
             held[">".join(parts[:depth])] += len(b.text)
     total = sum(len(b.text) for b in slots)
     deepest = max((p for p, n in held.items() if 10 * n >= 9 * total), key=lambda p: (p.count(">"), -len(p)), default="")
