@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from sitewise.session import durable
 
+#: Bytes of a batch of rows that a Python worker takes at a time; Spark's own 64 MB cost an executor several times that per task.
+BATCH_BYTES = "8m"
 #: A key is heavy if it owns more than one of so many rows; there are fewer heavy keys than this.
 HEAVY = 1000
 
@@ -21,9 +23,15 @@ def named(column: str) -> Column:
     return F.col("`" + column.replace("`", "``") + "`")
 
 
+def in_small_batches(df: DataFrame) -> DataFrame:
+    """The same rows; from now on the session hands Python workers ``BATCH_BYTES`` at a time."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    return df
+
+
 def texts(docs: DataFrame) -> DataFrame:
     """(doc_id, text) with null texts as empty ones."""
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    return in_small_batches(docs).select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
 
 
 def with_row_key(rows: DataFrame) -> DataFrame:

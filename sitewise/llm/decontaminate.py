@@ -20,7 +20,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, functions as F
 
 from sitewise.llm.bytetext import batches, mix64, runs, shingles, text_bytes, word_hashes, word_spans
-from sitewise.llm.common import texts
+from sitewise.llm.common import in_small_batches, texts
 
 WORDS, CONTAINED, FUNCTIONS = 5, 0.8, 64
 #: Shingles per smallest block of a window; items with fewer are looked up by each of their shingles.
@@ -184,4 +184,4 @@ def without_leaks(docs: DataFrame, items: DataFrame, threshold: float = CONTAINE
 
         return judge(F.coalesce(docs["text"], F.lit("")))
 
-    return reduce(lambda kept, index: kept.filter(clean(index)), _blocks(items), docs)
+    return reduce(lambda kept, index: kept.filter(clean(index)), _blocks(items), in_small_batches(docs))

@@ -19,7 +19,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from sitewise.llm.common import keyed_join, named, with_row_key
+from sitewise.llm.common import in_small_batches, keyed_join, named, with_row_key
 from sitewise.session import durable
 
 BLANK = " \t\n\v\f\r"
@@ -40,7 +40,7 @@ def _digest(key: Column) -> Column:
 
 def document_lines(docs: DataFrame, min_points: int) -> DataFrame:
     """(k1, k2, digest): the distinct keys of each row, of ``min_points`` code points or more."""
-    keyed = with_row_key(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")))
+    keyed = with_row_key(in_small_batches(docs).select("doc_id", F.coalesce("text", F.lit("")).alias("text")))
     own = F.array_distinct(F.filter(line_keys("text"), lambda k: F.length(k) >= min_points))
     return keyed.select("k1", "k2", F.explode(own).alias("key")).select("k1", "k2", _digest(F.col("key")).alias("digest"))
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from sitewise.llm.bytetext import mix64
-from sitewise.llm.common import keyed_join
+from sitewise.llm.common import in_small_batches, keyed_join
 from sitewise.llm.htmltext import Page, read_page
 from sitewise.session import durable
 
@@ -156,7 +156,7 @@ def extract(pages: DataFrame) -> DataFrame:
     as pages of their own; an empty table gives none.
     """
     host = F.coalesce(F.lower(F.regexp_extract("url", r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)", 1)), F.lit(""))
-    rows = pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce("html", F.lit("")).alias("html"))
+    rows = in_small_batches(pages).select(F.col("page_id").cast("bigint").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce("html", F.lit("")).alias("html"))
     keyed = rows.withColumns({"host": host, "page": F.xxhash64("page_id", "url", "html")})
     shared = durable(templates(keyed), "page-templates")
     met = keyed_join(keyed.select("page_id", "url", "html", "host"), shared, ["host"], "pages", F.col("page_id"), how="left")

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from sitewise.llm.bytetext import batches, runs, text_bytes
-from sitewise.llm.common import bounded_sample, texts
+from sitewise.llm.common import bounded_sample, in_small_batches, texts
 
 #: Vector per byte; filters; bytes per step, steps per filter; steps in half a chunk.
 DIM, FILTERS, STRIDE, TAPS, HALF = 8, 16, 4, 3, 64
@@ -108,7 +108,7 @@ class ByteNetwork:
         sizes = np.diff(offsets)
         if len(sizes) == 1 and sizes[0] > SEGMENT:
             step = SEGMENT - HALF * STRIDE
-            parts = [data[a : a + SEGMENT + WIDTH] for a in range(0, int(sizes[0]) - HALF * STRIDE, step)]
+            parts = [data[a : a + SEGMENT + WIDTH - STRIDE] for a in range(0, int(sizes[0]) - HALF * STRIDE, step)]
             best = np.max([self.pooled(p, np.array([0, len(p)])) for p in parts], axis=0)
         else:
             best = self.pooled(data, offsets)
@@ -207,7 +207,7 @@ def without_rejected(docs: DataFrame, labels: DataFrame) -> DataFrame:
     def scored(column: pa.Array) -> pa.Array:
         return pa.array(scores_of(network, column))
 
-    return docs.filter(scored(F.coalesce(docs["text"], F.lit(""))) >= 0.5)
+    return in_small_batches(docs).filter(scored(F.coalesce(docs["text"], F.lit(""))) >= 0.5)
 
 
 def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -21,9 +21,9 @@ def spoken_words(text):
     return re.findall(r"(?:[0-9a-z]|[^\x00-\x7f])+", (text or "").translate(FOLD))
 
 
-def plain(least=0.8, docs=None):
+def plain(least=0.8, docs=None, items=None):
     out = []
-    for item, text in ITEMS:
+    for item, text in items or ITEMS:
         spoken = spoken_words(text)
         own = set(shingle_counts(text, min(5, max(1, len(spoken)))))
         for doc, body in docs or DOCS:
