@@ -22,6 +22,13 @@ def broadcast_sized(df: DataFrame) -> bool:
     return int(str(size)) <= threshold
 
 
+def group_join(facts: DataFrame, groups: DataFrame, by: Sequence[str], spread: Sequence[Column | str], how: str = "inner") -> DataFrame:
+    """Rows with the columns of their group's row in a written table; missing keys are a group like any other."""
+    packed = F.struct(*[F.col(c) for c in by])
+    keyed = groups.withColumn("_group", packed).drop(*by)
+    return salted_join(facts.withColumn("_group", packed), keyed, ["_group"], spread, how).drop("_group")
+
+
 def salted_join(
     facts: DataFrame,
     dims: DataFrame,

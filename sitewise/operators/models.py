@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from sitewise.operators.joins import salted_join
+from sitewise.operators.joins import group_join, salted_join
 from sitewise.operators.prep import moments, standardized, with_moments
 from sitewise.session import durable, shuffle_partitions
 
@@ -34,17 +34,18 @@ def fit_logistic(
     label: str,
     features: Sequence[str],
     c: Column | float = 1.0,
-    max_iter: int = 30,
+    max_iter: int = 100,
     tol: float = 1e-5,
     warm: DataFrame | None = None,
 ) -> DataFrame:
-    """Model table (model, n_rows, n_pos, mean, scale, intercept, coef), one row per training set.
+    """Model table (model, n_rows, n_pos, mean, scale, intercept, coef, converged), one row per training set.
 
     Minimises sum(logloss) + |w|^2 / (2 c) on mean-imputed, standardised features; the
     intercept is not penalised.  ``c`` may be an expression of the model column.  Sets with a
-    single class keep NULL coefficients.  A fit ends with the first step below ``tol``; Newton
+    single class keep NULL coefficients; a missing model value is a set like any other.  A fit ends with the first step below ``tol``; Newton
     steps shrink quadratically, so the error left is of the order of its square.  ``warm`` is a
-    one-row model table to start from; near solutions save passes over the members.
+    one-row model table to start from; near solutions save passes over the members.  A set that is
+    still moving after ``max_iter`` steps is returned as it is, with ``converged`` false.
     """
     k = len(features)
     penalty = F.lit(c) if isinstance(c, (int, float)) else c
@@ -53,10 +54,8 @@ def fit_logistic(
     if warm is not None:
         zero = F.coalesce(warm.select(F.concat(F.array("intercept"), "coef")).scalar(), zero)
     start = F.when(usable, zero)
-    counts = members.groupBy(model).agg(F.sum(F.col(label).cast("bigint")).alias("n_pos"))
     state = durable(
-        moments(members, [model], features)
-        .join(counts, model)
+        moments(members, [model], features, F.sum(F.col(label).cast("bigint")).alias("n_pos"))
         .withColumn("penalty", (1.0 / penalty).cast("double"))
         .withColumn("beta", start)
         .withColumn("held", start)
@@ -72,7 +71,8 @@ def fit_logistic(
         if active.isEmpty():
             break
         sums = newton_sums(slim, active, model, features)
-        stepped = active.join(sums, model).mapInPandas(solver, state.schema)
+        same = active[model].eqNullSafe(sums["_of"])
+        stepped = active.join(sums, same).drop("_of").mapInPandas(solver, state.schema)
         settled = state.filter("done")
         state = durable(settled.unionByName(stepped.select(*columns)), "models")
     return state.select(
@@ -83,13 +83,14 @@ def fit_logistic(
         "scale",
         F.get("beta", F.lit(0)).alias("intercept"),
         F.when(F.col("beta").isNotNull(), F.slice("beta", 2, max(k, 1))).alias("coef"),
+        F.col("done").alias("converged"),
     )
 
 
 def newton_sums(members: DataFrame, state: DataFrame, model: str, features: Sequence[str]) -> DataFrame:
-    """Loss, gradient and curvature sums (model, sums) at the current coefficients."""
+    """Loss, gradient and curvature sums (_of, sums) of each model at the current coefficients."""
     k = len(features)
-    joined = salted_join(members, state.select(model, "mean", "scale", "beta"), [model], spread=[*features, "_y"])
+    joined = group_join(members, state.select(model, "mean", "scale", "beta"), [model], spread=[*features, "_y"])
     z = F.array(*[standardized(f, i) for i, f in enumerate(features)])
     rows = joined.select(model, "_y", "beta", z.alias("_z"))
     rows = rows.select(model, "_y", _linear("_z", F.get("beta", F.lit(0)), "beta", 1, k).alias("_eta"), "_z")
@@ -101,7 +102,7 @@ def newton_sums(members: DataFrame, state: DataFrame, model: str, features: Sequ
         .agg(F.sum("value").alias("value"))
     )
     in_order = F.array_sort(F.collect_list(F.struct("pos", "value")))
-    return added.groupBy(model).agg(F.transform(in_order, lambda s: s["value"]).alias("sums"))
+    return added.groupBy(F.col(model).alias("_of")).agg(F.transform(in_order, lambda s: s["value"]).alias("sums"))
 
 
 def _linear(z: str, intercept: Column, weights: str, shift: int, k: int) -> Column:
@@ -123,7 +124,7 @@ def _partial_sums(k: int, model: str):
             if batch.num_rows == 0:
                 continue
             kind = batch.schema.field(model).type
-            keys = batch.column(0).dictionary_encode()
+            keys = batch.column(0).dictionary_encode(null_encoding="encode")
             codes = keys.indices.to_numpy(zero_copy_only=False)
             names = keys.dictionary.to_pylist()
             y = batch.column(1).to_numpy(zero_copy_only=False)
@@ -208,7 +209,7 @@ def _solver(schema: T.StructType, tol: float):
 def score(rows: DataFrame, models: DataFrame, on: str, features: Sequence[str], out: str = "p") -> DataFrame:
     """Probability of each row under the model of its key; NULL where the model has no coefficients."""
     table = models.select(on, "mean", "scale", "intercept", "coef")
-    joined = salted_join(rows, table, [on], spread=features, how="left")
+    joined = group_join(rows, table, [on], spread=features, how="left")
     return _with_probability(joined, features, out)
 
 

@@ -6,12 +6,12 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from sitewise.operators.joins import salted_join
+from sitewise.operators.joins import group_join
 from sitewise.session import durable
 
 
-def moments(df: DataFrame, by: Sequence[str], features: Sequence[str]) -> DataFrame:
-    """Per group: rows, and per feature the mean and the population SD after mean imputation.
+def moments(df: DataFrame, by: Sequence[str], features: Sequence[str], *more: Column) -> DataFrame:
+    """Per group: rows, ``more`` aggregates, and per feature the mean and the population SD after mean imputation.
 
     Imputed rows add nothing to the squared deviations, so both come from one pass over the
     raw values: sd^2 = var_pop(known) * known / rows.  A feature without any value gets mean 0;
@@ -24,7 +24,7 @@ def moments(df: DataFrame, by: Sequence[str], features: Sequence[str]) -> DataFr
         sd = F.sqrt(F.var_pop(x) * F.count(x) / F.count(F.lit(1)))
         scales.append(F.when(sd > 0, sd).otherwise(1.0))
     return df.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("n_rows"), F.array(*means).alias("mean"), F.array(*scales).alias("scale")
+        F.count(F.lit(1)).alias("n_rows"), F.array(*means).alias("mean"), F.array(*scales).alias("scale"), *more
     )
 
 
@@ -38,13 +38,13 @@ def standardized(feature: str, i: int, mean: str = "mean", scale: str = "scale")
 
 
 def with_moments(df: DataFrame, stats: DataFrame, by: Sequence[str], features: Sequence[str]) -> DataFrame:
-    """Statistics next to each row; one overall row of statistics becomes a scalar subquery."""
+    """Statistics next to each row, also for rows whose group is missing; one overall row of statistics becomes a scalar subquery."""
     if not by:
         packed = stats.select(F.struct("mean", "scale").alias("_s")).scalar()
         return df.withColumn("_s", packed).withColumn("mean", F.col("_s.mean")).withColumn("scale", F.col("_s.scale")).drop("_s")
     # written first, so that the size that decides on a broadcast is the size on disk
     written = durable(stats.select(*by, "mean", "scale"), "moments")
-    return salted_join(df, written, by, spread=features)
+    return group_join(df, written, by, spread=features)
 
 
 def impute_mean(df: DataFrame, features: Sequence[str], by: Sequence[str] = ()) -> DataFrame:

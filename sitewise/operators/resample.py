@@ -10,8 +10,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-from sitewise.operators.joins import member_rows, other_rows
+from sitewise.operators.joins import group_join, member_rows, other_rows
 from sitewise.operators.ranking import hash_positions
+from sitewise.session import durable
 
 
 def folds(df: DataFrame, key: Sequence[str], seed: int, k: int = 5, by: Sequence[str] = (), out: str = "fold") -> DataFrame:
@@ -73,7 +74,7 @@ def spread_order(df: DataFrame, by: Sequence[str], key: Sequence[str], y: str, s
         F.count(F.lit(1)).cast("double").alias("_n"), F.sum(F.col(y).cast("double")).alias("_p")
     )
     if by:
-        sized = ranked.join(sizes, list(by))
+        sized = group_join(ranked, durable(sizes, "sizes"), by, spread=[*key])
     else:
         sized = ranked.withColumn("_s", sizes.select(F.struct("_n", "_p")).scalar())
         sized = sized.withColumns({"_n": F.col("_s._n"), "_p": F.col("_s._p")}).drop("_s")

@@ -7,8 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from sitewise.functions.scalar import col, safe_ratio
-from sitewise.operators.joins import member_rows
+from sitewise.operators.joins import group_join, member_rows
 from sitewise.operators.ranking import exact_quantiles
+from sitewise.session import durable
 
 
 def site_sizes(df: DataFrame, site: str) -> DataFrame:
@@ -80,7 +81,9 @@ def categorical_table(df: DataFrame, by: Sequence[str], columns: Sequence[str])
     if not by:
         counts = counts.withColumn("_total", totals.scalar())
     else:
-        counts = counts.join(totals, list(by))
+        # levels of a group are few next to its rows; a missing group is one too
+        totals = durable(totals, "totals")
+        counts = group_join(counts, totals, by, spread=["variable", "level"])
     return counts.select(*by, "variable", "level", "n", (F.lit(100.0) * F.col("n") / F.col("_total")).alias("pct"))
 
 

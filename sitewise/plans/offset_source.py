@@ -110,7 +110,7 @@ def code_status(stays: DataFrame, careplan: DataFrame) -> DataFrame:
 def static_features(stays: DataFrame, patient: DataFrame, codes: DataFrame, severity: DataFrame, predictors: DataFrame) -> DataFrame:
     """Outcomes, time limits and demographics per stay."""
     censor = first_limited(codes, KEY, "chartoffset", ("cmo", "dnr"), "censoroffset")
-    vent = severity_rows(severity).select(KEY, F.col("actualventdays").cast("int").alias("vent"))
+    vent = severity_rows(severity).select(KEY, F.col("actualventdays").try_cast("int").alias("vent"))
     people = patient.select(KEY, "gender", F.col("age").alias("age_text"), "ethnicity")
     surgery = predictors.select(KEY, F.col("electivesurgery").alias("elective"))
     joined = (

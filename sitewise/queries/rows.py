@@ -155,12 +155,12 @@ def drop_rename(fr):
 @query(
     "union_tag_source",
     """select case when site <= 1 then 'A' else 'B' end as db, cast(site as bigint) as site, round(x1, 6) as x1, round(price, 6) as price from (
-         select site, x1, null::double as price from feat union all by name select site, price, null::double as x1 from stay where site <= 3)""",
+         select site, x1, null::double as price from feat union all by name select site, price, null::double as x1 from stay)""",
     "feat stay",
 )
 def union_tag_source(fr):
     """Tables with different columns under each other, tagged by source."""
-    both = fr.feat.select("site", "x1").unionByName(fr.stay.filter("site <= 3").select("site", "price"), allowMissingColumns=True)
+    both = fr.feat.select("site", "x1").unionByName(fr.stay.select("site", "price"), allowMissingColumns=True)
     tag = F.when(F.col("site") <= 1, "A").otherwise("B")
     return both.select(tag.alias("db"), F.col("site").cast("bigint").alias("site"), r6("x1").alias("x1"), r6("price").alias("price"))
 

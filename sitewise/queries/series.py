@@ -349,12 +349,12 @@ def severity_matrix(fr):
 
 @query(
     "assemble_matrix",
-    "select f.id, f.site, f.y, round(s.price, 6) as price, f.x3, f.x4 from feat f join stay s using (id) where s.balance > 0",
+    "select f.id, f.site, f.y, round(s.price, 6) as price, f.x3, f.x4 from feat f join stay s using (id)",
     "feat stay",
 )
 def assemble_matrix(fr):
     """Features joined with outcomes on the stay."""
-    outcomes = fr.stay.filter("balance > 0").select("id", "site", "y", r6("price").alias("price"))
+    outcomes = fr.stay.select("id", "site", "y", r6("price").alias("price"))
     return outcomes.join(fr.feat.select("id", "x3", "x4"), "id").select("id", "site", "y", "price", "x3", "x4")
 
 

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window, functions as F
+from pyspark.sql import functions as F
 
 from sitewise.functions.scalar import flag, r6
 from sitewise.operators import metrics as M
 from sitewise.operators import prep, summary
 from sitewise.operators.joins import paired_delta
 from sitewise.operators.models import score, score_pairs, score_rescaled
-from sitewise.operators.ranking import exact_quantiles
+from sitewise.operators.ranking import exact_quantiles, ordered_positions
 from sitewise.plans.offset_source import severity_rows
 from sitewise.queries.registry import query
 from sitewise.queries.series import rounded
@@ -54,7 +54,8 @@ def outcome_rate(fr):
 def sites_by_mortality(fr):
     """Axis position of each site when sorted by outcome rate."""
     rates = summary.outcome_rate(fr.stay, ["site"], "y").select("site", r6("rate").alias("rate"))
-    return rates.withColumn("place", F.row_number().over(Window.orderBy("rate", "site")))
+    placed = ordered_positions(rates, (), [F.col("rate"), F.col("site")], "place")
+    return placed.withColumn("place", F.col("place").cast("int"))
 
 
 @query("top_sites", "select site, count(*) as n from stay group by site order by n desc, site limit 5", "stay")
