@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
 from sitewise.functions.scalar import neglog_complement
-from sitewise.operators import models, pooled, prep, resample, summary
-from sitewise.operators.joins import member_rows, other_rows, paired_delta
+from sitewise.operators import models, nested, pooled, prep, resample, summary
+from sitewise.operators.joins import group_join, member_rows, other_rows, paired_delta
 from sitewise.operators.metrics import evaluate, r2
+from sitewise.operators.nested import UPTO, WITHOUT, TrainingSets
 from sitewise.plans.offset_source import severity_rows
 from sitewise.queries.registry import query
 from sitewise.queries.sinks import complete
@@ -15,6 +19,11 @@ from sitewise.queries.sites import FEATURES, site_pairs
 from sitewise.session import durable
 
 INVERSE_PENALTIES = [10.0 ** (-4 + 8 * i / 9) for i in range(10)]
+#: Sizes of the experiments: replicates of site and patient additions and of the spread curves, stays that join at a time,
+#: rows of a curve's test set (half of a site with fewer than twice as many), boosted trees.
+ORDERS, SPREADS, PATIENTS, LOCAL, TESTED, TREES = 100, 50, 500, 100, 500, 1000
+#: Sites held out of the site additions; sites of the spread curves.
+HELD_OUT, SPREAD_SITES = (7, 2, 11), (7, 2, 11, 18)
 
 
 def feat(fr) -> DataFrame:
@@ -42,25 +51,39 @@ def boosted_trees(fr):
     return evaluate(pooled.predict(model, rows), ["site"])
 
 
-@query("logistic_cv")
-def logistic_cv(fr):
-    """Accuracy of ten penalties in three stratified folds; every (penalty, fold) is one training set of a joint fit."""
-    k = 3
-    rows = durable(resample.folds(feat(fr), ["id"], 17, k, by=["y"]), "folded")
-    grid = F.explode(F.sequence(F.lit(0), F.lit(len(INVERSE_PENALTIES) - 1)))
-    cells = rows.withColumn("held", F.explode(F.sequence(F.lit(0), F.lit(k - 1)))).withColumn("c_index", grid)
-    cells = cells.withColumn("model", F.col("c_index") * k + F.col("held"))
-    chosen_c = F.get(F.array(*map(F.lit, INVERSE_PENALTIES)), F.floor(F.col("model") / k).cast("int"))
-    fitted = models.fit_logistic(cells.filter("held <> fold"), "model", "y", FEATURES, c=chosen_c)
-    scored = models.score(cells.filter("held = fold"), fitted, "model", FEATURES)
+def penalty_search(rows: DataFrame, k: int = 3) -> DataFrame:
+    """Accuracy of ten penalties in stratified folds (c_index, c, accuracy, best); every (penalty, fold) is one set of a joint fit."""
+    folded = durable(resample.folds(rows, ["id"], 17, k, by=["y"]), "folded")
+    sets = [(0, WITHOUT, fold) for _ in INVERSE_PENALTIES for fold in range(k)]
+    fitted = nested.fit_sets(folded, "y", FEATURES, F.array("fold"), TrainingSets.of(sets), c=np.repeat(INVERSE_PENALTIES, k))
+    asked = folded.withColumn("c_index", F.explode(F.sequence(F.lit(0), F.lit(len(INVERSE_PENALTIES) - 1))))
+    scored = models.score(asked.withColumn("model", F.col("c_index") * k + F.col("fold")), fitted, "model", FEATURES)
     right = F.avg(((F.col("p") > 0.5).cast("int") == F.col("y")).cast("int"))
-    folds = scored.groupBy("c_index", "held").agg(right.alias("accuracy"))
-    means = folds.groupBy("c_index").agg(F.avg("accuracy").alias("accuracy"))
-    table = means.withColumn("c", F.get(F.array(*map(F.lit, INVERSE_PENALTIES)), F.col("c_index")))
+    means = scored.groupBy("c_index", "fold").agg(right.alias("accuracy")).groupBy("c_index").agg(F.avg("accuracy").alias("accuracy"))
+    table = durable(means.withColumn("c", F.get(F.array(*map(F.lit, INVERSE_PENALTIES)), F.col("c_index"))), "penalties")
     best = table.orderBy(F.col("accuracy").desc(), "c_index").limit(1).select(F.col("c_index").alias("b"))
     return table.withColumn("best", (F.col("c_index") == best.scalar()).cast("int"))
 
 
+def chosen_penalty(rows: DataFrame) -> float:
+    return penalty_search(rows).filter("best = 1").first()["c"]
+
+
+@query("logistic_cv")
+def logistic_cv(fr):
+    """Accuracy of ten penalties in three stratified folds."""
+    return penalty_search(feat(fr))
+
+
+@query("logistic_cv_refit")
+def logistic_cv_refit(fr):
+    """Model of all rows at the penalty that the search chose."""
+    rows = feat(fr)
+    c = chosen_penalty(rows)
+    fitted = models.fit_logistic(rows.withColumn("model", F.lit(0)), "model", "y", FEATURES, c=c)
+    return fitted.withColumn("c", F.lit(c))
+
+
 @query("site_models")
 def site_models(fr):
     """One model per site from one joint fit."""
@@ -69,9 +92,9 @@ def site_models(fr):
 
 @query("site_retrain")
 def site_retrain(fr):
-    """Metrics per site of the site's own model; sites with one class have no probability."""
+    """Metrics per site of the site's own model, at the penalty chosen over all rows and on its own rows; one class, no probability."""
     rows = feat(fr)
-    return evaluate(models.score(rows, models.fit_logistic(rows, "site", "y", FEATURES, c=0.1), "site", FEATURES), ["site"])
+    return evaluate(models.score(rows, models.fit_logistic(rows, "site", "y", FEATURES, c=chosen_penalty(rows)), "site", FEATURES), ["site"])
 
 
 @query("site_cv")
@@ -84,23 +107,23 @@ def site_cv(fr):
     return evaluate(scored, ["site", "fold"])
 
 
+def out_of_fold(rows: DataFrame, features: list[str], k: int = 5) -> DataFrame:
+    """Rows (.., fold) with their probability under the model of the other folds."""
+    rows = durable(rows, "folded")
+    fitted = nested.fit_sets(rows, "y", features, F.array("fold"), TrainingSets.of([(0, WITHOUT, fold) for fold in range(k)]))
+    return models.score(rows, fitted.withColumnRenamed("model", "fold"), "fold", features)
+
+
 @query("cv_metrics")
 def cv_metrics(fr):
     """Out-of-fold predictions of all rows; AUROC and ratio per fold."""
-    rows = durable(resample.folds(feat(fr), ["id"], 71017), "folded")
-    cells = rows.withColumn("model", F.explode(F.sequence(F.lit(0), F.lit(4))))
-    fitted = models.fit_logistic(cells.filter("model <> fold"), "model", "y", FEATURES)
-    scored = models.score(cells.filter("model = fold"), fitted, "model", FEATURES)
-    return evaluate(scored, ["fold"])
+    return evaluate(out_of_fold(resample.folds(feat(fr), ["id"], 71017), FEATURES), ["fold"])
 
 
 @query("stratified_cv")
 def stratified_cv(fr):
     """Mean AUROC and ratio of five folds with equal outcome rates."""
-    rows = durable(resample.folds(feat(fr), ["id"], 5, by=["y"]), "folded")
-    cells = rows.withColumn("model", F.explode(F.sequence(F.lit(0), F.lit(4))))
-    fitted = models.fit_logistic(cells.filter("model <> fold"), "model", "y", FEATURES)
-    scored = models.score(cells.filter("model = fold"), fitted, "model", FEATURES)
+    scored = out_of_fold(resample.folds(feat(fr), ["id"], 5, by=["y"]), FEATURES)
     return evaluate(scored, ["fold"]).agg(F.avg("auc").alias("auc"), F.avg("smr").alias("smr"))
 
 
@@ -109,10 +132,7 @@ def severity_cv(fr):
     """Out-of-fold metrics of a model whose only input is the severity score."""
     scores = severity_rows(fr.apache).select(F.col("patientunitstayid").alias("id"), F.col("acutephysiologyscore").alias("apsiii"))
     rows = fr.feat.select("id", "y").join(scores, "id", "left")
-    rows = durable(resample.folds(rows, ["id"], 71017), "folded")
-    cells = rows.withColumn("model", F.explode(F.sequence(F.lit(0), F.lit(4))))
-    fitted = models.fit_logistic(cells.filter("model <> fold"), "model", "y", ["apsiii"])
-    return evaluate(models.score(cells.filter("model = fold"), fitted, "model", ["apsiii"]), ["fold"])
+    return evaluate(out_of_fold(resample.folds(rows, ["id"], 71017), ["apsiii"]), ["fold"])
 
 
 @query("perf_matrix_fixed_size")
@@ -139,13 +159,14 @@ def loso_metrics(fr):
 def left_out_models(rows: DataFrame) -> DataFrame:
     """One model per site, trained on the rows of all other sites; ``site`` is the site left out.
 
-    Each row serves every other site's model; starting from the model of all rows, which is
-    near, keeps the passes over these many rows few.
+    The sites are numbered on the driver, as their models are; no row is read for more than one pass per step.
     """
-    sites = rows.select("site").distinct().agg(F.sort_array(F.collect_list("site")).alias("s"))
-    others = rows.withColumn("left_out", F.explode(sites.scalar())).filter("left_out <> site")
-    fitted = models.fit_logistic(others, "left_out", "y", FEATURES, warm=one_model(rows))
-    return fitted.withColumnRenamed("left_out", "site")
+    sites = sorted((r["site"] for r in rows.select("site").distinct().collect()), key=lambda s: (s is not None, s))
+    code = F.coalesce(F.col("site").cast("int"), F.lit(-1))
+    sets = TrainingSets.of([(0, WITHOUT, -1 if s is None else s) for s in sites])
+    fitted = nested.fit_sets(rows, "y", FEATURES, F.array(code), sets)
+    names = rows.sparkSession.createDataFrame(list(enumerate(sites)), "model int, site int")
+    return names.join(fitted, "model").drop("model")
 
 
 @query("largest_site_transfer")
@@ -220,94 +241,112 @@ def site_meta_regression(fr):
 # --- curves: nested training sets
 
 
-def prefix_members(rows: DataFrame, steps: int, step_column: str = "first_step") -> DataFrame:
-    """Each row once per nested training set that holds it: steps first_step .. steps."""
-    held = F.sequence(F.col(step_column), F.lit(steps).cast("int"))
-    return rows.filter(F.col(step_column) <= steps).withColumn("n", F.explode(held))
+def curve_scores(rows: DataFrame, tests: DataFrame, families: int, steps: int, features: list[str] = FEATURES) -> DataFrame:
+    """Metrics (family, n) of nested training sets n = 1..steps of each family on that family's test rows.
+
+    ``rows.codes`` has the step at which a row joins each family (0: never); ``tests.family`` names the family that a test row is for.
+    """
+    sets = TrainingSets.of([(f, UPTO, n) for f in range(families) for n in range(1, steps + 1)])
+    fitted = nested.fit_sets(rows, "y", features, F.col("codes"), sets)
+    asked = tests.withColumn("n", F.explode(F.sequence(F.lit(1), F.lit(steps)))).withColumn("model", (F.col("family") * steps + F.col("n") - 1).cast("int"))
+    return evaluate(models.score(asked, fitted, "model", features), ["family", "n"])
 
 
-def curve_scores(members: DataFrame, tests: DataFrame, group: list[str], steps: int) -> DataFrame:
-    """Metrics of each training set (group.., n) on the test rows of its group."""
-    packed = F.concat_ws("|", *[F.col(c).cast("string") for c in [*group, "n"]])
-    fitted = models.fit_logistic(members.withColumn("model", packed), "model", "y", FEATURES)
-    asked = tests.withColumn("n", F.explode(F.sequence(F.lit(1), F.lit(steps)))).withColumn("model", packed)
-    return evaluate(models.score(asked, fitted, "model", FEATURES), [*group, "n"])
+def steps_by(df: DataFrame, key: str, families: int) -> DataFrame:
+    """(key, codes) from rows (key, family, first_step); 0 for families a key is not in.  ``families`` entries per key."""
+    pairs = F.map_from_entries(F.collect_list(F.struct("family", "first_step"))).alias("m")
+    codes = F.transform(F.sequence(F.lit(0), F.lit(families - 1)), lambda f: F.coalesce(F.element_at("m", f), F.lit(0)).cast("int"))
+    return df.select(key, F.col("family").cast("int").alias("family"), F.col("first_step").cast("int").alias("first_step")).groupBy(key).agg(pairs).select(key, codes.alias("codes"))
 
 
 @query("site_addition_curve")
 def site_addition_curve(fr):
     """Sites join the training set one by one; tested on a held-out site."""
-    return _site_additions(fr, 1)
+    return _site_additions(fr, HELD_OUT[:1], 1).drop("held_out")
 
 
 @query("site_addition_replicates")
 def site_addition_replicates(fr):
-    """The same in several random orders: mean and interval of AUROC at each step."""
-    return summary.curve(_site_additions(fr, 3).withColumnRenamed("n", "sites"), ["sites"], "auc")
+    """The same in a hundred random orders for each of three held-out sites: mean and interval of AUROC at each step."""
+    return summary.curve(_site_additions(fr, HELD_OUT, ORDERS).withColumnRenamed("n", "sites"), ["held_out", "sites"], "auc")
 
 
-def _site_additions(fr, b: int) -> DataFrame:
-    held_out = 7
+def _site_additions(fr, held_out: tuple[int, ...], b: int) -> DataFrame:
     sample = durable(resample.sample_per_group(feat(fr), ["site"], ["id"], 500, 18201), "sample")
-    order = durable(resample.site_order(sample, "site", held_out, b, 18201).withColumnRenamed("n", "first_step"), "order")
-    steps = sample.select("site").distinct().filter(F.col("site") != held_out).count()
-    members = prefix_members(sample.join(order, "site").withColumn("first_step", F.col("first_step").cast("int")), steps)
-    tests = resample.replicate(sample.filter(F.col("site") == held_out), b)
-    return curve_scores(members, tests, ["b"], steps)
+    orders = [
+        resample.site_order(sample, "site", h, b, 18201).select("site", (F.col("b") - 1 + i * b).alias("family"), F.col("n").alias("first_step"))
+        for i, h in enumerate(held_out)
+    ]
+    families = len(held_out) * b
+    by_site = durable(steps_by(reduce(DataFrame.unionByName, orders), "site", families), "site-steps")
+    steps = sample.select("site").distinct().count() - 1
+    which = F.array_position(F.array(*map(F.lit, held_out)), F.col("site")) - 1
+    tests = sample.filter(F.col("site").isin(*held_out)).withColumn("h", which).withColumn("family", F.explode(F.sequence(F.col("h") * b, (F.col("h") + 1) * b - 1)))
+    scores = curve_scores(group_join(sample, by_site, ["site"], spread=["id"]), tests, families, steps)
+    named = scores.withColumn("b", (F.col("family") % b + 1).cast("int")).withColumn("held_out", F.get(F.array(*map(F.lit, held_out)), F.floor(F.col("family") / b).cast("int")))
+    return named.drop("family")
 
 
 @query("patient_addition_replicates")
 def patient_addition_replicates(fr):
-    """Stays of another source join in blocks; tested on a held-out site."""
-    b, step, held_out = 2, 1500, 7
+    """Stays of other sites join in blocks of 500, in a hundred random orders; tested on a held-out site."""
+    held_out = HELD_OUT[0]
     rows = feat(fr)
     source = rows.filter(F.col("site") != held_out)
-    steps = source.count() // step
-    placed = resample.prefix_order(source, "id", b, 9).withColumn("first_step", resample.first_step("position", step))
-    members = prefix_members(durable(placed, "placed"), steps)
-    tests = resample.replicate(rows.filter(F.col("site") == held_out), b)
-    return summary.curve(curve_scores(members, tests, ["b"], steps).withColumnRenamed("n", "blocks"), ["blocks"], "auc")
+    steps = max((source.count() - 1) // PATIENTS, 1)  # sets smaller than the whole
+    placed = resample.prefix_order(source.select("id"), "id", ORDERS, 9)
+    joined = placed.select("id", (F.col("b") - 1).alias("family"), resample.first_step("position", PATIENTS).alias("first_step"))
+    train = source.join(steps_by(joined, "id", ORDERS), "id")
+    tests = resample.replicate(rows.filter(F.col("site") == held_out), ORDERS).withColumn("family", F.col("b") - 1)
+    return summary.curve(curve_scores(train, tests, ORDERS, steps).withColumnRenamed("n", "blocks"), ["blocks"], "auc")
+
+
+def tested_rows(total: int) -> int:
+    return min(TESTED, total // 2)
 
 
 @query("local_learning_curve")
 def local_learning_curve(fr):
     """Growing local training sets of one site against the model of all other sites, same test rows."""
-    target, step, n_test = 7, 100, 200
+    target = HELD_OUT[0]
     rows = feat(fr)
     placed = durable(resample.prefix_order(rows.filter(F.col("site") == target), "id", 1, 1292), "placed")
     total = placed.count()
-    steps = max((total - 1) // step, 1)
-    train = placed.filter(F.col("position") <= total - n_test).withColumn("first_step", resample.first_step("position", step))
-    tests = placed.filter(F.col("position") > total - n_test)
-    local = curve_scores(prefix_members(train, steps), tests, ["b"], steps).withColumn("trained_on", F.lit("local"))
+    last = total - tested_rows(total)
+    steps = max((last - 1) // LOCAL, 1)
+    train = placed.filter(F.col("position") <= last).withColumn("codes", F.array(resample.first_step("position", LOCAL)))
+    tests = placed.filter(F.col("position") > last).withColumn("family", F.lit(0))
+    local = curve_scores(train, tests, 1, steps).withColumn("trained_on", F.lit("local"))
     others = one_model(rows.filter(F.col("site") != target))
-    moved = evaluate(models.score_one(tests, others, FEATURES), ["b"])
+    moved = evaluate(models.score_one(tests, others, FEATURES), ["family"])
     ends = moved.withColumn("n", F.explode(F.array(F.lit(1), F.lit(steps)))).withColumn("trained_on", F.lit("other sites"))
-    return local.unionByName(ends.select(*local.columns))
+    return local.unionByName(ends.select(*local.columns)).withColumn("b", F.lit(1)).drop("family")
 
 
 @query("spread_learning_curve")
 def spread_learning_curve(fr):
-    """Local, transferred and recalibrated models of one site with outcomes spread over the order, replicated."""
-    target, step, n_test, b = 7, 100, 200, 2
+    """Local, transferred and recalibrated models of four sites with outcomes spread over the order, in fifty orders each."""
+    b = SPREADS
     rows = feat(fr)
-    base = one_model(rows.filter(F.col("site") != target))
-    local = resample.replicate(rows.filter(F.col("site") == target), b)
-    placed = resample.spread_order(local, ["b"], ["id", "b"], "y", 1292)
-    scored = models.score_one(placed, base, FEATURES).withColumn("x", neglog_complement("p"))
-    scored = durable(scored, "spread")
-    total = rows.filter(F.col("site") == target).count()
-    steps = max((total - n_test - 1) // step, 1)
-    first = F.ceil((F.col("place") + 1) / step).cast("int")
-    train = scored.filter(F.col("place") < total - n_test).withColumn("first_step", first)
-    tests = scored.filter(F.col("place") >= total - n_test)
-    members = prefix_members(train.drop("p"), steps)
-    own = curve_scores(members, tests.drop("p"), ["b"], steps).withColumn("trained_on", F.lit("local"))
-    key = F.concat_ws("|", F.col("b").cast("string"), F.col("n").cast("string"))
-    shifted = models.fit_logistic(members.withColumn("model", key), "model", "y", ["x"])
-    asked = tests.drop("p").withColumn("n", F.explode(F.sequence(F.lit(1), F.lit(steps)))).withColumn("model", key)
-    again = evaluate(models.score(asked, shifted, "model", ["x"]), ["b", "n"]).withColumn("trained_on", F.lit("recalibrated"))
-    given = evaluate(tests, ["b"]).withColumn("n", F.explode(F.array(F.lit(1), F.lit(steps)))).withColumn("trained_on", F.lit("transferred"))
-    return own.unionByName(again).unionByName(given.select(*own.columns))
-
-
+    mine = rows.filter(F.col("site").isin(*SPREAD_SITES))
+    base = left_out_models(rows)
+    scored = durable(models.score(mine, base, "site", FEATURES).withColumn("x", neglog_complement("p")), "spread")
+    sizes = {r["site"]: r["n"] for r in mine.groupBy("site").agg(F.count("*").alias("n")).collect()}
+    sites = [s for s in SPREAD_SITES if s in sizes]
+    lasts = {s: sizes[s] - tested_rows(sizes[s]) for s in sites}
+    steps = max(max((last - 1) // LOCAL, 1) for last in lasts.values())
+    by_site = lambda values: F.element_at(F.create_map(*[F.lit(v) for s in sites for v in (s, values[s])]), F.col("site"))
+    family = by_site({s: i * b for i, s in enumerate(sites)}) + F.col("b") - 1
+    replicated = resample.replicate(scored.select("id", "site", "y"), b)
+    placed = durable(resample.spread_order(replicated, ["site", "b"], ["id", "b"], "y", 1292).withColumn("family", family).withColumn("last", by_site(lasts)), "placed")
+    joins = placed.filter("place < last").select("id", "family", F.ceil((F.col("place") + 1) / LOCAL).alias("first_step"))
+    families = len(sites) * b
+    train = durable(scored.drop("p").join(steps_by(joins, "id", families), "id"), "spread-train")
+    tests = durable(placed.filter("place >= last").select("id", "family").join(scored, "id"), "spread-tests")
+    own = curve_scores(train, tests.drop("p"), families, steps).withColumn("trained_on", F.lit("local"))
+    again = curve_scores(train, tests.drop("p"), families, steps, ["x"]).withColumn("trained_on", F.lit("recalibrated"))
+    given = evaluate(tests, ["family"]).withColumn("n", F.explode(F.array(F.lit(1), F.lit(steps)))).withColumn("trained_on", F.lit("transferred"))
+    every = own.unionByName(again).unionByName(given.select(*own.columns))
+    site = F.get(F.array(*map(F.lit, sites)), F.floor(F.col("family") / b).cast("int"))
+    means = [F.avg(c).alias(c) for c in ("auc", "smr")]
+    return every.withColumn("site", site).groupBy("site", "n", "trained_on").agg(F.count("auc").alias("replicates"), *means)
