@@ -42,26 +42,22 @@ def with_row_key(rows: DataFrame) -> DataFrame:
     return rows.withColumns({"k1": F.coalesce("doc_id", F.lit(-(2**63))), "k2": F.xxhash64("text")})
 
 
-def keyed_join(rows: DataFrame, keyed: DataFrame, on: Sequence[str], weight: str, spread: Column, how: str = "inner") -> DataFrame:
+def keyed_join(rows: DataFrame, keyed: DataFrame, on: Sequence[str], weight: str, how: str = "inner") -> DataFrame:
     """Rows with the columns of ``keyed``, which has one row per key and in ``weight`` the number of rows that have it.
 
-    Keys with more than one of ``HEAVY`` rows, fewer than ``HEAVY`` of them by that count, are broadcast, however large the data;
-    the others have no key large enough to matter and meet by a shuffle, in which the rows already matched are dealt by ``spread``.
-    ``keyed`` is read three times: pass a written table.  Keys are not null; ``how`` is inner or left.
+    Keys with more than one of ``HEAVY`` rows, fewer than ``HEAVY`` of them by that count, are told by their hashes, and their rows meet
+    a broadcast of as many rows, however large the data; the others have no key large enough to matter and meet by a shuffle.
+    Both sides are read once more if there are such keys: pass a written ``keyed``.  ``how`` is inner or left.
     """
     total = keyed.agg(F.sum(weight)).first()[0] or 0
-    payload = [c for c in keyed.columns if c not in on]
-    heavy = F.col(weight) * HEAVY > F.lit(total)
-    hot = keyed.filter(heavy).select(*on, F.struct(*payload).alias("_hot"))
-    cold = keyed.filter(~heavy).select(*[F.col(c).alias(f"_{c}") for c in on], F.lit(0).alias("_dealt"), F.struct(*payload).alias("_cold"))
-    known = F.col("_hot").isNotNull()
-    left = rows.join(F.broadcast(hot), list(on), "left").withColumns(
-        {f"_{c}": F.when(~known, F.col(c)) for c in on} | {"_dealt": F.when(known, F.pmod(F.xxhash64(spread), F.lit(HEAVY)).cast("int")).otherwise(0)}
-    )
-    both = left.join(cold, [*(f"_{c}" for c in on), "_dealt"], "left").withColumn("_any", F.coalesce("_hot", "_cold"))
-    if how == "inner":
-        both = both.filter(F.col("_any").isNotNull())
-    return both.select(*rows.columns, *[F.col(f"_any.{c}").alias(c) for c in payload])
+    place = F.xxhash64(*on)
+    heavy = [r[0] for r in keyed.filter(F.col(weight) * HEAVY > F.lit(total)).select(place).collect()]
+    columns = [*rows.columns, *[c for c in keyed.columns if c not in on]]
+    if not heavy:
+        return rows.join(keyed, list(on), how).select(*columns)
+    hot = place.isin(heavy)
+    few = rows.filter(hot).join(F.broadcast(keyed.filter(hot)), list(on), how).select(*columns)
+    return few.unionByName(rows.filter(~hot).join(keyed.filter(~hot), list(on), how).select(*columns))
 
 
 def counted(df: DataFrame, on: Sequence[str], label: str) -> DataFrame:

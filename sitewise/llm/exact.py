@@ -31,11 +31,11 @@ def exact_groups(docs: DataFrame, prefix: int = 64, digests: bool = False) -> Da
     )
     sketch = durable(rows.select("doc_id", "len", "head"), "exact-sketch")
     lengths = counted(sketch, ["len"], "exact-lengths")
-    alike = keyed_join(sketch, lengths, ["len"], "n", F.col("doc_id"))
+    alike = keyed_join(sketch, lengths, ["len"], "n")
     heads = counted(alike.select("len", "head"), ["len", "head"], "exact-heads")
 
     whole = F.unhex(F.sha2("body", 256))
-    found = keyed_join(rows, heads, ["len", "head"], "n", F.col("doc_id"), how="left")
+    found = keyed_join(rows, heads, ["len", "head"], "n", how="left")
     hashed = durable(
         found.select("doc_id", "points", F.when(F.col("n").isNotNull(), whole).alias("whole"), *([whole.alias("digest")] if digests else []),
                      F.monotonically_increasing_id().alias("row")),
@@ -48,7 +48,7 @@ def exact_groups(docs: DataFrame, prefix: int = 64, digests: bool = False) -> Da
     )
     # a null hash stands for a text known to be alone
     keyed = hashed.withColumn("whole", F.coalesce("whole", F.lit(b"")))
-    joined = keyed_join(keyed, durable(groups, "exact-groups"), ["whole"], "n", F.col("row"), how="left")
+    joined = keyed_join(keyed, durable(groups, "exact-groups"), ["whole"], "n", how="left")
     grouped = F.col("n").isNotNull()
     return joined.select(
         "doc_id",

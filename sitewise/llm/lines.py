@@ -194,7 +194,7 @@ class LineIndex:
         met = filters.unionByName(probes).repartition("shard", "deal").sortWithinPartitions("shard", "deal", "kind")
         passed = durable(met.mapInArrow(_probe, lines.schema), "line-passed")
         exact = self.counts.filter(F.col("n") >= self.min_docs)
-        return keyed_join(passed, exact, ["digest"], "n", F.col("k1")).drop("n")
+        return keyed_join(passed, exact, ["digest"], "n").drop("n")
 
     def strip(self, docs: DataFrame, lines: DataFrame | None = None) -> DataFrame:
         """``docs`` with all its columns and ``text`` without shared lines, as (row, n_lines, n_dropped), ``row`` a struct.

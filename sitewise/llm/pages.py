@@ -159,6 +159,6 @@ def extract(pages: DataFrame) -> DataFrame:
     rows = in_small_batches(pages).select(F.col("page_id").cast("bigint").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce("html", F.lit("")).alias("html"))
     keyed = rows.withColumns({"host": host, "page": F.xxhash64("page_id", "url", "html")})
     shared = durable(templates(keyed), "page-templates")
-    met = keyed_join(keyed.select("page_id", "url", "html", "host"), shared, ["host"], "pages", F.col("page_id"), how="left")
+    met = keyed_join(keyed.select("page_id", "url", "html", "host"), shared, ["host"], "pages", how="left")
     found = met.select("page_id", "url", "html", "template").mapInArrow(_extract, "page_id bigint, url string, text string")
     return found.withColumn("n_chars", F.length("text").cast("bigint"))

@@ -178,7 +178,7 @@ def _large_groups(cut: DataFrame) -> DataFrame:
     """Repeated windows of strips of large groups: windows counted by hash, each strip's put together again."""
     windows = durable(cut.select("anchor", "digest", "n", "strip").mapInArrow(_window_hashes, "anchor bigint, digest binary, n bigint, place int, h1 bigint, h2 bigint"), "repeat-windows")
     again = windows.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("all")).filter("all > 1").select("h1", "h2", "rows")
-    marked = keyed_join(windows, durable(again, "repeat-again"), ["h1", "h2"], "rows", F.col("digest"))
+    marked = keyed_join(windows, durable(again, "repeat-again"), ["h1", "h2"], "rows")
     places = marked.groupBy("anchor", "digest").agg(F.sort_array(F.collect_list("place")).alias("p"))  # of one strip each
     spans = F.flatten(F.transform("p", lambda x: F.array(x, x + 1)))
     return places.select("anchor", "digest", spans.alias("spans"))
@@ -190,12 +190,12 @@ def repeated_spans(keyed: DataFrame) -> DataFrame:
         keyed.select("k1", "k2", "text").mapInArrow(_strip_rows, "k1 bigint, k2 bigint, start bigint, windows bigint, anchor bigint, digest binary, twice boolean"), "repeat-strips"
     )
     anchors = durable(found.groupBy("anchor").agg(F.count(F.lit(1)).alias("rows"), F.max("twice").alias("any")).filter("rows > 1 or any").select("anchor", "rows"), "repeat-anchors")
-    meeting = durable(keyed_join(found.drop("twice"), anchors, ["anchor"], "rows", F.col("k1")).drop("rows"), "repeat-meeting")
+    meeting = durable(keyed_join(found.drop("twice"), anchors, ["anchor"], "rows").drop("rows"), "repeat-meeting")
     kinds = durable(
         meeting.groupBy("anchor", "digest").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("k1", "k2", "start", "windows")).alias("one")), "repeat-kinds"
     )
     sizes = durable(kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"), (F.sum(F.col("one.windows") + LENGTH) > GROUP).alias("large")), "repeat-sizes")
-    sized = keyed_join(kinds, sizes, ["anchor"], "kinds", F.col("one.k1"))
+    sized = keyed_join(kinds, sizes, ["anchor"], "kinds")
     picks = sized.select("one.k1", "one.k2", F.struct("one.start", "one.windows", "anchor", "digest", "n", "large").alias("pick"))
     picked = picks.groupBy("k1", "k2").agg(F.collect_list("pick").alias("picks"))  # of one text each
     cut = keyed.join(picked, ["k1", "k2"]).select("text", "picks").mapInArrow(_cut_strips, "anchor bigint, digest binary, n bigint, large boolean, strip binary")
@@ -205,7 +205,7 @@ def repeated_spans(keyed: DataFrame) -> DataFrame:
     if not cut.filter("large").isEmpty():
         spans = spans.unionByName(_large_groups(cut.filter("large")))
     spans = durable(spans.join(kinds.select("anchor", "digest", "n"), ["anchor", "digest"]), "repeat-spans")
-    placed = keyed_join(meeting.select("k1", "k2", "start", "anchor", "digest"), spans, ["anchor", "digest"], "n", F.col("k1"))
+    placed = keyed_join(meeting.select("k1", "k2", "start", "anchor", "digest"), spans, ["anchor", "digest"], "n")
     return placed.groupBy("k1", "k2").agg(F.collect_list(F.struct("start", "spans")).alias("spans"))  # of one text each
 
 
