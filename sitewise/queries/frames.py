@@ -165,6 +165,7 @@ def _frames(d: Dialect) -> dict[str, str]:
         "s_uo": "select icustay_id, charttime, case when k % 6 = 0 then null else v end as urineoutput from {timed} where l_returnflag = 'A'",
         "s_bg": f"select hadm_id, charttime, {_measured(GAS_COLUMNS, 1)} from {{timed}} where l_returnflag = 'R'",
         "s_lab": f"select hadm_id, charttime, {_measured(LAB_COLUMNS, 2)} from {{timed}} where l_returnflag = 'N'",
+        "s_score": "select o_orderkey + 200000000 as icustay_id, cast(floor(o_totalprice / 6000) as int) as apsiii from {orders} where o_orderkey % 7 <> 2",
         # --- offset source: orders as stays, line items as measurements
         "patient": """
             select o_orderkey as patientunitstayid, o_custkey * 10 + o_orderkey % 2 as patienthealthsystemstayid,

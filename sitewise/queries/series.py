@@ -148,6 +148,17 @@ def hourly_grid_join(fr):
     return hourly.groupBy("hr").agg(F.count(F.lit(1)).alias("n_rows"), *sums)
 
 
+@query(
+    "hourly_offset",
+    f"""with {COHORT_OFFSET_SQL}, {OFFSET_GRID_SQL}, {offset_hourly_sql()} select patientunitstayid, hr::bigint as hr, {sql_doubles(*OFFSET_NAMES)} from hourly""",
+    OFFSET_FRAMES + " pivoted_uo pivoted_bg pivoted_lab",
+)
+def hourly_offset(fr):
+    """Hourly table of the offset source: a row per (stay, hour)."""
+    hourly = offset_hourly(fr, offset_source.hours(offset_cohort(fr)))
+    return rounded(hourly.select("patientunitstayid", F.col("hr").cast("bigint").alias("hr"), *OFFSET_NAMES), "patientunitstayid", "hr")
+
+
 @query(
     "join_mixed_grain",
     f"""with {grid_sql('t_stay', 'hour')} select g.icustay_id, g.hr::bigint as hr, count(*) as n, count(b.potassium) as n_potassium
@@ -304,31 +315,67 @@ def fixed_window_matrix(fr):
     return tidy_matrix(matrices.design_matrix(stays, windows, hourly, static, "patientunitstayid", 24))
 
 
-def timestamp_matrix_sql() -> str:
-    limits = ", ".join("s." + x for x in LIMITS)
-    windows = f"""windows as (select icustay_id, 24 as windowtime_hours from cohort join static s using (icustay_id)
-      where excluded = 0 and least({limits}) >= 24)"""
+TIMESTAMP_LIMITS = ", ".join("s." + x for x in LIMITS)
+DAY_WINDOWS_TIMESTAMP_SQL = f"""windows as (select icustay_id, 24 as windowtime_hours from cohort join static s using (icustay_id)
+    where excluded = 0 and least({TIMESTAMP_LIMITS}) >= 24)"""
+RANDOM_TIMESTAMP_SQL = f"""limits as (select c.icustay_id, least({TIMESTAMP_LIMITS}) as l, {UNIFORM('c.icustay_id', 7)} as random_fraction
+    from cohort c join static s using (icustay_id) where c.excluded = 0),
+  windows as (select icustay_id, greatest(floor(random_fraction * (l - 2)), 4)::int as windowtime_hours from limits
+    where greatest(floor(random_fraction * (l - 2)), 4) <= l)"""
+TIMESTAMP_MATRIX_FRAMES = TIMESTAMP_FRAMES + " services ventdurations"
+TIMESTAMP_EVENTS = " s_vital s_gcs s_uo s_bg s_lab"
+
+
+def timestamp_assembled_sql(features: str = "features") -> str:
     inputs = ", ".join(f"round(s.{c}::double, 6) as {c}" for c in STATIC_INPUTS)
-    return f"""with {COHORT_TIMESTAMP_SQL}, {STATIC_TIMESTAMP_SQL}, {windows}, {grid_sql('cohort', 'hour')},
-      {hourly_sql('hour', source='s')}, {features_sql('icustay_id', 24, 24)}
-      select c.icustay_id, c.hospitalid, s.death, round(c.hosp_los, 6) as hosp_los, s.ventdays, {inputs},
+    return f"""select c.icustay_id, c.hospitalid, s.death, round(c.hosp_los, 6) as hosp_los, s.ventdays, {inputs},
         round(columns(f.* exclude (icustay_id))::double, 6)
-      from cohort c join features f using (icustay_id) join static s using (icustay_id)"""
+      from cohort c join {features} f using (icustay_id) join static s using (icustay_id)"""
+
+
+def timestamp_matrix_sql(windows: str, width: int) -> str:
+    return f"""with {COHORT_TIMESTAMP_SQL}, {STATIC_TIMESTAMP_SQL}, {windows}, {grid_sql('cohort', 'hour')},
+      {hourly_sql('hour', source='s')}, {features_sql('icustay_id', width, 24)} {timestamp_assembled_sql()}"""
+
+
+def timestamp_finished(fr):
+    stays = durable(timestamp_cohort(fr), "cohort")
+    return stays, durable(timestamp_static(fr, stays), "static")
+
+
+def timestamp_matrix(fr, stays, static, windows, width: int):
+    """Source tables with timestamps to a design matrix; the site is the cohort's."""
+    grid = timestamp_source.hours(stays, windows=windows, look_back=width + 24)
+    hourly = timestamp_source.hourly(grid, fr.s_vital, fr.s_gcs, fr.s_uo, fr.s_bg, fr.s_lab)
+    matrix = matrices.design_matrix(stays, windows, hourly, static, "icustay_id", width)
+    return rounded(matrix, "icustay_id", "hospitalid", "death", "ventdays")
+
+
+@query("fixed_window_matrix_timestamp", timestamp_matrix_sql(DAY_WINDOWS_TIMESTAMP_SQL, 24), TIMESTAMP_MATRIX_FRAMES + TIMESTAMP_EVENTS)
+def fixed_window_matrix_timestamp(fr):
+    """Design matrix of the first day."""
+    stays, static = timestamp_finished(fr)
+    return timestamp_matrix(fr, stays, static, matrices.day_one_windows(stays, static, "icustay_id"), 24)
+
+
+@query("random_window_matrix_timestamp", timestamp_matrix_sql(RANDOM_TIMESTAMP_SQL, 4), TIMESTAMP_MATRIX_FRAMES + TIMESTAMP_EVENTS)
+def random_window_matrix_timestamp(fr):
+    """Design matrix with random window ends, four-hour windows."""
+    stays, static = timestamp_finished(fr)
+    return timestamp_matrix(fr, stays, static, matrices.random_windows(stays, static, "icustay_id", 7), 4)
 
 
 @query(
-    "fixed_window_matrix_timestamp",
-    timestamp_matrix_sql(),
-    TIMESTAMP_FRAMES + " services ventdurations s_vital s_gcs s_uo s_bg s_lab",
+    "severity_matrix_timestamp",
+    f"""with {COHORT_TIMESTAMP_SQL}, {STATIC_TIMESTAMP_SQL}, {DAY_WINDOWS_TIMESTAMP_SQL}, scored as (
+          select w.icustay_id, a.apsiii from windows w left join s_score a using (icustay_id)) {timestamp_assembled_sql('scored')}""",
+    TIMESTAMP_MATRIX_FRAMES + " s_score",
 )
-def fixed_window_matrix_timestamp(fr):
-    """Source tables with timestamps to the design matrix of the first day; the site is the cohort's."""
-    stays = durable(timestamp_cohort(fr), "cohort")
-    static = durable(timestamp_static(fr, stays), "static")
+def severity_matrix_timestamp(fr):
+    """Severity score with outcomes and static inputs."""
+    stays, static = timestamp_finished(fr)
     windows = matrices.day_one_windows(stays, static, "icustay_id")
-    grid = timestamp_source.hours(stays, windows=windows, look_back=24 + 24)
-    hourly = timestamp_source.hourly(grid, fr.s_vital, fr.s_gcs, fr.s_uo, fr.s_bg, fr.s_lab)
-    matrix = matrices.design_matrix(stays, windows, hourly, static, "icustay_id", 24)
+    matrix = matrices.severity_matrix(stays, windows, fr.s_score, static, "icustay_id")
     return rounded(matrix, "icustay_id", "hospitalid", "death", "ventdays")
 
 
