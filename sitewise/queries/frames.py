@@ -88,7 +88,7 @@ def _frames(d: Dialect) -> dict[str, str]:
         # --- model inputs
         "feat": """
             select id, site, y, admit, kind, price as x1, balance as x2,
-              cast(nullif(id % 7, 0) as double) as x3,
+              cast(nullif(id % 7, 0) as double) + 1.5 * y as x3,
               case when site % 5 = 0 then null else cast(id % 11 as double) end as x4
             from {stay}""",
         "nationmodel": """

@@ -12,7 +12,7 @@ from sitewise.operators.pooled import assemble, fit_pooled_logistic, predict
 from sitewise.operators.summary import outcome_rate
 from sitewise.queries.registry import query
 from sitewise.queries.sites import FEATURES
-from sitewise.queries.sqltext import METRICS
+from sitewise.queries.sqltext import METRICS, STANDARD
 from sitewise.sources import tables
 
 
@@ -59,17 +59,18 @@ def complete(fr):
     return prep.standardize(fr.feat, FEATURES).select("id", "site", "y", *FEATURES)
 
 
-@query("assemble_vector")
+@query("assemble_vector", f"select id, y, {', '.join(f'round({f}, 6) as {f}' for f in FEATURES)} from ({STANDARD('feat', FEATURES)})", "feat")
 def assemble_vector(fr):
-    """Feature vectors as Spark's estimators read them."""
-    return assemble(complete(fr), FEATURES).select("id", "y", vector_to_array("features").alias("features"))
+    """Feature vectors as Spark's estimators read them, taken apart again."""
+    vectors = assemble(complete(fr), FEATURES).withColumn("v", vector_to_array("features"))
+    return vectors.select("id", "y", *[r6(F.get("v", F.lit(i))).alias(f) for i, f in enumerate(FEATURES)])
 
 
-@query("model_roundtrip")
+@query("model_roundtrip", "select id, 1 as agree from feat", "feat")
 def model_roundtrip(fr):
-    """Pooled model saved, loaded and applied; both models must agree."""
+    """Pooled model saved, loaded and applied; do both models give a row the same probability."""
     rows = complete(fr)
     model = fit_pooled_logistic(rows, "y", FEATURES)
     again = tables.load_model(tables.save_model(model, fr.spark))
     both = predict(model, rows, "p_fitted").join(predict(again, rows, "p_loaded").select("id", "p_loaded"), "id")
-    return both.select("id", "p_fitted", "p_loaded")
+    return both.select("id", (F.col("p_fitted") == F.col("p_loaded")).cast("int").alias("agree"))
