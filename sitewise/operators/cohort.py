@@ -30,11 +30,11 @@ def attrition_report(df: DataFrame, window: str = "windowtime_hours") -> DataFra
     """
     flags = exclusion_columns(df)
     by_flag = any_of([F.col(c) == 1 for c in flags])
-    steps: list[tuple[str, Column]] = [(f"removed due to {c}", F.coalesce(F.col(c) == 1, F.lit(False))) for c in flags]
-    steps.append(("removed so far", by_flag))
+    steps: list[tuple[str, Column]] = [(f"flagged {c}", F.coalesce(F.col(c) == 1, F.lit(False))) for c in flags]
+    steps.append(("flagged at all", by_flag))
     if window in df.columns:
-        steps.append(("extra removed due to window time", ~by_flag & F.col(window).isNull()))
-    steps.append(("final cohort size", ~_removed(df, window)))
+        steps.append(("without a window", ~by_flag & F.col(window).isNull()))
+    steps.append(("kept", ~_removed(df, window)))
     counts = df.agg(
         F.count(F.lit(1)).alias("total"),
         *[F.sum(cond.cast("bigint")).alias(f"s{i}") for i, (_, cond) in enumerate(steps)],

@@ -110,12 +110,12 @@ def drop_excluded_query(fr):
     """with f as (select coalesce(exclusion_age = 1, false) as a, coalesce(exclusion_status = 1, false) as b,
            coalesce(exclusion_price = 1, false) as c, windowtime_hours is null as w from flagged),
          t as (select count(*) as total from flagged),
-         s as (select 0 as step, 'removed due to exclusion_age' as label, (select count(*) from f where a) as n
-           union all select 1, 'removed due to exclusion_status', (select count(*) from f where b)
-           union all select 2, 'removed due to exclusion_price', (select count(*) from f where c)
-           union all select 3, 'removed so far', (select count(*) from f where a or b or c)
-           union all select 4, 'extra removed due to window time', (select count(*) from f where not (a or b or c) and w)
-           union all select 5, 'final cohort size', (select count(*) from f where not (a or b or c or w)))
+         s as (select 0 as step, 'flagged exclusion_age' as label, (select count(*) from f where a) as n
+           union all select 1, 'flagged exclusion_status', (select count(*) from f where b)
+           union all select 2, 'flagged exclusion_price', (select count(*) from f where c)
+           union all select 3, 'flagged at all', (select count(*) from f where a or b or c)
+           union all select 4, 'without a window', (select count(*) from f where not (a or b or c) and w)
+           union all select 5, 'kept', (select count(*) from f where not (a or b or c or w)))
        select step, label, n, round(100.0::double * n / total, 6) as pct from s, t""",
     "flagged",
 )

@@ -26,11 +26,11 @@ def test_attrition_counts(spark):
         [(1, 0, 4), (1, 1, 4), (0, 0, None), (0, None, 4)], "exclusion_a int, exclusion_b int, windowtime_hours int"
     )
     counts = {r.label: (r.n, r.pct) for r in cohort.attrition_report(df).collect()}
-    assert counts["removed due to exclusion_a"] == (2, 50.0)
-    assert counts["removed due to exclusion_b"] == (1, 25.0)
-    assert counts["removed so far"] == (2, 50.0)
-    assert counts["extra removed due to window time"] == (1, 25.0)
-    assert counts["final cohort size"] == (1, 25.0)
+    assert counts["flagged exclusion_a"] == (2, 50.0)
+    assert counts["flagged exclusion_b"] == (1, 25.0)
+    assert counts["flagged at all"] == (2, 50.0)
+    assert counts["without a window"] == (1, 25.0)
+    assert counts["kept"] == (1, 25.0)
 
 
 def test_age_text(spark):
