@@ -8,8 +8,6 @@ own posterior and of the steps so far, so each step is one grouping without keys
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -123,10 +121,3 @@ def with_rates(docs: DataFrame, labelled: DataFrame, targets: dict[str, float])
     packed = docs.select(F.struct(*map(named, own)).alias("row"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
     joined = with_row_key(packed).select("k1", "k2", "row").join(rates, ["k1", "k2"])
     return joined.select("row.*", F.col("rate").alias("mix_rate"), F.col("copies").alias("mix_copies"))
-
-
-def expected_share(mixed: DataFrame, domains: int) -> list[float]:
-    """Share of the expected tokens per domain."""
-    totals = mixed.agg(*[F.sum(F.col("rate") * F.col("n_tokens") * F.get("p", F.lit(d))) for d in range(domains)]).first()
-    whole = math.fsum(x or 0.0 for x in totals)
-    return [(x or 0.0) / whole if whole else math.nan for x in totals]

@@ -19,6 +19,8 @@ from sitewise.llm.common import bounded_sample, in_small_batches, texts
 
 #: Vector per byte; filters; bytes per step, steps per filter; steps in half a chunk.
 DIM, FILTERS, STRIDE, TAPS, HALF = 8, 16, 4, 3, 64
+#: Steps without response that are added to every chunk, so that a few steps of a short text do not stand out.
+SHRINK = 24
 WIDTH = STRIDE * TAPS
 #: Learning sees this many labelled rows of either class, those of smallest id hash, and of these only texts up to so many code points.
 PER_CLASS, LONGEST = 800, 50_000
@@ -95,7 +97,7 @@ class ByteNetwork:
         right = np.where(np.repeat(halves, number) > 1, left + 1, left)
         both = right > left
         total = size[left] + np.where(both, size[right], 0)
-        mean = (sums[left] + np.where(both[:, None], sums[right], 0)) / total[:, None]
+        mean = (sums[left] + np.where(both[:, None], sums[right], 0)) / (total + SHRINK)[:, None]
         return mean, at[left], total, number
 
     def pooled(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -131,7 +133,7 @@ class ByteNetwork:
             f, w = unit % FILTERS, winner[:, unit]
             slope = self.weights[unit] * (1 if unit < FILTERS else -1)
             steps = np.repeat(start[w], size[w]) + runs(size[w])
-            g = np.repeat(error * slope / size[w], size[w]) * (out[steps, f] > 0)
+            g = np.repeat(error * slope / (size[w] + SHRINK), size[w]) * (out[steps, f] > 0)
             live = np.flatnonzero(g)
             seen = windows[steps[live]]
             x = self.vectors[seen].reshape(len(live), WIDTH * DIM)
