@@ -132,6 +132,19 @@ def hourly_features(fr):
     return rounded(t_hourly(fr, timestamp_source.hours(fr.t_stay_day, DAY_MICROS), DAY_MICROS), "icustay_id", "hr")
 
 
+@query(
+    "hourly_given_grid",
+    f"""with {grid_sql('t_stay', 'hour')}, {hourly_sql('hour')} select icustay_id, hr::bigint as hr, {sql_doubles(*[m.name for m in timestamp_source.MEASURES])}
+        from hourly""",
+    "t_stay " + T_FRAMES,
+)
+def hourly_given_grid(fr):
+    """The same on the hours of an existing table (stay, hour, end of the hour)."""
+    end = F.timestamp_micros(F.col("slot") * timestamp_source.HOUR_MICROS).alias("endtime")
+    given = durable(timestamp_source.hours(fr.t_stay).select("icustay_id", "hr", end), "hours")
+    return rounded(t_hourly(fr, timestamp_source.given_hours(fr.t_stay, given)), "icustay_id", "hr")
+
+
 OFFSET_NAMES = [m.name for m in offset_source.MEASURES]
 
 
