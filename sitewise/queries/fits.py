@@ -17,11 +17,14 @@ from sitewise.queries.registry import query
 from sitewise.queries.sinks import complete
 from sitewise.queries.sites import FEATURES, site_pairs
 from sitewise.session import durable
+from sitewise.sources import tables
 
 INVERSE_PENALTIES = [10.0 ** (-4 + 8 * i / 9) for i in range(10)]
 #: Sizes of the experiments: replicates of site and patient additions and of the spread curves, stays that join at a time,
 #: rows of a curve's test set (half of a site with fewer than twice as many); boosted trees, of which the operator's own number is 1000.
 ORDERS, SPREADS, PATIENTS, LOCAL, TESTED, TREES = 100, 50, 500, 100, 500, 50
+#: Trees per fold where they are cross-validated: five fits in place of one.
+FOLD_TREES = 10
 #: Sites held out of the site additions; sites of the spread curves.
 HELD_OUT, SPREAD_SITES = (7, 2, 11), (7, 2, 11, 18)
 
@@ -120,6 +123,20 @@ def cv_metrics(fr):
     return evaluate(out_of_fold(resample.folds(feat(fr), ["id"], 71017), FEATURES), ["fold"])
 
 
+@query("cv_summary_models")
+def cv_summary_models(fr):
+    """Logistic model and boosted trees over the same five folds: means of the fold metrics, written as CSV and read back."""
+    rows = durable(resample.folds(complete(fr), ["id"], 71017), "complete")
+    logistic = evaluate(out_of_fold(rows, FEATURES), ["fold"]).withColumn("model", F.lit("l2"))
+    parts = []
+    for fold in range(5):
+        trees = pooled.fit_boosted_trees(rows.filter(F.col("fold") != fold), "y", FEATURES, trees=FOLD_TREES, depth=9)
+        parts.append(pooled.predict(trees, rows.filter(F.col("fold") == fold)).select("fold", "y", "p"))
+    boosted = evaluate(durable(reduce(DataFrame.unionByName, parts), "folds"), ["fold"]).withColumn("model", F.lit("trees"))
+    path = tables.write_cv_summary(logistic.select("model", "auc", "smr").unionByName(boosted.select("model", "auc", "smr")))
+    return tables.read_matrix(fr.spark, path, "model string, auc double, smr double")
+
+
 @query("stratified_cv")
 def stratified_cv(fr):
     """Mean AUROC and ratio of five folds with equal outcome rates."""
