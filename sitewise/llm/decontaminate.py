@@ -10,13 +10,14 @@ The benchmark is taken in blocks of bounded size; a block's index goes to every
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast
+from pyspark import Broadcast, cloudpickle
 from pyspark.sql import DataFrame, functions as F
 
 from sitewise.llm.bytetext import batches, mix64, runs, shingles, text_bytes, word_hashes, word_spans
@@ -140,12 +141,12 @@ def contained(index: Index, data: np.ndarray, offsets: np.ndarray, threshold: fl
 
 
 def _blocks(items: DataFrame) -> Iterator[Broadcast]:
-    """Index of each block of (item_id, text), sent to the executors."""
+    """Index of each block of (item_id, text), sent to the executors with its classes."""
     listed = items.select(F.col("item_id").cast("bigint").alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
     blocks = -(-int(listed.agg(F.sum(F.length("text"))).first()[0] or 0) // BLOCK)
     for number in range(blocks):
         mine = listed.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == number)
-        yield items.sparkSession.sparkContext.broadcast(build_index(mine.toArrow()))
+        yield items.sparkSession.sparkContext.broadcast(cloudpickle.dumps(build_index(mine.toArrow())))
 
 
 def search(docs: DataFrame, items: DataFrame, threshold: float = CONTAINED) -> DataFrame:
@@ -155,13 +156,14 @@ def search(docs: DataFrame, items: DataFrame, threshold: float = CONTAINED) -> D
     follow each other.  Rows of equal ids give equal rows; empty texts and empty tables give none.
     """
 
-    def hits(index: Broadcast) -> DataFrame:
+    def hits(sent: Broadcast) -> DataFrame:
         def job(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            index = pickle.loads(sent.value)
             for batch in stream:
                 ids = batch.column("doc_id").to_pylist()
                 found = []
                 for i, _, data, offsets in batches(batch.column("text")):
-                    found += [(ids[i + t], index.value.ids[n], share) for t, n, share in contained(index.value, data, offsets, threshold)]
+                    found += [(ids[i + t], index.ids[n], share) for t, n, share in contained(index, data, offsets, threshold)]
                 columns = [pa.array([r[k] for r in found], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.float64()))]
                 yield pa.record_batch(columns, names=["doc_id", "item_id", "containment"])
 
@@ -174,14 +176,16 @@ def search(docs: DataFrame, items: DataFrame, threshold: float = CONTAINED) -> D
 def without_leaks(docs: DataFrame, items: DataFrame, threshold: float = CONTAINED) -> DataFrame:
     """The rows of ``docs``, all columns, in which no item is contained; the texts are read in place, nothing is shuffled."""
 
-    def clean(index: Broadcast):
+    def clean(sent: Broadcast):
         @F.arrow_udf("boolean")
-        def judge(column: pa.Array) -> pa.Array:
-            out = np.ones(len(column), bool)
-            for i, _, data, offsets in batches(column):
-                out[[i + t for t, _, _ in contained(index.value, data, offsets, threshold)]] = False
-            return pa.array(out)
+        def judge(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            index = pickle.loads(sent.value)
+            for column in columns:
+                out = np.ones(len(column), bool)
+                for i, _, data, offsets in batches(column):
+                    out[[i + t for t, _, _ in contained(index, data, offsets, threshold)]] = False
+                yield pa.array(out)
 
         return judge(F.coalesce(docs["text"], F.lit("")))
 
-    return reduce(lambda kept, index: kept.filter(clean(index)), _blocks(items), in_small_batches(docs))
+    return reduce(lambda kept, sent: kept.filter(clean(sent)), _blocks(items), in_small_batches(docs))
