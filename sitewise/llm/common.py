@@ -60,6 +60,23 @@ def keyed_join(rows: DataFrame, keyed: DataFrame, on: Sequence[str], weight: str
     return few.unionByName(rows.filter(~hot).join(keyed.filter(~hot), list(on), how).select(*columns))
 
 
+def keyed_join_once(rows: DataFrame, keyed: DataFrame, on: Sequence[str], weight: str, spread: Column) -> DataFrame:
+    """The left join of ``keyed_join`` for rows that cost much to make: they are made once.
+
+    All rows pass the broadcast of the heavy keys; those it has matched go through the shuffle of the others dealt by ``spread``.
+    """
+    total = keyed.agg(F.sum(weight)).first()[0] or 0
+    payload = [c for c in keyed.columns if c not in on]
+    heavy = F.col(weight) * HEAVY > F.lit(total)
+    hot = keyed.filter(heavy).select(*on, F.struct(*payload).alias("_hot"))
+    cold = keyed.filter(~heavy).select(*[F.col(c).alias(f"_{c}") for c in on], F.lit(0).alias("_dealt"), F.struct(*payload).alias("_cold"))
+    known = F.col("_hot").isNotNull()
+    dealt = F.when(known, F.pmod(F.xxhash64(spread), F.lit(HEAVY)).cast("int")).otherwise(0)
+    left = rows.join(F.broadcast(hot), list(on), "left").withColumns({f"_{c}": F.when(~known, F.col(c)) for c in on} | {"_dealt": dealt})
+    both = left.join(cold, [*(f"_{c}" for c in on), "_dealt"], "left").withColumn("_any", F.coalesce("_hot", "_cold"))
+    return both.select(*rows.columns, *[F.col(f"_any.{c}").alias(c) for c in payload])
+
+
 def counted(df: DataFrame, on: Sequence[str], label: str) -> DataFrame:
     """Written table of the keys that occur more than once, with their number of rows as ``n``."""
     return durable(df.groupBy(*on).agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), label)

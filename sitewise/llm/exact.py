@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from sitewise.llm.common import counted, keyed_join, texts
+from sitewise.llm.common import counted, keyed_join, keyed_join_once, texts
 from sitewise.session import durable
 
 #: Deleted before texts are compared.
@@ -35,7 +35,7 @@ def exact_groups(docs: DataFrame, prefix: int = 64, digests: bool = False) -> Da
     heads = counted(alike.select("len", "head"), ["len", "head"], "exact-heads")
 
     whole = F.unhex(F.sha2("body", 256))
-    found = keyed_join(rows, heads, ["len", "head"], "n", how="left")
+    found = keyed_join_once(rows, heads, ["len", "head"], "n", F.col("doc_id"))
     hashed = durable(
         found.select("doc_id", "points", F.when(F.col("n").isNotNull(), whole).alias("whole"), *([whole.alias("digest")] if digests else []),
                      F.monotonically_increasing_id().alias("row")),
