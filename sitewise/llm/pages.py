@@ -4,7 +4,7 @@ A token is an element with the names of those around it, or a whole text block i
 is on each page of the host; tokens of equal vectors are an equivalence class.  Vectors are compared by 128-bit sums over pages, which
 tasks add up in part, so a host of any size is only ever a table of tokens.  Classes of several tokens on at least half of
 the pages are valid where their tokens keep one order; nested in each other they are the host's template, and what lies between its tokens
-are slots.  The article is taken from the slots inside the template's article, or where it has none, inside the element whose slots hold
+are slots.  The article is taken from the slots inside the page's article, or where it has none, inside the element whose slots hold
 most of the text that varies.  Menus, headers, footers, asides, forms, notices, adverts and comments are left out wherever they are.  A page
 alone on its host has no template and is read by its own elements.
 """
@@ -93,15 +93,18 @@ def templates(pages: DataFrame) -> DataFrame:
 
 
 class Template:
-    """Template tokens of one host."""
+    """Template tokens that may be on a page."""
 
     def __init__(self, rows: list[dict] | None) -> None:
         self.kind = {r["token"]: r["class"] for r in rows or ()}
         self.order = {r["token"]: k for k, r in enumerate(rows or ())}
-        self.article = any(r["path"] and _inside(r["path"], ("article", "main")) for r in rows or ())
+        self.size = Counter(self.kind.values())
 
     def valid(self, tokens: list[int]) -> set[int]:
-        """Tokens of the classes whose members are on the page, once or more, in the template's order."""
+        """Tokens of the page's valid classes: all members are on the page, in the template's order, and no two classes cross.
+
+        Of classes that cross, neither within one slot of the other, the larger stays.
+        """
         first: dict[int, int] = {}
         for place, token in enumerate(tokens):
             if token in self.kind:
@@ -109,29 +112,43 @@ class Template:
         by_class: dict[int, list[int]] = {}
         for token in sorted(first, key=self.order.__getitem__):
             by_class.setdefault(self.kind[token], []).append(token)
-        size = Counter(self.kind.values())
-        return {t for c, own in by_class.items() if len(own) == size[c] and all(first[a] < first[b] for a, b in zip(own, own[1:], strict=False)) for t in own}
-
-
-def _inside(path: str, tags: tuple[str, ...]) -> bool:
-    return any(part.split(".")[0] in tags for part in path.split(">"))
+        whole = {c: own for c, own in by_class.items() if len(own) == self.size[c] and all(first[a] < first[b] for a, b in zip(own, own[1:], strict=False))}
+        left = {c: len(own) for c, own in whole.items()}
+        opened: list[int] = []
+        for token in sorted((t for own in whole.values() for t in own), key=first.__getitem__):
+            c = self.kind[token]
+            if c not in whole:
+                continue
+            if left[c] == len(whole[c]):
+                opened.append(c)
+            while c in whole and opened[-1] != c:  # what was opened later is closed, or crosses this one
+                inner = opened[-1]
+                if left[inner] == 0 or (self.size[inner], inner) < (self.size[c], c):
+                    opened.pop()
+                    if left[inner]:
+                        del whole[inner]
+                else:
+                    opened.remove(c)
+                    del whole[c]
+            left[c] -= 1
+        return {t for own in whole.values() for t in own}
 
 
 def main_text(source: str, rows: list[dict] | None) -> str:
-    """Blocks of the article, two line breaks between them."""
+    """Blocks of the article that are not part of the template, two line breaks between them; all of them where none is left."""
     page = read_page(source)
     own = [b for _, b in page.blocks if not b.boiler]
-    template = Template(rows)
-    if any(b.article for b in own) and (template.article or not template.kind):
-        return "\n\n".join(b.text for b in own if b.article)
-    # no article in the template: blocks that are not part of it, in the element with most of their text
-    names = list(page_tokens(page))
-    hashes = _hashes(names).view(np.int64).tolist()
-    fixed = template.valid(hashes)
-    constant = {n for n, h in zip(names, hashes, strict=True) if h in fixed}
+    constant: set[str] = set()
+    if rows:
+        names = list(page_tokens(page))
+        hashes = _hashes(names).view(np.int64).tolist()
+        fixed = Template(rows).valid(hashes)
+        constant = {n for n, h in zip(names, hashes, strict=True) if h in fixed}
     slots = [b for b in own if f"{b.path}\n{b.text}" not in constant]
-    if any(b.article for b in slots):
-        return "\n\n".join(b.text for b in slots if b.article)
+    if any(b.article for b in own):
+        own = [b for b in own if b.article]
+        return "\n\n".join(b.text for b in [b for b in slots if b.article] or own)
+    # no article: in the element with most of the text that varies
     held: Counter[str] = Counter()
     for b in slots:
         parts = b.path.split(">")

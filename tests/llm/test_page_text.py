@@ -1,6 +1,6 @@
 """Main text of pages with and without a template."""
 
-from sitewise.llm.pages import extract, main_text, templates
+from sitewise.llm.pages import Template, extract, main_text, templates
 
 HEAD = "<!DOCTYPE html><html><head><title>t</title><style>p{}</style><script>var t='</p>';</script></head><body>"
 
@@ -58,6 +58,20 @@ def test_equivalence_classes(spark):
     assert {">html", ">html>body", ">html>body>div>h2"} <= paths and ">html>body>div>p" not in paths
 
 
+def test_template_inside_the_article_goes(spark):
+    line = "<div>Get our letter every week</div>"
+    rows = [(i, f"https://news.example.com/{i}", page(f"<nav>Menu</nav><article><h1>Story {i}</h1>{line}<p>What happened in {i}.</p><p>Read also</p></article>")) for i in range(8)]
+    rows.append((99, "https://single.example.com/", page(f"<article>{line}<p>Alone</article>")))
+    got = {r.page_id: r.text for r in extract(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == {i: f"Story {i}\n\nWhat happened in {i}." for i in range(8)} | {99: "Get our letter every week\n\nAlone"}
+
+
+def test_classes_that_cross_are_not_both_valid():
+    rows = [{"token": t, "class": c} for t, c in zip((1, 2, 3, 4, 5, 6, 7), (8, 9, 8, 9, 8, 7, 7), strict=True)]
+    assert Template(rows).valid([1, 2, 3, 4, 5, 6, 7]) == {1, 3, 5, 6, 7}  # 9 has members in two slots of 8
+    assert Template(rows).valid([1, 2, 4, 3, 5, 7, 6]) == {1, 2, 3, 4, 5}  # here in one; 7 is out of order
+
+
 def test_rows_nulls_and_clashing_columns(spark):
     rows = [(1, None, None), (1, "x", ""), (None, "https://a.example/b", page("<article><p>t")), (2, "https://a.example/b", page("<article><p>t")), (2, "https://a.example/b", page("<article><p>t"))]
     table = spark.createDataFrame([(*r, "h", 1, "t", 2) for r in rows], SCHEMA + ", host string, pages int, text string, n_chars int")
