@@ -2,9 +2,11 @@
 
 A token is an element with the names of those around it, or a whole text block in its place.  Its occurrence vector says how often it
 is on each page of the host; tokens of equal vectors are an equivalence class.  Vectors are compared by 128-bit sums over pages, which
-tasks add up in part, so a host of any size is only ever a table of tokens.  Classes of several tokens on at least half of
-the pages are valid where their tokens keep one order; nested in each other they are the host's template, and what lies between its tokens
-are slots.  The article is taken from the slots inside the page's article, or where it has none, inside the element whose slots hold
+tasks add up in part, so a host of any size is only ever a table of tokens.  Classes of several tokens on a few pages or on half of the
+host's are the templates of its layouts; a page meets those whose tokens it holds.  They are valid where their tokens keep one order;
+nested in each other they are the page's template, and what lies between its tokens are slots.  Pages of equal html are one page.  A class on few
+pages may also be a text that was copied, so it must have text that varies between its tokens and a token outside the article.
+The article is taken from the slots inside the page's article, or where it has none, inside the element whose slots hold
 most of the text that varies.  Menus, headers, footers, asides, forms, notices, adverts and comments are left out wherever they are.  A page
 alone on its host has no template and is read by its own elements.
 """
@@ -12,6 +14,7 @@ alone on its host has no template and is read by its own elements.
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
@@ -21,14 +24,14 @@ from pyspark.sql import DataFrame, functions as F
 
 from sitewise.llm.bytetext import mix64
 from sitewise.llm.common import in_small_batches, keyed_join
-from sitewise.llm.htmltext import Page, read_page
+from sitewise.llm.htmltext import MAIN, Page, read_page
 from sitewise.session import durable
 
-#: Share of a host's pages a template token is on; tokens of a class at least.
-FREQUENT, LARGE = 0.5, 2
+#: Tokens of a class at least, and pages it is on, fewer if they are ``FREQUENT`` of the host's; pages that are not few.
+LARGE, SUPPORT, FREQUENT, MANY = 2, 3, 0.5, 10
 _U = np.uint64
 _SALTS = (_U(0x9E3779B97F4A7C15), _U(0xC2B2AE3D27D4EB4F))
-TOKENS = "host string, token bigint, path string, v1 bigint, v2 bigint, place double, varies bigint"
+TOKENS = "host string, page bigint, copies bigint, token bigint, path string, v1 bigint, v2 bigint, place double"
 
 
 def _hashes(names: list[str]) -> np.ndarray:
@@ -36,36 +39,41 @@ def _hashes(names: list[str]) -> np.ndarray:
     return np.frombuffer(b"".join(hashlib.blake2b(n.encode(), digest_size=8).digest() for n in names), _U)
 
 
+def _inside(path: str, tags: frozenset[str]) -> bool:
+    return any(part.split(".")[0] in tags for part in path.split(">"))
+
+
 def page_tokens(page: Page) -> dict[str, list]:
-    """Token -> [times, first place, is it an element, path, code points of blocks in it]."""
+    """Token -> [times, is it an element, path, is it in an article]."""
     out: dict[str, list] = {}
     where = 0
     for at, block in [*page.blocks, (len(page.opened), None)]:
         for path in page.opened[where:at]:
-            out.setdefault(path, [0, len(out), True, path, 0])[0] += 1
+            out.setdefault(path, [0, True, path, _inside(path, MAIN)])[0] += 1
         where = at
         if block:
-            out.setdefault(f"{block.path}\n{block.text}", [0, len(out), False, block.path, len(block.text)])[0] += 1
+            out.setdefault(f"{block.path}\n{block.text}", [0, False, block.path, _inside(block.path, MAIN)])[0] += 1
     return out
 
 
 def _tokens(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Tokens of each page with the page's share of their vectors."""
+    """A row without a token for each page, and its tokens with the page's share of their vectors."""
     for batch in stream:
         key = batch.column("page").to_numpy().view(_U)
-        columns: list[list] = [[] for _ in range(7)]
-        for i, (host, source) in enumerate(zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True)):
+        rows = (batch.column(c).to_pylist() for c in ("host", "page", "copies", "html"))
+        columns: list[list] = [[] for _ in range(8)]
+        for i, (host, page, copies, source) in enumerate(zip(*rows, strict=True)):
             found = page_tokens(read_page(source))
             names = list(found)
             times = np.array([found[n][0] for n in names], _U)
-            columns[0] += [host] * len(names)
-            columns[1] += _hashes(names).view(np.int64).tolist()
-            columns[2] += [found[n][3] if found[n][2] else None for n in names]
+            for c, value in enumerate((host, page, copies)):
+                columns[c] += [value] * (1 + len(names))
+            columns[3] += [None, *_hashes(names).view(np.int64).tolist()]
+            columns[4] += [None, *(found[n][2] if found[n][1] else None for n in names)]
             for k, salt in enumerate(_SALTS):
-                columns[3 + k] += (mix64(key[i : i + 1] ^ salt) * times).view(np.int64).tolist()
-            columns[5] += [float(found[n][1]) for n in names]
-            columns[6] += [found[n][4] for n in names]
-        kinds = (pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.float64(), pa.int64())
+                columns[5 + k] += [0, *(mix64(key[i : i + 1] ^ salt) * times).view(np.int64).tolist()]
+            columns[7] += [float(k) for k in range(-1, len(names))]
+        kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.float64())
         yield pa.record_batch([pa.array(c, kind) for c, kind in zip(columns, kinds, strict=True)], names=[x.split()[0] for x in TOKENS.split(", ")])
 
 
@@ -76,20 +84,39 @@ def _wrapped(name: str):
     return F.shiftleft(carried, 32).bitwiseOR(low.bitwiseAND(F.lit(0xFFFFFFFF))).alias(name)
 
 
-def templates(pages: DataFrame) -> DataFrame:
-    """(host, pages, template) of rows (host, page, html): the template's tokens as (token, class, place, path), by place."""
-    counts = pages.groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
-    found = pages.select("host", "page", "html").mapInArrow(_tokens, TOKENS)
-    tokens = found.groupBy("host", "token").agg(
+def found_tokens(pages: DataFrame) -> DataFrame:
+    """Written tokens of the different pages of rows (host, page, html); rows of one host and page have equal html."""
+    different = pages.groupBy("host", "page").agg(F.first("html").alias("html"), F.count(F.lit(1)).alias("copies"))
+    return durable(different.mapInArrow(_tokens, TOKENS), "page-tokens")
+
+
+def template_tokens(found: DataFrame) -> DataFrame:
+    """Written rows (host, pages, token, class, size, on, place, path) of written tokens: the classes of all layouts of a host."""
+    counts = durable(found.filter("token is null").groupBy("host").agg(F.count(F.lit(1)).alias("pages")).filter("pages > 1"), "page-hosts")
+    tokens = found.filter("token is not null").groupBy("host", "token").agg(
         F.count(F.lit(1)).alias("on"), _wrapped("v1"), _wrapped("v2"), F.avg("place").alias("place"), F.max("path").alias("path")
     )
-    frequent = tokens.filter("on > 1").join(counts.filter("pages > 1"), "host").filter(F.col("on") >= FREQUENT * F.col("pages"))
-    # tokens on half of the pages are at most twice those of a page
+    shared = durable(tokens.filter("on > 1"), "page-shared")
+    frequent = keyed_join(shared, counts, ["host"], "pages").filter((F.col("on") >= SUPPORT) | (F.col("on") >= FREQUENT * F.col("pages")))
+    # all tokens of a class are on one page, so it is no larger than a page
     members = F.sort_array(F.collect_list(F.struct("place", "token", "path")))
-    classes = frequent.groupBy("host", "pages", "on", "v1", "v2").agg(members.alias("members")).filter(F.size("members") >= LARGE)
-    flat = classes.select("host", "pages", F.xxhash64("v1", "v2").alias("class"), F.explode("members").alias("m"))
-    parts = F.sort_array(F.collect_list(F.struct("m.place", "m.token", "class", "m.path")))
-    return flat.groupBy("host", "pages").agg(parts.alias("template"))
+    classes = frequent.groupBy("host", "pages", "on", "v1", "v2").agg(members.alias("members")).withColumn("size", F.size("members")).filter(F.col("size") >= LARGE)
+    flat = classes.select("host", "pages", F.xxhash64("v1", "v2").alias("class"), "size", "on", F.explode("members").alias("m"))
+    return durable(flat.select("host", "pages", "m.token", "class", "size", "on", "m.place", "m.path"), "page-classes")
+
+
+def templates(pages: DataFrame) -> DataFrame:
+    """(host, pages, template) of rows (host, page, html), to look at: a host's template tokens as (token, class, place, path), by place."""
+    parts = F.sort_array(F.collect_list(F.struct("place", "token", "class", "path")))
+    return template_tokens(found_tokens(pages)).groupBy("host", "pages").agg(parts.alias("template"))
+
+
+def page_templates(found: DataFrame) -> DataFrame:
+    """Written rows (page, copies, template) of all pages: the template tokens on each of them, by place."""
+    met = keyed_join(found.filter("token is not null").select("host", "page", "token"), template_tokens(found), ["host", "token"], "on")
+    parts = F.sort_array(F.collect_list(F.struct("place", "token", "class", "size", (F.col("on") < F.least(F.lit(MANY), F.ceil(FREQUENT * F.col("pages")))).alias("few"))))
+    lists = met.groupBy("page").agg(parts.alias("template"))
+    return durable(found.filter("token is null").select("page", "copies").join(lists, "page", "left"), "page-templates")
 
 
 class Template:
@@ -98,7 +125,8 @@ class Template:
     def __init__(self, rows: list[dict] | None) -> None:
         self.kind = {r["token"]: r["class"] for r in rows or ()}
         self.order = {r["token"]: k for k, r in enumerate(rows or ())}
-        self.size = Counter(self.kind.values())
+        self.size = {r["class"]: r["size"] for r in rows or ()}
+        self.few = {r["class"] for r in rows or () if r["few"]}
 
     def valid(self, tokens: list[int]) -> set[int]:
         """Tokens of the page's valid classes: all members are on the page, in the template's order, and no two classes cross.
@@ -133,17 +161,30 @@ class Template:
             left[c] -= 1
         return {t for own in whole.values() for t in own}
 
+    def constant(self, found: dict[str, list]) -> set[str]:
+        """Names of the page's tokens (``page_tokens``) that are its template."""
+        names = list(found)
+        tokens = _hashes(names).view(np.int64).tolist()
+        fixed = self.valid(tokens)
+        # per class: the first and last place of its members, and is one of them outside the article
+        spans: dict[int, list] = {}
+        varying = []
+        for place, (name, token) in enumerate(zip(names, tokens, strict=True)):
+            _, element, _, article = found[name]
+            if token in fixed:
+                span = spans.setdefault(self.kind[token], [place, place, False])
+                span[1], span[2] = place, span[2] or not article
+            elif not element:
+                varying.append(place)
+        copied = {c for c, (i, j, outside) in spans.items() if c in self.few and not (outside and bisect_left(varying, i) < bisect_left(varying, j))}
+        return {n for n, t in zip(names, tokens, strict=True) if t in fixed and self.kind[t] not in copied}
+
 
 def main_text(source: str, rows: list[dict] | None) -> str:
     """Blocks of the article that are not part of the template, two line breaks between them; all of them where none is left."""
     page = read_page(source)
     own = [b for _, b in page.blocks if not b.boiler]
-    constant: set[str] = set()
-    if rows:
-        names = list(page_tokens(page))
-        hashes = _hashes(names).view(np.int64).tolist()
-        fixed = Template(rows).valid(hashes)
-        constant = {n for n, h in zip(names, hashes, strict=True) if h in fixed}
+    constant = Template(rows).constant(page_tokens(page)) if rows else set()
     slots = [b for b in own if f"{b.path}\n{b.text}" not in constant]
     if any(b.article for b in own):
         own = [b for b in own if b.article]
@@ -169,13 +210,13 @@ def extract(pages: DataFrame) -> DataFrame:
     """One row per row of ``pages``: page_id, url, text, n_chars.
 
     White space within a block is one space, blocks are joined by two line breaks, character references are decoded.  A null or empty
-    html, or one without an article, has an empty text; a null url belongs to a host of its own name; rows that repeat a page count
-    as pages of their own; an empty table gives none.
+    html, or one without an article, has an empty text; a null url belongs to a host of its own name; rows that repeat a page
+    count as one and have equal texts; an empty table gives none.
     """
     host = F.coalesce(F.lower(F.regexp_extract("url", r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)", 1)), F.lit(""))
     rows = in_small_batches(pages).select(F.col("page_id").cast("bigint").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce("html", F.lit("")).alias("html"))
-    keyed = rows.withColumns({"host": host, "page": F.xxhash64("page_id", "url", "html")})
-    shared = durable(templates(keyed), "page-templates")
-    met = keyed_join(keyed.select("page_id", "url", "html", "host"), shared, ["host"], "pages", how="left")
+    keyed = rows.withColumn("host", host).withColumn("page", F.xxhash64("host", "html"))
+    known = page_templates(found_tokens(keyed.select("host", "page", "html")))
+    met = keyed_join(keyed.select("page_id", "url", "html", "page"), known, ["page"], "copies")
     found = met.select("page_id", "url", "html", "template").mapInArrow(_extract, "page_id bigint, url string, text string")
     return found.withColumn("n_chars", F.length("text").cast("bigint"))

@@ -67,11 +67,30 @@ def test_template_inside_the_article_goes(spark):
 
 
 def test_classes_that_cross_are_not_both_valid():
-    rows = [{"token": t, "class": c} for t, c in zip((1, 2, 3, 4, 5, 6, 7), (8, 9, 8, 9, 8, 7, 7), strict=True)]
+    rows = [{"token": t, "class": c, "size": {7: 2, 8: 3, 9: 2}[c], "few": False} for t, c in zip((1, 2, 3, 4, 5, 6, 7), (8, 9, 8, 9, 8, 7, 7), strict=True)]
     assert Template(rows).valid([1, 2, 3, 4, 5, 6, 7]) == {1, 3, 5, 6, 7}  # 9 has members in two slots of 8
     assert Template(rows).valid([1, 2, 4, 3, 5, 7, 6]) == {1, 2, 3, 4, 5}  # here in one; 7 is out of order
 
 
+def test_layouts_of_a_part_of_the_pages(spark):
+    rows, texts = [], {}
+    for i in range(15):
+        kind = "abc"[i % 3]
+        story = [f"Story {i}", *(f"Sentence {k} of story {i}." for k in range(2 + i % 4))]
+        body = "".join(f"<p>{t}</p>" for t in story)
+        rows.append((i, f"https://mixed.example.com/{i}", f"<html><body><div class=top-{kind}><div>Home {kind}</div></div><div class=text-{kind}>{body}</div><div>Rights {kind}</div></body></html>"))
+        texts[i] = "\n\n".join(story)
+    got = {r.page_id: r.text for r in extract(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == texts
+
+
+def test_copied_article_is_no_template(spark):
+    rows = [(i, f"https://copies.example.com/{i}", page(f"<nav>Menu</nav><article><h1>Story {i}</h1><p>What happened in {i}.</p></article>")) for i in range(20)]
+    rows += [(i, f"https://copies.example.com/{i}", page(f"<nav>Menu</nav><article><h1>Press</h1><p>Said {i}.</p><ul><li>One</ul><p>Two</article>")) for i in range(20, 24)]
+    got = {r.page_id: r.text for r in extract(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert [got[i] for i in (0, 20, 23)] == ["Story 0\n\nWhat happened in 0.", *(f"Press\n\nSaid {i}.\n\nOne\n\nTwo" for i in (20, 23))]
+
+
 def test_rows_nulls_and_clashing_columns(spark):
     rows = [(1, None, None), (1, "x", ""), (None, "https://a.example/b", page("<article><p>t")), (2, "https://a.example/b", page("<article><p>t")), (2, "https://a.example/b", page("<article><p>t"))]
     table = spark.createDataFrame([(*r, "h", 1, "t", 2) for r in rows], SCHEMA + ", host string, pages int, text string, n_chars int")
