@@ -27,14 +27,25 @@ BOILER_NAMES = frozenset(
 )
 
 
+#: Parts that make a name speak of the page around an element, not of the element.
+ABOUT = frozenset("has no not with without".split())
+
+
 @dataclass
 class Block:
-    """A text block: its text, the paths of the elements around it, whether one of them is boilerplate, whether it is in an article."""
+    """A text block: its text, the paths of the elements around it, whether one of them is boilerplate, whether it is in an article.
+
+    ``hard`` is boilerplate by a tag other than a form, or hidden; ``marks`` are the numbers of the elements around it that are boilerplate
+    by a name or as a form; ``around`` those of them that its outermost article is in or has itself, None where no article is around it.
+    """
 
     text: str
     path: str
     boiler: bool
     article: bool
+    hard: bool = False
+    marks: tuple[int, ...] = ()
+    around: tuple[int, ...] | None = None
 
 
 @dataclass
@@ -45,23 +56,30 @@ class Page:
     blocks: list[tuple[int, Block]]
 
 
-def _names(attributes: str) -> tuple[list[str], bool]:
-    """Parts of class, id and role, and is the element hidden."""
-    names, hidden = [], False
+def _names(attributes: str) -> tuple[list[str], list[str], bool]:
+    """Parts of class, id and role, those of them that say what the element is, and is it hidden."""
+    names, telling, hidden = [], [], False
     if not attributes.strip():
-        return names, hidden
+        return names, telling, hidden
     for key, value in _ATTRIBUTE.findall(attributes):
         key, value = key.lower(), value.strip("\"'").lower()
         if key in ("class", "id", "role"):
-            names += re.split(r"[\s_-]+", value)
+            for name in value.split():
+                parts = [n for n in re.split(r"[_-]+", name) if n]
+                names += parts
+                telling += parts if ABOUT.isdisjoint(parts) else []
         hidden = hidden or key == "hidden" or (key == "aria-hidden" and value == "true") or (key == "style" and "display:none" in value.replace(" ", ""))
-    return [n for n in names if n], hidden
+    return names, telling, hidden
+
 
+def read_page(source: str, lifted: frozenset[int] = frozenset()) -> Page:
+    """All elements and blocks of a page; white space in a block is one space, empty blocks are none.
 
-def read_page(source: str) -> Page:
-    """All elements and blocks of a page; white space in a block is one space, empty blocks are none."""
+    The elements numbered in ``lifted`` are not boilerplate by a name or as a form.
+    """
     page = Page([], [])
-    stack: list[tuple[str, str, bool, bool]] = [("", "", False, False)]  # tag, path, boilerplate, article
+    # tag, path, boilerplate, article, and the block's hard, marks and around
+    stack: list[tuple[str, str, bool, bool, bool, tuple[int, ...], tuple[int, ...] | None]] = [("", "", False, False, False, (), None)]
     pieces: list[str] = []
 
     def flush() -> None:
@@ -69,8 +87,7 @@ def read_page(source: str) -> Page:
             text = " ".join("".join(pieces).split())
             pieces.clear()
             if text:
-                _, path, boiler, article = stack[-1]
-                page.blocks.append((len(page.opened), Block(text, path, boiler, article)))
+                page.blocks.append((len(page.opened), Block(text, *stack[-1][1:])))
 
     def close(tags) -> None:
         while len(stack) > 1 and stack[-1][0] in tags:
@@ -111,12 +128,18 @@ def read_page(source: str) -> Page:
         if tag in CLOSES_P:
             close({"p"})
         close(SIBLING.get(tag, ()))
-        names, hidden = _names(m[3])
-        _, path, boiler, article = stack[-1]
+        names, telling, hidden = _names(m[3])
+        _, path, boiler, article, hard, marks, around = stack[-1]
         kept = article and (tag == "header" or "header" in names)  # an article's own heading
-        own = (tag in BOILER and not kept) or hidden or any(n in BOILER_NAMES and not (n == "header" and article) for n in names if tag not in ("html", "body"))
+        hard = hard or hidden or (tag in BOILER and tag != "form" and not kept)
+        named = tag not in ("html", "body") and any(n in BOILER_NAMES and not (n == "header" and article) for n in telling)
+        if (named or (tag == "form" and not kept)) and len(page.opened) not in lifted:
+            marks = (*marks, len(page.opened))
+        boiler = hard or bool(marks)
+        if tag in MAIN and around is None and not hard:
+            around = marks
         path = f"{path}>{tag}" + "".join(f".{n}" for n in names[:4])
-        stack.append((tag, path, boiler or own, article or (tag in MAIN and not boiler)))
+        stack.append((tag, path, boiler, article or (tag in MAIN and not stack[-1][2]), hard, marks, around))
         page.opened.append(path)
     flush()
     return page

@@ -7,7 +7,8 @@ host's are the templates of its layouts; a page meets those whose tokens it hold
 nested in each other they are the page's template, and what lies between its tokens are slots.  Pages of equal html are one page.  A class on few
 pages may also be a text that was copied, so it must have text that varies between its tokens and a token outside the article.
 The article is taken from the slots inside the page's article, or where it has none, inside the element whose slots hold
-most of the text that varies.  Menus, headers, footers, asides, forms, notices, adverts and comments are left out wherever they are.  A page
+most of the text that varies.  Menus, headers, footers, asides, forms, notices, adverts and comments are left out wherever they are, but an element
+that is one by its class, id or role only, or a form, is read where it holds the page's article or nearly all text that varies.  A page
 alone on its host has no template and is read by its own elements.
 """
 
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from sitewise.llm.bytetext import mix64
 from sitewise.llm.common import in_small_batches, keyed_join
-from sitewise.llm.htmltext import MAIN, Page, read_page
+from sitewise.llm.htmltext import MAIN, Block, Page, read_page
 from sitewise.session import durable
 
 #: Tokens of a class at least, and pages it is on, fewer if they are ``FREQUENT`` of the host's; pages that are not few.
@@ -180,11 +181,35 @@ class Template:
         return {n for n, t in zip(names, tokens, strict=True) if t in fixed and self.kind[t] not in copied}
 
 
+def wrappers(slots: list[Block], template: bool) -> frozenset[int]:
+    """Numbers of the elements that have the name of boilerplate, or are a form, but hold the page's text, for a page without an article outside them.
+
+    They are those around the article with half of the text that varies, or without one those that hold nine tenths of it.  A page without a template
+    must have two paragraphs there, as all of its text may be a menu or notice.
+    """
+    total = sum(len(b.text) for b in slots)
+    around, held, paragraphs = Counter(), Counter(), Counter()
+    for b in slots:
+        if b.around:
+            around[b.around] += len(b.text)
+        for mark in b.marks:
+            held[mark] += len(b.text)
+            paragraphs[mark] += b.path.rsplit(">", 1)[-1].split(".")[0] == "p"
+    for marks in sorted(around, key=lambda m: (len(m), -around[m])):
+        if 2 * around[marks] >= total:
+            return frozenset(marks)
+    return frozenset(m for m, n in held.items() if 10 * n >= 9 * total and (template or paragraphs[m] > 1))
+
+
 def main_text(source: str, rows: list[dict] | None) -> str:
     """Blocks of the article that are not part of the template, two line breaks between them; all of them where none is left."""
     page = read_page(source)
-    own = [b for _, b in page.blocks if not b.boiler]
     constant = Template(rows).constant(page_tokens(page)) if rows else set()
+    varies = [b for _, b in page.blocks if not b.hard and f"{b.path}\n{b.text}" not in constant]
+    if not any(b.article and not b.boiler for _, b in page.blocks):
+        lifted = wrappers(varies or [b for _, b in page.blocks if not b.hard], bool(rows and varies))
+        page = read_page(source, lifted) if lifted else page
+    own = [b for _, b in page.blocks if not b.boiler]
     slots = [b for b in own if f"{b.path}\n{b.text}" not in constant]
     if any(b.article for b in own):
         own = [b for b in own if b.article]

@@ -72,6 +72,20 @@ def test_classes_that_cross_are_not_both_valid():
     assert Template(rows).valid([1, 2, 4, 3, 5, 7, 6]) == {1, 2, 3, 4, 5}  # here in one; 7 is out of order
 
 
+def test_names_and_forms_around_the_article():
+    text = "<p>Text of the story.</p><p>More of it.</p>"
+    story, rest = f"<article><header><h1>Title</h1></header>{text}<div class=ad-box>Buy</div></article>", "<div id=comments><article class=comment><p>First of all!</article></div><div class=site-footer>Foot</div>"
+    want = "Title\n\nText of the story.\n\nMore of it."
+    for around in ("div class='layout has-sidebar'", "div class='no-sidebar'", "div class='header-fixed'", "div class='page-with-comments'", "form id=aspnet", "div class=widget"):
+        assert main_text(page(f"<{around}><nav>Menu</nav>{story}{rest}</{around.split()[0]}>"), None) == want, around
+    assert main_text(page(story.replace("<article>", "<article class='post widget'>") + rest), None) == want
+    assert main_text(page(f"<form><div class=menu>Menu</div><div>{text}</div></form>"), None).endswith("Text of the story.\n\nMore of it.")
+    # what is boilerplate stays out
+    assert main_text(page(f"<div>{text}</div>{rest}"), None) == "Text of the story.\n\nMore of it."
+    assert main_text(page("<div class=cookie-notice>Accept</div><form><p>Name</p></form>"), None) == ""
+    assert main_text(page("<nav><article><p>Menu</p></article></nav>"), None) == ""
+
+
 def test_layouts_of_a_part_of_the_pages(spark):
     rows, texts = [], {}
     for i in range(15):
