@@ -1,13 +1,16 @@
 """Rates per document that bring a corpus to target shares of soft domains.
 
 Only DataFrame functions.  A multinomial classifier over hashed words, counted from a labelled table, gives each document a
-posterior over domains.  With tokens t, posteriors p and rates r >= 0 the expected total of domain d is sum_i r_i t_i p_id; projected
-gradient steps fit the rates so that these totals meet the targets.  A step needs only the totals: a row's rate is a function of its
-own posterior and of the steps so far, so each step is one grouping without keys, and the driver sees as many numbers as there are domains.
+posterior over domains.  With tokens t, posteriors p and rates r >= 0 the expected total of domain d is sum_i r_i t_i p_id.  Of the rates
+whose totals meet the targets, the nearest to 1 are max(0, 1 - p_i . price) for one price per domain; Newton steps on the prices, with the moments
+of the rows of positive rate, find them.  Each step is one grouping without keys, and the driver sees as many numbers as there are pairs of domains.
 """
 
 from __future__ import annotations
 
+import warnings
+from collections.abc import Callable
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -16,7 +19,8 @@ from sitewise.session import durable
 
 #: Buckets of hashed words; labelled rows used at most (those of smallest id hash); words that count as independent evidence at most.
 BUCKETS, LABELLED, EVIDENCE = 4096, 20_000, 8.0
-STEPS, TOLERANCE, FOLD = 48, 1e-6, 8
+#: Steps at most, largest miss of a domain as a share of all tokens, and weight of the prices' squares, which matters to targets out of reach only.
+STEPS, TOLERANCE, RIDGE = 48, 1e-6, 1e-11
 
 
 def words(text: Column | str) -> Column:
@@ -70,34 +74,64 @@ def posteriors(docs: DataFrame, weights: np.ndarray) -> DataFrame:
     return raised.withColumn("_t", total).select("doc_id", "k1", "k2", "n_tokens", F.transform("e", lambda x: x / F.col("_t")).alias("p"))
 
 
+def prices(sums: Callable[[np.ndarray], np.ndarray], shares: np.ndarray) -> tuple[np.ndarray, float]:
+    """Prices and the largest miss that remains.
+
+    ``sums`` gives for prices the sums of t r^2, t r p (per domain) and t p p' (upper triangle) over rows of positive rate r, by all tokens.  The prices are
+    the least point of a convex function, sum t r^2 / 2 + shares . price and a ridge; a step that does not lower it enough is shortened.
+    """
+    k = len(shares)
+
+    def at(x: np.ndarray) -> tuple[float, np.ndarray, np.ndarray, np.ndarray]:
+        squares, *rest = sums(x)
+        reached, moments = np.array(rest[:k]), np.zeros((k, k))
+        moments[np.triu_indices(k)] = rest[k:]
+        moments = moments + np.triu(moments, 1).T
+        return squares / 2 + shares @ x + RIDGE / 2 * x @ x, shares - reached + RIDGE * x, moments + RIDGE * np.eye(k), reached - shares
+
+    x = np.zeros(k)
+    value, slope, curve, miss = at(x)
+    for _ in range(STEPS):
+        if np.abs(slope).max() <= TOLERANCE / 10:
+            break
+        move, length = -np.linalg.solve(curve, slope), 1.0
+        while length > 1e-12:
+            tried = at(x + length * move)
+            if tried[0] <= value + 1e-4 * length * (slope @ move) or np.abs(tried[1]).max() <= TOLERANCE / 10:
+                break
+            length /= 4
+        else:
+            break  # no digits left
+        x = x + length * move
+        value, slope, curve, miss = tried
+    return x, float(np.abs(miss).max())
+
+
 def fit_rates(soft: DataFrame, targets: list[float]) -> DataFrame:
-    """Adds ``rate`` to rows (n_tokens, p): nonnegative, 1 before any step, expected totals in the proportion of ``targets``.
+    """Adds ``rate`` to rows (n_tokens, p): nonnegative, as near to 1 as expected totals in the proportion of ``targets`` allow.
 
-    Least squares in the metric of the domains' own moment matrix, so unclipped rows arrive in one step and only clipping asks for
-    more.  The corpus keeps its size in tokens.  Every ``FOLD`` steps the rates are written, so that the plan stays short.
+    The corpus keeps its size in tokens.  Targets that no rates meet are met as nearly as they can be, and a warning gives the miss.
     """
     k = len(targets)
     p = [F.get("p", F.lit(d)) for d in range(k)]
     t = F.col("n_tokens").cast("double")
-    cells = [F.sum(t * p[a] * p[b]) for a in range(k) for b in range(a, k)]
-    total, *upper = [float(x or 0.0) for x in soft.agg(F.sum(t), *cells).first()]
-    moments = np.zeros((k, k))
-    moments[np.triu_indices(k)] = upper
-    moments = moments + np.triu(moments, 1).T
-    wanted = np.asarray(targets, float) / sum(targets) * total
-    metric = np.linalg.pinv(moments, rcond=1e-9, hermitian=True)
-
-    state = soft.withColumn("rate", F.lit(1.0))
-    for step in range(STEPS if total else 0):
-        reached = np.array([float(x or 0.0) for x in state.agg(*[F.sum(F.col("rate") * t * p[d]) for d in range(k)]).first()])
-        miss = reached - wanted
-        if np.abs(miss).max() <= TOLERANCE * total:
-            break
-        move = metric @ miss
-        state = state.withColumn("rate", F.greatest(F.lit(0.0), F.col("rate") - sum(p[d] * F.lit(float(move[d])) for d in range(k))))
-        if step % FOLD == FOLD - 1:
-            state = durable(state, "mix-rates")
-    return state
+    total = float(soft.agg(F.sum(t)).first()[0] or 0.0)
+    if not total:
+        return soft.withColumn("rate", F.lit(1.0))
+
+    def rate(x: np.ndarray) -> Column:
+        return F.greatest(F.lit(0.0), F.lit(1.0) - sum(p[d] * F.lit(float(x[d])) for d in range(k)))
+
+    def sums(x: np.ndarray) -> np.ndarray:
+        r = F.col("rate")
+        cells = [F.sum(F.when(r > 0, t * p[a] * p[b])) for a in range(k) for b in range(a, k)]
+        row = soft.withColumn("rate", rate(x)).agg(F.sum(t * r * r), *[F.sum(t * r * p[d]) for d in range(k)], *cells).first()
+        return np.array([float(v or 0.0) for v in row]) / total
+
+    found, miss = prices(sums, np.asarray(targets, float) / sum(targets))
+    if miss > TOLERANCE:
+        warnings.warn(f"mixing misses a target by {miss:.2g} of all tokens", stacklevel=2)
+    return soft.withColumn("rate", rate(found))
 
 
 def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float]) -> DataFrame:

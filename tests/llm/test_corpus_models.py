@@ -121,6 +121,26 @@ def test_rates_that_must_be_clipped(spark):
     assert np.allclose(reached, p.T @ (rate * t), rtol=1e-4)
 
 
+def test_targets_far_from_the_corpus_are_met(spark):
+    rng = np.random.default_rng(5)
+    for shares, targets in (([0.9, 0.1], [0.1, 0.9]), ([0.97, 0.03], [0.01, 0.99]), ([0.25] * 4, [0.85, 0.05, 0.05, 0.05])):
+        score = rng.normal(0, 1, (2000, len(shares)))
+        score[np.arange(2000), rng.choice(len(shares), 2000, p=shares)] += 4
+        p = np.exp(score) / np.exp(score).sum(1, keepdims=True)
+        rows = [(i, int(n), [float(x) for x in q]) for i, (n, q) in enumerate(zip(rng.integers(1, 500, 2000), p, strict=True))]
+        soft = spark.createDataFrame(rows, "doc_id bigint, n_tokens bigint, p array<double>")
+        got = mixing.fit_rates(soft, targets).collect()
+        reached = sum(r.rate * r.n_tokens * np.array(r.p) for r in got) / sum(r.n_tokens for r in got)
+        assert min(r.rate for r in got) >= 0 and np.abs(reached - targets).max() <= mixing.TOLERANCE
+
+
+def test_targets_out_of_reach_are_told(spark):
+    soft = spark.createDataFrame([(1, 10, [0.5, 0.5]), (2, 30, [0.6, 0.4])], "doc_id bigint, n_tokens bigint, p array<double>")
+    with pytest.warns(UserWarning, match="misses a target by 0.3"):
+        got = mixing.fit_rates(soft, [0.9, 0.1]).collect()
+    assert {r.doc_id: r.rate > 0 for r in got} == {1: False, 2: True}
+
+
 def test_mixing_awkward_rows(spark):
     docs = frame(spark, awkward())
     labelled = spark.createDataFrame([(4, "en"), (9, "fr"), (1, "de"), (None, "en"), (5, None), (5, "xx")], "doc_id bigint, domain string")
