@@ -117,7 +117,7 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op7_near_classes")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near.near_classes(read_table(spark, sf_dir, "documents")).drop("k1", "k2")
+    return near.near_classes(read_table(spark, sf_dir, "documents"), wordless=True).drop("k1", "k2")
 
 
 @query("op3_suffix_dedup")
