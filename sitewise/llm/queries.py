@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sitewise.llm import decontaminate, exact, lines, mixing, near, pages, private, quality, repeats, toxicity
+from sitewise.llm import decontaminate, exact, lines, mixing, near, negatives, pages, periods, private, quality, repeats, simhash, toxicity
 from sitewise.sources.tables import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -135,3 +135,50 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_page_text")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.extract(read_table(spark, sf_dir, "pages"))
+
+
+def embedding_negatives(embeddings: DataFrame) -> DataFrame:
+    """Hard negatives of a table (vec_id, embedding, label): components by 256ths, every seventh id with the next label, every fiftieth an anchor."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = embeddings.filter(negatives.usable("embedding")).select(
+        "vec_id", label.alias("label"), negatives.quantised("embedding").alias("vec"), (F.col("vec_id") % 50 == 0).alias("anchor")
+    )
+    return negatives.hard_negatives(rows)
+
+
+@query(
+    "op12_hard_negatives",
+    """
+    with usable as (
+      select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+        list_transform(embedding, lambda x: floor(256 * x::double)) as vec, row_number() over () as place
+      from embeddings
+      where vec_id is not null and label is not null and embedding is not null
+        and coalesce(list_bool_and(list_transform(embedding, lambda x: coalesce(isfinite(x), false))), true)
+    ), scored as (
+      select a.place, a.vec_id as anchor_id, b.vec_id, a.label = b.label as alike, cast(list_inner_product(a.vec, b.vec) as bigint) as score
+      from usable a join usable b on a.vec_id % 50 = 0 and a.place <> b.place
+    ), positives as (
+      select place, vec_id as positive_id, score as positive_score,
+        row_number() over (partition by place order by score desc, vec_id) as turn
+      from scored where alike qualify turn <= 5
+    )
+    select s.anchor_id, p.positive_id, s.vec_id as negative_id, p.positive_score, s.score as negative_score,
+      cast(row_number() over (partition by s.place, p.turn order by s.score desc, s.vec_id) as int) as rank
+    from scored s join positives p on s.place = p.place
+    where not s.alike and 50 * p.positive_score <= 100 * s.score and 100 * s.score <= 95 * p.positive_score
+    qualify rank <= 3
+    """,
+)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_negatives(read_table(spark, sf_dir, "embeddings"))
+
+
+@query("op11_simhash_components")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.simhash_components(read_table(spark, sf_dir, "documents"))
+
+
+@query("op13_periodic_runs")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periods.periodic_runs(read_table(spark, sf_dir, "documents"))
