@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from sitewise.functions.scalar import neglog_complement
 from sitewise.operators import models, nested, pooled, prep, resample, summary
+from sitewise.operators.boosting import Boosting, boosted
 from sitewise.operators.joins import group_join, member_rows, other_rows, paired_delta
 from sitewise.operators.metrics import evaluate, r2
 from sitewise.operators.nested import UPTO, WITHOUT, TrainingSets
@@ -21,10 +22,10 @@ from sitewise.sources import tables
 
 INVERSE_PENALTIES = [10.0 ** (-4 + 8 * i / 9) for i in range(10)]
 #: Sizes of the experiments: replicates of site and patient additions and of the spread curves, stays that join at a time,
-#: rows of a curve's test set (half of a site with fewer than twice as many); boosted trees, of which the operator's own number is 1000.
-ORDERS, SPREADS, PATIENTS, LOCAL, TESTED, TREES = 100, 50, 500, 100, 500, 50
-#: Trees per fold where they are cross-validated: five fits in place of one.
-FOLD_TREES = 10
+#: rows of a curve's test set (half of a site with fewer than twice as many).
+ORDERS, SPREADS, PATIENTS, LOCAL, TESTED = 100, 50, 500, 100, 500
+#: A thousand trees of depth 9, as the experiments have them.
+TREES = Boosting()
 #: Sites held out of the site additions; sites of the spread curves.
 HELD_OUT, SPREAD_SITES = (7, 2, 11), (7, 2, 11, 18)
 
@@ -48,10 +49,16 @@ def pooled_logistic(fr):
 
 @query("boosted_trees")
 def boosted_trees(fr):
-    """Gradient-boosted trees of four folds; metrics per site on the fifth, which they have not seen."""
-    rows = durable(resample.folds(complete(fr), ["id"], 71017), "complete")
-    model = pooled.fit_boosted_trees(rows.filter("fold <> 0"), "y", FEATURES, trees=TREES, depth=9)
-    return evaluate(pooled.predict(model, rows.filter("fold = 0")), ["site"])
+    """Boosted trees of four folds, missing values and all; metrics per site on the fifth, which they have not seen."""
+    rows = resample.folds(feat(fr), ["id"], 71017).withColumn("model", F.lit(0)).withColumn("train", F.col("fold") != 0)
+    return evaluate(boosted(rows, "model", ["id"], "y", FEATURES, "train", TREES).filter("not train"), ["site"])
+
+
+@query("site_trees")
+def site_trees(fr):
+    """Boosted trees of each site alone, measured on its own rows as the retrained models are."""
+    rows = feat(fr).withColumn("train", F.lit(True))
+    return evaluate(boosted(rows, "site", ["id"], "y", FEATURES, "train", TREES), ["site"])
 
 
 def penalty_search(rows: DataFrame, k: int = 3) -> DataFrame:
@@ -126,14 +133,12 @@ def cv_metrics(fr):
 @query("cv_summary_models")
 def cv_summary_models(fr):
     """Logistic model and boosted trees over the same five folds: means of the fold metrics, written as CSV and read back."""
-    rows = durable(resample.folds(complete(fr), ["id"], 71017), "complete")
+    rows = durable(resample.folds(feat(fr), ["id"], 71017), "folded")
     logistic = evaluate(out_of_fold(rows, FEATURES), ["fold"]).withColumn("model", F.lit("l2"))
-    parts = []
-    for fold in range(5):
-        trees = pooled.fit_boosted_trees(rows.filter(F.col("fold") != fold), "y", FEATURES, trees=FOLD_TREES, depth=9)
-        parts.append(pooled.predict(trees, rows.filter(F.col("fold") == fold)).select("fold", "y", "p"))
-    boosted = evaluate(durable(reduce(DataFrame.unionByName, parts), "folds"), ["fold"]).withColumn("model", F.lit("trees"))
-    path = tables.write_cv_summary(logistic.select("model", "auc", "smr").unionByName(boosted.select("model", "auc", "smr")))
+    sets = rows.withColumn("held", F.explode(F.sequence(F.lit(0), F.lit(4)))).withColumn("train", F.col("held") != F.col("fold"))
+    grown = boosted(sets, "held", ["id"], "y", FEATURES, "train", TREES).filter("not train")
+    boosted_scores = evaluate(grown, ["fold"]).withColumn("model", F.lit("trees"))
+    path = tables.write_cv_summary(logistic.select("model", "auc", "smr").unionByName(boosted_scores.select("model", "auc", "smr")))
     return tables.read_matrix(fr.spark, path, "model string, auc double, smr double")
 
 
