@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from sitewise.functions.scalar import safe_ratio
 from sitewise.operators.ranking import add_cells
@@ -89,13 +89,11 @@ def r2(df: DataFrame, by: Sequence[str], y: Column, f: Column) -> DataFrame:
     return df.groupBy(*by).agg((1 - safe_ratio(residual, total)).alias("r2"))
 
 
-def funnel_limits(sizes: DataFrame, n: str = "n", first: int = 10, step: int = 10) -> DataFrame:
-    """95% limits around 1 for a ratio of counts, for sizes from ``first`` up to the largest size."""
-    largest = sizes.agg(F.max(n).alias("largest"))
-    steps = F.when(F.col("largest") > first, F.sequence(F.lit(first).cast("bigint"), F.col("largest") - 1, F.lit(step).cast("bigint")))
+def funnel_limits(spark: SparkSession, first: int = 10, last: int = 3000, step: int = 10) -> DataFrame:
+    """95% limits around 1 for a ratio of counts, for sizes from ``first`` to below ``last``; the sizes are dealt to all tasks."""
     size = F.col("n").cast("double")
     half = F.lit(1.96) * F.sqrt(size) / size
-    return largest.select(F.explode(steps).alias("n")).select("n", (1 + half).alias("upper"), (1 - half).alias("lower"))
+    return spark.range(first, max(last, first), step).select(F.col("id").alias("n")).select("n", (1 + half).alias("upper"), (1 - half).alias("lower"))
 
 
 def funnel_outliers(metrics: DataFrame, min_outcome: int = 10) -> DataFrame:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from sitewise.operators.joins import group_join, salted_join
+from sitewise.operators.joins import group_join
 from sitewise.operators.prep import moments, standardized, with_moments
 from sitewise.session import durable, shuffle_partitions
 
@@ -254,5 +254,5 @@ def score_pairs(rows: DataFrame, pairs: DataFrame, models: DataFrame, features:
     # every row is scored under many models: spread the narrow rows before they multiply
     spread = rows.repartition(shuffle_partitions(rows.sparkSession), test, *features)
     # pairs are often exploded: written first, so that their size is known and not estimated
-    paired = salted_join(spread, durable(pairs.select(train, test), "pairs"), [test], spread=features)
-    return _with_probability(salted_join(paired, table, [train], spread=features), features, "p")
+    paired = group_join(spread, durable(pairs.select(train, test), "pairs"), [test], spread=features)
+    return _with_probability(group_join(paired, table, [train], spread=features), features, "p")

@@ -83,6 +83,11 @@ def ordered_positions(df: DataFrame, by: Sequence[str], order: Sequence[Column],
     )
 
 
+def small_group_positions(df: DataFrame, by: Sequence[str], order: Sequence[Column], out: str = "position") -> DataFrame:
+    """``row_number()`` in groups that are small by nature, such as the stays of a person: one window, nothing written."""
+    return df.withColumn(out, F.row_number().over(W.partitionBy(*by).orderBy(*order)).cast("bigint"))
+
+
 def is_first(df: DataFrame, by: Sequence[str], order: Sequence[str], unique: str, out: str = "is_first") -> DataFrame:
     """1 for the first row of its group, NULLs last; a minimum per group, no window.
 

@@ -46,7 +46,7 @@ def replicate(df: DataFrame, b: int) -> DataFrame:
 
 def site_order(df: DataFrame, site: str, held_out: int, b: int, seed: int) -> DataFrame:
     """(b, n, site): a random order of all sites but the held-out one, for each replicate."""
-    sites = df.select(site).distinct().filter(F.col(site) != held_out)
+    sites = df.select(site).distinct().filter(~F.col(site).eqNullSafe(held_out))
     ordered = hash_positions(replicate(sites, b), ["b"], [site, "b"], seed, "n")
     return ordered.select("b", "n", site)
 

@@ -143,10 +143,12 @@ def levels_by_frequency(df: DataFrame, column: str, null_level: str = "null", at
     return [r["level"] for r in found]
 
 
-def drop_reference_dummies(df: DataFrame, column: str, null_level: str = "null") -> DataFrame:
-    """One-hot with the most frequent level left out as the reference."""
-    levels = levels_by_frequency(df, column, null_level)
-    return dummy_columns(df, column, sorted(levels), levels[0], null_level)
+def drop_reference_dummies(df: DataFrame, *columns: str, null_level: str = "null") -> DataFrame:
+    """One-hot of each column with its most frequent level left out as the reference."""
+    for column in columns:
+        levels = levels_by_frequency(df, column, null_level)
+        df = dummy_columns(df, column, sorted(levels), levels[0], null_level)
+    return df
 
 
 def improvement(deltas: DataFrame, delta: str) -> DataFrame:

@@ -8,15 +8,15 @@ import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
 from sitewise.functions.scalar import neglog_complement
-from sitewise.operators import models, nested, pooled, prep, resample, summary
+from sitewise.operators import linear, models, nested, pooled, resample, summary
 from sitewise.operators.boosting import Boosting, boosted
 from sitewise.operators.joins import group_join, member_rows, other_rows, paired_delta
-from sitewise.operators.metrics import evaluate, r2
+from sitewise.operators.metrics import evaluate
 from sitewise.operators.nested import UPTO, WITHOUT, TrainingSets
 from sitewise.plans.offset_source import severity_rows
 from sitewise.queries.registry import query
 from sitewise.queries.sinks import complete
-from sitewise.queries.sites import FEATURES, site_pairs
+from sitewise.queries.sites import FEATURES, METRICS, direct_metrics, rounded, site_pairs
 from sitewise.session import durable
 from sitewise.sources import tables
 
@@ -184,8 +184,9 @@ def left_out_models(rows: DataFrame) -> DataFrame:
     The sites are numbered on the driver, as their models are; no row is read for more than one pass per step.
     """
     sites = sorted((r["site"] for r in rows.select("site").distinct().collect()), key=lambda s: (s is not None, s))
-    code = F.coalesce(F.col("site").cast("int"), F.lit(-1))
-    sets = TrainingSets.of([(0, WITHOUT, -1 if s is None else s) for s in sites])
+    missing = min((s for s in sites if s is not None), default=0) - 1  # no site's own number
+    code = F.coalesce(F.col("site").cast("int"), F.lit(missing))
+    sets = TrainingSets.of([(0, WITHOUT, missing if s is None else s) for s in sites])
     fitted = nested.fit_sets(rows, "y", FEATURES, F.array(code), sets)
     names = rows.sparkSession.createDataFrame(list(enumerate(sites)), "model int, site int")
     return names.join(fitted, "model").drop("model")
@@ -206,12 +207,12 @@ def single_source_transfer(fr):
     """Models of each other site tested on one site, with the size of their training set."""
     rows = feat(fr)
     target = 7
-    fitted = durable(models.fit_logistic(rows.filter(F.col("site") != target), "site", "y", FEATURES), "fitted")
+    fitted = durable(models.fit_logistic(rows.filter(~F.col("site").eqNullSafe(target)), "site", "y", FEATURES), "fitted")
     pairs = fitted.select(F.col("site").alias("train_site"), F.lit(target).alias("test_site"))
     tests = rows.filter(F.col("site") == target).withColumnRenamed("site", "test_site")
     scored = models.score_pairs(tests, pairs, fitted, FEATURES)
     sizes = fitted.select(F.col("site").alias("train_site"), F.col("n_rows").alias("n_train"))
-    return evaluate(scored, ["train_site"]).join(sizes, "train_site")
+    return group_join(evaluate(scored, ["train_site"]), durable(sizes, "sizes"), ["train_site"], spread=["auc"])
 
 
 @query("era_transfer")
@@ -233,31 +234,67 @@ def source_transfer(fr):
 
 @query("recalibrate")
 def recalibrate(fr):
-    """Pooled model before and after a one-feature recalibration per site."""
+    """Model of all other sites before and after a one-feature recalibration per site, fitted on half of its rows and measured on the rest."""
     rows = feat(fr)
-    scored = durable(models.score_one(rows, one_model(rows), FEATURES).withColumn("x", neglog_complement("p")), "scored")
-    fitted = models.fit_logistic(scored, "site", "y", ["x"])
-    again = models.score(scored, fitted, "site", ["x"], out="p_new")
+    base = models.score(rows, left_out_models(rows), "site", FEATURES)
+    scored = durable(resample.folds(base.withColumn("x", neglog_complement("p")), ["id"], 1292, 2, by=["site"]), "scored")
+    fitted = models.fit_logistic(scored.filter("fold = 0"), "site", "y", ["x"])
+    again = durable(models.score(scored.filter("fold = 1"), fitted, "site", ["x"], out="p_new"), "recalibrated")
     return paired_delta(evaluate(again, ["site"]), evaluate(again, ["site"], p="p_new"), "site", ["smr", "logloss", "auc"], "_recalibrated")
 
 
+def site_info(fr) -> tuple[DataFrame, dict[str, str]]:
+    """Sites with enough rows and their features under plain names, with what the names stand for."""
+    info = summary.drop_reference_dummies(fr.siteinfo, "numbedscategory", "region")
+    info = info.withColumn("teachingstatus", (F.col("teachingstatus") == "t").cast("int")).filter("n >= 500")
+    severity = severity_rows(fr.apache).select("patientunitstayid", F.col("apachescore").cast("double").alias("score"))
+    means = fr.patient.join(severity, "patientunitstayid").groupBy(F.col("hospitalid").alias("site")).agg(F.avg("score").alias("mean_severity"))
+    info = info.join(means, "site", "left")
+    named = info.toDF(*[f"c{i}" if c != "site" else c for i, c in enumerate(info.columns)])
+    return named, {n: c for n, c in zip(named.columns, info.columns, strict=True) if c != "site"}
+
+
 @query("site_meta_regression")
 def site_meta_regression(fr):
-    """Can site features predict how well the left-out model does: weights and r2 of a linear fit."""
+    """Can site features predict how well a model does on a site: weights and r2 of linear fits.
+
+    Measured are the model of all other sites and the severity score's own probability, each by AUROC and by the ratio of outcomes; inputs are all site
+    features but size and outcome rate, the outcome rate alone, and the mean severity alone.
+    """
     rows = feat(fr)
-    perf = evaluate(models.score(rows, left_out_models(rows), "site", FEATURES), ["site"]).select("site", "auc")
-    info = summary.drop_reference_dummies(summary.drop_reference_dummies(fr.siteinfo, "numbedscategory"), "region")
-    info = info.withColumn("teachingstatus", (F.col("teachingstatus") == "t").cast("int"))
-    named = info.toDF(*[f"c{i}" if c != "site" else c for i, c in enumerate(info.columns)])
-    names = dict(zip(named.columns, info.columns))
-    inputs = [c for c in named.columns if names[c] not in ("site", "n", "rate")]
-    table = named.filter(F.col(f"c{info.columns.index('n')}") >= 500).join(perf, "site")
-    table = durable(prep.standardize(table, inputs), "siteinfo")
-    model = pooled.fit_linear(table, "auc", inputs)
-    fit = r2(model.transform(table), [], F.col("auc"), F.col("prediction"))
-    weights = pooled.coefficients(table, model, inputs)
+    targets = ["auc", "smr"]
+    by_model = evaluate(models.score(rows, left_out_models(rows), "site", FEATURES), ["site"]).select("site", *[F.col(t).alias(f"{t}_model") for t in targets])
+    by_score = direct_metrics(fr).select("site", *[F.col(t).alias(f"{t}_severity") for t in targets])
+    named, names = site_info(fr)
+    table = durable(named.join(by_model, "site", "left").join(by_score, "site", "left"), "siteinfo")
+    code = {c: n for n, c in names.items()}
+    measured = [f"{t}_{of}" for of in ("model", "severity") for t in targets]
+    sets = {
+        "all": [n for n, c in names.items() if c not in ("n", "rate", "mean_severity")], "all and severity": [n for n, c in names.items() if c not in ("n", "rate")],
+        "rate": [code["rate"]], "severity": [code["mean_severity"]],
+    }
+    fits = linear.least_squares(table, measured, sets)
     label = F.element_at(F.create_map(*[F.lit(v) for pair in names.items() for v in pair]), F.col("feature"))
-    return weights.withColumn("feature", label).withColumn("r2", fit.scalar())
+    return fits.select(F.split("target", "_")[1].alias("measured"), F.split("target", "_")[0].alias("target"), "inputs", label.alias("feature"), "weight", "r2", "n")
+
+
+@query(
+    "site_rate_regression",
+    f"""with {METRICS('pred', 'site', 'y', 'p')}, {METRICS('pred', 'site', 'y', 'p2', 'again')},
+      table_ as (select i.rate, i.mean_price, m.auc, m.smr, g.auc as auc2, g.smr as smr2 from siteinfo i join metrics m using (site) join again g using (site)),
+      long as (unpivot (unpivot (select rate, mean_price, auc, smr, auc2, smr2 from table_) on rate, mean_price into name feature value x)
+        on auc, smr, auc2, smr2 into name target value v)
+      select target, feature, feature as inputs, round(regr_slope(v, x) * stddev_pop(x), 6) as weight, round(regr_r2(v, x), 6) as r2, count(*) as n
+      from long where v is not null group by target, feature""",
+    "pred siteinfo",
+)
+def site_rate_regression(fr):
+    """Each measure of two scores of the sites against one site feature at a time."""
+    first = evaluate(fr.pred, ["site"], "y", "p").select("site", "auc", "smr")
+    second = evaluate(fr.pred, ["site"], "y", "p2").select("site", F.col("auc").alias("auc2"), F.col("smr").alias("smr2"))
+    table = durable(fr.siteinfo.join(first, "site").join(second, "site"), "siteinfo")
+    fits = linear.least_squares(table, ["auc", "smr", "auc2", "smr2"], {f: [f] for f in ("rate", "mean_price")})
+    return rounded(fits, "target", "feature", "inputs", "n")
 
 
 # --- curves: nested training sets
@@ -314,7 +351,7 @@ def patient_addition_replicates(fr):
     """Stays of other sites join in blocks of 500, in a hundred random orders; tested on a held-out site."""
     held_out = HELD_OUT[0]
     rows = feat(fr)
-    source = rows.filter(F.col("site") != held_out)
+    source = rows.filter(~F.col("site").eqNullSafe(held_out))
     steps = max((source.count() - 1) // PATIENTS, 1)  # sets smaller than the whole
     placed = resample.prefix_order(source.select("id"), "id", ORDERS, 9)
     joined = placed.select("id", (F.col("b") - 1).alias("family"), resample.first_step("position", PATIENTS).alias("first_step"))
@@ -339,7 +376,7 @@ def local_learning_curve(fr):
     train = placed.filter(F.col("position") <= last).withColumn("codes", F.array(resample.first_step("position", LOCAL)))
     tests = placed.filter(F.col("position") > last).withColumn("family", F.lit(0))
     local = curve_scores(train, tests, 1, steps).withColumn("trained_on", F.lit("local"))
-    others = one_model(rows.filter(F.col("site") != target))
+    others = one_model(rows.filter(~F.col("site").eqNullSafe(target)))
     moved = evaluate(models.score_one(tests, others, FEATURES), ["family"])
     ends = moved.withColumn("n", F.explode(F.array(F.lit(1), F.lit(steps)))).withColumn("trained_on", F.lit("other sites"))
     return local.unionByName(ends.select(*local.columns)).withColumn("b", F.lit(1)).drop("family")

@@ -190,18 +190,20 @@ def metric_bucket_query(fr):
 
 @query(
     "dummy_drop_reference",
-    """select hospitalid, case when teachingstatus = 't' then 1 else 0 end as teachingstatus, region,
+    """select hospitalid, case when teachingstatus = 't' then 1 else 0 end as teachingstatus,
+         cast(region is not distinct from 'AMERICA' as int) as "region_AMERICA", cast(region is not distinct from 'ASIA' as int) as "region_ASIA",
+         cast(region is not distinct from 'EUROPE' as int) as "region_EUROPE", cast(region is not distinct from 'MIDDLE EAST' as int) as "region_MIDDLE EAST",
          cast(numbedscategory = '<100' and numbedscategory is not null as int) as "numbedscategory_<100",
          cast(numbedscategory = '100 - 249' and numbedscategory is not null as int) as "numbedscategory_100 - 249",
          cast(numbedscategory = '>= 500' and numbedscategory is not null as int) as "numbedscategory_>= 500"
-       from hospital where (select mode(coalesce(numbedscategory, 'null')) from hospital) = 'null'""",
+       from hospital where (select mode(coalesce(numbedscategory, 'null')) from hospital) = 'null'
+         and (select level from (select coalesce(region, 'null') as level, count(*) as n from hospital group by 1 order by 2 desc, 1 limit 1)) = 'AFRICA'""",
     "hospital",
 )
 def dummy_drop_reference(fr):
-    """0/1 columns per level, the most frequent level left out."""
+    """0/1 columns per level of two columns, the most frequent level of each left out."""
     bool_status = fr.hospital.withColumn("teachingstatus", flag(F.col("teachingstatus") == "t"))
-    wide = drop_reference_dummies(bool_status, "numbedscategory")
-    return wide.withColumns({c: F.coalesce(F.col(f"`{c}`"), F.lit(0)) for c in wide.columns if c.startswith("numbeds")})
+    return drop_reference_dummies(bool_status, "numbedscategory", "region")
 
 
 @query("semi_min_group", "select id, site from stay where site in (select site from stay group by site having count(*) >= 600)", "stay")

@@ -201,12 +201,17 @@ def site_metrics(fr):
 @query("score_direct", f"with scored as (select p.hospitalid as site, (p.hospitaldischargestatus is not distinct from 'Expired')::int as y, a.predictedhospitalmortality::double as p from patient p join apache a using (patientunitstayid) where a.apacheversion = 'IVa' and a.predictedhospitalmortality not in ('', '-1')), {METRICS('scored', 'site', 'y', 'p')} select site, {ROUNDED} from metrics", "patient apache")
 def score_direct(fr):
     """A severity score that already is a probability, evaluated per site."""
+    return rounded(direct_metrics(fr), "site", "count", "outcome")
+
+
+def direct_metrics(fr):
+    """Metrics per site of the severity score's own probability."""
     risk = F.col("predictedhospitalmortality").try_cast("double")
     scores = severity_rows(fr.apache).select("patientunitstayid", risk.alias("p")).filter("p > 0")
     rows = fr.patient.join(scores, "patientunitstayid").select(
         F.col("hospitalid").alias("site"), flag(F.col("hospitaldischargestatus") == "Expired").alias("y"), "p"
     )
-    return rounded(M.evaluate(rows, ["site"]), "site", "count", "outcome")
+    return M.evaluate(rows, ["site"])
 
 
 DELTA_SQL = f"""{METRICS('pred', 'site', 'y', 'p', 'before')}, {METRICS('pred', 'site', 'y', 'p2', 'after')},
@@ -268,7 +273,8 @@ def funnel_outliers(fr):
 )
 def funnel_limits(fr):
     """Limits for all sizes up to the largest site, in steps of ten."""
-    return rounded(M.funnel_limits(summary.site_sizes(fr.pred, "site")), "n")
+    largest = summary.site_sizes(fr.pred, "site").agg(F.max("n")).first()[0]
+    return rounded(M.funnel_limits(fr.spark, last=largest or 0), "n")
 
 
 # --- preparation

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from sitewise.functions.scalar import r6
 from sitewise.operators.cohort import capped_days, first_limited
 from sitewise.operators.joins import null_counts
-from sitewise.operators.ranking import is_first, ordered_positions
+from sitewise.operators.ranking import is_first, small_group_positions
 from sitewise.operators.timeseries import anchors
 from sitewise.plans import offset_source, timestamp_source
 from sitewise.plans.vocabulary import OFFSET_CODE_WORDS, TIMESTAMP_CODE_WORDS, TIMESTAMP_ETHNICITY
@@ -109,7 +109,7 @@ def join_left_nullcount(fr):
 @query("first_stay_rank", "select id, person, row_number() over (partition by person order by admit, id) as rank from stay", "stay")
 def first_stay_rank(fr):
     """Number of each stay of a person."""
-    return ordered_positions(fr.stay.select("id", "person", "admit"), ["person"], [F.col("admit").asc_nulls_last(), F.col("id")], "rank").drop("admit")
+    return small_group_positions(fr.stay.select("id", "person", "admit"), ["person"], [F.col("admit").asc_nulls_last(), F.col("id")], "rank").drop("admit")
 
 
 @query(
@@ -121,7 +121,7 @@ def first_stay_rank(fr):
 def stay_rank_in_visit(fr):
     rows = fr.patient.select("patientunitstayid", "patienthealthsystemstayid", "hospitaladmitoffset")
     order = [F.col("hospitaladmitoffset").asc_nulls_last(), F.col("patientunitstayid")]
-    return ordered_positions(rows, ["patienthealthsystemstayid"], order, "rank").select("patientunitstayid", "rank")
+    return small_group_positions(rows, ["patienthealthsystemstayid"], order, "rank").select("patientunitstayid", "rank")
 
 
 @query(
