@@ -32,8 +32,8 @@ _BYTE = mix64(np.arange(1, 257, dtype=_U) * _STEP)[_LOWER]
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes and offsets of a column of texts without nulls."""
-    column = column.cast(pa.large_string())
+    """Bytes and offsets of a column of texts, or of bytes, without nulls."""
+    column = column.cast(pa.large_binary())
     if not len(column):
         return np.zeros(0, np.uint8), np.zeros(1, np.int64)
     offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]

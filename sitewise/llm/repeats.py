@@ -5,8 +5,11 @@ windows are brought together by anchor.  Neighbouring windows mostly share their
 window.  Strips whose anchor occurs once cannot repeat anything and stay where they are; equal strips travel once, with their number.
 The strips of an anchor are sorted by suffix (see ``suffixes``), and windows whose common prefix with a neighbour is a whole window repeat.
 
-An anchor with more than ``GROUP`` bytes of different strips is not given to one task: its windows are counted by 128-bit hashes,
-over all tasks, which is exact for groups of any size.
+An anchor with more than ``GROUP`` bytes of different strips is not given to one task.  Its strips are cut into parts whose windows have the anchor in places
+less than ``PART`` apart; all windows that can be in such a part hold the same bytes around the anchor, so equal windows are in parts with equal ones.
+Equal parts, which copies that differ elsewhere mostly have, again travel once, and the parts of one core are sorted like the strips of one anchor.  Only
+where even those are too many are single windows counted, by 128-bit hashes relative to their own start: 10^15 such windows hold two
+different ones of equal hash with a probability of about 10^-9.  Everywhere else repeats are told by their bytes or by 128-bit digests of whole strips.
 """
 
 from __future__ import annotations
@@ -26,7 +29,9 @@ from sitewise.session import durable
 LENGTH, GRAM = 400, 16
 WINDOW = LENGTH - GRAM + 1
 #: Bytes of text scanned at a time; of strips in one suffix array, unless one anchor has more; of one anchor's strips in one task.
-PIECE, ARRAY, GROUP = 1 << 18, 1 << 18, 1 << 22
+PIECE, ARRAY, GROUP = 1 << 18, 1 << 18, 1 << 20
+#: Places that the anchor may have in the windows of a part.
+PART = 128
 _U = np.uint64
 
 
@@ -110,6 +115,11 @@ def _cut_strips(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([*(fields[c] for c in ("anchor", "digest", "n", "large")), cut], names=["anchor", "digest", "n", "large", "strip"])
 
 
+def _cut(picked: DataFrame) -> DataFrame:
+    """The strips picked from rows (text, picks)."""
+    return picked.select("text", "picks").mapInArrow(_cut_strips, "anchor bigint, digest binary, n bigint, large boolean, strip binary")
+
+
 def _spans(marked: np.ndarray) -> list[int]:
     """First and behind-last place of each run of marked windows, one after the other."""
     edge = np.diff(np.concatenate([[0], marked.astype(np.int8), [0]]))
@@ -153,35 +163,94 @@ def _found(rows: list[tuple[int, bytes, list[int]]]) -> pa.RecordBatch:
     return pa.record_batch([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=["anchor", "digest", "spans"])
 
 
-def _window_hashes(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Two 64-bit hashes of every window of the strips of large groups."""
+def _slices(stream: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Rows with a column ``strip``, a few at a time, with their bytes and offsets."""
     for whole in stream:
-        for first in range(0, whole.num_rows, 512):
-            batch = whole.slice(first, 512)
-            data, offsets = text_bytes(batch.column("strip").cast(pa.large_binary()).view(pa.large_string()))
-            number = np.diff(offsets) - LENGTH + 1
-            at = np.repeat(offsets[:-1], number) + runs(number)
-            row = np.repeat(np.arange(batch.num_rows), number)
-            out = []
-            for base in (_U(0x9E3779B97F4A7C15), _U(0xC2B2AE3D27D4EB4F)):
-                powers = np.cumprod(np.full(len(data) + 1, base, _U))
-                total = np.concatenate([np.zeros(1, _U), np.cumsum(mix64(data.astype(_U) + base) * powers[:-1], dtype=_U)])
-                # sums from different places are made alike by raising the earlier one
-                out.append(mix64((total[at + LENGTH] - total[at]) * powers[len(data) - at]).view(np.int64))
-            yield pa.record_batch(
-                [batch.column(c).take(pa.array(row)) for c in ("anchor", "digest", "n")] + [pa.array(runs(number).astype(np.int32)), *map(pa.array, out)],
-                names=["anchor", "digest", "n", "place", "h1", "h2"],
-            )
+        for first in range(0, whole.num_rows, 256):
+            batch = whole.slice(first, 256)
+            yield batch, *text_bytes(batch.column("strip"))
+
+
+def _parts(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each strip's parts: first window, windows, hash of the bytes that all windows of such a part hold, digest."""
+    for batch, data, offsets in _slices(stream):
+        number = np.diff(offsets) - LENGTH + 1
+        row = np.repeat(np.arange(batch.num_rows), number)
+        at = offsets[row] + runs(number)
+        hashes = gram_hashes(data)
+        owner = np.repeat(np.arange(batch.num_rows), np.diff(offsets))[: len(hashes)]
+        hit = hashes == batch.column("anchor").to_numpy().view(_U)[owner]
+        # the first place of the anchor in each window
+        place = np.minimum.accumulate(np.where(hit, np.arange(len(hashes)), len(data))[::-1])[::-1][at]
+        kind = (place - at) // PART
+        cut = np.flatnonzero(np.concatenate([[True], (np.diff(row) != 0) | (np.diff(place) != 0) | (np.diff(kind) != 0)]))
+        count = np.diff(np.append(cut, len(at)))
+        raw = data.tobytes()
+        cores, digests = [], []
+        for first, n, anchor, j in zip(at[cut].tolist(), count.tolist(), place[cut].tolist(), kind[cut].tolist(), strict=True):
+            last = anchor - j * PART  # where the last window begins that a part of this kind can have
+            cores.append(int.from_bytes(hashlib.blake2b(raw[last : last + LENGTH + 1 - PART], digest_size=8, key=bytes([j + 1])).digest(), "little", signed=True))
+            digests.append(hashlib.blake2b(raw[first : first + n + LENGTH - 1], digest_size=16).digest())
+        own = pa.array(row[cut])
+        yield pa.record_batch(
+            [batch.column(c).take(own) for c in ("anchor", "digest", "n")]
+            + [pa.array((at - offsets[row])[cut]), pa.array(count), pa.array(cores, pa.int64()), pa.array(digests, pa.binary())],
+            names=["anchor", "digest", "n", "start", "windows", "core", "part"],
+        )
 
 
-def _large_groups(cut: DataFrame) -> DataFrame:
-    """Repeated windows of strips of large groups: windows counted by hash, each strip's put together again."""
-    windows = durable(cut.select("anchor", "digest", "n", "strip").mapInArrow(_window_hashes, "anchor bigint, digest binary, n bigint, place int, h1 bigint, h2 bigint"), "repeat-windows")
+def _window_hashes(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Two 64-bit hashes of the bytes of every window."""
+    for batch, data, offsets in _slices(stream):
+        number = np.diff(offsets) - LENGTH + 1
+        row = np.repeat(np.arange(batch.num_rows), number)
+        at = offsets[row] + runs(number)
+        out = []
+        for base in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F):
+            powers, back = (np.cumprod(np.concatenate([[_U(1)], np.full(len(data), x, _U)])) for x in (base, pow(base, -1, 1 << 64)))
+            total = np.concatenate([np.zeros(1, _U), np.cumsum(mix64(data.astype(_U) + _U(base)) * powers[:-1], dtype=_U)])
+            # divided by the power of the window's own start, a sum depends on the window's bytes alone
+            out.append(mix64((total[at + LENGTH] - total[at]) * back[at]).view(np.int64))
+        yield pa.record_batch(
+            [batch.column(c).take(pa.array(row)) for c in ("anchor", "digest", "n")] + [pa.array(runs(number).astype(np.int32)), *map(pa.array, out)],
+            names=["anchor", "digest", "n", "place", "h1", "h2"],
+        )
+
+
+def _counted_windows(kinds: DataFrame) -> DataFrame:
+    """(anchor, digest, spans) of the windows of written strips that occur again: counted by hash, each strip's put together again."""
+    windows = durable(kinds.select("anchor", "digest", "n", "strip").mapInArrow(_window_hashes, "anchor bigint, digest binary, n bigint, place int, h1 bigint, h2 bigint"), "repeat-windows")
     again = windows.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("all")).filter("all > 1").select("h1", "h2", "rows")
     marked = keyed_join(windows, durable(again, "repeat-again"), ["h1", "h2"], "rows")
     places = marked.groupBy("anchor", "digest").agg(F.sort_array(F.collect_list("place")).alias("p"))  # of one strip each
-    spans = F.flatten(F.transform("p", lambda x: F.array(x, x + 1)))
-    return places.select("anchor", "digest", spans.alias("spans"))
+    return places.select("anchor", "digest", F.flatten(F.transform("p", lambda x: F.array(x, x + 1))).alias("spans"))
+
+
+def _sorted_groups(kinds: DataFrame) -> DataFrame:
+    """(anchor, digest, spans) of the windows of written strips that occur again, groups of bounded size sorted in a task each."""
+    together = kinds.select("anchor", "digest", "n", "strip").repartition("anchor").sortWithinPartitions("anchor")
+    return together.mapInArrow(_sorted_strips, "anchor bigint, digest binary, spans array<int>")
+
+
+def _large_groups(cut: DataFrame) -> DataFrame:
+    """(anchor, digest, spans) of repeated windows of written strips of large groups, by their parts."""
+    found = cut.select("anchor", "digest", "n", "strip").mapInArrow(_parts, "anchor bigint, digest binary, n bigint, start bigint, windows bigint, core bigint, part binary")
+    found = durable(found, "repeat-parts")
+    one = F.min(F.struct("anchor", "digest", "start", "windows")).alias("one")
+    kinds = durable(found.groupBy("core", "part").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("rows"), one), "repeat-part-kinds")
+    sizes = durable(kinds.groupBy("core").agg(F.count(F.lit(1)).alias("kinds"), (F.sum(F.col("one.windows") + LENGTH) > GROUP).alias("large")), "repeat-part-sizes")
+    pick = F.struct("one.start", "one.windows", F.col("core").alias("anchor"), F.col("part").alias("digest"), "n", "large").alias("pick")
+    picks = keyed_join(kinds, sizes, ["core"], "kinds").select("one.anchor", "one.digest", pick)
+    picked = picks.groupBy("anchor", "digest").agg(F.collect_list("pick").alias("picks"))  # of one strip each
+    sized = durable(_cut(cut.select("anchor", "digest", F.col("strip").alias("text")).join(picked, ["anchor", "digest"])), "repeat-part-cut")
+    spans = _sorted_groups(sized.filter("not large"))
+    if not sized.filter("large").isEmpty():
+        spans = spans.unionByName(_counted_windows(sized.filter("large")))
+    spans = spans.withColumnsRenamed({"anchor": "core", "digest": "part"})
+    known = durable(spans.join(kinds.select("core", "part", "rows"), ["core", "part"]), "repeat-part-spans")
+    moved = F.transform("spans", lambda x: x + F.col("start").cast("int"))
+    placed = keyed_join(found, known, ["core", "part"], "rows").select("anchor", "digest", moved.alias("spans"))
+    return placed.groupBy("anchor", "digest").agg(F.flatten(F.collect_list("spans")).alias("spans"))  # of one strip each
 
 
 def repeated_spans(keyed: DataFrame) -> DataFrame:
@@ -198,10 +267,8 @@ def repeated_spans(keyed: DataFrame) -> DataFrame:
     sized = keyed_join(kinds, sizes, ["anchor"], "kinds")
     picks = sized.select("one.k1", "one.k2", F.struct("one.start", "one.windows", "anchor", "digest", "n", "large").alias("pick"))
     picked = picks.groupBy("k1", "k2").agg(F.collect_list("pick").alias("picks"))  # of one text each
-    cut = keyed.join(picked, ["k1", "k2"]).select("text", "picks").mapInArrow(_cut_strips, "anchor bigint, digest binary, n bigint, large boolean, strip binary")
-    cut = durable(cut, "repeat-cut")
-    together = cut.filter("not large").select("anchor", "digest", "n", "strip").repartition("anchor").sortWithinPartitions("anchor")
-    spans = together.mapInArrow(_sorted_strips, "anchor bigint, digest binary, spans array<int>")
+    cut = durable(_cut(keyed.join(picked, ["k1", "k2"])), "repeat-cut")
+    spans = _sorted_groups(cut.filter("not large"))
     if not cut.filter("large").isEmpty():
         spans = spans.unionByName(_large_groups(cut.filter("large")))
     spans = durable(spans.join(kinds.select("anchor", "digest", "n"), ["anchor", "digest"]), "repeat-spans")

@@ -71,9 +71,53 @@ def test_repeats_are_cut(spark):
     assert got(spark, corpus()) == plain(corpus())
 
 
-def test_large_groups_are_counted(spark, monkeypatch):
-    monkeypatch.setattr(repeats, "GROUP", 1500)
-    assert got(spark, corpus()) == plain(corpus())
+def crowd():
+    """More strips than one slice holds: copies with edits, one passage in many places, periodic texts, a passage at different distances."""
+    base, shared = words(80, 260, 9000), words(81, 75, 9000)
+    rows = []
+    for i in range(150):
+        spoken = base.split(" ")
+        spoken[(i * 37) % len(spoken)] = f"x{i}"
+        rows.append((1000 + i, " ".join(spoken)))
+    rows += [(2000 + i, f"{words(i + 3000, i % 23, 9000)}{'é' * (i % 3)} {shared} {words(i + 5000, 9, 9000)}") for i in range(150)]
+    return rows + [(3000 + i, "abc" * (140 + i)) for i in range(4)]
+
+
+@pytest.mark.parametrize(("group", "size"), [(1500, 1500), (1500, 1 << 20), (1, 1)])
+def test_large_groups(spark, monkeypatch, group, size):
+    """Parts of large groups, windows of large groups of parts, and both with many slices, batches and tasks."""
+    sizes = iter([size])
+    monkeypatch.setattr(repeats, "GROUP", group)
+    large = repeats._large_groups
+
+    def parted(cut):
+        monkeypatch.setattr(repeats, "GROUP", next(sizes))
+        return large(cut)
+
+    monkeypatch.setattr(repeats, "_large_groups", parted)
+    rows = corpus() + crowd()
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "40")
+    try:
+        assert got(spark, rows) == plain(rows)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
+def test_window_hashes_depend_on_the_window_only():
+    import pyarrow as pa
+
+    rng = random.Random(4)
+    shared = rng.randbytes(400)
+    strips = [shared, rng.randbytes(30) + shared, rng.randbytes(700), rng.randbytes(5) + shared + rng.randbytes(9)]
+
+    def hashes(chosen):
+        table = pa.record_batch([pa.array([0] * len(chosen)), pa.array([b"d"] * len(chosen)), pa.array([1] * len(chosen)), pa.array(chosen, pa.binary())], names=["anchor", "digest", "n", "strip"])
+        return [(r["h1"], r["h2"]) for b in repeats._window_hashes(iter([table])) for r in b.to_pylist()]
+
+    every = hashes(strips)
+    places = [0, 1 + 30, 1 + 31 + 301 + 5]
+    assert len({every[p] for p in places}) == 1 and len(set(every)) == len(every) - 2 and hashes([shared]) == [every[0]]
 
 
 def test_empty_tables(spark):
