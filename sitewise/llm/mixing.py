@@ -1,16 +1,15 @@
 """Rates per document that bring a corpus to target shares of soft domains.
 
 Only DataFrame functions.  A multinomial classifier over hashed words, counted from a labelled table, gives each document a
-posterior over domains.  With tokens t, posteriors p and rates r >= 0 the expected total of domain d is sum_i r_i t_i p_id.  Of the rates
-whose totals meet the targets, the nearest to 1 are max(0, 1 - p_i . price) for one price per domain; Newton steps on the prices, with the moments
-of the rows of positive rate, find them.  Each step is one grouping without keys, and the driver sees as many numbers as there are pairs of domains.
+posterior over domains.  With tokens t, posteriors p and rates r >= 0 the expected total of domain d is sum_i r_i t_i p_id.  Projected gradient steps
+on all rates at once, from 1, bring the squared miss of the targets down: a rate moves by -p_i . x and stops at 0, where x is the miss in the metric of the rows
+whose rates are positive, damped until the miss falls; with much damping that is the plain gradient.  Each step is one grouping without keys; the driver sees as many numbers as there are pairs of domains and keeps
+the x of the steps since rates were last written, from which any task can tell a row's rate.
 """
 
 from __future__ import annotations
 
 import warnings
-from collections.abc import Callable
-
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -19,8 +18,8 @@ from sitewise.session import durable
 
 #: Buckets of hashed words; labelled rows used at most (those of smallest id hash); words that count as independent evidence at most.
 BUCKETS, LABELLED, EVIDENCE = 4096, 20_000, 8.0
-#: Steps at most, largest miss of a domain as a share of all tokens, and weight of the prices' squares, which matters to targets out of reach only.
-STEPS, TOLERANCE, RIDGE = 48, 1e-6, 1e-11
+#: Steps at most, largest miss of a domain as a share of all tokens, least and largest damping of the metric, and steps between two writes of the rates.
+STEPS, TOLERANCE, FREE, STIFF, KEPT = 200, 1e-6, 1e-9, 1e5, 8
 
 
 def words(text: Column | str) -> Column:
@@ -74,41 +73,8 @@ def posteriors(docs: DataFrame, weights: np.ndarray) -> DataFrame:
     return raised.withColumn("_t", total).select("doc_id", "k1", "k2", "n_tokens", F.transform("e", lambda x: x / F.col("_t")).alias("p"))
 
 
-def prices(sums: Callable[[np.ndarray], np.ndarray], shares: np.ndarray) -> tuple[np.ndarray, float]:
-    """Prices and the largest miss that remains.
-
-    ``sums`` gives for prices the sums of t r^2, t r p (per domain) and t p p' (upper triangle) over rows of positive rate r, by all tokens.  The prices are
-    the least point of a convex function, sum t r^2 / 2 + shares . price and a ridge; a step that does not lower it enough is shortened.
-    """
-    k = len(shares)
-
-    def at(x: np.ndarray) -> tuple[float, np.ndarray, np.ndarray, np.ndarray]:
-        squares, *rest = sums(x)
-        reached, moments = np.array(rest[:k]), np.zeros((k, k))
-        moments[np.triu_indices(k)] = rest[k:]
-        moments = moments + np.triu(moments, 1).T
-        return squares / 2 + shares @ x + RIDGE / 2 * x @ x, shares - reached + RIDGE * x, moments + RIDGE * np.eye(k), reached - shares
-
-    x = np.zeros(k)
-    value, slope, curve, miss = at(x)
-    for _ in range(STEPS):
-        if np.abs(slope).max() <= TOLERANCE / 10:
-            break
-        move, length = -np.linalg.solve(curve, slope), 1.0
-        while length > 1e-12:
-            tried = at(x + length * move)
-            if tried[0] <= value + 1e-4 * length * (slope @ move) or np.abs(tried[1]).max() <= TOLERANCE / 10:
-                break
-            length /= 4
-        else:
-            break  # no digits left
-        x = x + length * move
-        value, slope, curve, miss = tried
-    return x, float(np.abs(miss).max())
-
-
 def fit_rates(soft: DataFrame, targets: list[float]) -> DataFrame:
-    """Adds ``rate`` to rows (n_tokens, p): nonnegative, as near to 1 as expected totals in the proportion of ``targets`` allow.
+    """Adds ``rate`` to rows (n_tokens, p): nonnegative, with expected totals in the proportion of ``targets``.
 
     The corpus keeps its size in tokens.  Targets that no rates meet are met as nearly as they can be, and a warning gives the miss.
     """
@@ -118,20 +84,45 @@ def fit_rates(soft: DataFrame, targets: list[float]) -> DataFrame:
     total = float(soft.agg(F.sum(t)).first()[0] or 0.0)
     if not total:
         return soft.withColumn("rate", F.lit(1.0))
+    shares = np.asarray(targets, float) / sum(targets)
 
-    def rate(x: np.ndarray) -> Column:
-        return F.greatest(F.lit(0.0), F.lit(1.0) - sum(p[d] * F.lit(float(x[d])) for d in range(k)))
+    def stepped(rows: DataFrame, steps: list[np.ndarray]) -> DataFrame:
+        rate = F.col("rate")
+        for x in steps:
+            rate = F.greatest(F.lit(0.0), rate - sum(p[d] * F.lit(float(x[d])) for d in range(k)))
+        return rows.withColumn("rate", rate)
 
-    def sums(x: np.ndarray) -> np.ndarray:
+    def at(rows: DataFrame, steps: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Miss of the targets, and moments of the rows of positive rate, both by all tokens."""
         r = F.col("rate")
         cells = [F.sum(F.when(r > 0, t * p[a] * p[b])) for a in range(k) for b in range(a, k)]
-        row = soft.withColumn("rate", rate(x)).agg(F.sum(t * r * r), *[F.sum(t * r * p[d]) for d in range(k)], *cells).first()
-        return np.array([float(v or 0.0) for v in row]) / total
-
-    found, miss = prices(sums, np.asarray(targets, float) / sum(targets))
-    if miss > TOLERANCE:
-        warnings.warn(f"mixing misses a target by {miss:.2g} of all tokens", stacklevel=2)
-    return soft.withColumn("rate", rate(found))
+        row = np.array([float(v or 0.0) for v in stepped(rows, steps).agg(*[F.sum(t * r * p[d]) for d in range(k)], *cells).first()]) / total
+        moments = np.zeros((k, k))
+        moments[np.triu_indices(k)] = row[k:]
+        return row[:k] - shares, moments + np.triu(moments, 1).T
+
+    rows, steps = soft.withColumn("rate", F.lit(1.0)), []
+    miss, moments = at(rows, steps)
+    size, damping = np.trace(moments) / k, FREE
+    for _ in range(STEPS):
+        if np.abs(miss).max() <= TOLERANCE / 10:
+            break
+        while damping <= STIFF:
+            move = np.linalg.solve(moments + damping * size * np.eye(k), miss)
+            tried = at(rows, [*steps, move])
+            if np.linalg.norm(tried[0]) <= (1 - 1e-3 / (1 + damping)) * np.linalg.norm(miss):
+                break
+            damping *= 8
+        else:
+            break  # no step brings the totals nearer
+        steps.append(move)
+        miss, moments = tried
+        damping = max(FREE, damping / 64)
+        if len(steps) == KEPT:
+            rows, steps = durable(stepped(rows, steps), "mix-rates"), []
+    if np.abs(miss).max() > TOLERANCE:
+        warnings.warn(f"mixing misses a target by {np.abs(miss).max():.2g} of all tokens", stacklevel=2)
+    return stepped(rows, steps)
 
 
 def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float]) -> DataFrame:

@@ -5,7 +5,7 @@ import math
 import numpy as np
 import pyarrow as pa
 import pytest
-from corpus import awkward, frame
+from corpus import awkward, frame, words
 from pyspark.sql import functions as F
 
 from sitewise.llm import mixing, quality, toxicity
@@ -116,11 +116,46 @@ def test_rates_that_must_be_clipped(spark):
     # projected gradient on the same problem, many small steps
     t, p, rate = np.array([r[1] for r in rows], float), np.array([r[2] for r in rows]), np.ones(4)
     metric = np.linalg.pinv((p * t[:, None]).T @ p)
-    for _ in range(mixing.STEPS):
+    for _ in range(5000):
         rate = np.maximum(0, rate - p @ (metric @ (p.T @ (rate * t) - np.array([0.9, 0.1]) * t.sum())))
     assert np.allclose(reached, p.T @ (rate * t), rtol=1e-4)
 
 
+def test_steps_go_on_from_written_rates(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    score = rng.normal(0, 2, (600, 3)) + np.array([2, 0, 0])
+    p = np.exp(score) / np.exp(score).sum(1, keepdims=True)
+    soft = spark.createDataFrame([(i, 50 + i, [float(x) for x in q]) for i, q in enumerate(p)], "doc_id bigint, n_tokens bigint, p array<double>")
+    whole = {r.doc_id: r.rate for r in mixing.fit_rates(soft, [0.1, 0.3, 0.6]).collect()}
+    monkeypatch.setattr(mixing, "KEPT", 1)
+    written = {r.doc_id: r.rate for r in mixing.fit_rates(soft, [0.1, 0.3, 0.6]).collect()}
+    assert np.allclose([written[i] for i in whole], list(whole.values()), atol=1e-4) and min(whole.values()) == 0
+    rows = soft.collect()
+    reached = sum(whole[r.doc_id] * r.n_tokens * np.array(r.p) for r in rows) / sum(r.n_tokens for r in rows)
+    assert np.abs(reached - [0.1, 0.3, 0.6]).max() <= mixing.TOLERANCE
+
+
+def test_posteriors_equal_plain_ones(spark):
+    rows = [(i, f"{'le chat noir' if i % 2 else 'the black cat'} {words(i, i % 7, 30)}") for i in range(40)] + [(100, None), (101, "Le le the " * 30)]
+    docs = frame(spark, rows)
+    labelled = spark.createDataFrame([(i, "fr" if i % 2 else "en") for i in range(30)], "doc_id bigint, domain string")
+    weights = mixing.fit_domains(docs, labelled, ["en", "fr"])
+    spoken = {i: [w for w in (t or "").lower().split() if w] for i, t in rows}
+    bucket = {w: (r.b, w) for w, r in ((r.w, r) for r in spark.createDataFrame([(w,) for w in sorted({w for s in spoken.values() for w in s})], "w string")
+              .select("w", F.pmod(F.xxhash64("w"), F.lit(mixing.BUCKETS)).alias("b")).collect())}
+    counts = np.full((2, mixing.BUCKETS), 0.5)
+    for i in range(30):
+        for w in spoken[i]:
+            counts[i % 2, bucket[w][0]] += 1
+    logs, prior = np.log(counts / counts.sum(1, keepdims=True)), np.log([16 / 32, 16 / 32])
+    assert np.allclose(weights[:, :-1], logs) and np.allclose(weights[:, -1], prior)
+    for r in mixing.posteriors(docs, weights).collect():
+        own = spoken[r.doc_id]
+        score = prior + sum((logs[:, bucket[w][0]] - logs.mean(0)[bucket[w][0]] for w in own), np.zeros(2)) * min(len(own), mixing.EVIDENCE) / max(len(own), 1)
+        want = np.exp(score - score.max())
+        assert np.allclose(r.p, want / want.sum()) and r.n_tokens == len(own)
+
+
 def test_targets_far_from_the_corpus_are_met(spark):
     rng = np.random.default_rng(5)
     for shares, targets in (([0.9, 0.1], [0.1, 0.9]), ([0.97, 0.03], [0.01, 0.99]), ([0.25] * 4, [0.85, 0.05, 0.05, 0.05])):
