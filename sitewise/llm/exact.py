@@ -46,9 +46,10 @@ def exact_groups(docs: DataFrame, prefix: int = 64, digests: bool = False) -> Da
         hashed.filter("whole is not null").groupBy("whole").agg(F.count(F.lit(1)).alias("n"), best.alias("best"))
         .filter("n > 1").select("whole", "n", (-F.col("best.first")).alias("keep_id"), (-F.col("best.row")).alias("keep_row"))
     )
-    # a null hash stands for a text known to be alone
-    keyed = hashed.withColumn("whole", F.coalesce("whole", F.lit(b"")))
-    joined = keyed_join(keyed, durable(groups, "exact-groups"), ["whole"], "n", how="left")
+    # a null hash stands for a text known to be alone: most of a corpus, which needs no join
+    joined = keyed_join(hashed.filter("whole is not null"), durable(groups, "exact-groups"), ["whole"], "n", how="left")
+    alone = hashed.filter("whole is null").select("*", *[F.lit(None).cast("bigint").alias(c) for c in ("n", "keep_id", "keep_row")])
+    joined = joined.unionByName(alone)
     grouped = F.col("n").isNotNull()
     return joined.select(
         "doc_id",

@@ -17,6 +17,7 @@ BLOCK = frozenset(
 )
 BOILER = frozenset("head nav footer aside form fieldset dialog menu button header".split())
 MAIN = frozenset(["article", "main"])
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 CLOSES_P = BLOCK - {"html", "head", "body"}
 SIBLING = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 # fixed values: parts of class names, ids and roles of what is not the article

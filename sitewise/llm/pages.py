@@ -9,7 +9,7 @@ pages may also be a text that was copied, so it must have text that varies betwe
 The article is taken from the slots inside the page's article, or where it has none, inside the element whose slots hold
 most of the text that varies.  Menus, headers, footers, asides, forms, notices, adverts and comments are left out wherever they are, but an element
 that is one by its class, id or role only, or a form, is read where it holds the page's article or nearly all text that varies.  A page
-alone on its host has no template and is read by its own elements.
+alone on its host has no template and is read by its own elements.  An article's title and the first paragraph under a shared title stay.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from sitewise.llm.bytetext import mix64
 from sitewise.llm.common import in_small_batches, keyed_join
-from sitewise.llm.htmltext import MAIN, Block, Page, read_page
+from sitewise.llm.htmltext import HEADINGS, MAIN, Block, Page, read_page
 from sitewise.session import durable
 
 #: Tokens of a class at least, and pages it is on, fewer if they are ``FREQUENT`` of the host's; pages that are not few.
@@ -201,8 +201,24 @@ def wrappers(slots: list[Block], template: bool) -> frozenset[int]:
     return frozenset(m for m, n in held.items() if 10 * n >= 9 * total and (template or paragraphs[m] > 1))
 
 
+def lead(blocks: list[Block], fixed: list[bool]) -> range:
+    """Which blocks of an article are its title and first paragraph and speak for themselves, be they part of the template or not.
+
+    A title that other pages have too says that the article, not the page's frame, is shared, so what leads it in is its own; a repeating first
+    paragraph under a title that varies is of the frame.  An article without a heading has its first paragraph only.
+    """
+    tags = [b.path.rsplit(">", 1)[-1].split(".")[0] for b in blocks]
+    title = next((i for i, tag in enumerate(tags) if tag in HEADINGS), None)
+    if title is not None and not fixed[title]:
+        return range(0)
+    first = next((i for i, tag in enumerate(tags) if tag == "p" and i > (-1 if title is None else title)), None)
+    if title is None:
+        return range(first, first + 1) if first is not None else range(0)
+    return range(title, title + 1 if first is None else first + 1)
+
+
 def main_text(source: str, rows: list[dict] | None) -> str:
-    """Blocks of the article that are not part of the template, two line breaks between them; all of them where none is left."""
+    """Blocks of the article that are not part of the template, but for its lead, two line breaks between them; all of them where none is left."""
     page = read_page(source)
     constant = Template(rows).constant(page_tokens(page)) if rows else set()
     varies = [b for _, b in page.blocks if not b.hard and f"{b.path}\n{b.text}" not in constant]
@@ -213,7 +229,9 @@ def main_text(source: str, rows: list[dict] | None) -> str:
     slots = [b for b in own if f"{b.path}\n{b.text}" not in constant]
     if any(b.article for b in own):
         own = [b for b in own if b.article]
-        return "\n\n".join(b.text for b in [b for b in slots if b.article] or own)
+        fixed = [f"{b.path}\n{b.text}" in constant for b in own]
+        opening = lead(own, fixed)
+        return "\n\n".join(b.text for b in [b for i, b in enumerate(own) if not fixed[i] or i in opening] or own)
     # no article: in the element with most of the text that varies
     held: Counter[str] = Counter()
     for b in slots:

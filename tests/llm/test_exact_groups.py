@@ -46,3 +46,23 @@ def test_most_rows_one_text(spark):
     got = {r.doc_id: r for r in exact_groups(frame(spark, rows)).collect()}
     assert len(got) == 3000 and got[1].group_size == 2000 and got[2].keep_id == 1 and got[3].group_size == 1
     assert sum(r.kept for r in got.values()) == 1001
+
+
+def test_rows_alone_meet_no_join(spark):
+    from sitewise.llm import exact
+
+    met = []
+    join = exact.keyed_join
+
+    def counted(rows, keyed, on, weight, how="inner"):
+        met.append((tuple(on), rows.count()))
+        return join(rows, keyed, on, weight, how)
+
+    exact.keyed_join = counted
+    try:
+        rows = [(i, "x" * (i + 1)) for i in range(500)] + [(1000, "pair"), (1001, "pa ir")]
+        got = {r.doc_id: r for r in exact_groups(frame(spark, rows)).collect()}
+    finally:
+        exact.keyed_join = join
+    assert len(got) == 502 and got[1001].keep_id == 1001 and not got[1000].kept and all(got[i].group_size == 1 and got[i].kept for i in range(500))
+    assert dict(met)[("whole",)] < 10

@@ -111,3 +111,18 @@ def test_rows_nulls_and_clashing_columns(spark):
     got = sorted(((r.page_id, r.url, r.text, r.n_chars) for r in extract(table).collect()), key=str)
     assert got == sorted([(1, None, "", 0), (1, "x", "", 0), (None, rows[2][1], "t", 1), (2, rows[2][1], "t", 1), (2, rows[2][1], "t", 1)], key=str)
     assert extract(table.limit(0)).collect() == []
+
+
+def framed(i, title, first):
+    story = "".join(f"<p>Sentence {k} of story {i} tells something of its own.</p>" for k in range(3 + i % 4))
+    return f"<html><body><div>Home</div><article><h1>{title}</h1><p>{first}</p>{story}<p>Sign up for our letter today.</p></article><div>All rights</div></body></html>"
+
+
+def test_shared_title_and_lead_stay(spark):
+    rows = [(i, f"https://a.example.com/{i}", framed(i, "Daily report", "What happened today, in short.")) for i in range(30)]
+    rows += [(100 + i, f"https://b.example.com/{i}", framed(i, f"Report {i}", "Support us with a gift.")) for i in range(30)]
+    got = {r.page_id: r.text for r in extract(spark.createDataFrame(rows, SCHEMA)).collect()}
+    for i in range(30):
+        story = [f"Sentence {k} of story {i} tells something of its own." for k in range(3 + i % 4)]
+        assert got[i] == "\n\n".join(["Daily report", "What happened today, in short.", *story])
+        assert got[100 + i] == "\n\n".join([f"Report {i}", *story])
