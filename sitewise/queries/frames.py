@@ -269,6 +269,8 @@ def with_frames(names: list[str], sql: str) -> str:
     body = sql.strip()
     if not parts:
         return body
+    if body[:15].lower() == "with recursive ":
+        return "with recursive " + ",\n".join(parts) + ",\n" + body[15:]
     if body[:5].lower() == "with ":
         return "with " + ",\n".join(parts) + ",\n" + body[5:]
     return "with " + ",\n".join(parts) + "\n" + body

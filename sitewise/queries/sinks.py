@@ -12,7 +12,7 @@ from sitewise.operators.pooled import assemble, fit_pooled_logistic, predict
 from sitewise.operators.summary import outcome_rate
 from sitewise.queries.registry import query
 from sitewise.queries.sites import FEATURES
-from sitewise.queries.sqltext import METRICS, STANDARD
+from sitewise.queries.sqltext import FIT, METRICS, PROBABILITY, STANDARD
 from sitewise.sources import tables
 
 
@@ -66,11 +66,17 @@ def assemble_vector(fr):
     return vectors.select("id", "y", *[r6(F.get("v", F.lit(i))).alias(f) for i, f in enumerate(FEATURES)])
 
 
-@query("model_roundtrip", "select id, 1 as agree from feat", "feat")
+@query(
+    "model_roundtrip",
+    f"""with recursive src as (select 0 as model, y, {', '.join(FEATURES)} from feat), {FIT('src', FEATURES)},
+      scored as (select site, {PROBABILITY(FEATURES)} as p from feat, fit) select site, count(*) as n, count(*) as agree, round(avg(p), 3) as p from scored group by site""",
+    "feat",
+)
 def model_roundtrip(fr):
-    """Pooled model saved, loaded and applied; do both models give a row the same probability."""
+    """Pooled model saved, loaded and applied: mean probability per site under the loaded model, and how many rows the fitted one gives the same."""
     rows = complete(fr)
     model = fit_pooled_logistic(rows, "y", FEATURES)
     again = tables.load_model(tables.save_model(model, fr.spark))
     both = predict(model, rows, "p_fitted").join(predict(again, rows, "p_loaded").select("id", "p_loaded"), "id")
-    return both.select("id", (F.col("p_fitted") == F.col("p_loaded")).cast("int").alias("agree"))
+    agree = F.count_if(F.col("p_fitted") == F.col("p_loaded"))
+    return both.groupBy("site").agg(F.count(F.lit(1)).alias("n"), agree.alias("agree"), F.round(F.avg("p_loaded"), 3).alias("p"))
