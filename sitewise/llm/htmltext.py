@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
 from dataclasses import dataclass
@@ -34,28 +35,59 @@ ABOUT = frozenset("has no not with without".split())
 
 @dataclass
 class Block:
-    """A text block: its text, the paths of the elements around it, whether one of them is boilerplate, whether it is in an article.
+    """A text block: its text, its element (-1 outside all), whether it is boilerplate, whether it is in an article.
 
-    ``hard`` is boilerplate by a tag other than a form, or hidden; ``marks`` are the numbers of the elements around it that are boilerplate
-    by a name or as a form; ``around`` those of them that its outermost article is in or has itself, None where no article is around it.
+    ``hard`` is boilerplate by a tag other than a form, or hidden; ``mark`` is the innermost element around it that is boilerplate by a name or as a
+    form, -1 without one; ``around`` that of its outermost article, None where no article is around it.
     """
 
     text: str
-    path: str
+    element: int
     boiler: bool
     article: bool
     hard: bool = False
-    marks: tuple[int, ...] = ()
-    around: tuple[int, ...] | None = None
+    mark: int = -1
+    around: int | None = None
 
 
 @dataclass
 class Page:
-    """Element paths in page order, and the blocks with the number of elements opened before each."""
+    """Elements in page order, and the blocks with the number of elements opened before each.
 
-    opened: list[str]
+    Every element has its tag, a key that tells it and the names of all elements around it, the element around it, the next marked element around it or -1, and
+    whether it is in an article or one itself: nothing grows with the depth.
+    """
+
+    tags: list[str]
+    names: list[str]
+    keys: list[str]
+    parents: list[int]
+    marked: dict[int, int]
+    articles: list[bool]
     blocks: list[tuple[int, Block]]
 
+    def key(self, element: int) -> str:
+        return self.keys[element] if element >= 0 else ""
+
+    def tag(self, block: Block) -> str:
+        return self.tags[block.element] if block.element >= 0 else ""
+
+    def path(self, element: int, depth: int = 8) -> str:
+        """The names of an element and those next around it, to look at."""
+        parts: list[str] = []
+        while element >= 0 and len(parts) < depth:
+            parts.append(self.names[element])
+            element = self.parents[element]
+        return "".join(f">{p}" for p in reversed(parts))
+
+    def marks(self, mark: int) -> list[int]:
+        """A marked element and the marked ones around it."""
+        out = []
+        while mark >= 0:
+            out.append(mark)
+            mark = self.marked[mark]
+        return out
+
 
 def _names(attributes: str) -> tuple[list[str], list[str], bool]:
     """Parts of class, id and role, those of them that say what the element is, and is it hidden."""
@@ -78,9 +110,9 @@ def read_page(source: str, lifted: frozenset[int] = frozenset()) -> Page:
 
     The elements numbered in ``lifted`` are not boilerplate by a name or as a form.
     """
-    page = Page([], [])
-    # tag, path, boilerplate, article, and the block's hard, marks and around
-    stack: list[tuple[str, str, bool, bool, bool, tuple[int, ...], tuple[int, ...] | None]] = [("", "", False, False, False, (), None)]
+    page = Page([], [], [], [], {}, [], [])
+    # tag, and the block's element, boiler, article, hard, mark and around
+    stack: list[tuple[str, int, bool, bool, bool, int, int | None]] = [("", -1, False, False, False, -1, None)]
     pieces: list[str] = []
 
     def flush() -> None:
@@ -88,7 +120,7 @@ def read_page(source: str, lifted: frozenset[int] = frozenset()) -> Page:
             text = " ".join("".join(pieces).split())
             pieces.clear()
             if text:
-                page.blocks.append((len(page.opened), Block(text, *stack[-1][1:])))
+                page.blocks.append((len(page.tags), Block(text, *stack[-1][1:])))
 
     def close(tags) -> None:
         while len(stack) > 1 and stack[-1][0] in tags:
@@ -130,17 +162,23 @@ def read_page(source: str, lifted: frozenset[int] = frozenset()) -> Page:
             close({"p"})
         close(SIBLING.get(tag, ()))
         names, telling, hidden = _names(m[3])
-        _, path, boiler, article, hard, marks, around = stack[-1]
+        _, parent, boiler, article, hard, mark, around = stack[-1]
+        number = len(page.tags)
         kept = article and (tag == "header" or "header" in names)  # an article's own heading
         hard = hard or hidden or (tag in BOILER and tag != "form" and not kept)
         named = tag not in ("html", "body") and any(n in BOILER_NAMES and not (n == "header" and article) for n in telling)
-        if (named or (tag == "form" and not kept)) and len(page.opened) not in lifted:
-            marks = (*marks, len(page.opened))
-        boiler = hard or bool(marks)
+        if (named or (tag == "form" and not kept)) and number not in lifted:
+            page.marked[number] = mark
+            mark = number
+        boiler = hard or mark >= 0
         if tag in MAIN and around is None and not hard:
-            around = marks
-        path = f"{path}>{tag}" + "".join(f".{n}" for n in names[:4])
-        stack.append((tag, path, boiler, article or (tag in MAIN and not stack[-1][2]), hard, marks, around))
-        page.opened.append(path)
+            around = mark
+        name = tag + "".join(f".{n}" for n in names[:4])
+        page.tags.append(tag)
+        page.names.append(name)
+        page.keys.append(hashlib.blake2b(f"{page.key(parent)}>{name}".encode(), digest_size=12).hexdigest())
+        page.parents.append(parent)
+        page.articles.append(tag in MAIN or (parent >= 0 and page.articles[parent]))
+        stack.append((tag, number, boiler, article or (tag in MAIN and not stack[-1][2]), hard, mark, around))
     flush()
     return page

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from sitewise.llm.bytetext import mix64
 from sitewise.llm.common import in_small_batches, keyed_join
-from sitewise.llm.htmltext import HEADINGS, MAIN, Block, Page, read_page
+from sitewise.llm.htmltext import HEADINGS, Block, Page, read_page
 from sitewise.session import durable
 
 #: Tokens of a class at least, and pages it is on, fewer if they are ``FREQUENT`` of the host's; pages that are not few.
@@ -40,20 +40,26 @@ def _hashes(names: list[str]) -> np.ndarray:
     return np.frombuffer(b"".join(hashlib.blake2b(n.encode(), digest_size=8).digest() for n in names), _U)
 
 
-def _inside(path: str, tags: frozenset[str]) -> bool:
-    return any(part.split(".")[0] in tags for part in path.split(">"))
+def block_key(page: Page, block: Block) -> str:
+    return f"{page.key(block.element)}\n{block.text}"
 
 
 def page_tokens(page: Page) -> dict[str, list]:
-    """Token -> [times, is it an element, path, is it in an article]."""
+    """Token -> [times, is it an element, path to look at, is it in an article]."""
     out: dict[str, list] = {}
     where = 0
-    for at, block in [*page.blocks, (len(page.opened), None)]:
-        for path in page.opened[where:at]:
-            out.setdefault(path, [0, True, path, _inside(path, MAIN)])[0] += 1
+
+    def seen(key: str, element: int, whole: bool) -> None:
+        if key not in out:
+            out[key] = [0, whole, page.path(element), element >= 0 and page.articles[element]]
+        out[key][0] += 1
+
+    for at, block in [*page.blocks, (len(page.tags), None)]:
+        for element in range(where, at):
+            seen(page.keys[element], element, True)
         where = at
         if block:
-            out.setdefault(f"{block.path}\n{block.text}", [0, False, block.path, _inside(block.path, MAIN)])[0] += 1
+            seen(block_key(page, block), block.element, False)
     return out
 
 
@@ -181,7 +187,7 @@ class Template:
         return {n for n, t in zip(names, tokens, strict=True) if t in fixed and self.kind[t] not in copied}
 
 
-def wrappers(slots: list[Block], template: bool) -> frozenset[int]:
+def wrappers(page: Page, slots: list[Block], template: bool) -> frozenset[int]:
     """Numbers of the elements that have the name of boilerplate, or are a form, but hold the page's text, for a page without an article outside them.
 
     They are those around the article with half of the text that varies, or without one those that hold nine tenths of it.  A page without a template
@@ -190,24 +196,31 @@ def wrappers(slots: list[Block], template: bool) -> frozenset[int]:
     total = sum(len(b.text) for b in slots)
     around, held, paragraphs = Counter(), Counter(), Counter()
     for b in slots:
-        if b.around:
+        if b.around is not None and b.around >= 0:
             around[b.around] += len(b.text)
-        for mark in b.marks:
-            held[mark] += len(b.text)
-            paragraphs[mark] += b.path.rsplit(">", 1)[-1].split(".")[0] == "p"
-    for marks in sorted(around, key=lambda m: (len(m), -around[m])):
-        if 2 * around[marks] >= total:
-            return frozenset(marks)
-    return frozenset(m for m, n in held.items() if 10 * n >= 9 * total and (template or paragraphs[m] > 1))
-
-
-def lead(blocks: list[Block], fixed: list[bool]) -> range:
+        if b.mark >= 0:
+            held[b.mark] += len(b.text)
+            paragraphs[b.mark] += page.tag(b) == "p"
+    depth: dict[int, int] = {}
+    for mark, outer in page.marked.items():  # from the outside in
+        depth[mark] = depth.get(outer, 0) + 1
+    for mark in sorted(around, key=lambda m: (depth[m], -around[m])):
+        if 2 * around[mark] >= total:
+            return frozenset(page.marks(mark))
+    for mark in reversed(page.marked):  # from the inside out
+        outer = page.marked[mark]
+        if outer >= 0 and held[mark]:
+            held[outer] += held[mark]
+            paragraphs[outer] += paragraphs[mark]
+    return frozenset(m for m, n in held.items() if n and 10 * n >= 9 * total and (template or paragraphs[m] > 1))
+
+
+def lead(tags: list[str], fixed: list[bool]) -> range:
     """Which blocks of an article are its title and first paragraph and speak for themselves, be they part of the template or not.
 
     A title that other pages have too says that the article, not the page's frame, is shared, so what leads it in is its own; a repeating first
     paragraph under a title that varies is of the frame.  An article without a heading has its first paragraph only.
     """
-    tags = [b.path.rsplit(">", 1)[-1].split(".")[0] for b in blocks]
     title = next((i for i, tag in enumerate(tags) if tag in HEADINGS), None)
     if title is not None and not fixed[title]:
         return range(0)
@@ -217,30 +230,44 @@ def lead(blocks: list[Block], fixed: list[bool]) -> range:
     return range(title, title + 1 if first is None else first + 1)
 
 
+def holder(page: Page, slots: list[Block]) -> str | None:
+    """Key of the deepest kind of element that holds nine tenths of the blocks' text around their own elements, None without one."""
+    held: Counter[str] = Counter()
+    depth, outer, own = {"": 0}, {}, {}
+    for key, parent in zip(page.keys, page.parents, strict=True):
+        outer[key] = page.key(parent)
+        depth[key] = depth[outer[key]] + 1
+    for b in slots:
+        if b.element >= 0:
+            own[page.keys[b.element]] = own.get(page.keys[b.element], 0) + len(b.text)
+    for key in sorted(outer, key=depth.__getitem__, reverse=True):
+        if outer[key]:
+            held[outer[key]] += held[key] + own.get(key, 0)
+    total = sum(len(b.text) for b in slots)
+    return max((k for k, n in held.items() if n and 10 * n >= 9 * total), key=depth.__getitem__, default=None)
+
+
 def main_text(source: str, rows: list[dict] | None) -> str:
     """Blocks of the article that are not part of the template, but for its lead, two line breaks between them; all of them where none is left."""
     page = read_page(source)
     constant = Template(rows).constant(page_tokens(page)) if rows else set()
-    varies = [b for _, b in page.blocks if not b.hard and f"{b.path}\n{b.text}" not in constant]
+    varies = [b for _, b in page.blocks if not b.hard and block_key(page, b) not in constant]
     if not any(b.article and not b.boiler for _, b in page.blocks):
-        lifted = wrappers(varies or [b for _, b in page.blocks if not b.hard], bool(rows and varies))
+        lifted = wrappers(page, varies or [b for _, b in page.blocks if not b.hard], bool(rows and varies))
         page = read_page(source, lifted) if lifted else page
     own = [b for _, b in page.blocks if not b.boiler]
-    slots = [b for b in own if f"{b.path}\n{b.text}" not in constant]
     if any(b.article for b in own):
         own = [b for b in own if b.article]
-        fixed = [f"{b.path}\n{b.text}" in constant for b in own]
-        opening = lead(own, fixed)
+        fixed = [block_key(page, b) in constant for b in own]
+        opening = lead([page.tag(b) for b in own], fixed)
         return "\n\n".join(b.text for b in [b for i, b in enumerate(own) if not fixed[i] or i in opening] or own)
     # no article: in the element with most of the text that varies
-    held: Counter[str] = Counter()
-    for b in slots:
-        parts = b.path.split(">")
-        for depth in range(2, len(parts)):  # what holds blocks, not a block
-            held[">".join(parts[:depth])] += len(b.text)
-    total = sum(len(b.text) for b in slots)
-    deepest = max((p for p, n in held.items() if 10 * n >= 9 * total), key=lambda p: (p.count(">"), -len(p)), default="")
-    return "\n\n".join(b.text for b in slots if f"{b.path}>".startswith(f"{deepest}>") or not deepest)
+    slots = [b for b in own if block_key(page, b) not in constant]
+    deepest = holder(page, slots)
+    inside = [False] * len(page.tags)
+    for i, parent in enumerate(page.parents):
+        inside[i] = page.keys[i] == deepest or (parent >= 0 and inside[parent])
+    return "\n\n".join(b.text for b in slots if deepest is None or (b.element >= 0 and inside[b.element]))
 
 
 def _extract(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

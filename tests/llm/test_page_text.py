@@ -126,3 +126,17 @@ def test_shared_title_and_lead_stay(spark):
         story = [f"Sentence {k} of story {i} tells something of its own." for k in range(3 + i % 4)]
         assert got[i] == "\n\n".join(["Daily report", "What happened today, in short.", *story])
         assert got[100 + i] == "\n\n".join([f"Report {i}", *story])
+
+
+def test_deep_pages_take_memory_in_proportion():
+    import tracemalloc
+
+    used = []
+    for depth in (5_000, 40_000):
+        for tag in ("<div>", "<div class=ad>"):
+            source = page(tag * depth + "<p>deep one</p><p>deep two</p>", "")
+            tracemalloc.start()
+            assert main_text(source, None) == "deep one\n\ndeep two"
+            used.append(tracemalloc.get_traced_memory()[1])
+            tracemalloc.stop()
+    assert used[2] < 12 * used[0] and used[3] < 12 * used[1] and max(used) < 100e6
