@@ -1,8 +1,8 @@
 """Irregular measurements to a regular series of one row per (stay, hour).
 
-Stays start on a whole hour, so every stay's hours are clock hours.  Measurements are
-therefore reduced per (entity, clock hour) without knowing the stay, one narrow partial
-aggregate per table, and meet the hour grid on equal keys: no interval join, no fan-out.
+Stays start on a whole hour, so every stay's hours are clock hours and an hour is an equal
+key.  A stay's hours are one narrow row; the measurements of all tables are cut to them first,
+then reduced per (stay, clock hour) in one grouping, and meet the hour grid on equal keys.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 from sitewise.functions.scalar import ceil_div, hash_uniform
-from sitewise.session import shuffle_partitions
+from sitewise.session import durable, shuffle_partitions
 
 
 @dataclass(frozen=True)
@@ -34,7 +34,7 @@ def anchors(events: DataFrame, key: str, time: str, signal: Column, start: str =
     return events.filter(signal).groupBy(key).agg(F.min(time).alias(start), F.max(time).alias(end))
 
 
-def hour_grid(
+def hour_spans(
     stays: DataFrame,
     key: str,
     start: str,
@@ -45,12 +45,12 @@ def hour_grid(
     window: str | None = None,
     look_back: int = 0,
 ) -> DataFrame:
-    """Rows hr = -lead .. ceil((end - start) / unit) per stay.
+    """Hours of each stay as one narrow row (key, keep, _slot0, _first, _last).
 
-    ``start`` and ``end`` are integer times in the same measure as ``unit``;  ``slot`` is the
-    number of the clock interval that ends ``hr`` units after the rounded-up start.  Stays
-    without a start have no rows.  With ``window``, the column of a window end, only the hours
-    [window - look_back, window] are made.
+    ``start`` and ``end`` are integer times in the same measure as ``unit``; the hours are
+    -lead .. ceil((end - start) / unit), and hour ``hr`` is the clock interval ``_slot0 + hr``.
+    With ``window``, the column of a window end, only the hours [window - look_back, window]
+    count.  Stays without a start or without hours have no row.
     """
     first = F.lit(-lead).cast("bigint")
     last = ceil_div(F.col(end) - F.col(start), unit)
@@ -61,14 +61,25 @@ def hour_grid(
         stays.filter(F.col(start).isNotNull())
         .select(key, *keep, ceil_div(start, unit).alias("_slot0"), first.alias("_first"), last.alias("_last"))
         .filter("_first <= _last")
+    )
+
+
+def hours_of(spans: DataFrame, key: str, keep: Sequence[str] = ()) -> DataFrame:
+    """Rows (key, keep, hr, slot) of the spans; ``slot`` is the number of the clock interval that ends the hour."""
+    return (
         # one narrow row becomes hundreds: spread the stays before they grow
-        .repartition(shuffle_partitions(stays.sparkSession), key)
+        spans.repartition(shuffle_partitions(spans.sparkSession), key)
         .select(key, *keep, "_slot0", F.explode(F.sequence("_first", "_last")).alias("hr"))
         .withColumn("slot", F.col("_slot0") + F.col("hr"))
         .drop("_slot0")
     )
 
 
+def hour_grid(stays: DataFrame, key: str, start: str, end: str, unit: int, keep: Sequence[str] = (), **limits) -> DataFrame:
+    """Rows hr = -lead .. ceil((end - start) / unit) per stay, see ``hour_spans``."""
+    return hours_of(hour_spans(stays, key, start, end, unit, keep=keep, **limits), key, keep)
+
+
 def slot_of(time: Column | str, unit: int) -> Column:
     """Number of the half-open interval (end - unit, end] that holds an integer time."""
     return ceil_div(time, unit)
@@ -82,21 +93,38 @@ def hourly_features(
     visit: str | None = None,
     visit_tables: Sequence[str] = (),
     sum_mode: str = "faithful",
+    spans: DataFrame | None = None,
 ) -> DataFrame:
     """One row per grid hour with all measures.
 
     ``tables`` hold (key, slot, columns); those in ``visit_tables`` are kept per visit and
-    serve the hours of every stay of the visit.  Joining k tables on the hour repeats each row
-    once for every combination of rows of the others.  Averages of one table do not change by
-    that; sums and averages over a choice between tables do, and are computed in closed form
-    from the per-table counts and sums.  ``sum_mode="corrected"`` adds each value once.
+    serve the hours of every stay of the visit.  ``spans`` are the written spans of the grid
+    (``hour_spans``; without them they are taken from the grid): measurements outside the
+    hours of their stay are dropped by a join with these narrow rows, before anything is
+    exchanged where the planner can broadcast them.  What is left of all tables is one tagged
+    union with one grouping, which meets the grid once.
+
+    Joining k tables on the hour repeats each row once for every combination of rows of the
+    others.  Averages of one table do not change by that; sums and averages over a choice
+    between tables do, and are computed in closed form from the per-table counts and sums.
+    ``sum_mode="corrected"`` adds each value once.
     """
+    kept = [key, visit] if visit else [key]
+    if spans is None:
+        slots = [F.min("slot").alias("_from"), F.max("slot").alias("_to")]
+        reach = durable(grid.groupBy(*kept).agg(*slots), "spans")
+    else:
+        reach = spans.select(*kept, (F.col("_slot0") + F.col("_first")).alias("_from"), (F.col("_slot0") + F.col("_last")).alias("_to"))
     columns = _columns_by_table(measures)
-    order = [*visit_tables, *(n for n in tables if n not in visit_tables)]
-    filled = grid.select(key, *([visit] if visit else []), "slot", "hr")
-    for name in order:
-        on = [visit if name in visit_tables else key, "slot"]
-        filled = filled.join(_reduced(tables[name], name, on, columns.get(name, ())), on, "left")
+    parts = [
+        _inside(tables[name], name, reach, visit if name in visit_tables else key, key, columns.get(name, ()))
+        for name in tables
+    ]
+    union = parts[0]
+    for part in parts[1:]:
+        union = union.unionByName(part, allowMissingColumns=True)
+    reduced = _reduced(union, columns, list(tables), key)
+    filled = grid.select(key, "slot", "hr").join(reduced, [key, "slot"], "left")
     return filled.selectExpr(key, "hr", *[_measure(m, list(tables), sum_mode) for m in measures])
 
 
@@ -105,15 +133,25 @@ def spread_over_stays(measured: DataFrame, grid: DataFrame, visit: str) -> DataF
     return grid.join(measured, [visit, "slot"])
 
 
-def _reduced(table: DataFrame, name: str, on: Sequence[str], columns: Sequence[str]) -> DataFrame:
-    """Rows, sums and counts of one table per (entity, slot)."""
-    parts = [f"cast(count(1) as double) as {name}__row"]
-    for c in columns:
-        parts.append(f"sum(cast({c} as double)) as {name}__{c}__sum")
-        parts.append(f"cast(count({c}) as double) as {name}__{c}__n")
-    keys = ", ".join(on)
-    text = f"select {keys}, {', '.join(parts)} from {{t}} group by {keys}"
-    return table.sparkSession.sql(text, t=table)
+def _inside(table: DataFrame, name: str, reach: DataFrame, on: str, key: str, columns: Sequence[str]) -> DataFrame:
+    """Measurements (key, slot, _table, columns) in the hours of a stay; rows of a visit once for each stay they fall into."""
+    values = [F.col(c).cast("double").alias(f"{name}__{c}") for c in columns]
+    events = table.select(F.col(on).alias("_entity"), "slot", F.lit(name).alias("_table"), *values)
+    same = (F.col("_entity") == F.col("_of")) & F.col("slot").between(F.col("_from"), F.col("_to"))
+    joined = events.join(reach.select(F.col(on).alias("_of"), F.col(key).alias("_stay"), "_from", "_to"), same)
+    return joined.select(F.col("_stay").alias(key), *events.columns[1:])
+
+
+def _reduced(union: DataFrame, columns: Mapping[str, Sequence[str]], tables: Sequence[str], key: str) -> DataFrame:
+    """Rows, sums and counts of every table per (stay, slot); NULL for a table without rows there."""
+    parts = []
+    for name in tables:
+        parts.append(f"nullif(cast(count(case when _table = '{name}' then 1 end) as double), 0.0D) as {name}__row")
+        for c in columns.get(name, ()):
+            parts.append(f"sum({name}__{c}) as {name}__{c}__sum")
+            parts.append(f"cast(count({name}__{c}) as double) as {name}__{c}__n")
+    text = f"select {key}, slot, {', '.join(parts)} from {{t}} group by {key}, slot"
+    return union.sparkSession.sql(text, t=union)
 
 
 def _columns_by_table(measures: Sequence[Measure]) -> dict[str, list[str]]:

@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from sitewise.functions.scalar import ceil_div, flag, parse_number
+from sitewise.operators import timeseries as T
 from sitewise.operators.cohort import code_flags, excluded, first_limited
 from sitewise.operators.ranking import is_first
 from sitewise.operators.summary import group_means
-from sitewise.operators.timeseries import Measure, anchors, hour_grid, hourly_features, slot_of
+from sitewise.operators.timeseries import Measure, anchors
 from sitewise.plans.vocabulary import EXCLUSIONS, OFFSET_CODE_WORDS, OFFSET_ETHNICITY
+from sitewise.session import durable
 
 KEY = "patientunitstayid"
 MINUTES = 60
@@ -77,18 +79,25 @@ def cohort(patient: DataFrame, vital: DataFrame, severity: DataFrame) -> DataFra
     ).withColumn("excluded", excluded(EXCLUSIONS))
 
 
-def hours(stays: DataFrame, windows: DataFrame | None = None, look_back: int = 0) -> DataFrame:
-    """Hour grid of the stays kept, with windows only their hours; ``slot`` counts hours of the offset clock."""
+def hour_spans(stays: DataFrame, windows: DataFrame | None = None, look_back: int = 0) -> DataFrame:
+    """Hours of the stays kept as one row per stay, with windows only theirs; slots count hours of the offset clock."""
     kept = stays.filter("excluded = 0")
     if windows is None:
-        return hour_grid(kept, KEY, "admitoffset", "dischoffset", MINUTES)
+        return T.hour_spans(kept, KEY, "admitoffset", "dischoffset", MINUTES)
     kept = kept.join(windows.select(KEY, "windowtime_hours"), KEY)
-    return hour_grid(kept, KEY, "admitoffset", "dischoffset", MINUTES, window="windowtime_hours", look_back=look_back)
+    return T.hour_spans(kept, KEY, "admitoffset", "dischoffset", MINUTES, window="windowtime_hours", look_back=look_back)
+
+
+def hours(stays: DataFrame, windows: DataFrame | None = None, look_back: int = 0) -> DataFrame:
+    """Hour grid of the stays kept, with windows only their hours."""
+    return T.hours_of(hour_spans(stays, windows, look_back), KEY)
 
 
-def hourly(grid: DataFrame, vital: DataFrame, uo: DataFrame, bg: DataFrame, lab: DataFrame, sum_mode: str = "faithful") -> DataFrame:
+def hourly(
+    grid: DataFrame, vital: DataFrame, uo: DataFrame, bg: DataFrame, lab: DataFrame, sum_mode: str = "faithful", spans: DataFrame | None = None
+) -> DataFrame:
     """Hourly data table of the grid's hours."""
-    slot = slot_of("chartoffset", MINUTES).alias("slot")
+    slot = T.slot_of("chartoffset", MINUTES).alias("slot")
     vital = vital.withColumns({
         "sysbp": F.coalesce("ibp_systolic", "nibp_systolic"),
         "diasbp": F.coalesce("ibp_diastolic", "nibp_diastolic"),
@@ -96,7 +105,16 @@ def hourly(grid: DataFrame, vital: DataFrame, uo: DataFrame, bg: DataFrame, lab:
     })
     bg = bg.withColumn("pao2fio2", F.try_divide("pao2", "fio2"))
     tables = {"vital": vital, "uo": uo, "bg": bg, "lab": lab}
-    return hourly_features(grid, {n: t.select("*", slot) for n, t in tables.items()}, MEASURES, KEY, sum_mode=sum_mode)
+    return T.hourly_features(grid, {n: t.select("*", slot) for n, t in tables.items()}, MEASURES, KEY, sum_mode=sum_mode, spans=spans)
+
+
+def stay_hours(
+    stays: DataFrame, vital: DataFrame, uo: DataFrame, bg: DataFrame, lab: DataFrame,
+    windows: DataFrame | None = None, look_back: int = 0, sum_mode: str = "faithful",
+) -> DataFrame:
+    """Hourly data table from the stays; their hours are written once, for the grid and for cutting the measurements."""
+    spans = durable(hour_spans(stays, windows, look_back), "spans")
+    return hourly(T.hours_of(spans, KEY), vital, uo, bg, lab, sum_mode, spans)
 
 
 def code_status(stays: DataFrame, careplan: DataFrame) -> DataFrame:

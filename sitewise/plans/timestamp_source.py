@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from sitewise.functions.scalar import age_years, days_between, flag, hour_ceil_59, hours_between, micros
+from sitewise.operators import timeseries as T
 from sitewise.operators.cohort import capped_days, code_flags, excluded, first_limited
 from sitewise.operators.joins import interval_join
 from sitewise.operators.ranking import is_first
-from sitewise.operators.timeseries import Measure, hour_grid, hourly_features, slot_of
+from sitewise.operators.timeseries import Measure
 from sitewise.plans.vocabulary import (
     CODE_STATUS_IGNORED,
     CODE_STATUS_ITEMS,
@@ -17,6 +18,7 @@ from sitewise.plans.vocabulary import (
     TIMESTAMP_CODE_WORDS,
     TIMESTAMP_ETHNICITY,
 )
+from sitewise.session import durable
 
 KEY = "icustay_id"
 VISIT = "hadm_id"
@@ -154,18 +156,23 @@ def static_features(
     )
 
 
-def hours(stays: DataFrame, unit: int = HOUR_MICROS, windows: DataFrame | None = None, look_back: int = 0) -> DataFrame:
-    """Hour grid of the stays kept, with the visit of each stay; with windows only their hours."""
+def hour_spans(stays: DataFrame, unit: int = HOUR_MICROS, windows: DataFrame | None = None, look_back: int = 0) -> DataFrame:
+    """Hours of the stays kept as one row per stay, with the visit of each; with windows only their hours."""
     kept = stays.filter("excluded = 0").withColumns({"_t0": micros("intime"), "_t1": micros("outtime")})
     if windows is None:
-        return hour_grid(kept, KEY, "_t0", "_t1", unit, keep=[VISIT])
+        return T.hour_spans(kept, KEY, "_t0", "_t1", unit, keep=[VISIT])
     kept = kept.join(windows.select(KEY, "windowtime_hours"), KEY)
-    return hour_grid(kept, KEY, "_t0", "_t1", unit, keep=[VISIT], window="windowtime_hours", look_back=look_back)
+    return T.hour_spans(kept, KEY, "_t0", "_t1", unit, keep=[VISIT], window="windowtime_hours", look_back=look_back)
+
+
+def hours(stays: DataFrame, unit: int = HOUR_MICROS, windows: DataFrame | None = None, look_back: int = 0) -> DataFrame:
+    """Hour grid of the stays kept, with the visit of each stay; with windows only their hours."""
+    return T.hours_of(hour_spans(stays, unit, windows, look_back), KEY, [VISIT])
 
 
 def given_hours(stays: DataFrame, icustay_hours: DataFrame, unit: int = HOUR_MICROS) -> DataFrame:
     """Grid from an existing table of hours (stay, hr, endtime on the whole hour)."""
-    slot = slot_of(micros("endtime"), unit)
+    slot = T.slot_of(micros("endtime"), unit)
     return stays.filter("excluded = 0").select(KEY, VISIT).join(icustay_hours.select(KEY, "hr", slot.alias("slot")), KEY)
 
 
@@ -178,9 +185,19 @@ def hourly(
     lab: DataFrame,
     unit: int = HOUR_MICROS,
     sum_mode: str = "faithful",
+    spans: DataFrame | None = None,
 ) -> DataFrame:
     """Hourly data table; blood gas and laboratory rows belong to visits and serve all their stays."""
-    slot = slot_of(micros("charttime"), unit).alias("slot")
+    slot = T.slot_of(micros("charttime"), unit).alias("slot")
     sources = {"vital": vital, "gcs": gcs, "uo": uo, "bg": bg, "lab": lab}
     tables = {n: t.select("*", slot) for n, t in sources.items()}
-    return hourly_features(grid, tables, MEASURES, KEY, VISIT, ("bg", "lab"), sum_mode)
+    return T.hourly_features(grid, tables, MEASURES, KEY, VISIT, ("bg", "lab"), sum_mode, spans)
+
+
+def stay_hours(
+    stays: DataFrame, vital: DataFrame, gcs: DataFrame, uo: DataFrame, bg: DataFrame, lab: DataFrame,
+    unit: int = HOUR_MICROS, windows: DataFrame | None = None, look_back: int = 0, sum_mode: str = "faithful",
+) -> DataFrame:
+    """Hourly data table from the stays; their hours are written once, for the grid and for cutting the measurements."""
+    spans = durable(hour_spans(stays, unit, windows, look_back), "spans")
+    return hourly(T.hours_of(spans, KEY, [VISIT]), vital, gcs, uo, bg, lab, unit, sum_mode, spans)

@@ -122,14 +122,14 @@ def hour_grid(fr):
     return grid.select("icustay_id", "hr", (F.col("slot") * timestamp_source.HOUR_MICROS).alias("end_us"))
 
 
-def t_hourly(fr, grid, unit: int = timestamp_source.HOUR_MICROS):
-    return timestamp_source.hourly(grid, fr.t_vital, fr.t_gcs, fr.t_uo, fr.t_bg, fr.t_lab, unit)
+def t_events(fr):
+    return fr.t_vital, fr.t_gcs, fr.t_uo, fr.t_bg, fr.t_lab
 
 
 @query("hourly_features", f"with {grid_sql('t_stay_day', 'day')}, {hourly_sql('day')} select icustay_id, hr::bigint as hr, {sql_doubles(*[m.name for m in timestamp_source.MEASURES])} from hourly", "t_stay_day " + T_FRAMES)
 def hourly_features(fr):
     """Averages and sums of five event tables per (stay, interval); day-wide intervals hold several rows."""
-    return rounded(t_hourly(fr, timestamp_source.hours(fr.t_stay_day, DAY_MICROS), DAY_MICROS), "icustay_id", "hr")
+    return rounded(timestamp_source.stay_hours(fr.t_stay_day, *t_events(fr), unit=DAY_MICROS), "icustay_id", "hr")
 
 
 @query(
@@ -142,7 +142,7 @@ def hourly_given_grid(fr):
     """The same on the hours of an existing table (stay, hour, end of the hour)."""
     end = F.timestamp_micros(F.col("slot") * timestamp_source.HOUR_MICROS).alias("endtime")
     given = durable(timestamp_source.hours(fr.t_stay).select("icustay_id", "hr", end), "hours")
-    return rounded(t_hourly(fr, timestamp_source.given_hours(fr.t_stay, given)), "icustay_id", "hr")
+    return rounded(timestamp_source.hourly(timestamp_source.given_hours(fr.t_stay, given), *t_events(fr)), "icustay_id", "hr")
 
 
 OFFSET_NAMES = [m.name for m in offset_source.MEASURES]
@@ -156,7 +156,7 @@ OFFSET_NAMES = [m.name for m in offset_source.MEASURES]
 )
 def hourly_grid_join(fr):
     """Four event tables on the hour grid of the offset clock, summed per hour."""
-    hourly = offset_hourly(fr, offset_source.hours(offset_cohort(fr)))
+    hourly = offset_hourly(fr, offset_cohort(fr))
     sums = [a for m in OFFSET_NAMES for a in (F.count(m).alias(f"n_{m}"), F.round(F.sum(m), 4).alias(m))]
     return hourly.groupBy("hr").agg(F.count(F.lit(1)).alias("n_rows"), *sums)
 
@@ -168,7 +168,7 @@ def hourly_grid_join(fr):
 )
 def hourly_offset(fr):
     """Hourly table of the offset source: a row per (stay, hour)."""
-    hourly = offset_hourly(fr, offset_source.hours(offset_cohort(fr)))
+    hourly = offset_hourly(fr, offset_cohort(fr))
     return rounded(hourly.select("patientunitstayid", F.col("hr").cast("bigint").alias("hr"), *OFFSET_NAMES), "patientunitstayid", "hr")
 
 
@@ -189,9 +189,9 @@ def join_mixed_grain(fr):
 # --- windows
 
 
-def event_windows(fr):
+def event_windows(stays):
     """Window end of each event stay."""
-    return fr.t_stay.filter("excluded = 0").select("icustay_id", (F.lit(100) + F.col("icustay_id") % 400).alias("windowtime_hours"))
+    return stays.filter("excluded = 0").select("icustay_id", (F.lit(100) + F.col("icustay_id") % 400).alias("windowtime_hours"))
 
 
 WINDOWS_SQL = "windows as (select icustay_id, 100 + icustay_id % 400 as windowtime_hours from t_stay where excluded = 0)"
@@ -204,7 +204,7 @@ WIDTH, EXTRA = 48, 72
     "t_stay",
 )
 def join_upto_window(fr):
-    grid = up_to_window(timestamp_source.hours(fr.t_stay), event_windows(fr), "icustay_id")
+    grid = up_to_window(timestamp_source.hours(fr.t_stay), event_windows(fr.t_stay), "icustay_id")
     return grid.groupBy("icustay_id").agg(F.count(F.lit(1)).alias("n_hours"), F.max("hr").alias("last_hr"))
 
 
@@ -216,7 +216,7 @@ def join_upto_window(fr):
 )
 def window_select(fr):
     """Hours of the window, both ends included, and of the look-back before it."""
-    rows = in_window_rows(timestamp_source.hours(fr.t_stay).select("icustay_id", "hr"), event_windows(fr), "icustay_id", 8, 24)
+    rows = in_window_rows(timestamp_source.hours(fr.t_stay).select("icustay_id", "hr"), event_windows(fr.t_stay), "icustay_id", 8, 24)
     return rows.select("icustay_id", "hr", F.col("early").cast("int").alias("early"))
 
 
@@ -226,8 +226,10 @@ def _window_query(name: str, plan: FeaturePlan):
 
     @query(name, sql, "t_stay " + T_FRAMES)
     def run(fr):
-        grid = timestamp_source.hours(fr.t_stay, windows=event_windows(fr), look_back=WIDTH + EXTRA)
-        features = window_features(t_hourly(fr, grid), event_windows(fr), "icustay_id", WIDTH, EXTRA, plan)
+        stays = durable(fr.t_stay, "stays")
+        windows = event_windows(stays)
+        hourly = timestamp_source.stay_hours(stays, *t_events(fr), windows=windows, look_back=WIDTH + EXTRA)
+        features = window_features(hourly, windows, "icustay_id", WIDTH, EXTRA, plan)
         return rounded(features, "icustay_id")
 
 
@@ -277,8 +279,8 @@ def random_window(fr):
     return doubles(windows, *LIMITS).withColumn("random_fraction", F.round("random_fraction", 9))
 
 
-def offset_hourly(fr, grid):
-    return offset_source.hourly(grid, fr.pivoted_vital, fr.pivoted_uo, fr.pivoted_bg, fr.pivoted_lab)
+def offset_hourly(fr, stays, windows=None, look_back: int = 0):
+    return offset_source.stay_hours(stays, fr.pivoted_vital, fr.pivoted_uo, fr.pivoted_bg, fr.pivoted_lab, windows, look_back)
 
 
 def finished(fr):
@@ -311,7 +313,7 @@ def random_window_matrix(fr):
     """Source tables to design matrix with random window ends, four-hour windows."""
     stays, static = finished(fr)
     windows = matrices.random_windows(stays, static, "patientunitstayid", 7)
-    hourly = offset_hourly(fr, offset_source.hours(stays, windows, 4 + 24))
+    hourly = offset_hourly(fr, stays, windows, 4 + 24)
     return tidy_matrix(matrices.design_matrix(stays, windows, hourly, static, "patientunitstayid", 4))
 
 
@@ -324,7 +326,7 @@ def fixed_window_matrix(fr):
     """Source tables to design matrix of the first day."""
     stays, static = finished(fr)
     windows = matrices.day_one_windows(stays, static, "patientunitstayid")
-    hourly = offset_hourly(fr, offset_source.hours(stays, windows, 24 + 24))
+    hourly = offset_hourly(fr, stays, windows, 24 + 24)
     return tidy_matrix(matrices.design_matrix(stays, windows, hourly, static, "patientunitstayid", 24))
 
 
@@ -358,8 +360,8 @@ def timestamp_finished(fr):
 
 def timestamp_matrix(fr, stays, static, windows, width: int):
     """Source tables with timestamps to a design matrix; the site is the cohort's."""
-    grid = timestamp_source.hours(stays, windows=windows, look_back=width + 24)
-    hourly = timestamp_source.hourly(grid, fr.s_vital, fr.s_gcs, fr.s_uo, fr.s_bg, fr.s_lab)
+    events = fr.s_vital, fr.s_gcs, fr.s_uo, fr.s_bg, fr.s_lab
+    hourly = timestamp_source.stay_hours(stays, *events, windows=windows, look_back=width + 24)
     matrix = matrices.design_matrix(stays, windows, hourly, static, "icustay_id", width)
     return rounded(matrix, "icustay_id", "hospitalid", "death", "ventdays")
 

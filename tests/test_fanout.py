@@ -5,7 +5,8 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from sitewise.operators.timeseries import Measure, hourly_features
+from sitewise.operators.timeseries import Measure, hour_spans, hourly_features, hours_of
+from sitewise.session import durable
 
 MEASURES = (
     Measure("a", (("t1", "x"),)),
@@ -42,3 +43,41 @@ def test_closed_form_equals_literal_join(spark, seed):
     plain = hourly_features(spark.createDataFrame(grid), frames, MEASURES, "id", sum_mode="corrected").toPandas().sort_values(["id", "hr"])
     sums = con.execute("select g.id, g.hr, sum(t3.x) as s from grid g left join t3 using (id, slot) group by 1, 2 order by 1, 2").df()
     np.testing.assert_allclose(plain["s"].to_numpy(float), sums["s"].to_numpy(float), rtol=1e-9, equal_nan=True)
+
+
+def test_measurements_are_cut_to_the_hours_before_any_exchange(spark, capsys):
+    """Two overlapping stays of one visit, rows outside all hours, keys without a stay: as a literal interval join."""
+    rng = np.random.default_rng(3)
+    stays = [(1, 7, 0, 0, 5), (2, 7, 0, 3, 9), (3, 8, 0, 2, 2), (4, None, 0, 1, 4), (5, 9, 1, None, 4)]
+    frame = spark.createDataFrame(stays, "id long, visit long, excluded int, t0 long, t1 long").repartition(2)
+    spans = durable(hour_spans(frame, "id", "t0", "t1", 1, lead=2, keep=["visit"]), "spans")
+    grid = hours_of(spans, "id", ["visit"])
+    n = 200
+    events = {
+        "own": pd.DataFrame({"id": rng.integers(1, 7, n), "slot": rng.integers(-9, 20, n), "x": rng.normal(size=n)}),
+        "shared": pd.DataFrame({"visit": rng.integers(7, 10, n), "slot": rng.integers(-9, 20, n), "x": rng.normal(size=n)}),
+    }
+    frames = {name: durable(spark.createDataFrame(t).repartition(3), name) for name, t in events.items()}
+    measures = (Measure("a", (("own", "x"),)), Measure("b", (("shared", "x"),), "sum"), Measure("c", (("shared", "x"), ("own", "x"))))
+    job = hourly_features(grid, frames, measures, "id", "visit", ("shared",), spans=spans)
+    got = job.toPandas().sort_values(["id", "hr"])
+    con = duckdb.connect()
+    con.register("grid", grid.toPandas().astype({"visit": "Int64"}))
+    for name, t in events.items():
+        con.register(name, t)
+    want = con.execute(
+        """select g.id, g.hr, avg(o.x) as a, sum(s.x) as b, avg(coalesce(s.x, o.x)) as c from grid g
+           left join own o on g.id = o.id and g.slot = o.slot left join shared s on g.visit = s.visit and g.slot = s.slot group by 1, 2 order by 1, 2"""
+    ).df()
+    assert got[["id", "hr"]].to_numpy().tolist() == want[["id", "hr"]].to_numpy().tolist()
+    assert set(got["id"]) == {1, 2, 3, 4}
+    for c in "abc":
+        np.testing.assert_allclose(got[c].to_numpy(float), want[c].to_numpy(float), rtol=1e-9, equal_nan=True)
+    without = hourly_features(grid, frames, measures, "id", "visit", ("shared",)).toPandas().sort_values(["id", "hr"])
+    pd.testing.assert_frame_equal(without.reset_index(drop=True), got.reset_index(drop=True))
+    capsys.readouterr()
+    job.explain()
+    plan = capsys.readouterr().out.split("Initial Plan")[-1]
+    # the stays before they grow, the grid, the reduced measurements; none of the tables on its own
+    assert plan.count("Exchange hashpartitioning") == 3
+    assert plan.count("BroadcastHashJoin") == 2 and plan.count("LeftOuter") == 1
