@@ -52,6 +52,11 @@ def evaluate(df: DataFrame, by: Sequence[str] = (), y: str = "y", p: str = "p")
         F.sum(-(s1 * F.log(pc) + s0 * F.log(1 - pc))).alias("_log"),
         F.sum(s1 * (F.col("_below") + s0 / 2)).alias("_pairs"),
     )
+    return add_up_cells(per_cell, by)
+
+
+def add_up_cells(per_cell: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Metrics of each group from the sums of its cells, which follow the order of the scores."""
     earlier = W.partitionBy(*by).orderBy("_cell").rowsBetween(W.unboundedPreceding, -1)
     offset = F.coalesce(F.sum("_s0").over(earlier), F.lit(0.0))
     joined_up = per_cell.withColumn("_pairs", F.col("_pairs") + F.col("_s1") * offset)

@@ -11,13 +11,14 @@ from sitewise.functions.scalar import neglog_complement
 from sitewise.operators import linear, models, nested, pooled, resample, summary
 from sitewise.operators.boosting import Boosting, boosted
 from sitewise.operators.joins import group_join, member_rows, other_rows, paired_delta
+from sitewise.operators.matrix import score_matrix
 from sitewise.operators.metrics import evaluate
 from sitewise.operators.nested import UPTO, WITHOUT, TrainingSets
 from sitewise.plans.offset_source import severity_rows
 from sitewise.queries.registry import query
 from sitewise.queries.sinks import complete
 from sitewise.queries.resampling import place_sql
-from sitewise.queries.sites import FEATURES, direct_metrics, rounded, site_pairs
+from sitewise.queries.sites import FEATURES, direct_metrics, rounded
 from sitewise.queries.sqltext import FIT, METRICS, PROBABILITY, UNIFORM, rounded_metrics
 from sitewise.session import durable
 from sitewise.sources import tables
@@ -256,11 +257,9 @@ def perf_matrix_fixed_size(fr):
     train = durable(resample.sample_per_group(rows, ["site"], ["id"], 500, 18201), "train")
     test = resample.sample_per_group(rows, ["site"], ["id"], 500, 18202)
     fitted = durable(models.fit_logistic(train, "site", "y", FEATURES), "fitted")
-    pairs = site_pairs(fitted.withColumnRenamed("site", "model_id"), rows)
-    off = models.score_pairs(test.withColumnRenamed("site", "test_site"), pairs.filter("train_site <> test_site"), fitted, FEATURES)
-    own = models.score(train, fitted, "site", FEATURES).select(F.col("site").alias("train_site"), F.col("site").alias("test_site"), "y", "p")
-    both = off.select("train_site", "test_site", "y", "p").unionByName(own)
-    return kept_metrics(evaluate(both, ["train_site", "test_site"]), "train_site", "test_site")
+    off = score_matrix(test.withColumnRenamed("site", "test_site"), fitted, FEATURES).filter("train_site <> test_site")
+    scored = models.score(train, fitted, "site", FEATURES).select(F.col("site").alias("train_site"), F.col("site").alias("test_site"), "y", "p")
+    return kept_metrics(off.unionByName(evaluate(scored, ["train_site", "test_site"])), "train_site", "test_site")
 
 
 @query("loso_metrics", f"with recursive {LEFT_OUT}, {SCORED('feat', 'site', 'site, y')}, {EVALUATED('site')}", "feat")

@@ -8,7 +8,8 @@ from sitewise.functions.scalar import flag, r6
 from sitewise.operators import metrics as M
 from sitewise.operators import prep, summary
 from sitewise.operators.joins import paired_delta
-from sitewise.operators.models import score, score_pairs, score_rescaled
+from sitewise.operators.matrix import score_matrix
+from sitewise.operators.models import score, score_rescaled
 from sitewise.operators.ranking import exact_quantiles, ordered_positions
 from sitewise.plans.offset_source import severity_rows
 from sitewise.queries.registry import query
@@ -359,17 +360,9 @@ MATRIX_SQL = f"""scored as (select model_id * 100 + site as pair, model_id, site
   {AUC('scored', 'pair', 'y', 'p')}, matrix as (select pair // 100 as train_site, pair % 100 as test_site, auc from auc)"""
 
 
-def site_pairs(models, rows):
-    """Every model of the table on every site of the rows: the axes of the matrix."""
-    tests = rows.select(F.col("site").alias("test_site")).distinct().agg(F.collect_list("test_site").alias("t"))
-    return models.select(F.col("model_id").alias("train_site"), F.explode(tests.scalar()).alias("test_site"))
-
-
 def matrix(fr):
-    models = nation_models(fr)
     rows = fr.feat.withColumnRenamed("site", "test_site")
-    scored = score_pairs(rows, site_pairs(models, fr.feat), models, FEATURES)
-    return M.evaluate(scored, ["train_site", "test_site"]).select("train_site", "test_site", "auc")
+    return score_matrix(rows, nation_models(fr), FEATURES).select("train_site", "test_site", "auc")
 
 
 @query("perf_matrix", f"with {MATRIX_SQL} select train_site, test_site, round(auc, 6) as auc from matrix", "feat nationmodel")
