@@ -8,9 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from sitewise.functions.scalar import col, micros
-from sitewise.session import durable
-
-SALTS = 16
+from sitewise.session import durable, shuffle_partitions
 
 
 def broadcast_sized(df: DataFrame) -> bool:
@@ -29,29 +27,43 @@ def group_join(facts: DataFrame, groups: DataFrame, by: Sequence[str], spread: S
     return salted_join(facts.withColumn("_group", packed), keyed, ["_group"], spread, how).drop("_group")
 
 
-def salted_join(
-    facts: DataFrame,
-    dims: DataFrame,
-    on: Sequence[str],
-    spread: Sequence[Column | str],
-    how: str = "inner",
-    salts: int = SALTS,
-) -> DataFrame:
+def salted_join(facts: DataFrame, dims: DataFrame, on: Sequence[str], spread: Sequence[Column | str], how: str = "inner") -> DataFrame:
     """Equi-join of a large side with a smaller one, for keys of any size.
 
     A side below the broadcast limit needs no shuffle of the facts, so a key's size does not
-    matter.  Above it the rows of a key are spread over ``salts`` tasks by a hash of ``spread``
-    (values of the row, so a repeated task sends it to the same place) and the other side is
-    repeated per salt.
+    matter.  Above it the facts are counted per key; a key with more rows than a task's even
+    share is spread by a hash of ``spread`` (values of the row, so a repeated task sends it to
+    the same place) over as many tasks as it has shares, and its rows of the other side are
+    repeated that often.  There are fewer such keys than tasks and the repeats are at most two
+    per task, so both stay small whatever the data.  Rows with a missing key match nothing and
+    are spread over all tasks.
     """
     if broadcast_sized(dims):
         return facts.join(F.broadcast(dims), list(on), how)
-    spread_by = F.pmod(F.xxhash64(*[col(c) for c in spread]), F.lit(salts)).cast("int")
-    left = facts.withColumn("_salt", spread_by)
-    right = dims.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    heavy = _shares(facts, on)
+    hashed = F.xxhash64(*[col(c) for c in spread])
+    tasks = F.lit(shuffle_partitions(facts.sparkSession))
+    missing = F.lit(False)
+    for c in on:
+        missing = missing | F.col(c).isNull()
+    salts = F.when(missing, tasks).otherwise(F.coalesce("_shares", F.lit(1)))
+    left = facts.join(F.broadcast(heavy), list(on), "left").withColumn("_salt", F.pmod(hashed, salts).cast("int")).drop("_shares")
+    right = (
+        dims.join(F.broadcast(heavy), list(on), "left")
+        .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_shares", F.lit(1)) - 1)))
+        .drop("_shares")
+    )
     return left.join(right, [*on, "_salt"], how).drop("_salt")
 
 
+def _shares(facts: DataFrame, on: Sequence[str]) -> DataFrame:
+    """Keys with more rows than an even share of a task, with the number of shares they fill."""
+    tasks = shuffle_partitions(facts.sparkSession)
+    counts = durable(facts.groupBy(*on).agg(F.count(F.lit(1)).alias("_n")), "weights")
+    share = counts.select(F.sum("_n") / F.lit(float(tasks))).scalar()
+    return counts.filter(F.col("_n") > share).select(*on, F.ceil(F.col("_n") / share).cast("int").alias("_shares"))
+
+
 def interval_join(
     events: DataFrame,
     spans: DataFrame,

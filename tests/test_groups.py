@@ -106,6 +106,28 @@ def test_salted_join_equals_join(spark, df):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
 
 
+def test_heavy_keys_are_split_by_their_weight(spark):
+    """Half of all rows have one key, a quarter none: both spread over the tasks, light keys stay whole."""
+    rows = [(i, 1 if i % 2 else None if i % 4 else i) for i in range(2000)]
+    facts = spark.createDataFrame(rows, "id long, k long")
+    dims = spark.createDataFrame([(1, "a"), (1, "b"), (4, "c"), (None, "d"), (5, "e")], "k long, w string")
+    assert [tuple(r) for r in joins._shares(facts, ["k"]).filter("k is not null").collect()] == [(1, 4)]
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        for how in ("inner", "left", "left_semi", "left_anti"):
+            got = joins.salted_join(facts, dims, ["k"], spread=["id"], how=how)
+            want = facts.join(dims, "k", how)
+            assert got.columns == want.columns
+            assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        tasks = joins.salted_join(facts, dims, ["k"], spread=["id"], how="left").groupBy("k", F.spark_partition_id().alias("task")).count().collect()
+        assert len({r.task for r in tasks if r.k == 1}) > 1 and len({r.task for r in tasks if r.k is None}) > 1
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+
+
 def test_membership_with_and_without_broadcast(spark, df, frame):
     keys = spark.createDataFrame([(0,), (3,), (99,)], "site long")
     inside = int(frame.site.isin([0, 3]).sum())
