@@ -128,9 +128,14 @@ def hourly_features(
     return filled.selectExpr(key, "hr", *[_measure(m, list(tables), sum_mode) for m in measures])
 
 
-def spread_over_stays(measured: DataFrame, grid: DataFrame, visit: str) -> DataFrame:
-    """Values kept per (visit, slot), given to the hours of every stay of the visit."""
-    return grid.join(measured, [visit, "slot"])
+def spread_over_stays(measured: DataFrame, spans: DataFrame, visit: str) -> DataFrame:
+    """Values kept per (visit, slot), given to the hours ``hr`` of every stay of the visit.
+
+    A stay's hours stay one narrow row (``hour_spans``): the planner takes a grid for as small as the
+    spans it grows from and would broadcast it.
+    """
+    hr = F.col("slot") - F.col("_slot0")
+    return measured.join(spans, visit).withColumn("hr", hr).filter(F.col("hr").between(F.col("_first"), F.col("_last"))).drop("_slot0", "_first", "_last")
 
 
 def _inside(table: DataFrame, name: str, reach: DataFrame, on: str, key: str, columns: Sequence[str]) -> DataFrame:
@@ -224,7 +229,7 @@ def random_window(
 
 
 def up_to_window(hourly: DataFrame, windows: DataFrame, key: str, hr: str = "hr", end: str = "windowtime_hours") -> DataFrame:
-    """Hours of each stay up to its window end."""
-    return hourly.join(windows.select(key, end), key).filter(F.col(hr) <= F.col(end))
+    """Hours of each stay up to its window end; they are never broadcast, whatever the planner takes their size for."""
+    return hourly.hint("merge").join(windows.select(key, end), key).filter(F.col(hr) <= F.col(end))
 
 

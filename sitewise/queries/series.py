@@ -180,10 +180,10 @@ def hourly_offset(fr):
 )
 def join_mixed_grain(fr):
     """Rows kept per visit serve the hours of every stay of the visit."""
-    grid = timestamp_source.hours(fr.t_stay)
+    spans = timestamp_source.hour_spans(fr.t_stay)
     gas = fr.t_bg.select("hadm_id", "potassium", slot_of(micros("charttime"), timestamp_source.HOUR_MICROS).alias("slot"))
     counts = gas.groupBy("hadm_id", "slot").agg(F.count(F.lit(1)).alias("n"), F.count("potassium").alias("n_potassium"))
-    return spread_over_stays(counts, grid, "hadm_id").select("icustay_id", "hr", "n", "n_potassium")
+    return spread_over_stays(counts, spans, "hadm_id").select("icustay_id", "hr", "n", "n_potassium")
 
 
 # --- windows
@@ -216,7 +216,8 @@ def join_upto_window(fr):
 )
 def window_select(fr):
     """Hours of the window, both ends included, and of the look-back before it."""
-    rows = in_window_rows(timestamp_source.hours(fr.t_stay).select("icustay_id", "hr"), event_windows(fr.t_stay), "icustay_id", 8, 24)
+    grid = timestamp_source.hours(fr.t_stay).hint("merge")  # many rows from few spans: not to be broadcast
+    rows = in_window_rows(grid.select("icustay_id", "hr"), event_windows(fr.t_stay), "icustay_id", 8, 24)
     return rows.select("icustay_id", "hr", F.col("early").cast("int").alias("early"))
 
 

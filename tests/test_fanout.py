@@ -5,7 +5,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from sitewise.operators.timeseries import Measure, hour_spans, hourly_features, hours_of
+from sitewise.operators.timeseries import Measure, hour_spans, hourly_features, hours_of, spread_over_stays, up_to_window
 from sitewise.session import durable
 
 MEASURES = (
@@ -81,3 +81,20 @@ def test_measurements_are_cut_to_the_hours_before_any_exchange(spark, capsys):
     # the stays before they grow, the grid, the reduced measurements; none of the tables on its own
     assert plan.count("Exchange hashpartitioning") == 3
     assert plan.count("BroadcastHashJoin") == 2 and plan.count("LeftOuter") == 1
+
+
+def test_the_hours_of_stays_are_never_broadcast(spark, capsys):
+    """A grid looks as small as its spans: values of a visit meet the spans, windows meet the grid by a merge join."""
+    stays = [(1, 7, 0, 5000), (2, 7, 3, 9), (2, 7, 3, 9), (3, 8, 2, 2), (4, None, 1, 4)]
+    spans = hour_spans(spark.createDataFrame(stays, "id long, visit long, t0 long, t1 long"), "id", "t0", "t1", 1, keep=["visit"])
+    grid = hours_of(spans, "id", ["visit"])
+    values = spark.createDataFrame([(7, 4, 1.5), (7, -30, 2.5), (7, 4000, 3.5), (8, 2, 4.5), (None, 2, 5.5), (9, 2, 6.5)], "visit long, slot long, x double")
+    job = spread_over_stays(values, spans, "visit").select("id", "hr", "x")
+    assert sorted(job.collect()) == sorted(grid.join(values, ["visit", "slot"]).select("id", "hr", "x").collect())
+    windows = spark.createDataFrame([(1, 3), (2, 100)], "id long, windowtime_hours int")
+    cut = up_to_window(grid, windows, "id")
+    assert cut.count() == 28 + 2 * 31
+    for plan, without in ((job, "Generate"), (cut, "BroadcastExchange")):
+        capsys.readouterr()
+        plan.explain()
+        assert without not in capsys.readouterr().out
