@@ -64,12 +64,12 @@ def join_left_filtered(fr):
     "icustays services",
 )
 def join_time_bound(fr):
-    """Left join with a bound on the time of the other side."""
-    counts = fr.services.groupBy("hadm_id", "transfertime").agg(F.count("curr_service").alias("n"))
+    """Left join with a bound on the time of the other side: matches are counted as they are joined, stays without one add 0."""
     until = F.col("intime") + F.expr("INTERVAL 1 DAY")
-    joined = fr.icustays.join(counts, "hadm_id", "left")
-    early = F.coalesce(F.sum(F.when(F.col("transfertime") < until, F.col("n"))), F.lit(0))
-    return joined.groupBy("icustay_id").agg(early.alias("early"))
+    times = fr.services.filter("curr_service is not null").select("hadm_id", "transfertime")
+    matched = fr.icustays.select("icustay_id", "hadm_id", until.alias("until")).join(times, "hadm_id").filter("transfertime < until")
+    rows = matched.select("icustay_id", F.lit(1).alias("n")).unionByName(fr.icustays.select("icustay_id", F.lit(0).alias("n")))
+    return rows.groupBy("icustay_id").agg(F.sum("n").alias("early"))
 
 
 RANGE_SQL = """
