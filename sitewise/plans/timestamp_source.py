@@ -47,19 +47,26 @@ def signal_times(chartevents: DataFrame, icustays: DataFrame) -> DataFrame:
         (F.col("intime") - F.expr("INTERVAL 12 HOURS")).alias("_from"),
         (F.col("outtime") + F.expr("INTERVAL 12 HOURS")).alias("_to"),
     )
-    near = interval_join(beats, span, [KEY], "charttime", "_from", "_to")
+    # stays last days: most touch one chunk of a month and are not repeated
+    near = interval_join(beats, span, [KEY], "charttime", "_from", "_to", chunk=32 * 24 * HOUR_MICROS)
     return near.groupBy(KEY).agg(
         hour_ceil_59(F.min("charttime")).alias("first_hour"), hour_ceil_59(F.max("charttime")).alias("last_hour")
     )
 
 
-def cohort(icustays: DataFrame, admissions: DataFrame, patients: DataFrame, chartevents: DataFrame) -> DataFrame:
-    """Stays with signal-based start and end, outcomes and exclusion flags; the site is the record system."""
+def cohort(icustays: DataFrame, admissions: DataFrame, patients: DataFrame, chartevents: DataFrame, kept_only: bool = False) -> DataFrame:
+    """Stays with signal-based start and end, outcomes and exclusion flags; the site is the record system.
+
+    With ``kept_only`` only the stays that no flag excludes: later stays of a person and those without recorded times, most of all,
+    are left out before the joins.
+    """
     ranked = is_first(icustays, ["subject_id"], ["intime"], KEY, "first_stay")
+    if kept_only:
+        ranked = ranked.filter("first_stay = 1 and intime is not null and outtime is not null")
     joined = (
         ranked.join(admissions, VISIT)
         .join(patients.select("subject_id", "dob", "gender"), "subject_id")
-        .join(signal_times(chartevents, icustays), KEY, "left")
+        .join(signal_times(chartevents, ranked if kept_only else icustays), KEY, "inner" if kept_only else "left")
         .withColumn("years", age_years(F.col("admittime").cast("date"), F.col("dob").cast("date")))
     )
     unusable = (
@@ -72,7 +79,7 @@ def cohort(icustays: DataFrame, admissions: DataFrame, patients: DataFrame, char
     text = F.lower("diagnosis")
     donor = (text.contains("organ donor") | text.contains("donor account")) & F.col("deathtime").isNotNull()
     short = hours_between("last_hour", "first_hour") <= 4
-    return joined.select(
+    stays = joined.select(
         "subject_id",
         VISIT,
         KEY,
@@ -91,6 +98,7 @@ def cohort(icustays: DataFrame, admissions: DataFrame, patients: DataFrame, char
         flag(donor).alias("exclusion_organ_donor"),
         flag((F.col("first_stay") != 1) | short).alias("exclusion_by_apache"),
     ).withColumn("excluded", excluded(EXCLUSIONS))
+    return stays.filter("excluded = 0") if kept_only else stays
 
 
 def code_status(icustays: DataFrame, chartevents: DataFrame) -> DataFrame:

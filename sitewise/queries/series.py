@@ -355,12 +355,16 @@ def timestamp_matrix_sql(windows: str, width: int) -> str:
 
 
 def timestamp_finished(fr):
-    stays = durable(timestamp_cohort(fr), "cohort")
-    return stays, durable(timestamp_static(fr, stays), "static")
+    """Stays kept and their static table, which is all that a matrix takes; events of other stays are cut before their exchanges."""
+    stays = durable(timestamp_cohort(fr, kept_only=True), "cohort")
+    cut = [t.join(stays.select("icustay_id"), "icustay_id", "left_semi") for t in (fr.icustays, fr.chartevents)]
+    return stays, durable(timestamp_static(fr, stays, *cut), "static")
 
 
 def timestamp_matrix(fr, stays, static, windows, width: int):
     """Source tables with timestamps to a design matrix; the site is the cohort's."""
+    # all five event tables are read from these rows: written once, for the visits kept
+    fr.timed = durable(fr.timed.join(stays.select("hadm_id"), "hadm_id", "left_semi"), "timed")
     events = fr.s_vital, fr.s_gcs, fr.s_uo, fr.s_bg, fr.s_lab
     hourly = timestamp_source.stay_hours(stays, *events, windows=windows, look_back=width + 24)
     matrix = matrices.design_matrix(stays, windows, hourly, static, "icustay_id", width)

@@ -253,8 +253,8 @@ TIMESTAMP_FRAMES = "icustays admissions patients chartevents"
 TIMES = ("intime", "outtime")
 
 
-def timestamp_cohort(fr):
-    return timestamp_source.cohort(fr.icustays, fr.admissions, fr.patients, fr.chartevents)
+def timestamp_cohort(fr, kept_only: bool = False):
+    return timestamp_source.cohort(fr.icustays, fr.admissions, fr.patients, fr.chartevents, kept_only)
 
 
 @query(
@@ -355,9 +355,11 @@ STATIC_TIMESTAMP_SQL = f"""codes as ({_timestamp_codes_sql()}), surgery as ({SUR
     left join censored l using (icustay_id) left join surgery s using (icustay_id) left join vent v using (icustay_id))"""
 
 
-def timestamp_static(fr, stays):
-    codes = timestamp_source.code_status(fr.icustays, fr.chartevents)
-    return timestamp_source.static_features(stays, fr.icustays, fr.admissions, fr.patients, codes, fr.services, fr.ventdurations)
+def timestamp_static(fr, stays, icustays=None, chartevents=None):
+    """Static table of ``stays``; the tables of stays and events may be given cut to their keys."""
+    icustays = fr.icustays if icustays is None else icustays
+    codes = timestamp_source.code_status(icustays, fr.chartevents if chartevents is None else chartevents)
+    return timestamp_source.static_features(stays, icustays, fr.admissions, fr.patients, codes, fr.services, fr.ventdurations)
 
 
 @query(
