@@ -8,8 +8,9 @@ the last register can be waiting for are never made.
 
 Texts of equal multisets are one node.  Nodes that agree in a band of registers meet in a bucket.  In small buckets all nodes are
 compared, in large ones each with a leader, the node that shares most buckets, which copies of one origin have in common.  Nodes that are
-then not of their leader's class are held against all nodes that share their leader, in blocks that many tasks share, and those that agree
-in ``LIKELY`` registers are compared too.  Buckets too large for that are cut by a second band.  Compared are the exact multisets.
+then not of their leader's class are compared with all nodes that share their leader, in blocks that many tasks share: an index of a block's
+shingles gives the exact overlap of a text with every text of the block.  Very large buckets are cut by a second band as well, whose links leave
+fewer such nodes; the whole bucket is compared all the same.  Compared are the exact multisets.
 """
 
 from __future__ import annotations
@@ -31,9 +32,9 @@ ROWS, BANDS = 4, 20
 SIZE = ROWS * BANDS
 #: Buckets up to this size are compared in full; nodes that one task compares with a copy of the leader's text, and that make a block.
 SMALL, TASK_NODES = 16, 256
-#: Registers that must agree before two nodes of a large bucket are compared: fewer have 9e-5 of the pairs of similarity 0.8.
-LIKELY = 50
-#: Nodes of a bucket beyond which it is cut by a second band; 4e-4 of the pairs of similarity 0.8 share one band only.
+#: Places of a block's index that one text reads at a time.
+READ = 1 << 20
+#: Nodes of a bucket beyond which it is cut by a second band too.
 HUGE = 100_000
 _U = np.uint64
 _POINT, _PLACE, _HEIGHT, _LEVEL = (_U(x) for x in (0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3))
@@ -101,11 +102,11 @@ def signatures(elements: np.ndarray, weights: np.ndarray, sizes: np.ndarray) ->
 
 
 def _describe(stream: Iterator[pa.RecordBatch], wordless: bool = False) -> Iterator[pa.RecordBatch]:
-    """Digest of the multiset (without words null, or with ``wordless`` a longer one of the text), number of shingles, bands and registers (16 bits of each) of each row."""
+    """Digest of the multiset (without words null, or with ``wordless`` a longer one of the text), number of shingles and bands of each row."""
     number = (np.arange(BANDS, dtype=_U) + _U(1)) * _LEVEL
     powers = np.cumprod(np.full(ROWS, _POINT, _U))
     for batch in stream:
-        nodes, totals, bands, marks = [], [], [], []
+        nodes, totals, bands = [], [], []
         for i, j, data, offsets in batches(batch.column("text")):
             elements, weights, sizes = multisets(data, offsets)
             begin, some = np.cumsum(sizes) - sizes, sizes > 0
@@ -116,7 +117,6 @@ def _describe(stream: Iterator[pa.RecordBatch], wordless: bool = False) -> Itera
                     digest[some, k] = np.add.reduceat(mix64(elements ^ salt) * weights.astype(_U), begin[some])
                 total[some] = np.add.reduceat(weights, begin[some])
             registers = signatures(elements, weights, sizes).reshape(j - i, BANDS, ROWS)
-            marks += [m.tobytes() for m in (registers >> _U(24)).astype("<u2")]
             joined = mix64((registers * powers).sum(2, dtype=_U) + number)
             silent = [hashlib.blake2b(data[offsets[k] : offsets[k + 1]].tobytes(), digest_size=17).digest() if wordless and not some[k] else None for k in range(j - i)]
             nodes += [d.tobytes() if s else h for d, s, h in zip(digest, some, silent, strict=True)]
@@ -125,8 +125,8 @@ def _describe(stream: Iterator[pa.RecordBatch], wordless: bool = False) -> Itera
         values = pa.array(np.concatenate(bands) if bands else np.zeros(0, np.int64))
         lists = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * BANDS), values)
         yield pa.record_batch(
-            [*(batch.column(c) for c in ("doc_id", "k1", "k2")), pa.array(nodes, pa.binary()), pa.array(np.concatenate(totals) if totals else [], pa.int64()), lists, pa.array(marks, pa.binary())],
-            names=["doc_id", "k1", "k2", "digest", "total", "bands", "marks"],
+            [*(batch.column(c) for c in ("doc_id", "k1", "k2")), pa.array(nodes, pa.binary()), pa.array(np.concatenate(totals) if totals else [], pa.int64()), lists],
+            names=["doc_id", "k1", "k2", "digest", "total", "bands"],
         )
 
 
@@ -212,13 +212,13 @@ def near_classes(docs: DataFrame, wordless: bool = False) -> DataFrame:
     """
     keyed = with_row_key(texts(docs))
     rows = durable(
-        keyed.select("doc_id", "k1", "k2", "text").mapInArrow(lambda stream: _describe(stream, wordless), "doc_id bigint, k1 bigint, k2 bigint, digest binary, total bigint, bands array<bigint>, marks binary")
+        keyed.select("doc_id", "k1", "k2", "text").mapInArrow(lambda stream: _describe(stream, wordless), "doc_id bigint, k1 bigint, k2 bigint, digest binary, total bigint, bands array<bigint>")
         .withColumn("row", F.monotonically_increasing_id()),
         "near-rows",
     )
     best = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "row"))
     nodes = durable(
-        rows.filter("digest is not null").groupBy("digest").agg(F.count(F.lit(1)).alias("size"), best.alias("best"), F.min(F.struct("k1", "k2", "total", "bands", "marks")).alias("one"))
+        rows.filter("digest is not null").groupBy("digest").agg(F.count(F.lit(1)).alias("size"), best.alias("best"), F.min(F.struct("k1", "k2", "total", "bands")).alias("one"))
         .select(F.monotonically_increasing_id().alias("node"), "digest", "size", "best", "one.*"),
         "near-nodes",
     )
@@ -241,7 +241,7 @@ def one_of_each(docs: DataFrame, wordless: bool = False) -> DataFrame:
 
 
 def _link(nodes: DataFrame, keyed: DataFrame) -> DataFrame | None:
-    """(node, class) of linked nodes, from written nodes (node, k1, k2, total, bands, marks) and texts (k1, k2, text)."""
+    """(node, class) of linked nodes, from written nodes (node, k1, k2, total, bands) and texts (k1, k2, text)."""
     members = _members(nodes.select("node", F.explode("bands").alias("band")))
     if members.isEmpty():
         return None
@@ -249,8 +249,8 @@ def _link(nodes: DataFrame, keyed: DataFrame) -> DataFrame | None:
     if not wide.isEmpty():
         further = wide.join(nodes.select("node", "bands"), "node").select("node", "band", F.explode("bands").alias("next")).filter("next != band")
         both = F.xxhash64(F.least("band", "next"), F.greatest("band", "next")).alias("band")
-        members = durable(members.filter(F.col("n") <= HUGE).unionByName(_members(further.select("node", both).distinct())), "near-members")
-    wanted = members.groupBy("node").agg(F.sum("n").alias("met")).join(nodes.select("node", "k1", "k2", "total", "marks"), "node")
+        members = durable(members.unionByName(_members(further.select("node", both).distinct())), "near-members")
+    wanted = members.groupBy("node").agg(F.sum("n").alias("met")).join(nodes.select("node", "k1", "k2", "total"), "node")
     wanted = durable(wanted, "near-wanted")
     # rows that repeat id and text are one text; wanted nodes are many, so texts come to them by a shuffle whatever their number
     met_texts = keyed.select("k1", "k2", "text").join(wanted.select("node", "k1", "k2").hint("shuffle_hash"), ["k1", "k2"])
@@ -271,7 +271,7 @@ def _link(nodes: DataFrame, keyed: DataFrame) -> DataFrame | None:
     links = durable(verified(durable(among.unionByName(stars).distinct(), "near-pairs"), held), "near-links")
     classes = None if links.isEmpty() else durable(components(links), "near-classes")
 
-    found = _among_groups(groups, classes, wanted, held)
+    found = _among_groups(groups, classes, held)
     if found is None:
         return classes
     links = durable(links.unionByName(found), "near-links")
@@ -284,7 +284,7 @@ def _members(banded: DataFrame) -> DataFrame:
     return durable(keyed_join(banded, sizes, ["band"], "n"), "near-members")
 
 
-def _among_groups(groups: DataFrame, classes: DataFrame | None, wanted: DataFrame, held: DataFrame) -> DataFrame | None:
+def _among_groups(groups: DataFrame, classes: DataFrame | None, held: DataFrame) -> DataFrame | None:
     """Links (a, b) that join nodes that are not of their leader's class to others of its group; None if there are no such nodes.
 
     Blocks of about ``TASK_NODES`` of them meet blocks of the whole group, each pair of blocks in a task of its own, which returns no more
@@ -300,17 +300,43 @@ def _among_groups(groups: DataFrame, classes: DataFrame | None, wanted: DataFram
     blocks = lambda n: (F.floor(F.col(n) / TASK_NODES) + 1).cast("int")
     block = lambda n: F.pmod(F.xxhash64("node"), blocks(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), blocks(n) - 1))
-    rows = keyed_join(known.drop("m"), counts, ["a"], "rows").join(wanted.select("node", "marks"), "node").join(held, "node")
-    rest = ["node", "class", "total", "marks", "text"]
+    rows = keyed_join(known.drop("m"), counts, ["a"], "rows").join(held, "node")
+    rest = ["node", "class", "total", "text"]
     apart = rows.filter("apart").select("a", block("r").alias("own"), every("rows").alias("other"), F.lit(0).alias("kind"), *rest)
     whole = rows.select("a", block("rows").alias("other"), every("r").alias("own"), F.lit(1).alias("kind"), *rest)
     place = ["a", "own", "other"]
     return apart.unionByName(whole).repartition(*place).sortWithinPartitions(*place, "kind").mapInArrow(_join_blocks, "a bigint, b bigint")
 
 
+class _Block:
+    """Multisets (sorted shingles, counts) of some texts as one index of their shingles."""
+
+    def __init__(self, multisets: list[tuple[np.ndarray, np.ndarray]]) -> None:
+        elements = np.concatenate([e for e, _ in multisets])
+        order = np.argsort(elements, kind="stable")
+        self.elements = elements[order]
+        self.weights = np.concatenate([w for _, w in multisets]).astype(np.int32)[order]
+        self.owner = np.repeat(np.arange(len(multisets), dtype=np.int32), [len(e) for e, _ in multisets])[order]
+        self.sizes = np.array([w.sum() for _, w in multisets], np.float64)
+
+    def similarities(self, elements: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        """Weighted Jaccard similarity of a multiset with each of the block."""
+        low = np.searchsorted(self.elements, elements)
+        found = np.searchsorted(self.elements, elements, "right") - low
+        least = np.zeros(len(self.sizes))
+        ends = np.cumsum(found)
+        i = 0
+        while i < len(found):
+            j = max(i + 1, int(np.searchsorted(ends, ends[i] - found[i] + READ, "right")))
+            at = np.repeat(low[i:j], found[i:j]) + runs(found[i:j])
+            least += np.bincount(self.owner[at], np.minimum(self.weights[at], np.repeat(weights[i:j], found[i:j])), len(least))
+            i = j
+        return least / (self.sizes + weights.sum() - least)
+
+
 def _join_blocks(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Links of each place's first kind of nodes with its second that no earlier link or class makes needless."""
-    place, held, root, table, sizes = None, [], {}, None, None
+    place, held, multisets_held, root, block = None, [], [], {}, None
 
     def find(x):
         while root.setdefault(x, x) != x:
@@ -319,9 +345,8 @@ def _join_blocks(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in stream:
         places = list(zip(*(batch.column(c).to_pylist() for c in ("a", "own", "other")), strict=True))
-        kinds, totals = batch.column("kind").to_numpy(), batch.column("total").to_numpy()
+        kinds = batch.column("kind").to_numpy()
         nodes, classes = batch.column("node").to_pylist(), batch.column("class").to_pylist()
-        marks = np.frombuffer(b"".join(batch.column("marks").to_pylist()), "<u2").reshape(-1, SIZE)
         links = []
         for i, j, data, offsets in batches(batch.column("text")):
             elements, weights, distinct = multisets(data, offsets)
@@ -329,19 +354,19 @@ def _join_blocks(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for r in range(i, j):
                 own = slice(ends[r - i] - distinct[r - i], ends[r - i])
                 if places[r] != place:
-                    place, held, root, table = places[r], [], {}, None
+                    place, held, multisets_held, root, block = places[r], [], [], {}, None
                 if kinds[r] == 0:
                     # copies, as a view would keep the whole batch
-                    held.append((nodes[r], classes[r], totals[r], marks[r].copy(), (elements[own].copy(), weights[own].copy())))
+                    held.append((nodes[r], classes[r]))
+                    multisets_held.append((elements[own].copy(), weights[own].copy()))
+                    continue
+                if not held:
                     continue
-                if table is None:
-                    table = np.array([h[3] for h in held]).reshape(-1, SIZE)
-                    sizes = np.array([h[2] for h in held])
-                likely = (table == marks[r]).sum(1) >= LIKELY
-                likely &= np.minimum(sizes, totals[r]) >= SIMILAR * np.maximum(sizes, totals[r])
-                for h in np.flatnonzero(likely):
-                    node, known, _, _, multiset = held[h]
-                    if find(known) != find(classes[r]) and similarity(multiset, (elements[own], weights[own])) >= SIMILAR:
+                if block is None:
+                    block, multisets_held = _Block(multisets_held), []
+                for h in np.flatnonzero(block.similarities(elements[own], weights[own]) >= SIMILAR):
+                    node, known = held[h]
+                    if find(known) != find(classes[r]):
                         root[find(known)] = find(classes[r])
                         links.append((node, nodes[r]))
         yield pa.record_batch([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], names=["a", "b"])

@@ -1,9 +1,13 @@
 """Near duplicates against all pairs, and signatures against weighted Jaccard similarity."""
 
 import numpy as np
+import pyarrow as pa
 from corpus import awkward, edited, frame, shingle_counts, words
 
+from pyspark.sql import functions as F
+
 from sitewise.llm import near
+from sitewise.llm.common import texts, with_row_key
 
 
 def plain(rows):
@@ -90,3 +94,42 @@ def test_long_chain_is_one_class(spark):
     links = spark.createDataFrame([(bytes([i]), bytes([i + 1])) for i in range(40)] + [(bytes([100]), bytes([101]))], "a binary, b binary")
     got = {(bytes(r.node), bytes(r["class"])) for r in near.components(links).collect()}
     assert got == {(bytes([i]), bytes([0])) for i in range(41)} | {(bytes([i]), bytes([100])) for i in (100, 101)}
+
+
+def test_blocks_compare_texts_whatever_their_registers(monkeypatch):
+    """Registers of no agreement at all must not keep similar texts apart; results equal the plain similarity."""
+    monkeypatch.setattr(near, "READ", 3)
+    base = words(10, 80, 5000)
+    rows = [edited(base, i, i % 9) for i in range(24)] + ["la " * 50, "la " * 45]
+    n, half = len(rows), len(rows) // 2
+    counts = [shingle_counts(t) for t in rows]
+    batch = pa.record_batch(
+        [pa.array([1] * n, pa.int64()), pa.array([0] * n, pa.int32()), pa.array([0] * n, pa.int32()), pa.array([int(i >= half) for i in range(n)], pa.int32()),
+         pa.array(range(n), pa.int64()), pa.array(range(n), pa.int64()), pa.array([sum(c.values()) for c in counts], pa.int64()),
+         pa.array([np.full(near.SIZE, i, "<u2").tobytes() for i in range(n)], pa.binary()), pa.array(rows)],
+        names=["a", "own", "other", "kind", "node", "class", "total", "marks", "text"],
+    )
+    got = [x for b in near._join_blocks(iter([batch])) for x in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+    similar = {(a, b) for a in range(half) for b in range(half, n) if sum((counts[a] & counts[b]).values()) >= 0.8 * sum((counts[a] | counts[b]).values())}
+    assert got and set(got) <= similar
+
+    def reach(links):
+        root = list(range(n))
+        for _ in range(n):
+            for a, b in links:
+                root[a] = root[b] = min(root[a], root[b])
+        return root
+
+    assert reach(got) == reach(similar)
+
+
+def test_nodes_that_share_nothing_but_a_very_large_bucket(spark, monkeypatch):
+    monkeypatch.setattr(near, "SMALL", 2)
+    monkeypatch.setattr(near, "HUGE", 3)
+    one, two = words(10, 300, 5000), words(11, 300, 5000)
+    rows = [(i, edited(one if i % 2 else two, i, 1)) for i in range(8)]
+    keyed = with_row_key(texts(frame(spark, rows)))
+    bands = F.concat(F.array(F.lit(7)), F.transform(F.sequence(F.lit(1), F.lit(near.BANDS - 1)), lambda b: F.col("doc_id") * 1000 + b)).cast("array<bigint>")
+    nodes = keyed.select(F.col("doc_id").alias("node"), "k1", "k2", F.lit(296).cast("bigint").alias("total"), bands.alias("bands"), F.lit(bytes(2 * near.SIZE)).alias("marks"))
+    got = near._link(nodes, keyed)
+    assert got is not None and {(r.node, r["class"]) for r in got.collect()} == {(i, i % 2) for i in range(8)}
