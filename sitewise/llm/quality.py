@@ -34,10 +34,15 @@ def held_out(doc_id: Column | str) -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def learning_rows(docs: DataFrame, labels: DataFrame, label: str, per_class: int, longest: int) -> tuple[pa.Table, float]:
-    """(text, label) of a bounded sample, and the share of label 1 among all rows that may be learnt from."""
+def learnable(labels: DataFrame, label: str) -> DataFrame:
+    """(doc_id, label) of all rows that may be learnt from."""
     usable = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col(label).cast("int").alias("label")).distinct()
-    usable = usable.filter(~held_out("doc_id") & F.col("label").isin(0, 1))
+    return usable.filter(~held_out("doc_id") & F.col("label").isin(0, 1))
+
+
+def learning_rows(docs: DataFrame, labels: DataFrame, label: str, per_class: int, longest: int) -> tuple[pa.Table, float]:
+    """(doc_id, text, label) of a bounded sample, and the share of label 1 among all rows that may be learnt from."""
+    usable = learnable(labels, label)
     share = usable.agg(F.avg("label")).first()[0]
     short = texts(docs).filter(F.length("text") <= longest)
     chosen = []
@@ -46,7 +51,7 @@ def learning_rows(docs: DataFrame, labels: DataFrame, label: str, per_class: int
     rows = short.join(F.broadcast(chosen[0].unionByName(chosen[1])), "doc_id")  # per_class rows of two numbers for either class
     # sorted, so that learning does not depend on the order in which tasks end
     sample = rows.select("doc_id", "label", "text").toArrow().sort_by([("doc_id", "ascending"), ("label", "ascending"), ("text", "ascending")])
-    return sample.select(["text", "label"]).slice(0, 4 * per_class), 0.5 if share is None else float(share)
+    return sample.select(["doc_id", "text", "label"]).slice(0, 4 * per_class), 0.5 if share is None else float(share)
 
 
 class ByteNetwork:

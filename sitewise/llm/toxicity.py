@@ -3,8 +3,9 @@
 A word's vector joins three learned tables: two by hashes of the word, so that words that share a bucket of one differ in the other,
 and one by its first bytes, which related forms share.  Filters of several widths read neighbouring words, the largest response of each
 over the whole text is kept, and a logistic unit combines them.  Learning is numpy on the driver over a bounded sample; the tables
-start from the log odds of their buckets.  Part of the sample is set aside to find, for each language, the response at which a text
-counts as toxic; scores are moved so that this point is ``DECIDED``.  The language is guessed from the text's own function words.
+start from the log odds of their buckets.  All labelled rows that the network has not learnt from, a part of the sample that is set aside
+and every row beyond it, give for each language the response at which a text counts as toxic: Spark counts them by language and response.
+Scores are moved so that this point is ``DECIDED``.  The language is guessed from the text's own function words.
 """
 
 from __future__ import annotations
@@ -17,13 +18,16 @@ from pyspark.sql import DataFrame, functions as F
 
 from sitewise.llm.bytetext import IS_WORD, batches, runs, text_bytes, word_hashes, word_spans
 from sitewise.llm.common import texts
-from sitewise.llm.quality import held_out, learning_rows
+from sitewise.llm.quality import held_out, learnable, learning_rows
+from sitewise.session import durable
 
 BUCKETS, DIM, PREFIX = 1 << 16, 4, 4
 WIDTHS, FILTERS = (1, 2, 3), 8
 PER_CLASS, LONGEST = 2000, 50_000
 EPOCHS, BATCH, RATE, SEED = 6, 64, 0.05, 5
 DECIDED = 0.7
+#: Responses are counted in steps of this part of one, up to this size; the counts are bounded, however many rows.
+STEPS, FARTHEST = 1024, 64
 #: Bytes of one text pooled at a time, and how far neighbouring parts overlap; a longer word may be cut.
 SEGMENT, OVERLAP = 1 << 22, 4096
 # fixed values: function words by language
@@ -102,8 +106,8 @@ class WordNetwork:
         ends[-1] = min(ends[-1], len(out) - 1)
         return np.maximum(np.maximum.reduceat(out, ends, axis=0)[::2], 0)
 
-    def logits(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """Response less the threshold of the text's language."""
+    def response(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Response and language of each text."""
         sizes = np.diff(offsets)
         if len(sizes) == 1 and sizes[0] > SEGMENT:
             parts = [self.read(p, np.array([0, len(p)])) for p in _parts(data)]
@@ -113,7 +117,12 @@ class WordNetwork:
         else:
             words = self.read(data, offsets)
             best, language = self.pooled(words), words.language
-        return best @ self.weights + self.bias[0] - self.threshold[language]
+        return (best @ self.weights + self.bias[0]).astype(np.float64), language
+
+    def logits(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Response less the threshold of the text's language."""
+        response, language = self.response(data, offsets)
+        return response - self.threshold[language]
 
     def step(self, ids: np.ndarray, counts: np.ndarray, label: np.ndarray, seen: dict) -> None:
         """One step of AdaGrad; only the winning words of each filter move."""
@@ -168,14 +177,15 @@ def _parts(data: np.ndarray) -> list[np.ndarray]:
     return [*parts, data[a:]]
 
 
-def train(sample: pa.Table, share: float) -> WordNetwork:
-    """Learns from rows (text, label); a sample without one of the classes gives the share of label 1 for every text."""
+def train(sample: pa.Table, share: float) -> tuple[WordNetwork, np.ndarray]:
+    """Learns from rows (doc_id, text, label): the network and the ids learnt from; a sample without one of the classes gives the share of label 1
+    for every text."""
     network = WordNetwork()
     label = sample.column("label").to_numpy().astype(np.float32)
     if not len(label) or label.min() == label.max():
         share = min(max(share, 1e-3), 1 - 1e-3)
         network.weights[:], network.bias[:] = 0, np.log(share / (1 - share))
-        return network
+        return network, np.zeros(0, np.int64)
     data, offsets = text_bytes(sample.column("text").combine_chunks())
     words = network.read(data, offsets)
     begin = np.cumsum(words.counts) - words.counts
@@ -201,52 +211,50 @@ def train(sample: pa.Table, share: float) -> WordNetwork:
             own = order[b : b + BATCH]
             at = np.repeat(begin[own], words.counts[own]) + runs(words.counts[own])
             network.step(words.ids[at], words.counts[own], label[own], seen)
-    network.threshold = _thresholds(network, words, begin, np.flatnonzero(aside), label)
-    return network
+    return network, np.unique(sample.column("doc_id").to_numpy()[fit])
 
 
-def _thresholds(network: WordNetwork, words: Words, begin: np.ndarray, rows: np.ndarray, label: np.ndarray) -> np.ndarray:
-    """Per language the response that best tells the classes apart on rows not learnt from, drawn towards that of all languages."""
+def respond(docs: DataFrame, network: WordNetwork) -> DataFrame:
+    """doc_id, response and language (a place in ``LANGUAGES``) of every whole text."""
+
+    def job(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in stream:
+            response, language = np.zeros(batch.num_rows), np.zeros(batch.num_rows, np.int32)
+            for i, j, data, offsets in batches(batch.column("text")):
+                response[i:j], language[i:j] = network.response(data, offsets)
+            yield pa.record_batch([batch.column("doc_id"), pa.array(response), pa.array(language)], names=["doc_id", "response", "language"])
+
+    return texts(docs).mapInArrow(job, "doc_id bigint, response double, language int")
 
-    class Held:
-        counts = words.counts[rows]
-        ids = words.ids[np.repeat(begin[rows], counts) + runs(counts)]
 
-    response = network.pooled(Held) @ network.weights + network.bias[0]
-    language, y = words.language[rows], label[rows]
+def _thresholds(heard: DataFrame, usable: DataFrame) -> np.ndarray:
+    """Per language the response that best tells the classes of all rows (doc_id, label) apart, drawn towards that of all languages."""
+    place = F.floor(F.greatest(F.least("response", F.lit(float(FARTHEST))), F.lit(-float(FARTHEST))) * STEPS)
+    counts = heard.join(usable, "doc_id").groupBy("language", place.alias("place")).agg(F.sum("label").alias("ones"), F.count(F.lit(1)).alias("n"))
+    table = counts.toArrow()  # at most 2 * FARTHEST * STEPS rows a language
+    language, place, ones, n = (table.column(c).to_numpy() for c in ("language", "place", "ones", "n"))
 
-    def cut(response: np.ndarray, y: np.ndarray) -> float:
-        order = np.argsort(response, kind="stable")
-        r, y = response[order], y[order]
+    def cut(own: np.ndarray) -> float:
+        at, back = np.unique(place[own], return_inverse=True)
+        pos, every = np.bincount(back, ones[own]), np.bincount(back, n[own])
         # errors if everything from place i on counts as toxic; in the middle of the widest of the best gaps
-        errors = np.concatenate([[0], np.cumsum(y)]) + np.concatenate([np.cumsum((1 - y)[::-1])[::-1], [0]])
-        edges = np.concatenate([[r[0] - 1], (r[1:] + r[:-1]) / 2, [r[-1] + 1]])
-        gaps = np.concatenate([[0], r[1:] - r[:-1], [0]])
+        errors = np.concatenate([[0], np.cumsum(pos)]) + np.concatenate([np.cumsum((every - pos)[::-1])[::-1], [0]])
+        edges = np.concatenate([[at[0] - STEPS], (at[1:] + at[:-1] + 1) / 2, [at[-1] + STEPS]]) / STEPS
+        gaps = np.concatenate([[0], at[1:] - at[:-1], [0]])
         best = np.flatnonzero(errors == errors.min())
         return float(edges[best[gaps[best].argmax()]])
 
-    overall = cut(response, y)
-    out = np.full(len(LANGUAGES), overall)
-    for n in range(len(LANGUAGES)):
-        own = language == n
-        if own.any() and 0 < y[own].sum() < own.sum():
-            trust = min(own.sum(), 200) / 200
-            out[n] = trust * cut(response[own], y[own]) + (1 - trust) * overall
-    return out
-
+    def both(own: np.ndarray) -> bool:
+        return 0 < ones[own].sum() < n[own].sum()
 
-def score(docs: DataFrame, network: WordNetwork) -> DataFrame:
-    """doc_id and score of every whole text; ``DECIDED`` or more counts as toxic."""
-    place = np.log(DECIDED / (1 - DECIDED))
-
-    def job(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in stream:
-            scores = np.zeros(batch.num_rows)
-            for i, j, data, offsets in batches(batch.column("text")):
-                scores[i:j] = 1 / (1 + np.exp(-np.clip(network.logits(data, offsets) + place, -30, 30)))
-            yield pa.record_batch([batch.column("doc_id"), pa.array(scores)], names=["doc_id", "score"])
-
-    return texts(docs).mapInArrow(job, "doc_id bigint, score double")
+    out = np.zeros(len(LANGUAGES))
+    if both(n > 0):
+        out[:] = cut(n > 0)
+        for k in range(len(LANGUAGES)):
+            if both(language == k):
+                trust = min(n[language == k].sum(), 200) / 200
+                out[k] = trust * cut(language == k) + (1 - trust) * out[k]
+    return out
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -256,5 +264,12 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     labels a constant score; an empty text has the response of no words.
     """
     sample, share = learning_rows(docs, labels, "toxic", PER_CLASS, LONGEST)
-    scored = score(docs, train(sample, share))
+    network, learnt = train(sample, share)
+    heard = durable(respond(docs, network), "toxicity")  # three numbers a row
+    if len(learnt):
+        fitted = docs.sparkSession.createDataFrame(pa.table({"doc_id": pa.array(learnt, pa.int64())}))
+        network.threshold = _thresholds(heard, learnable(labels, "toxic").join(F.broadcast(fitted), "doc_id", "left_anti"))
+    place = float(np.log(DECIDED / (1 - DECIDED)))
+    logit = F.col("response") - F.get(F.array(*map(F.lit, network.threshold.tolist())), F.col("language")) + place
+    scored = heard.withColumn("score", 1 / (1 + F.exp(-F.greatest(F.least(logit, F.lit(30.0)), F.lit(-30.0)))))
     return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= DECIDED).cast("int").alias("predicted"))

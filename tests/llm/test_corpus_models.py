@@ -186,3 +186,34 @@ def test_mixing_awkward_rows(spark):
     assert mixing.mix(docs, labelled.limit(0), TARGETS).count() == len(awkward())
     rated = mixing.with_rates(docs, labelled, TARGETS)
     assert rated.columns == [*docs.columns, "mix_rate", "mix_copies"] and rated.count() == len(awkward())
+
+
+def test_thresholds_count_every_labelled_row(spark, monkeypatch):
+    """More rows than the learning sample holds: the cut is that of all of them, per language, as brute force finds it."""
+    monkeypatch.setattr(toxicity, "PER_CLASS", 10)
+    rng = np.random.default_rng(4)
+    n = 3000
+    label, language = rng.integers(0, 2, n), rng.integers(0, 2, n)
+    response = np.floor((rng.normal(size=n) + 2.0 * label + 5.0 * language) * 64) / 64  # wider apart than a step
+    heard = spark.createDataFrame([(i, float(response[i]), int(language[i])) for i in range(n)], "doc_id bigint, response double, language int")
+    usable = spark.createDataFrame([(i, int(label[i])) for i in range(n)], "doc_id bigint, label int")
+    got = toxicity._thresholds(heard, usable)
+    for k in (0, 1):
+        r, y = response[language == k], label[language == k]
+        errors = lambda t: int(((r >= t) != y).sum())
+        assert errors(got[k]) == min(errors(t) for t in [*np.unique(r), r.max() + 1])
+    assert got[2] == got[3] == got[4]
+    one_class = usable.withColumn("label", F.lit(1))
+    assert not toxicity._thresholds(heard, one_class).any()
+
+
+def test_rows_beyond_the_sample_move_the_threshold(spark, monkeypatch):
+    """All labelled rows that were not learnt from reach the thresholds."""
+    monkeypatch.setattr(toxicity, "PER_CLASS", 20)
+    seen = []
+    monkeypatch.setattr(toxicity, "_thresholds", lambda heard, usable: seen.append(heard.join(usable, "doc_id").count()) or np.zeros(len(toxicity.LANGUAGES)))
+    docs = frame(spark, [(i, words(i, 20, 300) + (" vile" if i % 2 else "")) for i in range(400)])
+    labels = spark.range(400).selectExpr("id as doc_id", "cast(id % 2 as int) as toxic")
+    toxicity.toxicity(docs, labels).count()
+    usable = quality.learnable(labels, "toxic").count()
+    assert seen == [usable - 30]
