@@ -1,14 +1,19 @@
 """Boosted trees of many training sets at once, from histograms of gradients.
 
 A training set is a value of the ``model`` column, as for the logistic models.  Features are cut into bins at quantiles once; a missing value is a bin of
-its own and goes to the side that gains more.  Sets of up to ``TASK_CELLS`` bins are grown whole, each in a task.  Larger ones are grown
-together, level by level: tasks add up the gradients of their rows per (set, node, feature, bin), only those sums are shuffled, the split of each node is
-chosen in a task, and the driver sees one row per node.  Rows are written with their margins every ``BLOCK`` trees; in between tasks apply the few
-trees since.  Gradients are whole multiples of 2^-24, so sums do not depend on the order in which tasks add them: both ways give the same trees.
+its own and goes to the side that gains more.  Rows with the same bins of the columns that a tree sees go the same way through it, so they are added up
+to one cell first and the tree is grown from the cells, whatever the number of rows; only where there are more than ``CELLS`` it is grown from the rows.
+
+Sets of up to ``TASK_CELLS`` bins are grown whole, each in a task.  Larger ones are grown together: tasks add up the gradients of their rows per (set, cell),
+only those sums are shuffled, and each set's tree is grown in a task.  With too many cells it goes level by level: sums per (set, node, feature, bin),
+the split of each node is chosen in a task, and the driver sees one row per node.  Rows are written with their margins every ``BLOCK`` trees; in
+between tasks apply the few trees since.  Gradients are whole multiples of 2^-24, so sums do not depend on the order in which they are added: all
+ways give the same trees.
 """
 
 from __future__ import annotations
 
+import math
 import sys
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
@@ -22,9 +27,11 @@ from pyspark.sql import DataFrame, functions as F
 from sitewise.operators.joins import group_join
 from sitewise.session import durable
 
-#: Bins of a feature, the first for missing values; cells of a set that one task grows alone; trees between two writes; large sets grown together;
+#: Bins of a feature, the first for missing values; bins of a set that one task grows alone; trees between two writes; large sets grown together;
 #: partitions that whole sets are dealt to.
 BINS, TASK_CELLS, BLOCK, TOGETHER, SETS_APART = 256, 1 << 22, 16, 32, 2000
+#: Combinations of bins of a tree's columns that are held at once; rows handled at a time, few enough for the processor's cache.
+CELLS, PIECE = 1 << 16, 1 << 15
 UNIT = float(1 << 24)
 _U = np.uint64
 
@@ -55,7 +62,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
 def sampled(row: np.ndarray, tree: int, how: Boosting) -> np.ndarray:
     """Which rows a tree sees, by the hash of their number."""
     salt = mixed(np.array([how.seed * 1_000_003 + tree + 1], _U))
-    return (mixed(row.astype(_U) ^ salt) >> _U(11)).astype(np.float64) < how.rows * float(1 << 53)
+    return (mixed(row.astype(_U, copy=False) ^ salt) >> _U(11)).astype(np.float64) < how.rows * float(1 << 53)
 
 
 def seen_columns(width: int, tree: int, how: Boosting) -> np.ndarray:
@@ -127,35 +134,88 @@ def leaf_values(g: np.ndarray, h: np.ndarray, how: Boosting) -> np.ndarray:
     return -how.step * (g / UNIT) / (h / UNIT + how.ridge)
 
 
+def grown(bins: np.ndarray, columns: np.ndarray, g: np.ndarray, h: np.ndarray, how: Boosting) -> Tree:
+    """The tree of rows or cells with sums ``g`` and ``h`` of the derivatives."""
+    tree = Tree(how.depth)
+    node = np.zeros(len(bins), np.int64)
+    for level in range(how.depth + 1):
+        first = (1 << level) - 1
+        size = 1 << level
+        total_g, total_h = (np.bincount(node - first, x, size) for x in (g, h))
+        tree.value[first : first + size] = leaf_values(total_g, total_h, how)
+        open_ = np.flatnonzero(total_h >= 2 * how.least * UNIT)
+        if level == how.depth or not len(open_):
+            break
+        number = np.full(size, -1)
+        number[open_] = np.arange(len(open_))
+        place = number[node - first]
+        inside = place >= 0
+        gains, column, cut, missing = best_splits(histograms(place[inside], len(open_), bins[inside], columns, g[inside], h[inside]), how)
+        at = first + open_[gains]
+        tree.feature[at], tree.bin[at], tree.missing_left[at] = columns[column[gains]], cut[gains], missing[gains]
+        further = tree.feature[node] >= 0
+        node, g, h, bins = tree.step(bins[further], node[further]), g[further], h[further], bins[further]
+        if not len(node):
+            break
+    return tree
+
+
+def combinations(columns: np.ndarray, bins_of: np.ndarray) -> int:
+    """How many combinations of bins a tree's columns can have."""
+    return math.prod(bins_of[columns].tolist())
+
+
+def cells(width: int, columns: np.ndarray, bins_of: np.ndarray) -> np.ndarray:
+    """Every combination of the bins of a tree's columns, the last changing first; the other columns are 0."""
+    out = np.zeros((combinations(columns, bins_of), width), np.uint8)
+    out[:, columns] = np.stack(np.unravel_index(np.arange(len(out)), bins_of[columns]), axis=1)
+    return out
+
+
+def cell_of(bins: np.ndarray, columns: np.ndarray, bins_of: np.ndarray) -> np.ndarray:
+    """The number in ``cells`` of each row's combination."""
+    out = bins[:, columns[0]].astype(np.int64)
+    for c in columns[1:]:
+        out *= bins_of[c]
+        out += bins[:, c]
+    return out
+
+
+def cell_sums(at: np.ndarray, n: int, rows: np.ndarray, margin: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Sums (derivative, cell) of the rows picked."""
+    own = at[rows]
+    return np.stack([np.bincount(own, x, n) for x in gradients(margin[rows], y[rows])])
+
+
+def cell_tree(sums: np.ndarray, every: np.ndarray, columns: np.ndarray, how: Boosting) -> Tree:
+    """The tree of the cells' sums (derivative, cell)."""
+    some = np.flatnonzero(sums.any(0))
+    return grown(every[some], columns, *sums[:, some], how)
+
+
 def grow(bins: np.ndarray, y: np.ndarray, weight: np.ndarray, row: np.ndarray, how: Boosting) -> np.ndarray:
     """Margins of rows (bins, y, row number) under the trees of those with ``weight``."""
     margin = np.zeros(len(y))
+    if not len(y):
+        return margin
+    row, bins_of = row.astype(_U, copy=False), bins.max(0).astype(np.int64) + 1
+    pieces = [slice(i, i + PIECE) for i in range(0, len(y), PIECE)]
     for t in range(how.trees):
-        tree, columns = Tree(how.depth), seen_columns(bins.shape[1], t, how)
-        mine = np.flatnonzero(weight & sampled(row, t, how))
-        g, h = gradients(margin[mine], y[mine])
-        own = bins[mine]
-        node = np.zeros(len(mine), np.int64)
-        for level in range(how.depth + 1):
-            first = (1 << level) - 1
-            size = 1 << level
-            total_g, total_h = (np.bincount(node - first, x, size) for x in (g, h))
-            tree.value[first : first + size] = leaf_values(total_g, total_h, how)
-            open_ = np.flatnonzero(total_h >= 2 * how.least * UNIT)
-            if level == how.depth or not len(open_):
-                break
-            number = np.full(size, -1)
-            number[open_] = np.arange(len(open_))
-            place = number[node - first]
-            inside = place >= 0
-            gains, column, cut, missing = best_splits(histograms(place[inside], len(open_), own[inside], columns, g[inside], h[inside]), how)
-            at = first + open_[gains]
-            tree.feature[at], tree.bin[at], tree.missing_left[at] = columns[column[gains]], cut[gains], missing[gains]
-            further = tree.feature[node] >= 0
-            node, g, h, own = tree.step(own[further], node[further]), g[further], h[further], own[further]
-            if not len(node):
-                break
-        margin += tree.value[tree.leaves(bins, how.depth)]
+        columns = seen_columns(bins.shape[1], t, how)
+        n = combinations(columns, bins_of)
+        if n > min(CELLS, len(y)):
+            mine = np.flatnonzero(weight & sampled(row, t, how))
+            tree = grown(bins[mine], columns, *gradients(margin[mine], y[mine]), how)
+            margin += tree.value[tree.leaves(bins, how.depth)]
+            continue
+        every, sums, at = cells(bins.shape[1], columns, bins_of), np.zeros((2, n)), []
+        for p in pieces:
+            at.append(cell_of(bins[p], columns, bins_of))
+            sums += cell_sums(at[-1], n, np.flatnonzero(weight[p] & sampled(row[p], t, how)), margin[p], y[p])
+        tree = cell_tree(sums, every, columns, how)
+        value = tree.value[tree.leaves(every, how.depth)]
+        for p, own in zip(pieces, at, strict=True):
+            margin[p] += value[own]
     return margin
 
 
@@ -186,6 +246,15 @@ def _binned(edges: list[list[float]]):
     return run
 
 
+def _bytes(column) -> np.ndarray:
+    """The bytes of a column of binaries, one behind the other."""
+    parts = [c for c in getattr(column, "chunks", [column]) if len(c)]
+    if not parts:
+        return np.zeros(0, np.uint8)
+    ends = [np.frombuffer(c.buffers()[1], np.int32)[[c.offset, c.offset + len(c)]] for c in parts]
+    return np.concatenate([np.frombuffer(c.buffers()[2], np.uint8)[a:b] for c, (a, b) in zip(parts, ends, strict=True)])
+
+
 class _Rows:
     """Columns of a table or batch of binned rows."""
 
@@ -194,7 +263,7 @@ class _Rows:
         y = table.column("y").to_numpy(zero_copy_only=False).astype(np.float64)
         self.train = table.column("train").to_numpy(zero_copy_only=False).astype(bool) & ~np.isnan(y)
         self.y = np.nan_to_num(y)
-        self.bins = np.frombuffer(b"".join(table.column("bins").to_pylist()), np.uint8).reshape(-1, width)
+        self.bins = _bytes(table.column("bins")).reshape(-1, width)
         self.margin = table.column("margin").to_numpy().copy()
 
 
@@ -208,18 +277,66 @@ def _whole_sets(width: int, how: Boosting):
     return run
 
 
-def _with_trees(rows: _Rows, sets: np.ndarray, trees: list[list[Tree]], depth: int) -> np.ndarray:
-    """Margins of rows under the trees (tree, set) since they were written."""
-    margin = rows.margin
-    for s in np.unique(sets):
-        own = np.flatnonzero(sets == s)
-        for of_sets in trees:
-            tree = of_sets[s]
-            margin[own] += tree.value[tree.leaves(rows.bins[own], depth)]
-    return margin
+class _Trees:
+    """Trees (tree, set) since the rows were written, and what they add to the margins; made anew in each task."""
+
+    def __init__(self, trees: list[list[Tree]], before: int, how: Boosting, bins_of: np.ndarray):
+        self.trees, self.before, self.how, self.bins_of = trees, before, how, bins_of
+        self.values: dict[tuple[int, int], np.ndarray] = {}
+
+    def added(self, i: int, s: int, bins: np.ndarray) -> np.ndarray:
+        tree, width = self.trees[i][s], len(self.bins_of)
+        columns = seen_columns(width, self.before + i, self.how)
+        if combinations(columns, self.bins_of) > CELLS:
+            return tree.value[tree.leaves(bins, self.how.depth)]
+        if (i, s) not in self.values:
+            self.values[i, s] = tree.value[tree.leaves(cells(width, columns, self.bins_of), self.how.depth)]
+        return self.values[i, s][cell_of(bins, columns, self.bins_of)]
+
+    def margins(self, rows: _Rows, sets: np.ndarray) -> np.ndarray:
+        margin = rows.margin
+        for s in np.unique(sets):
+            own = np.flatnonzero(sets == s)
+            bins, sums = rows.bins[own], margin[own]
+            for i in range(len(self.trees)):
+                sums += self.added(i, s, bins)
+            margin[own] = sums
+        return margin
+
 
+def _cell_sums(width: int, how: Boosting, t: int, trees: _Trees, sets: int):
+    """Per task: sums of the derivatives per (set, cell)."""
 
-def _level_sums(width: int, how: Boosting, t: int, level: int, trees: list[list[Tree]], current: list[Tree]):
+    def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        columns = seen_columns(width, t, how)
+        n = combinations(columns, trees.bins_of)
+        sums = np.zeros((2, sets * n))
+        for batch in stream:
+            rows, own = _Rows(batch, width), batch.column("set").to_numpy().astype(np.int64)
+            margin = trees.margins(rows, own)
+            mine = np.flatnonzero(rows.train & sampled(rows.draw, t, how))
+            sums += cell_sums(own * n + cell_of(rows.bins, columns, trees.bins_of), sets * n, mine, margin, rows.y)
+        some = np.flatnonzero(sums.any(0))
+        yield pa.record_batch([pa.array(x) for x in (some // n, some % n, *sums[:, some])], names=["set", "cell", "g", "h"])
+
+    return run
+
+
+def _cells_grown(width: int, how: Boosting, t: int, bins_of: np.ndarray):
+    """The tree of one set from the sums of its cells."""
+
+    def run(table: pa.Table) -> pa.Table:
+        columns = seen_columns(width, t, how)
+        sums = np.zeros((2, combinations(columns, bins_of)))
+        sums[:, table.column("cell").to_numpy()] = [table.column(c).to_numpy() for c in ("g", "h")]
+        tree = cell_tree(sums, cells(width, columns, bins_of), columns, how)
+        parts = {"feature": tree.feature.astype(np.int32), "bin": tree.bin.astype(np.int32), "missing_left": tree.missing_left, "value": tree.value}
+        return pa.table({"set": table.column("set").slice(0, 1)} | {k: pa.array([v.tolist()], pa.list_(pa.array(v[:0]).type)) for k, v in parts.items()})
+
+    return run
+
+
+def _level_sums(width: int, how: Boosting, t: int, level: int, trees: _Trees, current: list[Tree]):
     """Per task: sums of the derivatives per (set, node of the level, column, bin); column -1 has the node's totals."""
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -227,7 +344,7 @@ def _level_sums(width: int, how: Boosting, t: int, level: int, trees: list[list[
         held = None
         for batch in stream:
             rows, sets = _Rows(batch, width), batch.column("set").to_numpy()
-            margin = _with_trees(rows, sets, trees, how.depth)
+            margin = trees.margins(rows, sets)
             mine = np.flatnonzero(rows.train & sampled(rows.draw, t, how))
             sets, bins = sets[mine].astype(np.int64), rows.bins[mine]
             g, h = gradients(margin[mine], rows.y[mine])
@@ -277,41 +394,58 @@ def _chosen(width: int, how: Boosting, t: int, level: int):
     return run
 
 
-def _applied(width: int, how: Boosting, trees: list[list[Tree]]):
+def _applied(width: int, trees: _Trees):
     """The same rows with their margins under the trees since."""
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in stream:
-            margin = _with_trees(_Rows(batch, width), batch.column("set").to_numpy(), trees, how.depth)
+            margin = trees.margins(_Rows(batch, width), batch.column("set").to_numpy())
             yield pa.record_batch([batch.column(c) if c != "margin" else pa.array(margin) for c in batch.schema.names], names=batch.schema.names)
 
     return run
 
 
-def _grow_together(rows: DataFrame, sets: int, width: int, how: Boosting) -> DataFrame:
+def _tree_by_cells(rows: DataFrame, current: list[Tree], width: int, how: Boosting, t: int, trees: _Trees) -> None:
+    """Grows the next tree of each set from one exchange of its cells."""
+    parts = rows.mapInArrow(_cell_sums(width, how, t, trees, len(current)), "set bigint, cell bigint, g double, h double")
+    sums = parts.groupBy("set", "cell").agg(F.sum("g").alias("g"), F.sum("h").alias("h"))
+    schema = "set bigint, feature array<int>, bin array<int>, missing_left array<boolean>, value array<double>"
+    for n in sums.groupBy("set").applyInArrow(_cells_grown(width, how, t, trees.bins_of), schema).collect():  # a tree a set
+        tree = current[n["set"]]
+        tree.feature[:], tree.bin[:], tree.missing_left[:], tree.value[:] = n["feature"], n["bin"], n["missing_left"], n["value"]
+
+
+def _tree_by_levels(rows: DataFrame, current: list[Tree], width: int, how: Boosting, t: int, trees: _Trees) -> None:
+    """Grows the next tree of each set level by level, an exchange each."""
+    for level in range(how.depth + 1):
+        parts = rows.mapInArrow(_level_sums(width, how, t, level, trees, current), "set bigint, node bigint, column bigint, bin bigint, g double, h double")
+        sums = parts.groupBy("set", "node", "column", "bin").agg(F.sum("g").alias("g"), F.sum("h").alias("h"))
+        nodes = sums.groupBy("set", "node").applyInArrow(
+            _chosen(width, how, t, level), "set bigint, node bigint, g double, h double, split boolean, column bigint, bin bigint, missing_left boolean"
+        )
+        found = nodes.collect()  # at most 2^depth rows a set
+        first = (1 << level) - 1
+        for n in found:
+            tree, at = current[n["set"]], first + n["node"]
+            tree.value[at] = leaf_values(n["g"], n["h"], how)
+            if n["split"]:
+                tree.feature[at], tree.bin[at], tree.missing_left[at] = n["column"], n["bin"], n["missing_left"]
+        if not any(n["split"] for n in found):
+            break
+
+
+def _grow_together(rows: DataFrame, sets: int, bins_of: np.ndarray, how: Boosting) -> DataFrame:
     """(row, margin) of rows of large sets, numbered in ``set``."""
-    schema = rows.schema
+    schema, width = rows.schema, len(bins_of)
     trees: list[list[Tree]] = []
     for t in range(how.trees):
-        current = [Tree(how.depth) for _ in range(sets)]
-        for level in range(how.depth + 1):
-            parts = rows.mapInArrow(_level_sums(width, how, t, level, trees, current), "set bigint, node bigint, column bigint, bin bigint, g double, h double")
-            sums = parts.groupBy("set", "node", "column", "bin").agg(F.sum("g").alias("g"), F.sum("h").alias("h"))
-            nodes = sums.groupBy("set", "node").applyInArrow(
-                _chosen(width, how, t, level), "set bigint, node bigint, g double, h double, split boolean, column bigint, bin bigint, missing_left boolean"
-            )
-            found = nodes.collect()  # at most 2^depth rows a set
-            first = (1 << level) - 1
-            for n in found:
-                tree, at = current[n["set"]], first + n["node"]
-                tree.value[at] = leaf_values(n["g"], n["h"], how)
-                if n["split"]:
-                    tree.feature[at], tree.bin[at], tree.missing_left[at] = n["column"], n["bin"], n["missing_left"]
-            if not any(n["split"] for n in found):
-                break
+        current, since = [Tree(how.depth) for _ in range(sets)], _Trees(trees, t - len(trees), how, bins_of)
+        grow_next = _tree_by_cells if combinations(seen_columns(width, t, how), bins_of) <= CELLS else _tree_by_levels
+        grow_next(rows.filter("train").drop("row"), current, width, how, t, since)
         trees.append(current)
         if len(trees) == BLOCK or t + 1 == how.trees:
-            rows = durable(rows.mapInArrow(_applied(width, how, trees), schema), "boosting-rows")
+            since = _Trees(trees, t + 1 - len(trees), how, bins_of)
+            rows = durable(rows.mapInArrow(_applied(width, since), schema), "boosting-rows")
             trees = []
     return rows.select("row", "margin")
 
@@ -337,11 +471,12 @@ def boosted(members: DataFrame, model: str, key: Sequence[str], label: str, feat
     # few bytes but much work: as many partitions as keep the sets apart, not as few as their size allows
     small = small.repartition(max(1, min(8 * sizes.count(), SETS_APART)), "model")
     parts = [small.groupBy("model").applyInArrow(_whole_sets(width, how), "row bigint, margin double")]
+    bins_of = np.array([len(e) + 2 for e in edges])
     wide = [r["model"] for r in sizes.filter("large").collect()]  # as many as the cells allow, whatever the number of sets
     for i in range(0, len(wide), TOGETHER):
         own = wide[i : i + TOGETHER]
         number = F.coalesce(*[F.when(F.col("model").eqNullSafe(F.lit(w)), F.lit(j)) for j, w in enumerate(own)])
-        parts.append(_grow_together(durable(rows.withColumn("set", number).filter("set is not null").drop("model"), "boosting-large"), len(own), width, how))
+        parts.append(_grow_together(durable(rows.withColumn("set", number).filter("set is not null").drop("model"), "boosting-large"), len(own), bins_of, how))
     margins = durable(reduce(DataFrame.unionByName, parts), "boosting-margins")
     chances = margins.select(F.col("row").alias("_row"), (1 / (1 + F.exp(-F.col("margin")))).alias("_p"))
     return kept.join(chances.hint("shuffle_hash"), "_row").withColumn(out, F.col("_p")).drop("_row", "_p")

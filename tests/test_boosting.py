@@ -104,6 +104,39 @@ def test_large_sets_give_the_same_trees(spark, monkeypatch):
     np.testing.assert_allclose([apart[k] for k in whole], list(whole.values()), atol=1e-12)
 
 
+def test_large_sets_from_cells_and_from_levels_are_the_same(spark, monkeypatch):
+    """Trees of equal gains may not depend on the way; a tree is one exchange where its cells are few."""
+    df = spark.createDataFrame(rows_of(6, {"one": 300, None: 120}), SCHEMA).repartition(3)
+    monkeypatch.setattr(boosting, "TASK_CELLS", 60)
+    got, levels = {}, []
+    by_levels = boosting._tree_by_levels
+    monkeypatch.setattr(boosting, "_tree_by_levels", lambda *a: levels.append(limit) or by_levels(*a))
+    for limit in (1 << 16, 0):
+        monkeypatch.setattr(boosting, "CELLS", limit)
+        got[limit] = {(r.site, r.id): r.p for r in boosted(df, "site", ["id"], "y", FEATURES, "train", HOW).collect()}
+    assert set(levels) == {0} and got[0] == pytest.approx(got[1 << 16], abs=1e-12)
+
+
+def test_rows_of_equal_bins_are_grown_as_one(monkeypatch):
+    """The work of a tree is bounded by the bins of its columns, not by the rows; the margins are those of the rows alone."""
+    rng = np.random.default_rng(8)
+    n, how = 5000, Boosting(trees=6, depth=4, step=0.3)
+    bins = np.stack([rng.integers(0, 40, n), rng.integers(0, 20, n), rng.integers(0, 3, n), np.zeros(n, int)], axis=1).astype(np.uint8)
+    y, weight, row = (rng.random(n) < bins[:, 0] / 40).astype(float), rng.random(n) < 0.8, rng.integers(0, 1 << 62, n).astype(np.uint64)
+    monkeypatch.setattr(boosting, "PIECE", 700)
+    sizes, grown = [], boosting.grown
+    monkeypatch.setattr(boosting, "grown", lambda bins, *rest: sizes.append(len(bins)) or grown(bins, *rest))
+    got = boosting.grow(bins, y, weight, row, how)
+    assert max(sizes) <= 800 and len(set(got)) > 50
+    monkeypatch.setattr(boosting, "CELLS", 0)
+    np.testing.assert_array_equal(boosting.grow(bins, y, weight, row, how), got)
+    assert max(sizes) > 2500 and len(sizes) == 12
+
+
+def test_many_columns_have_more_combinations_than_a_number_holds():
+    assert boosting.combinations(np.arange(40), np.full(40, 256)) == 256**40
+
+
 def test_columns_keep_their_names_and_repeated_rows_stay(spark):
     rows = rows_of(3, {"one": 40})
     df = spark.createDataFrame(rows + rows[:3], SCHEMA)
