@@ -104,6 +104,34 @@ def test_large_groups(spark, monkeypatch, group, size):
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
 
 
+def test_a_strip_has_three_parts_however_many_share_its_anchor():
+    """One anchor in the middle of strips that differ elsewhere: the parts grow with the strips, not with their square."""
+    import pyarrow as pa
+
+    rng = random.Random(7)
+    core = rng.randbytes(16)
+    anchor = int(repeats.gram_hashes(np.frombuffer(core, np.uint8)).view(np.int64)[0])
+    for n in (5, 50, 500):
+        texts = [rng.randbytes(384) + core + rng.randbytes(384) for _ in range(n)]
+        table = pa.record_batch(
+            [pa.array([anchor] * n), pa.array([b"%d" % i for i in range(n)]), pa.array([1] * n), pa.array(texts, pa.binary())], names=["anchor", "digest", "n", "strip"]
+        )
+        rows = [r for b in repeats._parts(iter([table])) for r in b.to_pylist()]
+        assert len(rows) == 3 * n and sum(r["windows"] for r in rows) == 385 * n
+
+
+def test_equal_parts_of_a_strip_travel_once():
+    import pyarrow as pa
+
+    raw = b"the same line over again, " * 30
+    anchor = int(repeats.gram_hashes(np.frombuffer(raw, np.uint8)).view(np.int64)[0])
+    table = pa.record_batch([pa.array([anchor]), pa.array([b"d"]), pa.array([1]), pa.array([raw], pa.binary())], names=["anchor", "digest", "n", "strip"])
+    rows = [r for b in repeats._parts(iter([table])) for r in b.to_pylist()]
+    places = sorted((start, r["windows"]) for r in rows for start in r["starts"])
+    assert len(rows) <= 3 and len(places) > 10
+    assert [a + n for a, n in places] == [a for a, _ in places[1:]] + [len(raw) - 399] and places[0][0] == 0
+
+
 def test_window_hashes_depend_on_the_window_only():
     import pyarrow as pa
 
