@@ -3,6 +3,7 @@
 A training set is a value of the ``model`` column, as for the logistic models.  Features are cut into bins at quantiles once; a missing value is a bin of
 its own and goes to the side that gains more.  Rows with the same bins of the columns that a tree sees go the same way through it, so they are added up
 to one cell first and the tree is grown from the cells, whatever the number of rows; only where there are more than ``CELLS`` it is grown from the rows.
+A node of a tree of two columns is a box of their grid, so its sums are differences of running sums, and no level goes over the cells.
 
 Sets of up to ``TASK_CELLS`` bins are grown whole, each in a task.  Larger ones are grown together: tasks add up the gradients of their rows per (set, cell),
 only those sums are shuffled, and each set's tree is grown in a task.  With too many cells it goes level by level: sums per (set, node, feature, bin),
@@ -22,7 +23,7 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, GroupedData, Window, functions as F
 
 from sitewise.operators.joins import group_join
 from sitewise.session import durable
@@ -54,15 +55,19 @@ class Boosting:
 
 def mixed(x: np.ndarray) -> np.ndarray:
     """Spreads the bits of 64-bit numbers."""
-    x = (x ^ (x >> _U(33))) * _U(0xFF51AFD7ED558CCD)
-    x = (x ^ (x >> _U(33))) * _U(0xC4CEB9FE1A85EC53)
-    return x ^ (x >> _U(33))
+    x = x ^ (x >> _U(33))
+    for factor in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53):
+        x *= _U(factor)
+        x ^= x >> _U(33)
+    return x
 
 
 def sampled(row: np.ndarray, tree: int, how: Boosting) -> np.ndarray:
     """Which rows a tree sees, by the hash of their number."""
     salt = mixed(np.array([how.seed * 1_000_003 + tree + 1], _U))
-    return (mixed(row.astype(_U, copy=False) ^ salt) >> _U(11)).astype(np.float64) < how.rows * float(1 << 53)
+    limit = math.ceil(how.rows * float(1 << 53)) << 11
+    drawn = mixed(row.astype(_U, copy=False) ^ salt)
+    return drawn < _U(limit) if limit < 1 << 64 else np.ones(len(drawn), bool)
 
 
 def seen_columns(width: int, tree: int, how: Boosting) -> np.ndarray:
@@ -96,8 +101,15 @@ class Tree:
 
 def gradients(margin: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """First and second derivatives of the log loss, in units of 2^-24."""
-    p = 1.0 / (1.0 + np.exp(-margin))
-    return np.rint((p - y) * UNIT), np.rint(p * (1.0 - p) * UNIT)
+    p = np.exp(-margin)
+    p += 1.0
+    np.divide(1.0, p, out=p)
+    g, h = p - y, 1.0 - p
+    h *= p
+    for x in (g, h):
+        x *= UNIT
+        np.rint(x, out=x)
+    return g, h
 
 
 def histograms(place: np.ndarray, n: int, bins: np.ndarray, columns: np.ndarray, g: np.ndarray, h: np.ndarray) -> np.ndarray:
@@ -134,8 +146,155 @@ def leaf_values(g: np.ndarray, h: np.ndarray, how: Boosting) -> np.ndarray:
     return -how.step * (g / UNIT) / (h / UNIT + how.ridge)
 
 
+class Boxes:
+    """Nodes of a tree of two columns: of each column the bins from ``low`` to ``high``, and is the bin of missing values there."""
+
+    def __init__(self, low: np.ndarray, high: np.ndarray, missing: np.ndarray):
+        self.low, self.high, self.missing = low, high, missing
+
+    @classmethod
+    def root(cls, shape: np.ndarray) -> Boxes:
+        return cls(np.ones((1, 2), np.int64), shape[None] - 1, np.ones((1, 2), bool))
+
+    def children(self, which: np.ndarray, column: np.ndarray, cut: np.ndarray, missing_left: np.ndarray) -> Boxes:
+        """The left and the right child of each of the boxes ``which``, one after the other."""
+        low, high, missing = (np.repeat(x[which], 2, axis=0) for x in (self.low, self.high, self.missing))
+        left = np.arange(0, len(low), 2)
+        high[left, column] = np.maximum(np.minimum(cut, high[left, column]), low[left, column] - 1)
+        low[left + 1, column] = np.maximum(cut + 1, low[left + 1, column])
+        missing[left, column] &= missing_left
+        missing[left + 1, column] &= ~missing_left
+        return Boxes(low, high, missing)
+
+    def cells(self, which: np.ndarray, shape: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """How many cells each of the boxes ``which`` has, and their numbers."""
+        low, missing = self.low[which], self.missing[which].astype(np.int64)
+        size = self.high[which] - low + 1 + missing
+        bins = []
+        row = np.repeat(np.arange(len(low)), size[:, 0])
+        for i, (own, place) in enumerate(((row, runs(size[:, 0])), (np.repeat(row, size[row, 1]), runs(size[row, 1])))):
+            bins.append(np.where(place < missing[own, i], 0, low[own, i] + place - missing[own, i]))
+        return size.prod(1), np.repeat(bins[0], size[row, 1]) * shape[1] + bins[1]
+
+
+def runs(counts: np.ndarray) -> np.ndarray:
+    """0, 1, .. for each count, one after the other."""
+    return np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+
+
+def pair_splits(sums: list[np.ndarray], shape: np.ndarray, boxes: Boxes, total: np.ndarray, how: Boosting):
+    """As ``best_splits`` for boxes of a grid; also the sums left of each split.
+
+    ``sums`` are per derivative the grid's running sums along its second column and, turned round, along its first, one behind the other.
+    """
+    width = shape[::-1] + 1
+    offset = np.array([0, shape[0] * width[0]])
+    low, high, missing = boxes.low, boxes.high, boxes.missing
+    # a box is cut at its own bins, and before the first to part the missing values from all others
+    begin = np.maximum(low - 1, 1)
+    count = np.maximum(high - begin + 1, 0).ravel()
+    part = np.repeat(np.arange(len(count)), count)
+    place = begin.ravel()[part] + runs(count)
+    first = np.cumsum(count) - count
+
+    def strip(x: np.ndarray, part: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """Sums of one bin of a column of each box."""
+        start = (offset + np.zeros_like(low)).ravel()[part] + place * (width + np.zeros_like(low)).ravel()[part]
+        here = x[start + high[:, ::-1].ravel()[part] + 1] - x[start + low[:, ::-1].ravel()[part]]
+        return here + np.where(missing[:, ::-1].ravel()[part], x[start + 1] - x[start], 0.0)
+
+    below, absent = [], []
+    every = np.arange(len(count))
+    for x in sums:
+        own = np.cumsum(np.where(place < low.ravel()[part], 0.0, strip(x, part, place)))
+        below.append(own - np.append(0.0, own)[first][part])
+        absent.append(np.where(missing.ravel(), strip(x, every, np.zeros_like(every)), 0.0))
+
+    def gain(part: np.ndarray, left: list[np.ndarray]) -> np.ndarray:
+        all_ = [t[part // 2] for t in total]
+        right = [t - x for t, x in zip(all_, left, strict=True)]
+        worth = [g**2 / (h + how.ridge) for g, h in (left, right, all_)]
+        return np.where((left[1] >= how.least) & (right[1] >= how.least), worth[0] + worth[1] - worth[2], 0.0)
+
+    left = [x + a[part] for x, a in zip(below, absent, strict=True)]
+    best = gain(part, left)
+    other = np.flatnonzero((absent[0] != 0)[part] | (absent[1] != 0)[part])  # elsewhere both sides are the same
+    apart = gain(part[other], [x[other] for x in below])
+    better = apart > best[other]
+    other = other[better]
+    best[other] = apart[better]
+    side = np.ones(len(best), bool)
+    side[other] = False
+    for x, y in zip(left, below, strict=True):
+        x[other] = y[other]
+
+    cuts = count.reshape(-1, 2).sum(1)
+    some = np.flatnonzero(cuts)
+    most = np.zeros(len(cuts))
+    at = np.zeros(len(cuts), np.int64)
+    if len(some):
+        most[some] = np.maximum.reduceat(best, first[::2][some])
+        equal = np.flatnonzero(best == most[part // 2])
+        at[some] = equal[np.searchsorted(part[equal] // 2, some)]
+    gains = most > 1e-6
+    at = at[gains]
+    cut = np.where(place[at] < low.ravel()[part[at]], 1, place[at])
+    return gains, part[at] % 2, cut, side[at], [x[at] for x in left]
+
+
+def pair_grown(sums: np.ndarray, shape: np.ndarray, columns: np.ndarray, how: Boosting) -> Tree:
+    """The tree of two columns from the sums (derivative, cell) of their grid: no node goes over its cells, its bins' sums are differences."""
+    tree = Tree(how.depth)
+    running = []
+    for x in sums / UNIT:
+        both = []
+        for grid in (x.reshape(shape), x.reshape(shape).T):
+            along = np.zeros((grid.shape[0], grid.shape[1] + 1))
+            np.cumsum(grid, axis=1, out=along[:, 1:])
+            both.append(along.ravel())
+        running.append(np.concatenate(both))
+    node, boxes, total = np.zeros(1, np.int64), Boxes.root(shape), [x.sum(keepdims=True) / UNIT for x in sums]
+    for level in range(how.depth + 1):
+        tree.value[node] = -how.step * total[0] / (total[1] + how.ridge)
+        open_ = np.flatnonzero(total[1] >= 2 * how.least)
+        if level == how.depth or not len(open_):
+            break
+        node, total = node[open_], [x[open_] for x in total]
+        boxes = Boxes(boxes.low[open_], boxes.high[open_], boxes.missing[open_])
+        gains, column, cut, missing, left = pair_splits(running, shape, boxes, total, how)
+        at = node[gains]
+        tree.feature[at], tree.bin[at], tree.missing_left[at] = columns[column], cut, missing
+        boxes = boxes.children(np.flatnonzero(gains), column, cut, missing)
+        node = np.stack([2 * at + 1, 2 * at + 2], axis=1).ravel()
+        total = [np.stack([x, t[gains] - x], axis=1).ravel() for x, t in zip(left, total, strict=True)]
+        if not len(node):
+            break
+    return tree
+
+
+def cell_values(tree: Tree, columns: np.ndarray, bins_of: np.ndarray, depth: int) -> np.ndarray:
+    """What the tree gives each of ``cells``."""
+    if len(columns) != 2:
+        return tree.value[tree.leaves(cells(len(bins_of), columns, bins_of), depth)]
+    shape = bins_of[columns]
+    out = np.empty(shape.prod())
+    node, boxes = np.zeros(1, np.int64), Boxes.root(shape)
+    while len(node):
+        ends = tree.feature[node] < 0
+        number, at = boxes.cells(np.flatnonzero(ends), shape)
+        out[at] = np.repeat(tree.value[node[ends]], number)
+        node = node[~ends]
+        boxes = boxes.children(np.flatnonzero(~ends), np.searchsorted(columns, tree.feature[node]), tree.bin[node].astype(np.int64), tree.missing_left[node])
+        node = np.stack([2 * node + 1, 2 * node + 2], axis=1).ravel()
+    return out
+
+
 def grown(bins: np.ndarray, columns: np.ndarray, g: np.ndarray, h: np.ndarray, how: Boosting) -> Tree:
     """The tree of rows or cells with sums ``g`` and ``h`` of the derivatives."""
+    if len(columns) == 2 and len(bins):
+        bins_of = bins.max(0).astype(np.int64) + 1
+        at, n = cell_of(bins, columns, bins_of), combinations(columns, bins_of)
+        return pair_grown(np.stack([np.bincount(at, x, n) for x in (g, h)]), bins_of[columns], columns, how)
     tree = Tree(how.depth)
     node = np.zeros(len(bins), np.int64)
     for level in range(how.depth + 1):
@@ -165,10 +324,11 @@ def combinations(columns: np.ndarray, bins_of: np.ndarray) -> int:
     return math.prod(bins_of[columns].tolist())
 
 
-def cells(width: int, columns: np.ndarray, bins_of: np.ndarray) -> np.ndarray:
-    """Every combination of the bins of a tree's columns, the last changing first; the other columns are 0."""
-    out = np.zeros((combinations(columns, bins_of), width), np.uint8)
-    out[:, columns] = np.stack(np.unravel_index(np.arange(len(out)), bins_of[columns]), axis=1)
+def cells(width: int, columns: np.ndarray, bins_of: np.ndarray, some: np.ndarray | None = None) -> np.ndarray:
+    """Every combination of the bins of a tree's columns, the last changing first, or some of them; the other columns are 0."""
+    some = np.arange(combinations(columns, bins_of)) if some is None else some
+    out = np.zeros((len(some), width), np.uint8)
+    out[:, columns] = np.stack(np.unravel_index(some, bins_of[columns]), axis=1)
     return out
 
 
@@ -187,10 +347,10 @@ def cell_sums(at: np.ndarray, n: int, rows: np.ndarray, margin: np.ndarray, y: n
     return np.stack([np.bincount(own, x, n) for x in gradients(margin[rows], y[rows])])
 
 
-def cell_tree(sums: np.ndarray, every: np.ndarray, columns: np.ndarray, how: Boosting) -> Tree:
+def cell_tree(sums: np.ndarray, columns: np.ndarray, bins_of: np.ndarray, how: Boosting) -> Tree:
     """The tree of the cells' sums (derivative, cell)."""
     some = np.flatnonzero(sums.any(0))
-    return grown(every[some], columns, *sums[:, some], how)
+    return grown(cells(len(bins_of), columns, bins_of, some), columns, *sums[:, some], how)
 
 
 def grow(bins: np.ndarray, y: np.ndarray, weight: np.ndarray, row: np.ndarray, how: Boosting) -> np.ndarray:
@@ -199,24 +359,34 @@ def grow(bins: np.ndarray, y: np.ndarray, weight: np.ndarray, row: np.ndarray, h
     if not len(y):
         return margin
     row, bins_of = row.astype(_U, copy=False), bins.max(0).astype(np.int64) + 1
-    pieces = [slice(i, i + PIECE) for i in range(0, len(y), PIECE)]
+    # those that train first, of either outcome together, so that only they are drawn and need no look at their weight
+    order = np.lexsort((y, ~weight))
+    bins, y, row, trained = np.asfortranarray(bins[order]), y[order], row[order], int(weight.sum())
+    pieces = [slice(i, min(i + PIECE, len(y))) for i in range(0, len(y), PIECE)]
+    at, own, g, h = np.empty(len(y), np.int32), np.empty(trained, np.int64), np.empty(trained), np.empty(trained)
     for t in range(how.trees):
         columns = seen_columns(bins.shape[1], t, how)
         n = combinations(columns, bins_of)
         if n > min(CELLS, len(y)):
-            mine = np.flatnonzero(weight & sampled(row, t, how))
+            mine = np.flatnonzero(sampled(row[:trained], t, how))
             tree = grown(bins[mine], columns, *gradients(margin[mine], y[mine]), how)
             margin += tree.value[tree.leaves(bins, how.depth)]
             continue
-        every, sums, at = cells(bins.shape[1], columns, bins_of), np.zeros((2, n)), []
+        done = 0
+        for p in pieces:
+            at[p] = cell_of(bins[p], columns, bins_of)
+            mine = np.flatnonzero(sampled(row[p][: max(0, trained - p.start)], t, how))
+            these = slice(done, done + len(mine))
+            own[these] = at[p].take(mine)
+            g[these], h[these] = gradients(margin[p].take(mine), y[p].take(mine))
+            done += len(mine)
+        sums = np.stack([np.bincount(own[:done], x[:done], n) for x in (g, h)])
+        value = cell_values(cell_tree(sums, columns, bins_of, how), columns, bins_of, how.depth)
         for p in pieces:
-            at.append(cell_of(bins[p], columns, bins_of))
-            sums += cell_sums(at[-1], n, np.flatnonzero(weight[p] & sampled(row[p], t, how)), margin[p], y[p])
-        tree = cell_tree(sums, every, columns, how)
-        value = tree.value[tree.leaves(every, how.depth)]
-        for p, own in zip(pieces, at, strict=True):
-            margin[p] += value[own]
-    return margin
+            margin[p] += value.take(at[p])
+    found = np.empty(len(y))
+    found[order] = margin
+    return found
 
 
 # --- rows
@@ -290,7 +460,7 @@ class _Trees:
         if combinations(columns, self.bins_of) > CELLS:
             return tree.value[tree.leaves(bins, self.how.depth)]
         if (i, s) not in self.values:
-            self.values[i, s] = tree.value[tree.leaves(cells(width, columns, self.bins_of), self.how.depth)]
+            self.values[i, s] = cell_values(tree, columns, self.bins_of, self.how.depth)
         return self.values[i, s][cell_of(bins, columns, self.bins_of)]
 
     def margins(self, rows: _Rows, sets: np.ndarray) -> np.ndarray:
@@ -329,7 +499,7 @@ def _cells_grown(width: int, how: Boosting, t: int, bins_of: np.ndarray):
         columns = seen_columns(width, t, how)
         sums = np.zeros((2, combinations(columns, bins_of)))
         sums[:, table.column("cell").to_numpy()] = [table.column(c).to_numpy() for c in ("g", "h")]
-        tree = cell_tree(sums, cells(width, columns, bins_of), columns, how)
+        tree = cell_tree(sums, columns, bins_of, how)
         parts = {"feature": tree.feature.astype(np.int32), "bin": tree.bin.astype(np.int32), "missing_left": tree.missing_left, "value": tree.value}
         return pa.table({"set": table.column("set").slice(0, 1)} | {k: pa.array([v.tolist()], pa.list_(pa.array(v[:0]).type)) for k, v in parts.items()})
 
@@ -450,6 +620,18 @@ def _grow_together(rows: DataFrame, sets: int, bins_of: np.ndarray, how: Boostin
     return rows.select("row", "margin")
 
 
+def _dealt(rows: DataFrame, sizes: DataFrame) -> GroupedData:
+    """Rows of the sets that are not large, grouped by set.
+
+    They are few bytes but much work, so each set is a task of its own, the largest first; only of more than ``SETS_APART`` do some share one.
+    """
+    small, sets = sizes.filter("not large"), sizes.count()
+    if sets > SETS_APART:
+        return group_join(rows, small.select("model"), ["model"], spread=["row"]).repartition(SETS_APART, "model").groupBy("model")
+    placed = small.select("model", (F.row_number().over(Window.orderBy(F.desc("n"), "model")) - 1).alias("place"))
+    return group_join(rows, placed, ["model"], spread=["row"]).repartitionById(max(1, sets), "place").groupBy("place")
+
+
 def boosted(members: DataFrame, model: str, key: Sequence[str], label: str, features: Sequence[str], train: str, how: Boosting = Boosting(), out: str = "p") -> DataFrame:
     """Adds ``out`` to rows (model, key.., label, train, features..): the probability under the trees of the set's rows where ``train`` is true.
 
@@ -466,11 +648,8 @@ def boosted(members: DataFrame, model: str, key: Sequence[str], label: str, feat
     edges = bin_edges(slim, [f"x{i}" for i in range(width)])
     kind = slim.schema["model"].dataType.simpleString()
     rows = durable(slim.mapInArrow(_binned(edges), f"model {kind}, row bigint, draw bigint, y double, train boolean, bins binary, margin double"), "boosting-rows")
-    sizes = durable(rows.groupBy("model").agg((F.count(F.lit(1)) * width > TASK_CELLS).alias("large")), "boosting-sizes")
-    small = group_join(rows, sizes.filter("not large").drop("large"), ["model"], spread=["row"])
-    # few bytes but much work: as many partitions as keep the sets apart, not as few as their size allows
-    small = small.repartition(max(1, min(8 * sizes.count(), SETS_APART)), "model")
-    parts = [small.groupBy("model").applyInArrow(_whole_sets(width, how), "row bigint, margin double")]
+    sizes = durable(rows.groupBy("model").agg(F.count(F.lit(1)).alias("n"), (F.count(F.lit(1)) * width > TASK_CELLS).alias("large")), "boosting-sizes")
+    parts = [_dealt(rows, sizes).applyInArrow(_whole_sets(width, how), "row bigint, margin double")]
     bins_of = np.array([len(e) + 2 for e in edges])
     wide = [r["model"] for r in sizes.filter("large").collect()]  # as many as the cells allow, whatever the number of sets
     for i in range(0, len(wide), TOGETHER):

@@ -4,7 +4,9 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark import TaskContext
 from pyspark.sql import functions as F
 
 from sitewise.operators import boosting
@@ -171,3 +173,39 @@ def test_shares_of_rows_and_columns(width):
     assert min(np.bincount(np.concatenate(seen), minlength=width)) > 0.4 * 400 * len(seen[0]) / width
     drawn = [boosting.sampled(np.arange(5000, dtype=np.uint64), t, how).mean() for t in range(5)]
     assert max(abs(d - 0.8) for d in drawn) < 0.02 and len(set(drawn)) > 1
+
+
+@pytest.mark.parametrize("rows", [3, 60, 4000])
+def test_trees_of_two_columns_do_not_go_over_their_cells_at_each_level(monkeypatch, rows):
+    """Sums of a node's bins are differences of running sums; with a third column that cannot be split the cells are gone over."""
+    rng = np.random.default_rng(rows)
+    how, over = Boosting(depth=6, least=0.1), []
+    histograms = boosting.histograms
+    monkeypatch.setattr(boosting, "histograms", lambda *a: over.append(1) or histograms(*a))
+    for width, few in ((200, 9), (30, 2), (1, 40)):
+        bins = np.stack([rng.integers(0, width, rows), np.zeros(rows, int), rng.integers(few > 2, few, rows)], axis=1).astype(np.uint8)
+        g, h = np.rint(rng.normal(0, 3, rows)) * 2**22, np.full(rows, 2.0**22)
+        got = boosting.grown(bins, np.array([0, 2]), g, h, how)
+        assert not over
+        want = boosting.grown(bins, np.array([0, 1, 2]), g, h, how)
+        assert over
+        over.clear()
+        split = want.feature >= 0
+        np.testing.assert_array_equal(got.feature, want.feature)
+        np.testing.assert_array_equal(got.bin[split], want.bin[split])
+        np.testing.assert_array_equal(got.missing_left[split], want.missing_left[split])
+        bins_of = np.array([width + 1, 1, few + 1])
+        every = boosting.cells(3, np.array([0, 2]), bins_of)
+        np.testing.assert_array_equal(boosting.cell_values(got, np.array([0, 2]), bins_of, 6), want.value[want.leaves(every, 6)])
+
+
+def test_each_set_is_a_task_of_its_own(spark):
+    sites = [None, *range(12)]
+    rows = spark.createDataFrame([(s, 100 * k + i) for k, s in enumerate(sites) for i in range(3 + k)], "model int, row bigint")
+    sizes = rows.groupBy("model").agg(F.count(F.lit(1)).alias("n"), F.expr("model <=> 11").alias("large"))
+
+    def task(table):
+        return pa.table({"n": [table.num_rows], "task": [TaskContext.get().partitionId()]})
+
+    got = sorted((r.task, r.n) for r in boosting._dealt(rows, sizes).applyInArrow(task, "n bigint, task bigint").collect())
+    assert got == list(enumerate(range(14, 2, -1)))
