@@ -22,8 +22,9 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, GroupedData, Window, functions as F
+from pyspark.sql import Column, DataFrame, GroupedData, Window, functions as F, types as T
 
 from sitewise.operators.joins import group_join
 from sitewise.session import durable
@@ -31,8 +32,10 @@ from sitewise.session import durable
 #: Bins of a feature, the first for missing values; bins of a set that one task grows alone; trees between two writes; large sets grown together;
 #: partitions that whole sets are dealt to.
 BINS, TASK_CELLS, BLOCK, TOGETHER, SETS_APART = 256, 1 << 22, 16, 32, 2000
-#: Combinations of bins of a tree's columns that are held at once; rows handled at a time, few enough for the processor's cache.
+#: Combinations of bins of a tree's columns that are held at once, their numbers in two bytes; rows handled at a time, few enough for the processor's cache.
 CELLS, PIECE = 1 << 16, 1 << 15
+#: Choices of columns of which each row's cell is kept.
+KNOWN = 16
 UNIT = float(1 << 24)
 _U = np.uint64
 
@@ -78,7 +81,12 @@ def seen_columns(width: int, tree: int, how: Boosting) -> np.ndarray:
 
 
 class Tree:
-    """A tree whose node i has children 2i + 1 and 2i + 2; ``feature`` is -1 in leaves."""
+    """A tree whose node i has children 2i + 1 and 2i + 2; ``feature`` is -1 in leaves.
+
+    ``leaves_of`` has, of a tree just grown from a whole grid of cells, the leaves' boxes and numbers.
+    """
+
+    leaves_of: tuple[Boxes, np.ndarray] | None = None
 
     def __init__(self, depth: int):
         n = (1 << (depth + 1)) - 1
@@ -156,6 +164,13 @@ class Boxes:
     def root(cls, shape: np.ndarray) -> Boxes:
         return cls(np.ones((1, 2), np.int64), shape[None] - 1, np.ones((1, 2), bool))
 
+    def of(self, which: np.ndarray) -> Boxes:
+        return Boxes(self.low[which], self.high[which], self.missing[which])
+
+    @classmethod
+    def joined(cls, parts: list[Boxes]) -> Boxes:
+        return cls(*(np.concatenate([getattr(b, x) for b in parts]) for x in ("low", "high", "missing")))
+
     def children(self, which: np.ndarray, column: np.ndarray, cut: np.ndarray, missing_left: np.ndarray) -> Boxes:
         """The left and the right child of each of the boxes ``which``, one after the other."""
         low, high, missing = (np.repeat(x[which], 2, axis=0) for x in (self.low, self.high, self.missing))
@@ -182,51 +197,62 @@ def runs(counts: np.ndarray) -> np.ndarray:
     return np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
 
 
-def pair_splits(sums: list[np.ndarray], shape: np.ndarray, boxes: Boxes, total: np.ndarray, how: Boosting):
+def pair_splits(sums: np.ndarray, shape: np.ndarray, boxes: Boxes, total: np.ndarray, how: Boosting):
     """As ``best_splits`` for boxes of a grid; also the sums left of each split.
 
     ``sums`` are per derivative the grid's running sums along its second column and, turned round, along its first, one behind the other.
     """
-    width = shape[::-1] + 1
-    offset = np.array([0, shape[0] * width[0]])
-    low, high, missing = boxes.low, boxes.high, boxes.missing
+    low, high, missing = boxes.low.ravel(), boxes.high.ravel(), boxes.missing.ravel()
+    # of each box and column, the other column's ends and where the column's sums begin
+    other_low, other_high, other_missing = (x[:, ::-1].ravel() for x in (boxes.low, boxes.high, boxes.missing))
+    width = np.tile(shape[::-1] + 1, len(boxes.low))
+    begins = np.tile(np.array([0, shape[0] * (shape[1] + 1)]), len(boxes.low))
     # a box is cut at its own bins, and before the first to part the missing values from all others
     begin = np.maximum(low - 1, 1)
-    count = np.maximum(high - begin + 1, 0).ravel()
+    count = np.maximum(high - begin + 1, 0)
     part = np.repeat(np.arange(len(count)), count)
-    place = begin.ravel()[part] + runs(count)
     first = np.cumsum(count) - count
-
-    def strip(x: np.ndarray, part: np.ndarray, place: np.ndarray) -> np.ndarray:
-        """Sums of one bin of a column of each box."""
-        start = (offset + np.zeros_like(low)).ravel()[part] + place * (width + np.zeros_like(low)).ravel()[part]
-        here = x[start + high[:, ::-1].ravel()[part] + 1] - x[start + low[:, ::-1].ravel()[part]]
-        return here + np.where(missing[:, ::-1].ravel()[part], x[start + 1] - x[start], 0.0)
-
-    below, absent = [], []
-    every = np.arange(len(count))
-    for x in sums:
-        own = np.cumsum(np.where(place < low.ravel()[part], 0.0, strip(x, part, place)))
-        below.append(own - np.append(0.0, own)[first][part])
-        absent.append(np.where(missing.ravel(), strip(x, every, np.zeros_like(every)), 0.0))
-
-    def gain(part: np.ndarray, left: list[np.ndarray]) -> np.ndarray:
-        all_ = [t[part // 2] for t in total]
-        right = [t - x for t, x in zip(all_, left, strict=True)]
-        worth = [g**2 / (h + how.ridge) for g, h in (left, right, all_)]
-        return np.where((left[1] >= how.least) & (right[1] >= how.least), worth[0] + worth[1] - worth[2], 0.0)
-
-    left = [x + a[part] for x, a in zip(below, absent, strict=True)]
-    best = gain(part, left)
-    other = np.flatnonzero((absent[0] != 0)[part] | (absent[1] != 0)[part])  # elsewhere both sides are the same
-    apart = gain(part[other], [x[other] for x in below])
+    place = np.arange(len(part)) + (begin - first)[part]
+
+    def strips(start: np.ndarray, above: np.ndarray, below: np.ndarray, gap: np.ndarray) -> np.ndarray:
+        """Sums (derivative, strip) of one bin of a column of boxes; in those of ``gap`` with the other column's missing values."""
+        here = sums.take(start + above, axis=1)
+        here -= sums.take(start + below, axis=1)
+        if len(gap):
+            here[:, gap] += sums.take(start[gap] + 1, axis=1) - sums.take(start[gap], axis=1)
+        return here
+
+    base = begins[part] + place * width[part]
+    own = strips(base, (other_high + 1)[part], other_low[part], np.flatnonzero(other_missing[part]))
+    own[:, first[(place.take(np.minimum(first, len(place) - 1)) < low) & (count > 0)] if len(place) else first[:0]] = 0.0
+    ends = np.zeros((2, len(part) + 1))
+    np.cumsum(own, axis=1, out=ends[:, 1:])
+    below = ends[:, 1:] - ends.take(first, axis=1).take(part, axis=1)
+    absent = np.where(missing, strips(begins, other_high + 1, other_low, np.flatnonzero(other_missing)), 0.0)
+
+    def worth(g: np.ndarray, h: np.ndarray) -> np.ndarray:
+        return g**2 / (h + how.ridge)
+
+    whole = worth(*total)
+
+    def gain(box: np.ndarray, left: np.ndarray) -> np.ndarray:
+        right = total.take(box, axis=1)
+        right -= left
+        found = worth(*left) + worth(*right) - whole[box]
+        found[(left[1] < how.least) | (right[1] < how.least)] = 0.0
+        return found
+
+    box = part // 2
+    left = below + absent.take(part, axis=1)
+    best = gain(box, left)
+    other = np.flatnonzero(absent.any(0)[part])  # elsewhere both sides are the same
+    apart = gain(box[other], below.take(other, axis=1))
     better = apart > best[other]
     other = other[better]
     best[other] = apart[better]
     side = np.ones(len(best), bool)
     side[other] = False
-    for x, y in zip(left, below, strict=True):
-        x[other] = y[other]
+    left[:, other] = below[:, other]
 
     cuts = count.reshape(-1, 2).sum(1)
     some = np.flatnonzero(cuts)
@@ -234,42 +260,43 @@ def pair_splits(sums: list[np.ndarray], shape: np.ndarray, boxes: Boxes, total:
     at = np.zeros(len(cuts), np.int64)
     if len(some):
         most[some] = np.maximum.reduceat(best, first[::2][some])
-        equal = np.flatnonzero(best == most[part // 2])
-        at[some] = equal[np.searchsorted(part[equal] // 2, some)]
+        equal = np.flatnonzero(best == most[box])
+        at[some] = equal[np.searchsorted(box[equal], some)]
     gains = most > 1e-6
     at = at[gains]
-    cut = np.where(place[at] < low.ravel()[part[at]], 1, place[at])
-    return gains, part[at] % 2, cut, side[at], [x[at] for x in left]
+    cut = np.where(place[at] < low[part[at]], 1, place[at])
+    return gains, part[at] % 2, cut, side[at], left[:, at]
 
 
-def pair_grown(sums: np.ndarray, shape: np.ndarray, columns: np.ndarray, how: Boosting) -> Tree:
-    """The tree of two columns from the sums (derivative, cell) of their grid: no node goes over its cells, its bins' sums are differences."""
+def pair_grown(sums: np.ndarray, shape: np.ndarray, columns: np.ndarray, how: Boosting) -> tuple[Tree, tuple[Boxes, np.ndarray]]:
+    """The tree of two columns and its leaves from the sums (derivative, cell) of their grid: no node goes over its cells, its bins' sums are differences."""
     tree = Tree(how.depth)
-    running = []
-    for x in sums / UNIT:
-        both = []
-        for grid in (x.reshape(shape), x.reshape(shape).T):
-            along = np.zeros((grid.shape[0], grid.shape[1] + 1))
-            np.cumsum(grid, axis=1, out=along[:, 1:])
-            both.append(along.ravel())
-        running.append(np.concatenate(both))
-    node, boxes, total = np.zeros(1, np.int64), Boxes.root(shape), [x.sum(keepdims=True) / UNIT for x in sums]
+    sums, (n, m) = sums / UNIT, shape.tolist()
+    running = np.zeros((2, n * (m + 1) + m * (n + 1)))
+    for x, out in zip(sums, running, strict=True):
+        np.cumsum(x.reshape(n, m), axis=1, out=out[: n * (m + 1)].reshape(n, m + 1)[:, 1:])
+        np.cumsum(x.reshape(n, m).T, axis=1, out=out[n * (m + 1) :].reshape(m, n + 1)[:, 1:])
+    node, boxes, total = np.zeros(1, np.int64), Boxes.root(shape), sums.sum(1, keepdims=True)
+    ends = []
     for level in range(how.depth + 1):
         tree.value[node] = -how.step * total[0] / (total[1] + how.ridge)
-        open_ = np.flatnonzero(total[1] >= 2 * how.least)
-        if level == how.depth or not len(open_):
+        open_ = np.flatnonzero((total[1] >= 2 * how.least) & (level < how.depth))
+        if len(open_) < len(node):
+            closed = np.setdiff1d(np.arange(len(node)), open_, assume_unique=True)
+            ends.append((boxes.of(closed), node[closed]))
+        if not len(open_):
             break
-        node, total = node[open_], [x[open_] for x in total]
-        boxes = Boxes(boxes.low[open_], boxes.high[open_], boxes.missing[open_])
+        node, total, boxes = node[open_], total[:, open_], boxes.of(open_)
         gains, column, cut, missing, left = pair_splits(running, shape, boxes, total, how)
+        ends.append((boxes.of(~gains), node[~gains]))
         at = node[gains]
         tree.feature[at], tree.bin[at], tree.missing_left[at] = columns[column], cut, missing
         boxes = boxes.children(np.flatnonzero(gains), column, cut, missing)
         node = np.stack([2 * at + 1, 2 * at + 2], axis=1).ravel()
-        total = [np.stack([x, t[gains] - x], axis=1).ravel() for x, t in zip(left, total, strict=True)]
+        total = np.stack([left, total[:, gains] - left], axis=2).reshape(2, -1)
         if not len(node):
             break
-    return tree
+    return tree, (Boxes.joined([b for b, _ in ends]), np.concatenate([n for _, n in ends]))
 
 
 def cell_values(tree: Tree, columns: np.ndarray, bins_of: np.ndarray, depth: int) -> np.ndarray:
@@ -277,24 +304,34 @@ def cell_values(tree: Tree, columns: np.ndarray, bins_of: np.ndarray, depth: int
     if len(columns) != 2:
         return tree.value[tree.leaves(cells(len(bins_of), columns, bins_of), depth)]
     shape = bins_of[columns]
+    boxes, node = tree.leaves_of or leaf_boxes(tree, columns, shape)
+    number, at = boxes.cells(np.arange(len(node)), shape)
     out = np.empty(shape.prod())
-    node, boxes = np.zeros(1, np.int64), Boxes.root(shape)
+    out[at] = np.repeat(tree.value[node], number)
+    return out
+
+
+def leaf_boxes(tree: Tree, columns: np.ndarray, shape: np.ndarray) -> tuple[Boxes, np.ndarray]:
+    """The leaves of a tree of two columns: their boxes and numbers."""
+    node, boxes, ends = np.zeros(1, np.int64), Boxes.root(shape), []
     while len(node):
-        ends = tree.feature[node] < 0
-        number, at = boxes.cells(np.flatnonzero(ends), shape)
-        out[at] = np.repeat(tree.value[node[ends]], number)
-        node = node[~ends]
-        boxes = boxes.children(np.flatnonzero(~ends), np.searchsorted(columns, tree.feature[node]), tree.bin[node].astype(np.int64), tree.missing_left[node])
+        split = tree.feature[node] >= 0
+        ends.append((boxes.of(~split), node[~split]))
+        node = node[split]
+        boxes = boxes.children(np.flatnonzero(split), np.searchsorted(columns, tree.feature[node]), tree.bin[node].astype(np.int64), tree.missing_left[node])
         node = np.stack([2 * node + 1, 2 * node + 2], axis=1).ravel()
-    return out
+    return Boxes.joined([b for b, _ in ends]), np.concatenate([n for _, n in ends])
 
 
-def grown(bins: np.ndarray, columns: np.ndarray, g: np.ndarray, h: np.ndarray, how: Boosting) -> Tree:
-    """The tree of rows or cells with sums ``g`` and ``h`` of the derivatives."""
+def grown(bins: np.ndarray, columns: np.ndarray, g: np.ndarray, h: np.ndarray, how: Boosting, shape: np.ndarray | None = None) -> Tree:
+    """The tree of rows or cells with sums ``g`` and ``h`` of the derivatives; of two columns' whole grid of cells, its ``shape``."""
+    if shape is not None:
+        tree, tree.leaves_of = pair_grown(np.stack([g, h]), shape, columns, how)
+        return tree
     if len(columns) == 2 and len(bins):
         bins_of = bins.max(0).astype(np.int64) + 1
         at, n = cell_of(bins, columns, bins_of), combinations(columns, bins_of)
-        return pair_grown(np.stack([np.bincount(at, x, n) for x in (g, h)]), bins_of[columns], columns, how)
+        return pair_grown(np.stack([np.bincount(at, x, n) for x in (g, h)]), bins_of[columns], columns, how)[0]
     tree = Tree(how.depth)
     node = np.zeros(len(bins), np.int64)
     for level in range(how.depth + 1):
@@ -347,46 +384,81 @@ def cell_sums(at: np.ndarray, n: int, rows: np.ndarray, margin: np.ndarray, y: n
     return np.stack([np.bincount(own, x, n) for x in gradients(margin[rows], y[rows])])
 
 
-def cell_tree(sums: np.ndarray, columns: np.ndarray, bins_of: np.ndarray, how: Boosting) -> Tree:
-    """The tree of the cells' sums (derivative, cell)."""
+def cell_tree(sums: np.ndarray, columns: np.ndarray, bins_of: np.ndarray, how: Boosting, every: np.ndarray | None = None) -> Tree:
+    """The tree of the cells' sums (derivative, cell); ``every`` are the cells, if they are at hand."""
+    if len(columns) == 2:
+        return grown(cells(len(bins_of), columns, bins_of) if every is None else every, columns, *sums, how, bins_of[columns])
     some = np.flatnonzero(sums.any(0))
     return grown(cells(len(bins_of), columns, bins_of, some), columns, *sums[:, some], how)
 
 
+class Draws:
+    """Which rows trees see, as ``sampled`` says, a piece at a time: what no tree changes is done once, and no piece needs memory of its own."""
+
+    def __init__(self, row: np.ndarray, how: Boosting):
+        self.how, self.limit = how, math.ceil(how.rows * float(1 << 53)) << 11
+        self.row = row ^ (row >> _U(33))  # the first step of ``mixed``, which tells rows and salt apart
+        self.x, self.shifted, self.salt = np.empty(PIECE, _U), np.empty(PIECE, _U), _U(0)
+
+    def start(self, tree: int) -> None:
+        salt = mixed(np.array([self.how.seed * 1_000_003 + tree + 1], _U))[0]
+        self.salt = salt ^ (salt >> _U(33))
+
+    def seen(self, p: slice) -> np.ndarray:
+        row = self.row[p]
+        if self.limit >= 1 << 64:
+            return np.arange(len(row))
+        x, shifted = self.x[: len(row)], self.shifted[: len(row)]
+        np.bitwise_xor(row, self.salt, out=x)
+        for factor in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53):
+            x *= _U(factor)
+            np.right_shift(x, _U(33), out=shifted)
+            x ^= shifted
+        return np.flatnonzero(x < _U(self.limit))
+
+
 def grow(bins: np.ndarray, y: np.ndarray, weight: np.ndarray, row: np.ndarray, how: Boosting) -> np.ndarray:
     """Margins of rows (bins, y, row number) under the trees of those with ``weight``."""
     margin = np.zeros(len(y))
     if not len(y):
         return margin
     row, bins_of = row.astype(_U, copy=False), bins.max(0).astype(np.int64) + 1
-    # those that train first, of either outcome together, so that only they are drawn and need no look at their weight
+    # those that train first, so that only they are drawn and need no look at their weight, and the outcomes of most pieces are one
     order = np.lexsort((y, ~weight))
-    bins, y, row, trained = np.asfortranarray(bins[order]), y[order], row[order], int(weight.sum())
-    pieces = [slice(i, min(i + PIECE, len(y))) for i in range(0, len(y), PIECE)]
-    at, own, g, h = np.empty(len(y), np.int32), np.empty(trained, np.int64), np.empty(trained), np.empty(trained)
+    bins, y, trained = np.asfortranarray(bins[order]), y[order], int(weight.sum())
+    draws = Draws(row[order[:trained]], how)
+    pieces = [slice(i, min(i + PIECE, trained)) for i in range(0, trained, PIECE)]
+    both = np.empty(PIECE, complex)  # the two derivatives side by side, so that they are added up in one go
+    known: dict[tuple[int, ...], tuple[np.ndarray, np.ndarray]] = {}
+    value, last = np.zeros(1), np.zeros(len(y), np.uint16)  # the tree before, which the margins do not have yet
     for t in range(how.trees):
         columns = seen_columns(bins.shape[1], t, how)
         n = combinations(columns, bins_of)
         if n > min(CELLS, len(y)):
-            mine = np.flatnonzero(sampled(row[:trained], t, how))
+            margin += value.take(last)
+            mine = np.flatnonzero(sampled(row[order[:trained]], t, how))
             tree = grown(bins[mine], columns, *gradients(margin[mine], y[mine]), how)
-            margin += tree.value[tree.leaves(bins, how.depth)]
+            value, last = tree.value, tree.leaves(bins, how.depth)
             continue
-        done = 0
-        for p in pieces:
-            at[p] = cell_of(bins[p], columns, bins_of)
-            mine = np.flatnonzero(sampled(row[p][: max(0, trained - p.start)], t, how))
-            these = slice(done, done + len(mine))
-            own[these] = at[p].take(mine)
-            g[these], h[these] = gradients(margin[p].take(mine), y[p].take(mine))
-            done += len(mine)
-        sums = np.stack([np.bincount(own[:done], x[:done], n) for x in (g, h)])
-        value = cell_values(cell_tree(sums, columns, bins_of, how), columns, bins_of, how.depth)
+        if (key := tuple(columns)) not in known:
+            if len(known) == KNOWN:
+                known.clear()
+            known[key] = cell_of(bins, columns, bins_of).astype(np.uint16), cells(len(bins_of), columns, bins_of)
+        at, every = known[key]
+        draws.start(t)
+        found = np.zeros(n, complex)
         for p in pieces:
-            margin[p] += value.take(at[p])
-    found = np.empty(len(y))
-    found[order] = margin
-    return found
+            margin[p] += value.take(last[p].astype(np.intp))
+            mine = draws.seen(p)
+            one, own = y[p.start] == y[p.stop - 1], both[: len(mine)]
+            own.real, own.imag = gradients(margin[p].take(mine), y[p.start] if one else y[p].take(mine))
+            np.add.at(found, at[p].astype(np.intp).take(mine), own)
+        margin[trained:] += value.take(last[trained:].astype(np.intp))
+        tree = cell_tree(np.stack([found.real, found.imag]), columns, bins_of, how, every)
+        value, last = cell_values(tree, columns, bins_of, how.depth), at
+    out = np.empty(len(y))
+    out[order] = margin + value.take(last)
+    return out
 
 
 # --- rows
@@ -437,12 +509,13 @@ class _Rows:
         self.margin = table.column("margin").to_numpy().copy()
 
 
-def _whole_sets(width: int, how: Boosting):
-    """Margins of all rows of one set."""
+def _whole_sets(width: int, how: Boosting, unseen: bool):
+    """Margins of all rows of one set, or of those that do not train."""
 
     def run(table: pa.Table) -> pa.Table:
         rows = _Rows(table, width)
-        return pa.table({"row": table.column("row"), "margin": pa.array(grow(rows.bins, rows.y, rows.train, rows.draw, how))})
+        found = pa.table({"row": table.column("row"), "margin": pa.array(grow(rows.bins, rows.y, rows.train, rows.draw, how))})
+        return found.filter(pc.invert(table.column("train"))) if unseen else found
 
     return run
 
@@ -604,8 +677,8 @@ def _tree_by_levels(rows: DataFrame, current: list[Tree], width: int, how: Boost
             break
 
 
-def _grow_together(rows: DataFrame, sets: int, bins_of: np.ndarray, how: Boosting) -> DataFrame:
-    """(row, margin) of rows of large sets, numbered in ``set``."""
+def _grow_together(rows: DataFrame, sets: int, bins_of: np.ndarray, how: Boosting, unseen: bool) -> DataFrame:
+    """(row, margin) of rows of large sets, numbered in ``set``, or of those rows that do not train."""
     schema, width = rows.schema, len(bins_of)
     trees: list[list[Tree]] = []
     for t in range(how.trees):
@@ -617,7 +690,7 @@ def _grow_together(rows: DataFrame, sets: int, bins_of: np.ndarray, how: Boostin
             since = _Trees(trees, t + 1 - len(trees), how, bins_of)
             rows = durable(rows.mapInArrow(_applied(width, since), schema), "boosting-rows")
             trees = []
-    return rows.select("row", "margin")
+    return (rows.filter("not train") if unseen else rows).select("row", "margin")
 
 
 def _dealt(rows: DataFrame, sizes: DataFrame) -> GroupedData:
@@ -638,24 +711,60 @@ def boosted(members: DataFrame, model: str, key: Sequence[str], label: str, feat
     ``key`` decides which trees see a row.  A row without an outcome trains nothing but is scored; in a set without training rows, or where
     no split gains, all rows get what the outcome rate comes to.  A missing model value is a set like any other; no rows give none.
     """
-    width = len(features)
     kept = durable(members.withColumn("_row", F.monotonically_increasing_id()), "boosting-members")
-    values = [F.col(f).cast("double").alias(f"x{i}") for i, f in enumerate(features)]
-    slim = kept.select(
-        F.col(model).alias("model"), F.col("_row").alias("row"), F.xxhash64(*key).alias("draw"), F.col(label).cast("double").alias("y"),
-        F.coalesce(F.col(train), F.lit(False)).alias("train"), *values,
-    )
-    edges = bin_edges(slim, [f"x{i}" for i in range(width)])
-    kind = slim.schema["model"].dataType.simpleString()
-    rows = durable(slim.mapInArrow(_binned(edges), f"model {kind}, row bigint, draw bigint, y double, train boolean, bins binary, margin double"), "boosting-rows")
+    trains = F.coalesce(F.col(train), F.lit(False))
+    rows, bins_of = _cut(kept.select(F.col(model).alias("model"), F.col("_row").alias("row"), *_inputs(key, label), trains.alias("train"), *_values(features)))
+    chances = _margins(rows, bins_of, how).select(F.col("row").alias("_row"), _chance().alias("_p"))
+    return kept.join(chances.hint("shuffle_hash"), "_row").withColumn(out, F.col("_p")).drop("_row", "_p")
+
+
+def fold_sets(rows: DataFrame, fold: str, k: int, key: Sequence[str], label: str, features: Sequence[str]) -> tuple[DataFrame, np.ndarray]:
+    """Rows cut into bins of k sets with one of the folds 0..k-1 left out of each, for ``boosted_folds``; they are written once, not once a set."""
+    own = F.struct(*dict.fromkeys([*key, fold, label]))
+    cut, bins_of = _cut(rows.select(F.col(fold).alias("model"), own.alias("row"), *_inputs(key, label), F.lit(True).alias("train"), *_values(features)))
+    held = cut.withColumn("held", F.explode(F.sequence(F.lit(0), F.lit(k - 1)))).withColumn("train", F.col("held") != F.col("model"))
+    return held.filter("train is not null").withColumn("model", F.col("held")).drop("held"), bins_of
+
+
+def boosted_folds(sets: DataFrame, bins_of: np.ndarray, how: Boosting = Boosting(), out: str = "p") -> DataFrame:
+    """Rows (key.., fold, label, ``out``): the probability of each row under the trees of the other folds' rows.
+
+    These are the trees that ``boosted`` grows of the same sets, but each row comes back once, from the set that it does not train, with what is asked
+    of it, so that no join follows.
+    """
+    return _margins(sets, bins_of, how, unseen=True).select("row.*", _chance().alias(out))
+
+
+def _inputs(key: Sequence[str], label: str) -> list[Column]:
+    return [F.xxhash64(*key).alias("draw"), F.col(label).cast("double").alias("y")]
+
+
+def _values(features: Sequence[str]) -> list[Column]:
+    return [F.col(f).cast("double").alias(f"x{i}") for i, f in enumerate(features)]
+
+
+def _chance() -> Column:
+    return 1 / (1 + F.exp(-F.col("margin")))
+
+
+def _cut(slim: DataFrame) -> tuple[DataFrame, np.ndarray]:
+    """Rows (model, row, draw, y, train, x0, x1, ..) with their bins, written, and the number of bins of each feature."""
+    values = slim.columns[5:]
+    edges = bin_edges(slim, values)
+    schema = T.StructType([*slim.drop(*values).schema.fields, T.StructField("bins", T.BinaryType()), T.StructField("margin", T.DoubleType())])
+    return durable(slim.mapInArrow(_binned(edges), schema), "boosting-rows"), np.array([len(e) + 2 for e in edges])
+
+
+def _margins(rows: DataFrame, bins_of: np.ndarray, how: Boosting, unseen: bool = False) -> DataFrame:
+    """(row, margin) of the binned rows under the trees of their set, or of those that do not train."""
+    width = len(bins_of)
     sizes = durable(rows.groupBy("model").agg(F.count(F.lit(1)).alias("n"), (F.count(F.lit(1)) * width > TASK_CELLS).alias("large")), "boosting-sizes")
-    parts = [_dealt(rows, sizes).applyInArrow(_whole_sets(width, how), "row bigint, margin double")]
-    bins_of = np.array([len(e) + 2 for e in edges])
+    schema = T.StructType([rows.schema["row"], T.StructField("margin", T.DoubleType())])
+    parts = [_dealt(rows, sizes).applyInArrow(_whole_sets(width, how, unseen), schema)]
     wide = [r["model"] for r in sizes.filter("large").collect()]  # as many as the cells allow, whatever the number of sets
     for i in range(0, len(wide), TOGETHER):
         own = wide[i : i + TOGETHER]
         number = F.coalesce(*[F.when(F.col("model").eqNullSafe(F.lit(w)), F.lit(j)) for j, w in enumerate(own)])
-        parts.append(_grow_together(durable(rows.withColumn("set", number).filter("set is not null").drop("model"), "boosting-large"), len(own), bins_of, how))
-    margins = durable(reduce(DataFrame.unionByName, parts), "boosting-margins")
-    chances = margins.select(F.col("row").alias("_row"), (1 / (1 + F.exp(-F.col("margin")))).alias("_p"))
-    return kept.join(chances.hint("shuffle_hash"), "_row").withColumn(out, F.col("_p")).drop("_row", "_p")
+        together = durable(rows.withColumn("set", number).filter("set is not null").drop("model"), "boosting-large")
+        parts.append(_grow_together(together, len(own), bins_of, how, unseen))
+    return durable(reduce(DataFrame.unionByName, parts), "boosting-margins")

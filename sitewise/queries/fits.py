@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from sitewise.functions.scalar import neglog_complement
 from sitewise.operators import linear, models, nested, pooled, resample, summary
-from sitewise.operators.boosting import Boosting, boosted
+from sitewise.operators.boosting import Boosting, boosted, boosted_folds, fold_sets
 from sitewise.operators.joins import group_join, member_rows, other_rows, paired_delta
 from sitewise.operators.matrix import score_matrix
 from sitewise.operators.metrics import evaluate
@@ -20,7 +20,7 @@ from sitewise.queries.sinks import complete
 from sitewise.queries.resampling import place_sql
 from sitewise.queries.sites import FEATURES, direct_metrics, rounded
 from sitewise.queries.sqltext import FIT, METRICS, PROBABILITY, UNIFORM, rounded_metrics
-from sitewise.session import durable
+from sitewise.session import durable, side_by_side
 from sitewise.sources import tables
 
 INVERSE_PENALTIES = [10.0 ** (-4 + 8 * i / 9) for i in range(10)]
@@ -190,9 +190,9 @@ def site_cv(fr):
     return kept_metrics(evaluate(scored, ["site", "fold"]), "site", "fold")
 
 
-def out_of_fold(rows: DataFrame, features: list[str], k: int = 5) -> DataFrame:
-    """Rows (.., fold) with their probability under the model of the other folds."""
-    rows = durable(rows, "folded")
+def out_of_fold(rows: DataFrame, features: list[str], k: int = 5, written: bool = False) -> DataFrame:
+    """Rows (.., fold) with their probability under the model of the other folds; they are written first, unless they are ``written``."""
+    rows = rows if written else durable(rows, "folded")
     fitted = nested.fit_sets(rows, "y", features, F.array("fold"), TrainingSets.of([(0, WITHOUT, fold) for fold in range(k)]))
     return models.score(rows, fitted.withColumnRenamed("model", "fold"), "fold", features)
 
@@ -206,12 +206,11 @@ def cv_metrics(fr):
 @query("cv_summary_models")
 def cv_summary_models(fr):
     """Logistic model and boosted trees over the same five folds: means of the fold metrics, written as CSV and read back."""
-    rows = durable(resample.folds(feat(fr), ["id"], 71017), "folded")
-    logistic = evaluate(out_of_fold(rows, FEATURES), ["fold"]).withColumn("model", F.lit("l2"))
-    sets = rows.withColumn("held", F.explode(F.sequence(F.lit(0), F.lit(4)))).withColumn("train", F.col("held") != F.col("fold"))
-    grown = boosted(sets, "held", ["id"], "y", FEATURES, "train", TREES).filter("not train")
-    boosted_scores = evaluate(grown, ["fold"]).withColumn("model", F.lit("trees"))
-    path = tables.write_cv_summary(logistic.select("model", "auc", "smr").unionByName(boosted_scores.select("model", "auc", "smr")))
+    rows = durable(resample.folds(feat(fr), ["id"], 71017).select("id", "y", "fold", *FEATURES), "folded")
+    sets = fold_sets(rows, "fold", 5, ["id"], "y", FEATURES)
+    trees, logistic = side_by_side(fr.spark, lambda: boosted_folds(*sets, TREES), lambda: out_of_fold(rows, FEATURES, written=True))
+    scored = reduce(DataFrame.unionByName, [df.select(F.lit(name).alias("model"), "fold", "y", "p") for name, df in (("l2", logistic), ("trees", trees))])
+    path = tables.write_cv_summary(evaluate(scored, ["model", "fold"]).select("model", "auc", "smr"))
     return tables.read_matrix(fr.spark, path, "model string, auc double, smr double")
 
 

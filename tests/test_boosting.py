@@ -10,7 +10,9 @@ from pyspark import TaskContext
 from pyspark.sql import functions as F
 
 from sitewise.operators import boosting
-from sitewise.operators.boosting import Boosting, boosted
+from sitewise.operators.boosting import Boosting, boosted, boosted_folds, fold_sets
+from sitewise.queries import fits
+from sitewise.queries.frames import Frames
 
 SCHEMA = "site string, id bigint, y int, train boolean, a double, b double, `c d` double, `row` string, margin int"
 FEATURES = ["a", "b", "`c d`"]
@@ -209,3 +211,52 @@ def test_each_set_is_a_task_of_its_own(spark):
 
     got = sorted((r.task, r.n) for r in boosting._dealt(rows, sizes).applyInArrow(task, "n bigint, task bigint").collect())
     assert got == list(enumerate(range(14, 2, -1)))
+
+
+def test_draws_of_pieces_are_those_of_all_rows():
+    row = np.random.default_rng(3).integers(0, 1 << 63, 3000).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+    for share in (0.3, 0.8, 1.0):
+        how = Boosting(rows=share)
+        draws = boosting.Draws(row, how)
+        for t in range(4):
+            draws.start(t)
+            for p in (slice(0, 1000), slice(1000, 2999), slice(2999, 3000)):
+                np.testing.assert_array_equal(draws.seen(p), np.flatnonzero(boosting.sampled(row[p], t, how)))
+
+
+def test_margins_do_not_depend_on_what_is_kept_between_trees(monkeypatch):
+    rng = np.random.default_rng(11)
+    n, how = 4000, Boosting(trees=12, depth=5, step=0.3)
+    bins = np.stack([rng.integers(0, k, n) for k in (50, 9, 4, 30)], axis=1).astype(np.uint8)
+    y, weight, row = rng.integers(0, 3, n) / 2, rng.random(n) < 0.7, rng.integers(0, 1 << 62, n).astype(np.uint64)
+    want = boosting.grow(bins, y, weight, row, how)
+    for name, value in (("KNOWN", 1), ("PIECE", 111), ("CELLS", 300), ("CELLS", 0)):
+        with monkeypatch.context() as m:
+            m.setattr(boosting, name, value)
+            np.testing.assert_array_equal(boosting.grow(bins, y, weight, row, how), want)
+
+
+@pytest.mark.parametrize("large", [False, True])
+def test_left_out_folds_have_the_chances_of_sets_of_their_own(spark, monkeypatch, large):
+    rows = [(*r, r[1] % 3 if r[1] % 17 else None) for r in rows_of(12, {"one": 200, None: 70})]
+    df = spark.createDataFrame(rows + rows[:4], SCHEMA + ", fold int").repartition(3)
+    sets = df.withColumn("held", F.explode(F.array(*map(F.lit, range(3))))).withColumn("train", F.col("held") != F.col("fold"))
+    want = boosted(sets, "held", ["site", "id"], "y", FEATURES, "train", HOW).filter("not train")
+    if large:
+        monkeypatch.setattr(boosting, "TASK_CELLS", 60)
+        monkeypatch.setattr(boosting, "BLOCK", 3)
+    got = boosted_folds(*fold_sets(df, "fold", 3, ["site", "id"], "y", FEATURES), HOW)
+    assert got.columns == ["site", "id", "fold", "y", "p"]
+    listed = [sorted(((r.site or "", r.id, r.fold, -1 if r.y is None else r.y, round(r.p, 9)) for r in x.collect())) for x in (got, want)]
+    assert listed[0] == listed[1] and len(listed[0]) == sum(r[-1] is not None for r in rows + rows[:4])
+
+
+def test_folds_cut_each_stay_into_bins_once(spark, folder, monkeypatch):
+    """The rows were repeated for each fold before they were cut, and all of them came back."""
+    seen, edges, margins = [], boosting.bin_edges, boosting._margins
+    monkeypatch.setattr(boosting, "bin_edges", lambda rows, features: seen.append(rows.count()) or edges(rows, features))
+    monkeypatch.setattr(boosting, "_margins", lambda *a, **b: [m := margins(*a, **b), seen.append(m.count())][0])
+    monkeypatch.setattr(fits, "TREES", HOW)
+    fr = Frames(spark, folder)
+    assert [r.model for r in fits.cv_summary_models(fr).orderBy("model").collect()] == ["l2", "trees"]
+    assert seen == [fr.feat.count()] * 2
