@@ -721,7 +721,7 @@ def boosted(members: DataFrame, model: str, key: Sequence[str], label: str, feat
 def fold_sets(rows: DataFrame, fold: str, k: int, key: Sequence[str], label: str, features: Sequence[str]) -> tuple[DataFrame, np.ndarray]:
     """Rows cut into bins of k sets with one of the folds 0..k-1 left out of each, for ``boosted_folds``; they are written once, not once a set."""
     own = F.struct(*dict.fromkeys([*key, fold, label]))
-    cut, bins_of = _cut(rows.select(F.col(fold).alias("model"), own.alias("row"), *_inputs(key, label), F.lit(True).alias("train"), *_values(features)))
+    cut, bins_of = _cut(rows.select(F.col(fold).alias("model"), own.alias("row"), *_inputs(key, label), F.lit(True).alias("train"), *_values(features)), k)
     held = cut.withColumn("held", F.explode(F.sequence(F.lit(0), F.lit(k - 1)))).withColumn("train", F.col("held") != F.col("model"))
     return held.filter("train is not null").withColumn("model", F.col("held")).drop("held"), bins_of
 
@@ -747,10 +747,13 @@ def _chance() -> Column:
     return 1 / (1 + F.exp(-F.col("margin")))
 
 
-def _cut(slim: DataFrame) -> tuple[DataFrame, np.ndarray]:
-    """Rows (model, row, draw, y, train, x0, x1, ..) with their bins, written, and the number of bins of each feature."""
+def _cut(slim: DataFrame, copies: int = 1) -> tuple[DataFrame, np.ndarray]:
+    """Rows (model, row, draw, y, train, x0, x1, ..) with their bins, written, and the number of bins of each feature.
+
+    ``copies`` is how often the sets have each row: quantiles are approximate, and those of repeated rows are not quite those of the rows.
+    """
     values = slim.columns[5:]
-    edges = bin_edges(slim, values)
+    edges = bin_edges(slim.select(*values, F.explode(F.sequence(F.lit(1), F.lit(copies)))) if copies > 1 else slim, values)
     schema = T.StructType([*slim.drop(*values).schema.fields, T.StructField("bins", T.BinaryType()), T.StructField("margin", T.DoubleType())])
     return durable(slim.mapInArrow(_binned(edges), schema), "boosting-rows"), np.array([len(e) + 2 for e in edges])
 

@@ -207,8 +207,8 @@ def cv_metrics(fr):
 def cv_summary_models(fr):
     """Logistic model and boosted trees over the same five folds: means of the fold metrics, written as CSV and read back."""
     rows = durable(resample.folds(feat(fr), ["id"], 71017).select("id", "y", "fold", *FEATURES), "folded")
-    sets = fold_sets(rows, "fold", 5, ["id"], "y", FEATURES)
-    trees, logistic = side_by_side(fr.spark, lambda: boosted_folds(*sets, TREES), lambda: out_of_fold(rows, FEATURES, written=True))
+    grown = lambda: boosted_folds(*fold_sets(rows, "fold", 5, ["id"], "y", FEATURES), TREES)
+    trees, logistic = side_by_side(fr.spark, grown, lambda: out_of_fold(rows, FEATURES, written=True))
     scored = reduce(DataFrame.unionByName, [df.select(F.lit(name).alias("model"), "fold", "y", "p") for name, df in (("l2", logistic), ("trees", trees))])
     path = tables.write_cv_summary(evaluate(scored, ["model", "fold"]).select("model", "auc", "smr"))
     return tables.read_matrix(fr.spark, path, "model string, auc double, smr double")

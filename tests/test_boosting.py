@@ -252,11 +252,10 @@ def test_left_out_folds_have_the_chances_of_sets_of_their_own(spark, monkeypatch
 
 
 def test_folds_cut_each_stay_into_bins_once(spark, folder, monkeypatch):
-    """The rows were repeated for each fold before they were cut, and all of them came back."""
-    seen, edges, margins = [], boosting.bin_edges, boosting._margins
-    monkeypatch.setattr(boosting, "bin_edges", lambda rows, features: seen.append(rows.count()) or edges(rows, features))
-    monkeypatch.setattr(boosting, "_margins", lambda *a, **b: [m := margins(*a, **b), seen.append(m.count())][0])
+    """The rows were repeated for each fold before they were written and cut, and all of them came back."""
+    seen, written = {}, boosting.durable
+    monkeypatch.setattr(boosting, "durable", lambda df, label: [d := written(df, label), seen.update({label: d.count()})][0])
     monkeypatch.setattr(fits, "TREES", HOW)
     fr = Frames(spark, folder)
     assert [r.model for r in fits.cv_summary_models(fr).orderBy("model").collect()] == ["l2", "trees"]
-    assert seen == [fr.feat.count()] * 2
+    assert seen == {"boosting-rows": fr.feat.count(), "boosting-sizes": 5, "boosting-margins": fr.feat.count()}
