@@ -29,9 +29,9 @@ from pyspark.sql import Column, DataFrame, GroupedData, Window, functions as F,
 from sitewise.operators.joins import group_join
 from sitewise.session import durable
 
-#: Bins of a feature, the first for missing values; bins of a set that one task grows alone; trees between two writes; large sets grown together;
-#: partitions that whole sets are dealt to.
-BINS, TASK_CELLS, BLOCK, TOGETHER, SETS_APART = 256, 1 << 22, 16, 32, 2000
+#: Bins of a feature, the first for missing values; bins of a set that one task grows alone (a row of four features takes some 100 bytes of its
+#: Python); trees between two writes; large sets grown together; partitions that whole sets are dealt to.
+BINS, TASK_CELLS, BLOCK, TOGETHER, SETS_APART = 256, 1 << 26, 16, 32, 2000
 #: Combinations of bins of a tree's columns that are held at once, their numbers in two bytes; rows handled at a time, few enough for the processor's cache.
 CELLS, PIECE = 1 << 16, 1 << 15
 #: Choices of columns of which each row's cell is kept.
@@ -422,11 +422,13 @@ def grow(bins: np.ndarray, y: np.ndarray, weight: np.ndarray, row: np.ndarray, h
     margin = np.zeros(len(y))
     if not len(y):
         return margin
-    row, bins_of = row.astype(_U, copy=False), bins.max(0).astype(np.int64) + 1
-    # those that train first, so that only they are drawn and need no look at their weight, and the outcomes of most pieces are one
-    order = np.lexsort((y, ~weight))
-    bins, y, trained = np.asfortranarray(bins[order]), y[order], int(weight.sum())
-    draws = Draws(row[order[:trained]], how)
+    bins_of, trained = bins.max(0).astype(np.int64) + 1, int(weight.sum())
+    # those that train first, so that only they are drawn and need no look at their weight, and the outcomes of most pieces are one;
+    # what the rows came as is let go, in a large set it is as much as all that is kept
+    order = np.lexsort((y, ~weight)).astype(np.uint32 if len(y) < 1 << 32 else np.int64)
+    draws = Draws(row.astype(_U, copy=False)[order[:trained]], how)
+    del row, weight
+    bins, y = np.asfortranarray(bins[order]), y[order]
     pieces = [slice(i, min(i + PIECE, trained)) for i in range(0, trained, PIECE)]
     both = np.empty(PIECE, complex)  # the two derivatives side by side, so that they are added up in one go
     known: dict[tuple[int, ...], tuple[np.ndarray, np.ndarray]] = {}
@@ -436,7 +438,8 @@ def grow(bins: np.ndarray, y: np.ndarray, weight: np.ndarray, row: np.ndarray, h
         n = combinations(columns, bins_of)
         if n > min(CELLS, len(y)):
             margin += value.take(last)
-            mine = np.flatnonzero(sampled(row[order[:trained]], t, how))
+            draws.start(t)
+            mine = np.concatenate([p.start + draws.seen(p) for p in pieces]) if pieces else np.zeros(0, np.int64)
             tree = grown(bins[mine], columns, *gradients(margin[mine], y[mine]), how)
             value, last = tree.value, tree.leaves(bins, how.depth)
             continue
@@ -501,20 +504,23 @@ class _Rows:
     """Columns of a table or batch of binned rows."""
 
     def __init__(self, table, width: int):
-        self.draw = table.column("draw").to_numpy().view(_U)
-        y = table.column("y").to_numpy(zero_copy_only=False).astype(np.float64)
-        self.train = table.column("train").to_numpy(zero_copy_only=False).astype(bool) & ~np.isnan(y)
-        self.y = np.nan_to_num(y)
-        self.bins = _bytes(table.column("bins")).reshape(-1, width)
+        self.bins, self.y, self.train, self.draw = _learnt(table, width)
         self.margin = table.column("margin").to_numpy().copy()
 
 
+def _learnt(table, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Bins, outcomes, whether they train and draws of a table or batch of binned rows."""
+    y = table.column("y").to_numpy(zero_copy_only=False).astype(np.float64)
+    train = table.column("train").to_numpy(zero_copy_only=False).astype(bool) & ~np.isnan(y)
+    return _bytes(table.column("bins")).reshape(-1, width), np.nan_to_num(y), train, table.column("draw").to_numpy().view(_U)
+
+
 def _whole_sets(width: int, how: Boosting, unseen: bool):
     """Margins of all rows of one set, or of those that do not train."""
 
     def run(table: pa.Table) -> pa.Table:
-        rows = _Rows(table, width)
-        found = pa.table({"row": table.column("row"), "margin": pa.array(grow(rows.bins, rows.y, rows.train, rows.draw, how))})
+        # no name is given to the arrays, so that they are let go as the trees need them no more
+        found = pa.table({"row": table.column("row"), "margin": pa.array(grow(*_learnt(table, width), how))})
         return found.filter(pc.invert(table.column("train"))) if unseen else found
 
     return run
@@ -699,10 +705,11 @@ def _dealt(rows: DataFrame, sizes: DataFrame) -> GroupedData:
     They are few bytes but much work, so each set is a task of its own, the largest first; only of more than ``SETS_APART`` do some share one.
     """
     small, sets = sizes.filter("not large"), sizes.count()
+    rows = rows.drop("margin")  # none yet
     if sets > SETS_APART:
         return group_join(rows, small.select("model"), ["model"], spread=["row"]).repartition(SETS_APART, "model").groupBy("model")
     placed = small.select("model", (F.row_number().over(Window.orderBy(F.desc("n"), "model")) - 1).alias("place"))
-    return group_join(rows, placed, ["model"], spread=["row"]).repartitionById(max(1, sets), "place").groupBy("place")
+    return group_join(rows, placed, ["model"], spread=["row"]).drop("model").repartitionById(max(1, sets), "place").groupBy("place")
 
 
 def boosted(members: DataFrame, model: str, key: Sequence[str], label: str, features: Sequence[str], train: str, how: Boosting = Boosting(), out: str = "p") -> DataFrame:

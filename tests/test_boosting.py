@@ -259,3 +259,14 @@ def test_folds_cut_each_stay_into_bins_once(spark, folder, monkeypatch):
     fr = Frames(spark, folder)
     assert [r.model for r in fits.cv_summary_models(fr).orderBy("model").collect()] == ["l2", "trees"]
     assert seen == {"boosting-rows": fr.feat.count(), "boosting-sizes": 5, "boosting-margins": fr.feat.count()}
+
+
+def test_sets_of_a_million_rows_take_no_job_a_tree(spark, monkeypatch):
+    """The trees of a set depend on each other: what its rows cost a task is far less than a pass over the cluster for each."""
+    monkeypatch.setattr(boosting, "_grow_together", lambda *a: pytest.fail("a job a tree"))
+    rows = spark.range(1_100_000).selectExpr("id", "int(id % 3 = 0) as y", *[f"double(id % {m}) as f{m}" for m in (7, 11, 13, 17)], "int(id % 2) as fold")
+    names = ["f7", "f11", "f13", "f17"]
+    whole = boosting.boosted(rows.withColumn("model", F.lit(0)).withColumn("train", F.lit(True)), "model", ["id"], "y", names, "train", Boosting(trees=2))
+    assert whole.filter("p > 0").count() == 1_100_000
+    held = boosting.boosted_folds(*boosting.fold_sets(rows, "fold", 2, ["id"], "y", names), Boosting(trees=2))
+    assert held.select("id").distinct().count() == 1_100_000
