@@ -34,8 +34,8 @@ from sitewise.session import durable
 BINS, TASK_CELLS, BLOCK, TOGETHER, SETS_APART = 256, 1 << 26, 16, 32, 2000
 #: Combinations of bins of a tree's columns that are held at once, their numbers in two bytes; rows handled at a time, few enough for the processor's cache.
 CELLS, PIECE = 1 << 16, 1 << 15
-#: Choices of columns of which each row's cell is kept.
-KNOWN = 16
+#: Choices of columns of which each row's cell is kept; rows beyond which quantiles are those of the rows, however many sets have them.
+KNOWN, MANY = 16, 1_000_000
 UNIT = float(1 << 24)
 _U = np.uint64
 
@@ -757,10 +757,12 @@ def _chance() -> Column:
 def _cut(slim: DataFrame, copies: int = 1) -> tuple[DataFrame, np.ndarray]:
     """Rows (model, row, draw, y, train, x0, x1, ..) with their bins, written, and the number of bins of each feature.
 
-    ``copies`` is how often the sets have each row: quantiles are approximate, and those of repeated rows are not quite those of the rows.
+    ``copies`` is how often the sets have each row: quantiles are approximate, and those of a few repeated rows are not quite those of the rows.
+    Of more than ``MANY`` rows they depend on how these lie in the files by as much, and none is repeated.
     """
     values = slim.columns[5:]
-    edges = bin_edges(slim.select(*values, F.explode(F.sequence(F.lit(1), F.lit(copies)))) if copies > 1 else slim, values)
+    repeated = copies > 1 and slim.count() <= MANY
+    edges = bin_edges(slim.select(*values, F.explode(F.sequence(F.lit(1), F.lit(copies)))) if repeated else slim, values)
     schema = T.StructType([*slim.drop(*values).schema.fields, T.StructField("bins", T.BinaryType()), T.StructField("margin", T.DoubleType())])
     return durable(slim.mapInArrow(_binned(edges), schema), "boosting-rows"), np.array([len(e) + 2 for e in edges])
 
